@@ -102,16 +102,22 @@ def token_bounds(data: np.ndarray, offsets: np.ndarray, words: np.ndarray) -> tu
     return starts, np.flatnonzero(ends) + 1, np.searchsorted(starts, offsets)
 
 
+class SpanHashes:
+    """64-bit hashes of stretches of some bytes, alike wherever they stand."""
+
+    def __init__(self, data: np.ndarray, fold: bool = True) -> None:
+        up, self.down = _POWERS.of(len(data) + 1)
+        values = _VALUES[FOLD] if fold else _VALUES
+        self.sums = np.empty(len(data) + 1, dtype=_U)
+        self.sums[0] = 0
+        np.cumsum(values[data] * up[: len(data)], out=self.sums[1:])
+
+    def __call__(self, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
+        return mix((self.sums[ends] - self.sums[starts]) * self.down[starts] + (ends - starts).astype(_U))
+
+
 def span_hashes(data: np.ndarray, starts: np.ndarray, ends: np.ndarray, fold: bool = True) -> np.ndarray:
-    """A 64-bit hash of the bytes of each span, alike wherever they stand."""
-    if not len(starts):
-        return np.zeros(0, _U)
-    up, down = _POWERS.of(len(data) + 1)
-    values = _VALUES[FOLD] if fold else _VALUES
-    sums = np.empty(len(data) + 1, dtype=_U)
-    sums[0] = 0
-    np.cumsum(values[data] * up[: len(data)], out=sums[1:])
-    return mix((sums[ends] - sums[starts]) * down[starts] + (ends - starts).astype(_U))
+    return SpanHashes(data, fold)(starts, ends) if len(starts) else np.zeros(0, _U)
 
 
 def chain(hashes: np.ndarray, offsets: tuple[int, ...]) -> np.ndarray:
@@ -147,3 +153,9 @@ def rolling(hashes: np.ndarray, span: int) -> np.ndarray:
 def folded_words(data: np.ndarray, words: np.ndarray) -> list[bytes]:
     """The words of some bytes, A-Z lower-cased."""
     return [w for w in np.where(words[data], FOLD[data], np.uint8(0x20)).tobytes().split(b" ") if w]
+
+
+def distinct(keys: np.ndarray) -> np.ndarray:
+    """The distinct keys in order; sorting is much faster here than numpy's hash table."""
+    keys = np.sort(keys)
+    return keys[np.concatenate(([True], keys[1:] != keys[:-1]))] if len(keys) else keys

@@ -10,24 +10,35 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .shared import crc_mod
-from .textcore import ALNUM, chain, mix, slices, span_hashes, token_bounds, window_rows
+from .textcore import ALNUM, SpanHashes, chain, distinct, mix, slices, token_bounds, window_rows
 
 #: Labelled texts that the model learns from, at most: those whose ids hash lowest.
 SAMPLE_ROWS = 12_000
 BITS = 20
 #: Positions of a gram's words: single words, pairs, pairs with one or two words between them.
 GRAMS = ((0,), (0, 1), (0, 2), (0, 3))
+#: Leading bytes of a word that stand for it as one more word, for languages that build words from parts.
+STEMS = (4, 6, 8)
+
+
+def _keys(rows: np.ndarray, hashes: np.ndarray) -> np.ndarray:
+    return (rows.astype(np.uint64) << np.uint64(BITS)) | (hashes >> np.uint64(64 - BITS))
 
 
 def features(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Distinct hashed features of all rows, row by row, and the first of each row."""
     starts, ends, firsts = token_bounds(data, offsets, ALNUM)
-    hashes = span_hashes(data, starts, ends)
+    spans = SpanHashes(data)
+    hashes = spans(starts, ends)
     keys = []
+    for size in STEMS:
+        long = np.flatnonzero(ends - starts > size)
+        rows = np.searchsorted(firsts, long, side="right") - 1
+        keys.append(_keys(rows, mix(spans(starts[long], starts[long] + size) + np.uint64(100 + size))))
     for gram in GRAMS:
         pos, rows = window_rows(firsts, gram[-1] + 1)
-        keys.append((rows.astype(np.uint64) << np.uint64(BITS)) | (mix(chain(hashes, gram)[pos] + np.uint64(gram[-1])) >> np.uint64(64 - BITS)))
-    keys = np.unique(np.concatenate(keys))
+        keys.append(_keys(rows, mix(chain(hashes, gram)[pos] + np.uint64(gram[-1]))))
+    keys = distinct(np.concatenate(keys))
     firsts = np.searchsorted(keys, np.arange(len(offsets), dtype=np.uint64) << np.uint64(BITS))
     return (keys & np.uint64((1 << BITS) - 1)).astype(np.int32), firsts
 
@@ -35,7 +46,7 @@ def features(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndar
 class FTRL:
     """Per-coordinate learning rates; a coordinate stays zero until its gradients outweigh the L1 term."""
 
-    def __init__(self, alpha: float = 0.05, beta: float = 1.0, l1: float = 1.0, l2: float = 1.0) -> None:
+    def __init__(self, alpha: float = 1.0, beta: float = 1.0, l1: float = 6.0, l2: float = 1.0) -> None:
         self.alpha, self.beta, self.l1, self.l2 = alpha, beta, l1, l2
         self.z, self.n = np.zeros((1 << BITS) + 1), np.zeros((1 << BITS) + 1)  # the last one is the bias
 

@@ -6,10 +6,14 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import bpe, decontamination, line_dedup, toxicity
+from . import bpe, decontamination, line_dedup, near_dedup, toxicity
 from .shared import table
 
 
+def op2_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return near_dedup.digest(near_dedup.near_duplicates(table(spark, sf_dir, "documents"), words=4))
+
+
 def op4_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return line_dedup.digest(line_dedup.dedup_lines(table(spark, sf_dir, "documents")))
 
@@ -27,8 +31,8 @@ def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op4_line_dedup, op5_decontamination, op7_bpe, op10_toxicity)}
+    return {f.__name__: f for f in (op2_near_dedup, op4_line_dedup, op5_decontamination, op7_bpe, op10_toxicity)}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op4_line_dedup": line_dedup.ORACLE_SQL, "op5_decontamination": decontamination.ORACLE_SQL}
+    return {"op2_near_dedup": near_dedup.ORACLE_SQL, "op4_line_dedup": line_dedup.ORACLE_SQL, "op5_decontamination": decontamination.ORACLE_SQL}

@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import bpe, decontamination, line_dedup, near_dedup, toxicity
+from . import bpe, decontamination, fingerprint, line_dedup, near_dedup, toxicity
 from .shared import table
 
 
@@ -14,6 +14,10 @@ def op2_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_dedup.digest(near_dedup.near_duplicates(table(spark, sf_dir, "documents"), words=4))
 
 
+def op3_fingerprint(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return fingerprint.compare_edits(table(spark, sf_dir, "documents"))
+
+
 def op4_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return line_dedup.digest(line_dedup.dedup_lines(table(spark, sf_dir, "documents")))
 
@@ -31,7 +35,7 @@ def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op2_near_dedup, op4_line_dedup, op5_decontamination, op7_bpe, op10_toxicity)}
+    return {f.__name__: f for f in (op2_near_dedup, op3_fingerprint, op4_line_dedup, op5_decontamination, op7_bpe, op10_toxicity)}
 
 
 def oracle_sql() -> dict[str, str]:

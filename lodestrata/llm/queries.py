@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import bpe, decontamination, fingerprint, line_dedup, near_dedup, toxicity
+from . import bpe, decontamination, fingerprint, kneser_ney, line_dedup, lm_score, near_dedup, toxicity
 from .shared import table
 
 
@@ -26,16 +26,24 @@ def op5_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontamination.digest(decontamination.find_contamination(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark")))
 
 
+def op6_lm_score(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lm_score.score_texts(table(spark, sf_dir, "documents"))
+
+
 def op7_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.digest(bpe.encode(table(spark, sf_dir, "documents")))
 
 
+def op8_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return kneser_ney.judge_quality(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
 def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity.score_toxicity(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op2_near_dedup, op3_fingerprint, op4_line_dedup, op5_decontamination, op7_bpe, op10_toxicity)}
+    return {f.__name__: f for f in (op2_near_dedup, op3_fingerprint, op4_line_dedup, op5_decontamination, op6_lm_score, op7_bpe, op8_quality, op10_toxicity)}
 
 
 def oracle_sql() -> dict[str, str]:

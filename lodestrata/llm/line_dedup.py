@@ -8,6 +8,32 @@ from pyspark.sql import functions as F
 from .shared import materialize
 
 
+def _mark(docs: DataFrame, window: int) -> DataFrame:
+    """docs with lines and, where a later occurrence covers any, left: the places of those that stay."""
+    lines = F.split(F.coalesce("text", F.lit("")), "\n", -1)
+    base = docs.withColumns({"_text_key": F.xxhash64("text"), "_lines": lines})
+    last = F.size("_lines") - window
+    parts = lambda i, order: [F.get("_lines", i + k) for k in order]
+    keys = F.transform(
+        F.when(last >= 0, F.sequence(F.lit(0), last)).otherwise(F.array().cast("array<int>")),
+        lambda i: F.struct(F.xxhash64(*parts(i, range(window))).alias("a"), F.xxhash64(F.lit(window), *parts(i, reversed(range(window)))).alias("b")),
+    )
+    windows = base.select("doc_id", "_text_key", F.posexplode(keys).alias("line", "key")).select("doc_id", "_text_key", "line", "key.a", "key.b")
+    place = F.struct("doc_id", "line")
+    repeated = windows.groupBy("a", "b").agg(F.min(place).alias("first"), F.count(F.lit(1)).alias("times")).where("times > 1")
+    repeated = materialize(repeated.select("a", "b", "first"))  # as a table, its hot keys can be split in the join below
+    covers = windows.join(repeated, ["a", "b"]).where(place > F.col("first"))
+    covers = covers.groupBy("doc_id", "_text_key").agg(F.collect_set("line").alias("_starts"))
+    covers = covers.withColumnsRenamed({"doc_id": "_of_doc", "_text_key": "_of_key"})
+    joined = base.join(covers, F.col("doc_id").eqNullSafe(F.col("_of_doc")) & (F.col("_text_key") == F.col("_of_key")), "left")
+    covered = F.flatten(F.transform("_starts", lambda s: F.sequence(s, s + (window - 1))))
+    left = F.array_except(F.sequence(F.lit(0), F.size("_lines") - 1), covered)
+    return joined.withColumn("_left", left).drop("_of_doc", "_of_key", "_starts", "_text_key")
+
+
+_KEPT = F.when(F.col("_left").isNull(), F.col("text")).otherwise(F.array_join(F.transform("_left", lambda i: F.get("_lines", i)), "\n"))
+
+
 def dedup_lines(docs: DataFrame, window: int = 3) -> DataFrame:
     """Remove every line that a later occurrence of a repeated window covers.
 
@@ -19,28 +45,18 @@ def dedup_lines(docs: DataFrame, window: int = 3) -> DataFrame:
     A null text has no lines. A text of fewer lines than a window has none to lose. A null doc_id comes first. Rows of equal
     doc_id and text are one place: they are treated alike. Other columns of docs are not looked at.
     """
-    lines = F.split(F.coalesce("text", F.lit("")), "\n", -1)
-    base = docs.select("doc_id", "text", F.xxhash64("text").alias("text_key"), lines.alias("lines"))
-    last = F.size("lines") - window
-    parts = lambda i, order: [F.get("lines", i + k) for k in order]
-    keys = F.transform(
-        F.when(last >= 0, F.sequence(F.lit(0), last)).otherwise(F.array().cast("array<int>")),
-        lambda i: F.struct(F.xxhash64(*parts(i, range(window))).alias("a"), F.xxhash64(F.lit(window), *parts(i, reversed(range(window)))).alias("b")),
-    )
-    windows = base.select("doc_id", "text_key", F.posexplode(keys).alias("line", "key")).select("doc_id", "text_key", "line", "key.a", "key.b")
-    place = F.struct("doc_id", "line")
-    repeated = windows.groupBy("a", "b").agg(F.min(place).alias("first"), F.count(F.lit(1)).alias("times")).where("times > 1")
-    repeated = materialize(repeated.select("a", "b", "first"))  # as a table, its hot keys can be split in the join below
-    covers = windows.join(repeated, ["a", "b"]).where(place > F.col("first"))
-    covers = covers.groupBy("doc_id", "text_key").agg(F.collect_set("line").alias("starts"))
-    covers = covers.withColumnsRenamed({"doc_id": "of_doc", "text_key": "of_key"})
-    joined = base.join(covers, F.col("doc_id").eqNullSafe(F.col("of_doc")) & (F.col("text_key") == F.col("of_key")), "left")
-    covered = F.flatten(F.transform("starts", lambda s: F.sequence(s, s + (window - 1))))
-    left = F.array_except(F.sequence(F.lit(0), F.size("lines") - 1), covered)
-    kept = F.when(F.col("starts").isNull(), F.col("text")).otherwise(F.array_join(F.transform(left, lambda i: F.get("lines", i)), "\n"))
-    n = F.when(F.col("text").isNull(), F.lit(0)).otherwise(F.size("lines"))
-    gone = F.when(F.col("starts").isNull(), F.lit(0)).otherwise(F.size("lines") - F.size(left))
-    return joined.select("doc_id", n.cast("long").alias("n_lines"), gone.cast("long").alias("n_removed"), kept.alias("kept"))
+    marked = _mark(docs.select("doc_id", "text"), window)
+    n = F.when(F.col("text").isNull(), F.lit(0)).otherwise(F.size("_lines"))
+    gone = F.when(F.col("_left").isNull(), F.lit(0)).otherwise(F.size("_lines") - F.size("_left"))
+    return marked.select("doc_id", n.cast("long").alias("n_lines"), gone.cast("long").alias("n_removed"), _KEPT.alias("kept"))
+
+
+def without_repeats(docs: DataFrame, window: int = 3) -> DataFrame:
+    """docs, all rows and columns, with text as dedup_lines leaves it and n_chars, if there is one, as long as that is."""
+    marked = _mark(docs, window).withColumn("text", _KEPT)
+    if "n_chars" in docs.columns:
+        marked = marked.withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType))
+    return marked.select(*docs.columns)
 
 
 def digest(result: DataFrame) -> DataFrame:

@@ -6,10 +6,14 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import bpe, decontamination, fingerprint, kneser_ney, line_dedup, lm_score, near_dedup, toxicity
+from . import bpe, decontamination, fingerprint, kneser_ney, line_dedup, lm_score, near_dedup, pii, toxicity
 from .shared import table
 
 
+def op1_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pii.digest(pii.find_pii(table(spark, sf_dir, "documents")))
+
+
 def op2_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_dedup.digest(near_dedup.near_duplicates(table(spark, sf_dir, "documents"), words=4))
 
@@ -43,7 +47,7 @@ def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op2_near_dedup, op3_fingerprint, op4_line_dedup, op5_decontamination, op6_lm_score, op7_bpe, op8_quality, op10_toxicity)}
+    return {f.__name__: f for f in (op1_pii, op2_near_dedup, op3_fingerprint, op4_line_dedup, op5_decontamination, op6_lm_score, op7_bpe, op8_quality, op10_toxicity)}
 
 
 def oracle_sql() -> dict[str, str]:

@@ -20,7 +20,7 @@ BASE, RATE, LIMIT = 1.02, 20.0, 1400
 #: Standard deviations that a sketch's estimate may fall short of the threshold before whole sets are no longer compared.
 MARGIN = 5.0
 #: Sketches of unresolved texts, and of others, that one comparison task holds.
-ASKING, ASKED = 512, 4096
+ASKING, ASKED = 512, 1024
 #: Slots of the bitmap of ids whose texts are fetched; beyond that many ids, more texts than needed are moved.
 SLOTS = 1 << 22
 
@@ -109,24 +109,58 @@ def _bands(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([pa.array(ids), pa.array(key.reshape(-1).view(np.int64))], ["id", "band"])
 
 
-def _compare(threshold: float):
+def _similar(x: np.ndarray, y: np.ndarray, percent: int) -> bool:
+    both = len(x) + len(y) - len(distinct(np.concatenate((x, y))))
+    return 100 * both >= percent * (len(x) + len(y) - both) > 0
+
+
+class _Sets:
+    """Shingle sets of compressed texts; a bounded number is held."""
+
+    def __init__(self, words: int) -> None:
+        import zstandard
+
+        self.unpress, self.words, self.held = zstandard.ZstdDecompressor(), words, {}
+
+    def of(self, packed: bytes) -> np.ndarray:
+        if packed not in self.held:
+            if len(self.held) >= 2 * ASKED:
+                self.held.clear()
+            data = np.frombuffer(self.unpress.decompress(packed), np.uint8)
+            self.held[packed] = shingle_sets(data, np.array([0, len(data)]), self.words)[0]
+        return self.held[packed]
+
+
+def _compare(words: int, percent: int):
+    """Links between a block of asking texts and a block of others: by sketch first, then on whole sets at once, so that no pairs but
+    links leave the task. Components that a link has joined aren't compared again."""
+    threshold = percent / 100
     margin = threshold - MARGIN * np.sqrt(threshold * (1 - threshold) / REGISTERS)
 
     def run(table):
         asks = table["asks"].to_numpy()
         ids, label, n = (table[x].to_numpy() for x in ("id", "label", "n"))
         registers = np.frombuffer(b"".join(table["sketch"].to_pylist()), np.uint16).reshape(-1, REGISTERS)
+        packed, sets, joined, out = table["packed"], _Sets(words), {}, []
+
+        def root(x: int) -> int:
+            while x in joined:
+                x = joined[x]
+            return x
+
         mine, theirs = np.flatnonzero(asks), np.flatnonzero(~asks)
-        out = []
         for k in mine:
             other = theirs[(label[theirs] != label[k]) & (np.minimum(n[theirs], n[k]) >= threshold * np.maximum(n[theirs], n[k]) - 1e-9)]
             other = other[(registers[other] == registers[k]).mean(axis=1) >= margin]  # equal registers are at least as frequent as J
-            if len(other):
-                near = likely(registers[other], registers[np.full(len(other), k)], n[other].astype(float), np.full(len(other), float(n[k])))
-                other = other[near >= margin]
-                out.append(np.stack([np.minimum(ids[other], ids[k]), np.maximum(ids[other], ids[k])]))
-        a, b = np.concatenate(out, axis=1) if out else np.zeros((2, 0), np.int64)
-        return pa.table({"a": pa.array(a, pa.int64()), "b": pa.array(b, pa.int64())})
+            if not len(other):
+                continue
+            near = likely(registers[other], registers[np.full(len(other), k)], n[other].astype(float), np.full(len(other), float(n[k])))
+            for j in other[np.argsort(-near)][: int((near >= margin).sum())]:
+                a, b = root(int(label[k])), root(int(label[j]))
+                if a != b and _similar(sets.of(packed[k].as_py()), sets.of(packed[j].as_py()), percent):
+                    joined[max(a, b)] = min(a, b)
+                    out.append((int(ids[k]), int(ids[j])))
+        return pa.table({"a": pa.array([x for x, _ in out], pa.int64()), "b": pa.array([y for _, y in out], pa.int64())})
 
     return run
 
@@ -146,38 +180,26 @@ def _packed(wanted):
 
 def _confirm(words: int, percent: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        import zstandard
-
-        unpress, held = zstandard.ZstdDecompressor(), {}
-
-        def shingles(packed: bytes) -> np.ndarray:
-            if packed not in held:
-                if len(held) >= 64:
-                    held.clear()
-                data = np.frombuffer(unpress.decompress(packed), np.uint8)
-                held[packed] = shingle_sets(data, np.array([0, len(data)]), words)[0]
-            return held[packed]
-
+        sets = _Sets(words)
         for batch in batches:
-            good = []
-            for x, y in zip(batch["packed_a"], batch["packed_b"], strict=True):
-                x, y = shingles(x.as_py()), shingles(y.as_py())
-                both = len(x) + len(y) - len(distinct(np.concatenate((x, y))))
-                good.append(100 * both >= percent * (len(x) + len(y) - both) > 0)
+            good = [_similar(sets.of(x.as_py()), sets.of(y.as_py()), percent) for x, y in zip(batch["packed_a"], batch["packed_b"], strict=True)]
             yield batch.select(["a", "b"]).filter(pa.array(good, pa.bool_()))
 
     return run
 
 
-def _links(pairs: DataFrame, docs: DataFrame, words: int, percent: int) -> DataFrame:
-    """Those of pairs (a, b) whose whole sets are as similar as asked. Texts move compressed, and only those of ids in pairs."""
-    spark = docs.sparkSession
+def _texts(docs: DataFrame, ids: DataFrame) -> DataFrame:
+    """id, packed: compressed texts of those ids, and of a few more rows whose ids share their slots of a bitmap."""
     slot = lambda c: F.pmod(F.xxhash64(c), F.lit(SLOTS)).cast("int")
-    ids = pairs.select("a").union(pairs.select("b")).distinct()
     bits = np.zeros(SLOTS, bool)
-    bits[ids.select(slot("a").alias("slot")).distinct().toPandas()["slot"].to_numpy(dtype=np.int64)] = True  # SLOTS values at most
-    wanted = spark.sparkContext.broadcast(bits)
-    texts = materialize(docs.select("doc_id", "text", slot("doc_id").alias("slot")).mapInArrow(_packed(wanted), "id long, packed binary"))
+    bits[ids.select(slot("id").alias("slot")).distinct().toPandas()["slot"].to_numpy(dtype=np.int64)] = True  # SLOTS values at most
+    wanted = docs.sparkSession.sparkContext.broadcast(bits)
+    return materialize(docs.select("doc_id", "text", slot("doc_id").alias("slot")).mapInArrow(_packed(wanted), "id long, packed binary"))
+
+
+def _links(pairs: DataFrame, docs: DataFrame, words: int, percent: int) -> DataFrame:
+    """Those of pairs (a, b) whose whole sets are as similar as asked. Texts move compressed, and only those of ids in pairs."""
+    texts = _texts(docs, pairs.select(F.col("a").alias("id")).union(pairs.select("b")).distinct())
     one, other = texts.withColumnsRenamed({"id": "a", "packed": "packed_a"}), texts.withColumnsRenamed({"id": "b", "packed": "packed_b"})
     return pairs.join(other, "b").join(one, "a").select("a", "b", "packed_a", "packed_b").mapInArrow(_confirm(words, percent), "a long, b long").distinct()
 
@@ -193,8 +215,8 @@ def near_duplicates(docs: DataFrame, words: int = 5, percent: int = 80) -> DataF
 
     Texts with a band of registers in common are compared with the band's first; links among these make a first round of
     components. Where one group of texts tied by bands falls into more than one component, every text outside its largest
-    component is compared with all texts of the group in other components, block by block and by sketch, and what may be near
-    enough by MARGIN deviations is confirmed on whole sets. At the threshold, a link shares no band with chance
+    component is compared with all texts of the group in other components, block by block: by sketch, and what may be near
+    enough by MARGIN deviations on whole sets. At the threshold, a link shares no band with chance
     (1 - 0.8**ROWS)**(REGISTERS / ROWS), some 4e-8.
     """
     docs = docs.select("doc_id", "text")
@@ -215,13 +237,13 @@ def near_duplicates(docs: DataFrame, words: int = 5, percent: int = 80) -> DataF
     counts = open_groups.select(
         "grp", F.col("most.label").alias("main"), F.ceil((F.col("total") - F.col("most.size")) / ASKING).cast("int").alias("askers"), F.ceil(F.col("total") / ASKED).cast("int").alias("others")
     )
-    ready = sides.join(counts, "grp").join(nodes, "id")
+    ready = materialize(sides.join(counts, "grp"))
+    ready = materialize(ready.join(nodes, "id").join(_texts(docs, ready.select("id")), "id"))
     spot = lambda n: F.pmod(F.xxhash64("id", F.lit(7)), F.col(n)).cast("int")
     every = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
-    asking = ready.where("label <> main").select("grp", spot("askers").alias("x"), every("others").alias("y"), F.lit(True).alias("asks"), "id", "label", "n", "sketch")
-    asked = ready.select("grp", every("askers").alias("x"), spot("others").alias("y"), F.lit(False).alias("asks"), "id", "label", "n", "sketch")
-    near = materialize(asking.union(asked).groupBy("grp", "x", "y").applyInArrow(_compare(percent / 100), "a long, b long").distinct())
-    second = _links(near.join(tied, ["a", "b"], "left_anti"), docs, words, percent)
+    asking = ready.where("label <> main").select("grp", spot("askers").alias("x"), every("others").alias("y"), F.lit(True).alias("asks"), "id", "label", "n", "sketch", "packed")
+    asked = ready.select("grp", every("askers").alias("x"), spot("others").alias("y"), F.lit(False).alias("asks"), "id", "label", "n", "sketch", "packed")
+    second = asking.union(asked).groupBy("grp", "x", "y").applyInArrow(_compare(words, percent), "a long, b long")
     final = connected_components(first.union(second))
     named = classes.join(final, "id", "left").select("set_key", "n_class", F.coalesce("component", "id").alias("component"))
     ids = made.select("doc_id", "n_shingles", F.when((F.col("n_shingles") > 0) & F.col("doc_id").isNotNull(), F.col("set_key")).alias("set_key"))
@@ -231,12 +253,35 @@ def near_duplicates(docs: DataFrame, words: int = 5, percent: int = 80) -> DataF
     return rows.select("doc_id", "n_shingles", component.alias("component_id"), kept.alias("kept"), F.coalesce("n_class", F.lit(1)).alias("n_class"))
 
 
+def keep_one_each(docs: DataFrame, words: int = 5, percent: int = 80) -> DataFrame:
+    """The rows of docs, with all columns, that near_duplicates keeps: of each component the one of the smallest doc_id.
+
+    Only rows whose ids share a slot of a bitmap with a dropped id are joined with the dropped ids; all others go straight on.
+    """
+    gone = materialize(near_duplicates(docs, words, percent).where("NOT kept").select(F.col("doc_id").alias("gone")).distinct())
+    bits = np.zeros(SLOTS, bool)
+    slot = lambda c: F.pmod(F.xxhash64(c), F.lit(SLOTS)).cast("int")
+    bits[gone.select(slot("gone").alias("slot")).distinct().toPandas()["slot"].to_numpy(dtype=np.int64)] = True  # SLOTS values at most
+    shared = docs.sparkSession.sparkContext.broadcast(bits)
+
+    def pick(near: bool):
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for batch in batches:
+                hit = shared.value[batch["_slot"].to_numpy(zero_copy_only=False)]
+                yield batch.filter(pa.array(hit == near)).drop_columns(["_slot"])
+
+        return docs.withColumn("_slot", slot("doc_id")).mapInArrow(run, docs.schema)
+
+    return pick(False).union(pick(True).join(gone, F.col("doc_id") == F.col("gone"), "left_anti"))
+
+
 def digest(result: DataFrame) -> DataFrame:
     return result.select("doc_id", "n_shingles", "component_id", "kept")
 
 
 ORACLE_SQL = r"""
-WITH RECURSIVE t AS (SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^ 	-]+') AS w FROM documents),
+WITH RECURSIVE t AS (SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^ 	-
+]+') AS w FROM documents),
 s AS (SELECT doc_id, list_distinct(CASE WHEN len(w) >= 4 THEN list_transform(range(1, len(w) - 2), lambda i : array_to_string(w[i : i + 3], ' ')) WHEN len(w) > 0 THEN [array_to_string(w, ' ')] ELSE [] END) AS k FROM t),
 x AS (SELECT doc_id, len(k) AS n, unnest(k) AS k FROM s),
 p AS (SELECT a.doc_id AS a, b.doc_id AS b, any_value(a.n) AS na, any_value(b.n) AS nb, count(*) AS i FROM x a JOIN x b ON a.k = b.k AND a.doc_id < b.doc_id GROUP BY 1, 2),

@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import bpe, decontamination, fingerprint, kneser_ney, line_dedup, lm_score, near_dedup, pii, toxicity
+from . import bpe, decontamination, fingerprint, kneser_ney, line_dedup, lm_score, near_dedup, pii, suffix_dedup, toxicity
 from .shared import table
 
 
@@ -42,12 +42,16 @@ def op8_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return kneser_ney.judge_quality(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
+def op9_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return suffix_dedup.digest(suffix_dedup.remove_repeats(table(spark, sf_dir, "documents")))
+
+
 def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity.score_toxicity(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_pii, op2_near_dedup, op3_fingerprint, op4_line_dedup, op5_decontamination, op6_lm_score, op7_bpe, op8_quality, op10_toxicity)}
+    return {f.__name__: f for f in (op1_pii, op2_near_dedup, op3_fingerprint, op4_line_dedup, op5_decontamination, op6_lm_score, op7_bpe, op8_quality, op9_suffix_dedup, op10_toxicity)}
 
 
 def oracle_sql() -> dict[str, str]:

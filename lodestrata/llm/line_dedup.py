@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .shared import materialize
@@ -31,7 +31,8 @@ def _mark(docs: DataFrame, window: int) -> DataFrame:
     return joined.withColumn("_left", left).drop("_of_doc", "_of_key", "_starts", "_text_key")
 
 
-_KEPT = F.when(F.col("_left").isNull(), F.col("text")).otherwise(F.array_join(F.transform("_left", lambda i: F.get("_lines", i)), "\n"))
+def _kept() -> Column:
+    return F.when(F.col("_left").isNull(), F.col("text")).otherwise(F.array_join(F.transform("_left", lambda i: F.get("_lines", i)), "\n"))
 
 
 def dedup_lines(docs: DataFrame, window: int = 3) -> DataFrame:
@@ -48,12 +49,12 @@ def dedup_lines(docs: DataFrame, window: int = 3) -> DataFrame:
     marked = _mark(docs.select("doc_id", "text"), window)
     n = F.when(F.col("text").isNull(), F.lit(0)).otherwise(F.size("_lines"))
     gone = F.when(F.col("_left").isNull(), F.lit(0)).otherwise(F.size("_lines") - F.size("_left"))
-    return marked.select("doc_id", n.cast("long").alias("n_lines"), gone.cast("long").alias("n_removed"), _KEPT.alias("kept"))
+    return marked.select("doc_id", n.cast("long").alias("n_lines"), gone.cast("long").alias("n_removed"), _kept().alias("kept"))
 
 
 def without_repeats(docs: DataFrame, window: int = 3) -> DataFrame:
     """docs, all rows and columns, with text as dedup_lines leaves it and n_chars, if there is one, as long as that is."""
-    marked = _mark(docs, window).withColumn("text", _KEPT)
+    marked = _mark(docs, window).withColumn("text", _kept())
     if "n_chars" in docs.columns:
         marked = marked.withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType))
     return marked.select(*docs.columns)

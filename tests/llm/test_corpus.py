@@ -1,0 +1,503 @@
+"""Operators against brute force on small fixtures, and the edges: nulls, empty and long texts, ties, repeated rows, no rows."""
+
+import hashlib
+import math
+import random
+import re
+import zlib
+from collections import Counter
+
+import duckdb
+import numpy as np
+import pyarrow as pa
+import pytest
+from pyspark.sql import functions as F
+
+import corpus_pipeline
+from lodestrata.llm import bpe, decontamination, fingerprint, gru, induced, kneser_ney, line_dedup, lm_score, near_dedup, pii, queries, suffix_dedup, textcore, toxicity
+from lodestrata.llm.components import connected_components
+
+SF = "/root/testdata/sf0.001"
+
+
+def texts(spark, rows):
+    """Rows of (doc_id, text), with columns besides whose names operators use themselves."""
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    return df.withColumns({"lang": F.lit(None).cast("string"), "source": F.lit("s"), "id": F.lit(1), "score": F.lit("x"), "block": F.lit(2), "a": F.lit(0), "label": F.lit(3)})
+
+
+ODD = [(1, None), (2, ""), (3, " \n\t"), (None, "one two three four five six"), (5, "x" * 200_000), (6, "w " * 60_000), (7, "Ünï ça 'LL don't 9 10\n\n"), (7, "Ünï ça 'LL don't 9 10\n\n"), (8, "a\nb\nc\na\nb\nc"), (None, None)]
+
+
+def rows_of(df, *columns):
+    return sorted((tuple(r) for r in df.select(*columns).collect()), key=lambda r: tuple(map(str, r)))
+
+
+@pytest.mark.parametrize("name", ["op2_near_dedup", "op4_line_dedup", "op5_decontamination"])
+def test_sql(spark, name):
+    con = duckdb.connect()
+    for t in ("documents", "benchmark", "labels"):
+        con.execute(f"CREATE VIEW {t} AS SELECT * FROM '{SF}/{t}.parquet'")
+    got = queries.queries()[name](spark, SF)
+    want = con.execute(queries.oracle_sql()[name]).df()
+    assert rows_of(got, *sorted(got.columns)) == sorted((tuple(r) for r in want[sorted(got.columns)].itertuples(index=False)), key=lambda r: tuple(map(str, r)))
+
+
+def test_hashes_are_alike_wherever_a_word_stands():
+    data = np.frombuffer("Ab cd ab CD é ab".encode(), np.uint8)
+    starts, ends, firsts = textcore.token_bounds(data, np.array([0, 5, 5, len(data)]), textcore.NOT_SPACE)
+    h = textcore.span_hashes(data, starts, ends)
+    assert h[0] == h[2] == h[5] and h[1] == h[3] and len(set(h.tolist())) == 3 and firsts.tolist() == [0, 2, 2, 6]
+
+
+# 1
+
+
+def brute_spans(t):
+    out = [(m.start(), "email", m.end()) for m in re.finditer(r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+", t)]
+    out += [(m.start(), "ip", m.end()) for m in re.finditer(r"[0-9]+(\.[0-9]+)(\.[0-9]+)(\.[0-9]+)", t) if all(int(p) <= 255 for p in m[0].split("."))]
+    digits = lambda m: re.sub("[^0-9]", "", m[0])
+    out += [(m.start(), "card", m.end()) for m in re.finditer(r"[0-9]([\x20-]?[0-9])+", t) if 14 <= len(digits(m)) <= 19 and pii.luhn(digits(m))]
+    return sorted(out + [(m.start(), "phone", m.end()) for m in re.finditer(r"\+[0-9][\x20().0-9-]+[0-9]", t) if 10 <= len(digits(m)) <= 15])
+
+
+def test_pii_base_spans_are_the_patterns_matches():
+    rng = random.Random(1)
+    for _ in range(4000):
+        t = "".join(rng.choices("aZ9@.+-%_ ()012é4", k=rng.randint(0, 70)))
+        assert sorted(pii.base_spans(t)) == brute_spans(t)
+    assert pii.base_spans("4111 1111 1111 1111 a.b@c.de") == [(20, "email", 28), (0, "card", 19)]
+
+
+def test_pii_field_finds_what_it_has_not_seen():
+    model, rng, hit, found, there = pii.train(), random.Random(77), 0, 0, 0
+    for _ in range(150):
+        text, gold = pii._example(rng)
+        got = model.best(text, [m.span() for m in pii._WORD.finditer(text)])
+        hit, found, there = hit + len(set(got) & set(gold)), found + len(got), there + len(gold)
+    assert hit / found > 0.85 and hit / there > 0.85
+
+
+def test_pii_best_segmentation_is_the_best_of_all():
+    model = pii.train(60, 2)
+    text = "token=ab12cd34ef56 call (555) 123-4567"
+    words = [m.span() for m in pii._WORD.finditer(text)]
+    scores = model._scores(model.segments(text, words))
+
+    def every(i, was):
+        if i == len(words):
+            yield 0.0, []
+            return
+        for total, rest in every(i + 1, 0):
+            yield total + model.t[was, 0], rest
+        for j in range(i + 1, min(i + pii.LONGEST, len(words)) + 1):
+            for y in range(len(pii.KINDS)):
+                for total, rest in every(j, y + 1):
+                    yield total + model.t[was, y + 1] + scores[i, j][y], [(i, j, pii.KINDS[y]), *rest]
+
+    assert max(every(0, 0))[1] == model.best(text, words)
+
+
+def test_pii_edges(spark):
+    rows = pii.digest(pii.find_pii(texts(spark, [*ODD, (9, "é a@b.cd, password=0a1b2c3d4e5f6a7b8c")]))).collect()
+    assert len(rows) == len(ODD) + 1
+    last = next(r for r in rows if r.doc_id == 9)
+    assert last.n_email == 1 and last.base_sha256 == hashlib.sha256(b"email:2:8").hexdigest() and last.spans.startswith("email:2:8") and "secret:" in last.spans
+
+
+# 2
+
+
+def brute_components(rows, words, percent):
+    sets = []
+    for _, t in rows:
+        w = (t or "").encode().lower().split()
+        sets.append({tuple(w[i : i + words]) for i in range(max(len(w) - words + 1, 1))} if w else set())
+    root = {i: i for i, _ in rows}
+
+    def find(x):
+        while root[x] != x:
+            x = root[x]
+        return x
+
+    for i, (a, _) in enumerate(rows):
+        for j in range(i):
+            both = len(sets[i] & sets[j])
+            if both and 100 * both >= percent * len(sets[i] | sets[j]):
+                x, y = find(a), find(rows[j][0])
+                root[max(x, y)] = min(x, y)
+    return sorted((i, len(s), find(i), find(i) == i) for (i, _), s in zip(rows, sets, strict=True))
+
+
+def near_rows(n, seed):
+    rng = random.Random(seed)
+    words = [f"w{k}" for k in range(400)]
+    bases = [rng.choices(words, k=rng.randint(1, 150)) for _ in range(6)]
+    rows = []
+    for k in range(n):
+        own = list(rng.choice(bases))
+        for _ in range(rng.choice((0, 0, 1, 2, 4, 8))):
+            own[rng.randrange(len(own))] = rng.choice(words)
+        rows.append((k, rng.choice((" ", "\n")).join(own).upper() if k % 5 == 0 else " ".join(own)))
+    return rows
+
+
+def test_near_duplicates_are_those_of_all_pairs(spark):
+    rows = near_rows(220, 5) + [(900, None), (901, ""), (902, "a b"), (903, "A  b"), (904, "b a")]
+    got = near_dedup.digest(near_dedup.near_duplicates(texts(spark, rows), words=4))
+    assert sorted(map(tuple, got.collect())) == brute_components(rows, 4, 80)
+
+
+def test_near_duplicates_edges(spark):
+    got = near_dedup.near_duplicates(texts(spark, ODD)).collect()
+    assert len(got) == len(ODD)
+    assert all(r.kept and r.component_id is None for r in got if r.doc_id is None) and all(r.kept for r in got)
+    assert near_dedup.near_duplicates(texts(spark, ODD).limit(0)).count() == 0
+
+
+def test_sketches_estimate_and_merge():
+    rng = np.random.default_rng(3)
+    x = textcore.mix(rng.integers(0, 1 << 62, 3000).astype(np.uint64))
+    a, b = x[:2000], x[500:2500]
+    one, two = near_dedup.sketch(a), near_dedup.sketch(b)
+    assert (np.maximum(one, two) == near_dedup.sketch(np.union1d(a, b))).all()
+    assert abs(near_dedup.likely(one[None], two[None], np.array([2000.0]), np.array([2000.0]))[0] - 0.6) < 0.1
+
+
+def test_components(spark):
+    rng = random.Random(2)
+    edges = [(k, k + 1) for k in range(30)] + [(100, k) for k in range(101, 140)] + [(rng.randint(200, 260), rng.randint(200, 260)) for _ in range(30)] + [(7, 7), (None, 4), (61, 60), (61, 60)]
+    root = {}
+
+    def find(x):
+        root.setdefault(x, x)
+        while root[x] != x:
+            x = root[x]
+        return x
+
+    for a, b in edges:
+        if a is not None and a != b:
+            x, y = find(a), find(b)
+            root[max(x, y)] = min(x, y)
+    got = {r.id: r.component for r in connected_components(spark.createDataFrame(edges, "a long, b long")).collect()}
+    assert got == {x: find(x) for x in root}
+
+
+# 3
+
+
+def test_fingerprints_and_edits(spark):
+    rows = [(k * 3, t) for k, t in enumerate(["é" * 40 + "abc" * 50, "the quick brown fox " * 30, "", None, "x", "y" * 9000])]
+    got = {r.doc_id: r for r in fingerprint.compare_edits(texts(spark, rows), 3).collect()}
+    plain = [t or "" for _, t in rows]
+    for k, (i, _) in enumerate(rows):
+        t, following = plain[k], plain[(k + 1) % len(rows)]
+        edited = t[: len(t) - len(t) // 4] + following[: len(t) // 4]
+        assert got[i].n_chars == len(t) and got[i].edited_sha256 == hashlib.sha256(edited.encode()).hexdigest()
+        assert 0 <= got[i].near_edited <= 1 and 0 <= got[i].near_next <= 1
+    assert got[9].fingerprint == got[6].fingerprint and got[6].near_next == 1.0
+    alone = {r.doc_id: r.fingerprint for r in fingerprint.fingerprint(texts(spark, rows)).collect()}
+    assert alone == {i: r.fingerprint for i, r in got.items()}
+
+
+def test_fingerprint_counts_are_those_of_single_texts():
+    column = pa.array(["abcdefgh" * 9, "", "abcd", "hello world, hello"])
+    data, offsets = textcore.column_bytes(column)
+    whole = fingerprint.bucket_counts(data, offsets)
+    for k in range(4):
+        own = data[offsets[k] : offsets[k + 1]]
+        assert (whole[k] == fingerprint.bucket_counts(own, np.array([0, len(own)]))[0]).all() and whole[k].sum() == 6 * max(len(own) - 4, 0)
+
+
+def test_fingerprint_edges(spark):
+    assert fingerprint.compare_edits(texts(spark, ODD), 4).count() == len(ODD)
+    assert fingerprint.compare_edits(texts(spark, ODD).limit(0), 4).count() == 0
+    assert [r.near_next for r in fingerprint.compare_edits(texts(spark, [(1, "lone text here")]), 4).collect()] == [1.0]
+
+
+# 4
+
+
+def brute_lines(rows):
+    seen = {}
+    split = [(i, t, (t or "").split("\n")) for i, t in rows]
+    for i, _, lines in sorted(split, key=lambda r: (r[0] is not None, r[0] or 0)):
+        for k in range(len(lines) - 2):
+            seen.setdefault(tuple(lines[k : k + 3]), (i is not None, i or 0, k))
+    out = []
+    for i, t, lines in split:
+        gone = {k + d for k in range(len(lines) - 2) if (i is not None, i or 0, k) > seen[tuple(lines[k : k + 3])] for d in range(3)}
+        out.append((i, 0 if t is None else len(lines), len(gone), t if not gone else "\n".join(x for k, x in enumerate(lines) if k not in gone)))
+    return sorted(out, key=str)
+
+
+def test_line_windows(spark):
+    rng = random.Random(4)
+    rows = [(k, "\n".join(rng.choices("abc", k=rng.randint(0, 12)))) for k in range(60)] + [(None, "a\na\na\na"), (70, None), (71, ""), (72, "p\nq\nr\np\nq\nr"), (72, "p\nq\nr\np\nq\nr")]
+    got = sorted((tuple(r) for r in line_dedup.dedup_lines(texts(spark, rows)).collect()), key=str)
+    assert got == brute_lines(rows)
+    assert line_dedup.dedup_lines(texts(spark, ODD)).count() == len(ODD) and line_dedup.dedup_lines(texts(spark, ODD).limit(0)).count() == 0
+
+
+# 5
+
+
+def brute_hits(text, items):
+    words = lambda t: re.findall(r"[0-9a-z\x80-\U0010ffff]+", "".join(c.lower() if c.isascii() else c for c in t or ""))
+    w, hit, ids = words(text), set(), set()
+    for name, t in items:
+        b = words(t)
+        z = min(13, len(b))
+        for i in range(len(b) - z + 1 if b else 0):
+            for j in range(len(w) - z + 1):
+                if w[j : j + z] == b[i : i + z]:
+                    hit.update(range(j, j + z))
+                    ids.add("" if name is None else str(name))
+    return len(w), len(hit), sorted(ids), len(hit) > 0 and 20 * len(hit) >= len(w)
+
+
+@pytest.mark.parametrize("block_words", [1_000_000, 15])
+def test_contamination(spark, block_words):
+    rng = random.Random(6)
+    long = [" ".join(rng.choices("abcdefg", k=30)) for _ in range(3)]
+    items = [(1, long[0]), (10, long[1]), (2, long[2]), (2, "Ünï"), (None, "ZZ top"), (4, None), (5, "-- !")]
+    rows = [(k, " ".join(rng.choices("abcdefg", k=40)) + rng.choice((" ", ", ")) + rng.choice(long)[: rng.randint(5, 60)].upper()) for k in range(25)]
+    rows += [(100, long[0] + " zz-top " + long[1]), (101, "ünï Ünï"), (102, None), (103, ""), (None, long[2]), (100, "x")]
+    bench = spark.createDataFrame(items, "item_id long, text string")
+    got = decontamination.find_contamination(texts(spark, rows), bench, block_words=block_words).collect()
+    want = [(i, *brute_hits(t, items)) for i, t in rows]
+    assert sorted(((r.doc_id, r.n_words, r.n_hit, sorted(r["items"]), r.contaminated) for r in got), key=str) == sorted(want, key=str)
+    kept = decontamination.drop_contaminated(texts(spark, rows), bench, block_words=block_words)
+    assert kept.count() == sum(not w[4] for w in want) and kept.columns == texts(spark, rows).columns
+    cut = {r.doc_id: r.text for r in decontamination.remove_spans(texts(spark, [(1, f"Start. {long[0]}! End"), (2, "clean"), (3, None)]), bench, block_words=block_words).collect()}
+    assert cut == {1: "Start. ! End", 2: "clean", 3: None}
+
+
+def test_contamination_without_items_or_rows(spark):
+    empty = spark.createDataFrame([], "item_id long, text string")
+    assert decontamination.find_contamination(texts(spark, ODD), empty).where("contaminated").count() == 0
+    assert decontamination.find_contamination(texts(spark, ODD).limit(0), empty).count() == 0
+
+
+# 6
+
+
+def test_gradients_are_the_slopes():
+    rng = np.random.default_rng(0)
+    model = gru.Model(np.array([0, 2]), np.array([5.0, 4, 3, 2, 1]), 3.0)
+    for k, v in model.p.items():
+        model.p[k] = (v + rng.normal(0, 0.3, v.shape)).astype(np.float64)
+    ids, targets, mask, h = rng.integers(0, 8, (4, 3)), rng.integers(0, 8, (4, 3)), np.ones((4, 3), bool), np.zeros((3, gru.WIDTH))
+    targets[mask & (targets >= model.n)] = model.n
+
+    def loss():
+        model.ready()
+        state, total = h, 0.0
+        for k in range(4):
+            state = model.step(ids[k], state)
+            total -= model.log_likelihood(state, targets[k]).sum()
+        return total / 12
+
+    before = {k: v.copy() for k, v in model.p.items()}
+    model.seen = {k: np.zeros_like(v) for k, v in model.p.items()}
+    with np.errstate(invalid="ignore", divide="ignore"):
+        model.learn(ids, targets, mask, h, rate=0.0)
+    grads = {k: np.sqrt(v) for k, v in model.seen.items()}
+    model.p = before
+    for name in ("words", "inward", "onward", "gates", "classes", "class_bias", "members", "member_bias"):
+        at = np.unravel_index(np.argmax(grads[name]), grads[name].shape)
+        was = model.p[name][at]
+        model.p[name][at] = was + 1e-4
+        up = loss()
+        model.p[name][at] = was - 1e-4
+        down = loss()
+        model.p[name][at] = was
+        assert abs(abs(up - down) / 2e-4 - grads[name][at]) < 1e-3 + 0.01 * grads[name][at]
+
+
+def test_language_model_probabilities_add_up():
+    model = gru.Model(gru.make_classes(np.arange(50.0, 0, -1)), np.arange(50.0, 0, -1), 7.0).ready()
+    state = model.step(np.array([3]), np.zeros((1, gru.WIDTH), np.float32))
+    each = model.log_likelihood(np.repeat(state, 51, axis=0), np.arange(51))
+    assert abs(np.exp(each).sum() - 1) < 1e-5
+    texts_ = [np.arange(40) % 50, np.array([1, 2]), np.zeros(0, np.int64), np.arange(150) % 50]
+    whole = gru.score(model, texts_, lanes=2, window=7)
+    assert np.allclose(whole, [gru.score(model, [t], window=64)[0] for t in texts_], rtol=1e-5)
+
+
+@pytest.mark.parametrize("head", [200_000, 40])
+def test_scores_and_counts(spark, monkeypatch, head):
+    monkeypatch.setattr(lm_score, "HEAD_WORDS", head)
+    docs = spark.read.parquet(f"{SF}/documents.parquet").select("doc_id", "text").union(spark.createDataFrame([(5000, None), (5001, ""), (5001, ""), (None, "the of zzz")], "doc_id long, text string"))
+    got = lm_score.score_texts(docs).toPandas().sort_values(["doc_id", "n_tokens"]).reset_index(drop=True)
+    rows = docs.toPandas()
+    tokens = [(t or "").encode().lower().split() + [None] for t in rows.text]
+    held = [i != i or zlib.crc32(str(int(i)).encode()) % 10 == 0 for i in rows.doc_id]
+    counts = Counter(w for t, h in zip(tokens, held, strict=True) if not h for w in t)
+    total, bottom = sum(counts.values()), math.log10(sum(counts.values()) + 0.1 * (len(counts) + 1))
+    rows = rows.assign(n_tokens=[len(t) for t in tokens], n_known=[sum(w in counts for w in t) for t in tokens], base=[sum(math.log10(counts[w] + 0.1) - bottom for w in t) for t in tokens], held=held)
+    rows = rows.sort_values(["doc_id", "n_tokens"]).reset_index(drop=True)
+    assert (got.train_tokens == total).all() and (got.held_out == rows.held).all() and (got.n_tokens == rows.n_tokens).all() and (got.n_known == rows.n_known).all()
+    assert np.allclose(got.base_score, rows.base) and np.isfinite(got.score).all()
+    assert got.score[got.held_out].sum() > got.base_score[got.held_out].sum()
+    assert lm_score.score_texts(texts(spark, ODD).limit(0)).count() == 0
+
+
+# 7
+
+
+def test_encoding_is_the_librarys(spark):
+    from tokenizers import Tokenizer
+
+    plain = Tokenizer.from_file(bpe.vocabulary_path())
+    rng = random.Random(8)
+    parts = ["a", "b", " ", "\n", "é", "́", "'s", "'LL", "<|endoftext|>", "9", "0", " 0 ", "!?", "<|start", "oftext|>", "中😀", "\t", "\x85", "AbC", "Σ", "shared words of many texts "]
+    rows = [(k, "".join(rng.choices(parts, k=rng.randint(0, 120)))) for k in range(300)] + ODD
+    got = bpe.encode(texts(spark, rows)).toPandas()
+    want = [plain.encode(t or "", add_special_tokens=False).ids for _, t in rows]
+    assert [list(x) for x in got.ids] == want
+    assert got.decoded.tolist() == [plain.decode(x, skip_special_tokens=False) for x in want]
+    again = bpe.decode(bpe.encode(texts(spark, rows))).toPandas()
+    assert again.text.tolist() == got.decoded.tolist()
+
+
+# 8
+
+
+def test_kneser_ney(spark):
+    docs = ["a b c a b", "a b d", "b c a b c a", "", "x a b"]
+    three = Counter()
+    for t in docs:
+        w = ["<s>", "<s>", *t.split(), "</s>"]
+        three.update(tuple(w[k : k + 3]) for k in range(len(w) - 2))
+    two, one = Counter(), Counter()
+    for (_, b, c), n in three.items():
+        two[b, c] += n if b == "<s>" else 1
+    one.update(c for _, c in two)
+    off = {k: kneser_ney.discounts(*(sum(v == n for v in x.values()) for n in (1, 2, 3, 4))) for k, x in ((1, one), (2, two), (3, three))}
+    less = lambda k, n: off[k][min(n, 3) - 1] if n else 0
+
+    def p(k, context, c):
+        if k == 0:
+            return 1 / (len(one) + 1)
+        table = {1: {(c,): n for c, n in one.items()}, 2: two, 3: three}[k]
+        own = {g: n for g, n in table.items() if g[:-1] == context}
+        lower = p(k - 1, context[1:], c)
+        if not own:
+            return lower
+        n, total = own.get((*context, c), 0), sum(own.values())
+        return (n - less(k, n)) / total + sum(less(k, x) for x in own.values()) / total * lower
+
+    model = kneser_ney.Tables(*(x.toArrow() for x in kneser_ney.kneser_ney(spark.createDataFrame([(t,) for t in docs], "text string"))))
+    lines = [*docs, "zz a b", "c c c", "b d zz zz a"]
+    data, offsets = textcore.column_bytes(pa.array(lines))
+    got, n = model.log_likelihood(data, offsets)
+    for t, x, size in zip(lines, got, n, strict=True):
+        w = ["<s>", "<s>", *t.split(), "</s>"]
+        assert size == len(w) - 2 and abs(x - sum(math.log(p(3, tuple(w[k - 2 : k]), w[k])) for k in range(2, len(w)))) < 1e-4
+    assert abs(sum(p(3, ("a", "b"), c) for c in [*one, "?"]) - 1) < 1e-9
+
+
+def test_quality_keeps_good_texts(spark):
+    sf = SF.replace("0.001", "0.01")
+    docs, labels = spark.read.parquet(f"{sf}/documents.parquet"), spark.read.parquet(f"{sf}/labels.parquet")
+    got = kneser_ney.judge_quality(docs, labels).join(labels, "doc_id").groupBy("quality").agg(F.avg(F.col("keep").cast("int")).alias("kept")).collect()
+    kept = {r.quality: r.kept for r in got}
+    assert kept[1] > 0.8 and kept[0] < kept[1]
+    no_labels = labels.limit(0)
+    odd = kneser_ney.judge_quality(texts(spark, ODD), no_labels)
+    assert odd.where("keep").count() == len(ODD) and kneser_ney.judge_quality(texts(spark, ODD).limit(0), no_labels).count() == 0
+
+
+# 9
+
+
+@pytest.mark.parametrize("held", [4, 100_000])
+def test_suffix_order_and_prefixes(held):
+    rng = random.Random(9)
+    for turn in range(400):
+        s = [rng.randint(1, rng.choice((2, 3, 6))) for _ in range(rng.randint(1, 50))] * rng.choice((1, 1, 3))
+        t = [*s, 0]
+        got = list(induced.induced_order(np.array(t), 5, held))
+        assert [k for k, _ in got] == sorted(range(len(t)), key=lambda k: t[k:])
+        for (a, n), (b, _) in zip(got[1:], got[2:], strict=False):
+            same = 0
+            while same < 5 and t[a + same : a + same + 1] == t[b + same : b + same + 1] and a + same < len(t) and b + same < len(t):
+                same += 1
+            assert n == same
+
+
+def brute_removed(rows):
+    seen, raw = {}, [((1 << 63) - 1 if i is None else i, i, (t or "").encode()) for i, t in rows]
+    for order, _, b in raw:
+        for k in range(len(b) - 49):
+            w = b[k : k + 50]
+            seen[w] = min(seen.get(w, order), order)
+    out = []
+    for order, i, b in raw:
+        gone = np.zeros(len(b), bool)
+        for k in range(len(b) - 49):
+            if seen[b[k : k + 50]] < order:
+                gone[k : k + 50] = True
+        out.append((i, len(b), int(gone.sum()), int((np.diff(gone.astype(int), prepend=0) == 1).sum()), bytes(np.frombuffer(b, np.uint8)[~gone])))
+    return sorted(out, key=str)
+
+
+def test_repeated_strings(spark):
+    rng = random.Random(2)
+    words = ["alpha", "béta", "gamma", "the", "of", "xx", "delta epsilon"]
+    base = [" ".join(rng.choices(words, k=rng.randint(0, 60))) for _ in range(12)]
+    rows = []
+    for k in range(120):
+        p, q = rng.choice(base), rng.choice(base)
+        a, b = rng.randint(0, len(p)), rng.randint(0, len(q))
+        text = rng.choice([p[a:] + q[:b], p + "!" + q, p, "a" * rng.randint(0, 200), "ab" * rng.randint(0, 80), None, "", q[b:] + "zz" + p[:a]])
+        rows.append((rng.choice([k, k // 2, None]) if k % 7 == 0 else k, text))
+    got = sorted((tuple(r[:4]) + (bytes(r.kept),) for r in suffix_dedup.remove_repeats(texts(spark, rows)).collect()), key=str)
+    assert got == brute_removed(rows)
+    assert suffix_dedup.remove_repeats(texts(spark, ODD)).count() == len(ODD) and suffix_dedup.remove_repeats(texts(spark, ODD).limit(0)).count() == 0
+
+
+# 10
+
+
+def test_toxicity_on_held_out_rows(spark):
+    sf = SF.replace("0.001", "0.01")
+    docs, labels = spark.read.parquet(f"{sf}/documents.parquet"), spark.read.parquet(f"{sf}/labels.parquet")
+    got = toxicity.score_toxicity(docs, labels)
+    rows = got.where("held_out").join(labels, "doc_id").select("score", "toxic", "predicted").toPandas()
+    bad, good = rows.score[rows.toxic == 1].to_numpy(), rows.score[rows.toxic == 0].to_numpy()
+    assert (bad[:, None] > good[None]).mean() > 0.9 and (rows.predicted == rows.toxic).mean() > 0.9
+    kept = toxicity.drop_toxic(docs, labels)
+    assert kept.columns == docs.columns and kept.count() == got.where("predicted = 0").count()
+
+
+def test_toxicity_edges(spark):
+    none = spark.createDataFrame([], "doc_id long, quality int, toxic int")
+    rows = toxicity.score_toxicity(texts(spark, ODD), none).collect()
+    assert len(rows) == len(ODD) and {r.score for r in rows} == {0.5} and all(r.held_out for r in rows if r.doc_id is None)
+    odd = spark.createDataFrame([(None, 1, 1), (2, 0, None), (5, 1, 0), (6, 1, 1), (6, 1, 0)], "doc_id long, quality int, toxic int")
+    assert toxicity.score_toxicity(texts(spark, ODD), odd).count() == len(ODD)
+
+
+# pipeline
+
+
+def test_stages_hand_on_documents(spark):
+    docs = spark.read.parquet(f"{SF}/documents.parquet")
+    names = [n for n, _ in corpus_pipeline.STAGES]
+    assert names == ["toxicity", "line dedup", "near-dedup", "decontamination", "BPE"]
+    for name, stage in corpus_pipeline.STAGES:
+        before, docs = docs, stage(spark, docs, SF)
+        if name != "BPE":
+            assert docs.columns == before.columns
+        if name == "line dedup":
+            rows = [(r.doc_id, r.text) for r in before.collect()]
+            assert {r.doc_id: r.text for r in docs.collect()} == {i: t for i, _, _, t in brute_lines(rows)}
+        if name == "near-dedup":
+            rows = [(r.doc_id, r.text) for r in before.collect()]
+            assert sorted(r.doc_id for r in docs.collect()) == [i for i, _, _, kept in brute_components(rows, 5, 80) if kept]
+        if name == "decontamination":
+            items = [(r.item_id, r.text) for r in spark.read.parquet(f"{SF}/benchmark.parquet").collect()]
+            assert sorted(r.doc_id for r in docs.collect()) == sorted(r.doc_id for r in before.collect() if not brute_hits(r.text, items)[3])
+    assert docs.columns == ["doc_id", "ids", "decoded"] and docs.count() > 100

@@ -34,13 +34,13 @@ def stretches(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.nda
         return none, none, none, none.view(np.uint64), hashes
     at = np.arange(len(data) - WIDTH + 1)
     grams = hashes(at, at + WIDTH)
-    least, where, width = grams, at, 1
+    low = np.uint64(0xFFFFFFFF)
+    least, width = (grams & ~low) | at.astype(np.uint64), 1  # half of the hash and the place, so that the first of equals is least
     while width < SPAN - WIDTH + 1:
         step = min(width, SPAN - WIDTH + 1 - width)
-        nearer = least[step:] < least[:-step]  # the first of equals stays
-        where = np.where(nearer, where[step:], where[:-step])
-        least = np.where(nearer, least[step:], least[:-step])
+        least = np.minimum(least[step:], least[:-step])
         width += step
+    where = (least & low).astype(np.int64)
     row = np.repeat(np.arange(len(offsets) - 1), np.diff(offsets))[: len(where)]
     starts = np.flatnonzero(np.arange(len(where)) + SPAN <= offsets[1:][row])
     if not len(starts):
@@ -105,8 +105,8 @@ def _announce(parts: int):
                 out = []
                 for a, b in zip(firsts[:-1], firsts[1:], strict=True):
                     own = order[a:b]
-                    docs, of = np.unique(row[own], return_inverse=True)
-                    out.append((_six(anchors[own] // np.uint64(parts)), _six(content[own]), np.diff(ids[docs], prepend=0).tobytes(), of.astype(np.uint16).tobytes()))
+                    new = np.diff(row[own], prepend=-1) != 0  # rows ascend within a block
+                    out.append((_six(anchors[own] // np.uint64(parts)), _six(content[own]), np.diff(ids[row[own][new]], prepend=0).tobytes(), (np.cumsum(new) - 1).astype(np.uint16).tobytes()))
                 columns = [pa.array([block] * len(out), pa.int64()), pa.array(names, pa.int64()), *[pa.array([x[k] for x in out], pa.binary()) for k in range(4)]]
                 yield pa.RecordBatch.from_arrays(columns, ["block", "part", "anchors", "contents", "ids", "of"])
 

@@ -7,7 +7,8 @@ import re
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-ACTIVE_WORK, REVIEW = "dream-active-work", "review-queue"
+#: The targets with a meaning of their own, and the name of the index.
+ACTIVE_WORK, REVIEW, INDEX = "dream-active-work", "review-queue", "dream"
 #: White space as Unicode has it, and the four separators U+001C to U+001F.
 _BLANKS = r"(?U)[\s\x{1C}-\x{1F}]+"
 

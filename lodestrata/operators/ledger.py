@@ -5,8 +5,6 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.columns import ACTIVE_WORK  # noqa: F401  (targets of short claims)
-
 ATTRIBUTES = ("claim", "domain", "horizon", "importance", "confidence", "target", "source", "evidence", "notes")
 PROMOTE_HITS, PROMOTE_DAYS, DECAY_DAYS = 3, 3, 14
 

@@ -7,7 +7,7 @@ from collections.abc import Iterable
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.columns import ACTIVE_WORK, REVIEW, text
+from ..functions.columns import ACTIVE_WORK, INDEX, REVIEW, text
 
 #: A claim without a known target becomes a proposal for a new skill from this importance on, or from the keep floor if higher.
 NEW_SKILL_FLOOR = 7
@@ -82,5 +82,5 @@ def target_paths(spark, skills: dict[str, str], short_path: str | None = None, i
     """name, path of every place a claim can go to; without configured skills the seed has a path of its own name."""
     rows = dict(skills) or ({seed: f"skills/{seed}/SKILL.md"} if seed else {})
     rows |= {ACTIVE_WORK: short_path} if short_path else {}
-    rows |= {"dream": index_path} if index_path else {}
+    rows |= {INDEX: index_path} if index_path else {}
     return spark.createDataFrame(sorted(rows.items()), "name string, path string")

@@ -1,4 +1,4 @@
-"""Connected components by label propagation with pointer jumping; every round is joins and partial aggregates."""
+"""Connected components by contraction: every node joins its smallest neighbour, and edges are rewritten until none is left."""
 
 from __future__ import annotations
 
@@ -11,19 +11,26 @@ from .shared import materialize
 def connected_components(edges: DataFrame) -> DataFrame:
     """id, component (the smallest id reachable) of every node of edges (a, b: long); no node, no row.
 
-    A node with very many neighbours is a hot join key, which adaptive joins split, and one group of a partial minimum. Each
-    round is written to the shared folder, so that lineage stays short and lost executors cost no earlier rounds. Loops and
-    repeated edges do no harm; edges with a null end are left out.
+    A node with very many neighbours is one group of a partial minimum, and a hot join key, which adaptive joins split. Edges get
+    fewer each round, as those within a contracted node vanish and equal ones become one. Each round is written to the shared folder, so that lineage
+    stays short and lost executors cost no earlier rounds. Loops and repeated edges do no harm; edges with a null end are left out.
     """
-    edges = edges.where("a IS NOT NULL AND b IS NOT NULL AND a <> b").select("a", "b")
-    both = materialize(edges.union(edges.select("b", "a")).distinct())
-    labels = materialize(both.groupBy(F.col("a").alias("id")).agg(F.least(F.col("id"), F.min("b")).alias("component")))
-    while True:
-        heard = both.join(labels, both.b == labels.id).groupBy("a").agg(F.min("component").alias("heard"))
-        nearer = labels.join(heard, labels.id == heard.a, "left").select("id", F.col("component").alias("was"), F.least("component", "heard").alias("component"))
-        above = labels.select(F.col("id").alias("up"), F.col("component").alias("root"))
-        jumped = nearer.join(above, nearer.component == above.up, "left").select("id", F.least("component", "root").alias("component"), "was")
-        written = materialize(jumped)
-        labels = written.select("id", "component")
-        if written.where("component <> was").isEmpty():
-            return labels
+    left = materialize(_tidy(edges.select("a", "b")))
+    rounds = []
+    while not rounds or not left.isEmpty():
+        both = left.union(left.select("b", "a"))
+        nearest = materialize(both.groupBy(F.col("a").alias("id")).agg(F.least(F.col("id"), F.min("b")).alias("parent")))
+        above = nearest.select(F.col("id").alias("parent"), F.col("parent").alias("root"))
+        rounds.append(materialize(nearest.join(above, "parent").select("id", F.col("root").alias("parent"))))
+        one, other = rounds[-1].select(F.col("id").alias("a"), F.col("parent").alias("x")), rounds[-1].select(F.col("id").alias("b"), F.col("parent").alias("y"))
+        left = materialize(_tidy(left.join(one, "a").join(other, "b").select(F.col("x").alias("a"), F.col("y").alias("b"))))
+    found = rounds[-1].select("id", F.col("parent").alias("component"))
+    for mapping in reversed(rounds[:-1]):
+        later = found.select(F.col("id").alias("parent"), "component")
+        found = mapping.join(later, "parent", "left").select("id", F.coalesce("component", "parent").alias("component"))
+    return materialize(found)
+
+
+def _tidy(edges: DataFrame) -> DataFrame:
+    ordered = edges.where("a <> b").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
+    return ordered.distinct()

@@ -1,7 +1,7 @@
 """External induced sorting of the suffixes of an integer string, with their common prefixes.
 
-Suffix tuples and common-prefix values travel through priority queues that keep a bounded part in memory and the rest in sorted
-runs on disk; what must be sorted first, the suffixes at left-most S positions, is named by an external merge sort and, where names
+Suffix tuples and common-prefix values travel through priority queues and stacks that keep a bounded part in memory and the rest on
+disk; what must be sorted first, the suffixes at left-most S positions, is named by an external merge sort and, where names
 repeat, sorted by the same procedure on the string of names.
 """
 
@@ -10,60 +10,107 @@ from __future__ import annotations
 import heapq
 import tempfile
 from bisect import bisect_right
+from collections import deque
 from collections.abc import Iterator
 
 import numpy as np
 
-#: Tuples that a queue, or a run being made, holds in memory; tuples that are read from a run at once.
-HELD, BLOCK = 100_000, 4_096
+#: Tuples that a queue, or a run being made, holds in memory.
+HELD = 100_000
 
 
 class DiskQueue:
-    """A priority queue of equal-sized tuples of ints. When HELD is reached, all that is in memory becomes a sorted run on disk."""
+    """A priority queue of tuples by key, equal keys in order of arrival: a heap of keys, and a line of tuples for each.
 
-    def __init__(self, width: int, held: int = HELD) -> None:
-        self.width, self.held = width, held
-        self.heap: list[tuple] = []
-        self.fronts: list[tuple[tuple, int]] = []  # the least tuple of each run, and which run it is
-        self.runs: list[Iterator[tuple]] = []
+    When HELD tuples are in memory, the longest lines' are appended to a file; a line takes its own back, oldest first, as it moves on.
+    """
 
-    def push(self, item: tuple) -> None:
-        heapq.heappush(self.heap, item)
-        if len(self.heap) > self.held:
-            run = _run(sorted(self.heap), self.width)
-            self.heap = []
-            self.runs.append(run)
-            heapq.heappush(self.fronts, (next(run), len(self.runs) - 1))
-
-    def least(self) -> tuple | None:
-        if self.fronts and (not self.heap or self.fronts[0][0] < self.heap[0]):
-            return self.fronts[0][0]
-        return self.heap[0] if self.heap else None
+    def __init__(self, width: int, held: int = HELD) -> None:
+        self.width, self.held, self.n, self.file = width, held, 0, None
+        self.keys: list[int] = []
+        self.front: dict[int, deque] = {}
+        self.back: dict[int, list] = {}
+        self.filed: dict[int, deque] = {}
+
+    def push(self, key: int, item: tuple) -> None:
+        line = self.back.get(key)
+        if line is None:
+            self.back[key] = [item]
+            if key not in self.front:
+                self.front[key] = deque()
+                heapq.heappush(self.keys, key)
+        else:
+            line.append(item)
+        self.n += 1
+        if self.n > self.held:
+            self._spill()
+
+    def _spill(self) -> None:
+        self.file = self.file or tempfile.TemporaryFile()
+        for key in sorted(self.back, key=lambda k: -len(self.back[k])):
+            line = self.back.pop(key)
+            self.filed.setdefault(key, deque()).append((self.file.seek(0, 2), len(line)))
+            self.file.write(np.array(line, np.int64).tobytes())
+            self.n -= len(line)
+            if 2 * self.n <= self.held:
+                break
+        self.held = max(self.held, 2 * self.n)  # what is in front lines can't go back
+
+    def least(self) -> int | None:
+        """The least key that has a tuple."""
+        return self.keys[0] if self.keys else None
 
     def pop(self) -> tuple:
-        if self.fronts and (not self.heap or self.fronts[0][0] < self.heap[0]):
-            item, k = heapq.heappop(self.fronts)
-            following = next(self.runs[k], None)
-            if following is not None:
-                heapq.heappush(self.fronts, (following, k))
-            return item
-        return heapq.heappop(self.heap)
+        key = self.keys[0]
+        line = self.front[key]
+        if not line:
+            self._advance(key, line)
+        self.n -= 1
+        item = line.popleft()
+        if not line and key not in self.back and key not in self.filed:
+            del self.front[key]
+            heapq.heappop(self.keys)
+        return item
+
+    def _advance(self, key: int, line: deque) -> None:
+        if key in self.filed:
+            at, n = self.filed[key].popleft()
+            if not self.filed[key]:
+                del self.filed[key]
+            self.file.seek(at)
+            line.extend(map(tuple, np.frombuffer(self.file.read(n * self.width * 8), np.int64).reshape(-1, self.width).tolist()))
+            self.n += n
+        else:
+            line.extend(self.back.pop(key))
 
 
-def _run(items: list[tuple], width: int) -> Iterator[tuple]:
-    """Items written to a nameless file in the task's own temporary folder, and read back block by block."""
-    file = tempfile.TemporaryFile()
-    file.write(np.array(items, np.int64).tobytes())
-    n = len(items)
+class DiskStack:
+    """Tuples that come back last in, first out; beyond HELD in memory, the older ones are on disk."""
 
-    def read() -> Iterator[tuple]:
-        with file:
-            for at in range(0, n, BLOCK):
-                file.seek(at * width * 8)
-                block = np.frombuffer(file.read(min(BLOCK, n - at) * width * 8), np.int64).reshape(-1, width)
-                yield from map(tuple, block.tolist())
+    def __init__(self, width: int, held: int = HELD) -> None:
+        self.width, self.held, self.items, self.file, self.sizes = width, held, [], None, []
 
-    return read()
+    def push(self, item: tuple) -> None:
+        self.items.append(item)
+        if len(self.items) > 2 * self.held:
+            self.file = self.file or tempfile.TemporaryFile()
+            self.file.write(np.array(self.items[: self.held], np.int64).tobytes())
+            self.sizes.append(self.held)
+            del self.items[: self.held]
+
+    def top(self) -> tuple | None:
+        if not self.items and self.sizes:
+            size = self.sizes.pop() * self.width * 8
+            self.file.seek(-size, 2)
+            self.items = list(map(tuple, np.frombuffer(self.file.read(size), np.int64).reshape(-1, self.width).tolist()))
+            self.file.seek(-size, 2)
+            self.file.truncate()
+        return self.items[-1] if self.items else None
+
+    def pop(self) -> tuple:
+        item = self.top()
+        self.items.pop()
+        return item
 
 
 class _Prefixes:
@@ -164,15 +211,15 @@ def induced_order(text: np.ndarray, deep: int, held: int = HELD) -> Iterator[tup
     chars, is_up = text.tolist(), up.tolist()
 
     # Forwards: every L suffix is met through the suffix that follows it in the text.
-    queue, seen, last, count = DiskQueue(4, held), _Prefixes(), {}, 0
-    lows = DiskQueue(3, held)  # L suffixes for the way back, greatest first
+    queue, seen, last = DiskQueue(2, held), _Prefixes(), {}
+    lows = DiskStack(2, held)  # L suffixes for the way back, greatest first
     place, before = 0, -1
     k = 0
     while k < len(seeds) or queue.least() is not None:
         top = queue.least()
-        if top is not None and (k == len(seeds) or top[0] <= chars[seeds[k]]):
-            c, _, i, common = queue.pop()
-            lows.push((-place, i, common))
+        if top is not None and (k == len(seeds) or top <= chars[seeds[k]]):
+            c, (i, common) = top, queue.pop()
+            lows.push((i, common))
         else:
             i = int(seeds[k])
             c = chars[i]
@@ -182,36 +229,36 @@ def induced_order(text: np.ndarray, deep: int, held: int = HELD) -> Iterator[tup
         if i and not is_up[i - 1]:
             d = chars[i - 1]
             shared = min(deep, 1 + seen.least_after(last[d])) if d in last else 0
-            queue.push((d, count, i - 1, shared))
-            count += 1
+            queue.push(d, (i - 1, shared))
             last[d] = place
         place, before = place + 1, i
 
     # Backwards: every S suffix is met through the one that follows it in the text.
-    queue, seen, last, count = DiskQueue(4, held), _Prefixes(), {}, 0
-    out = DiskQueue(3, held)
+    queue, seen, last = DiskQueue(2, held), _Prefixes(), {}
+    out = DiskStack(2, held)
     place, before, carried = 0, -1, 0
-    while lows.least() is not None or queue.least() is not None:
-        low, top = lows.least(), queue.least()
-        if top is not None and (low is None or -top[0] >= chars[low[1]]):
-            c, _, i, common = queue.pop()
+    while True:
+        low, top = lows.top(), queue.least()
+        if low is None and top is None:
+            break
+        if top is not None and (low is None or -top >= chars[low[0]]):
+            c, (i, common) = -top, queue.pop()
             following = 0
         else:
-            _, i, following = lows.pop()
+            i, following = lows.pop()
             c = chars[i]
             common = carried if before >= 0 and chars[before] == c and not is_up[before] else min(same[i], same[before], deep) if before >= 0 and chars[before] == c else 0
         carried = following
         seen.add(common)
-        out.push((-place, i, common))
+        out.push((i, common))
         if i and is_up[i - 1]:
             d = chars[i - 1]
             shared = min(deep, 1 + seen.least_after(last[d])) if d in last else 0
-            queue.push((-d, count, i - 1, shared))
-            count += 1
+            queue.push(-d, (i - 1, shared))
             last[d] = place
         place, before = place + 1, i
     yield n - 1, 0
-    while out.least() is not None:
-        _, i, common = out.pop()
+    while out.top() is not None:
+        i, common = out.pop()
         if i != n - 1:
             yield i, common

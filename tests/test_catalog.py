@@ -19,7 +19,7 @@ def duck():
 
 
 def plain(df):
-    show = lambda v: "null" if v is None or v is pd.NaT or v != v else f"{v:.9g}" if isinstance(v, float) else str(v)
+    show = lambda v: "null" if pd.api.types.is_scalar(v) and pd.isna(v) else f"{v:.9g}" if isinstance(v, float) else str(v)
     return sorted(tuple(show(v) for v in row) for row in df[sorted(df.columns)].astype(object).itertuples(index=False))
 
 

@@ -9,6 +9,7 @@ from __future__ import annotations
 
 import heapq
 import tempfile
+from array import array
 from bisect import bisect_right
 from collections import deque
 from collections.abc import Iterator
@@ -207,8 +208,10 @@ def induced_order(text: np.ndarray, deep: int, held: int = HELD) -> Iterator[tup
     seeds = _sorted_starts(text, up, starts, held) if len(starts) > 1 else starts
     near = np.concatenate(([0], _common(text, seeds[:-1], seeds[1:], deep)))
     ends = np.append(np.flatnonzero(text[1:] != text[:-1]), n - 1)
-    same = (ends[np.searchsorted(ends, np.arange(n))] - np.arange(n) + 1).tolist()
-    chars, is_up = text.tolist(), up.tolist()
+    runs = np.minimum(ends[np.searchsorted(ends, np.arange(n))] - np.arange(n) + 1, deep)
+    same = array("i", runs.astype(np.int32).tobytes())
+    del runs
+    chars, is_up = array("q", text.astype(np.int64).tobytes()), up.tobytes()
 
     # Forwards: every L suffix is met through the suffix that follows it in the text.
     queue, seen, last = DiskQueue(2, held), _Prefixes(), {}

@@ -8,6 +8,7 @@ and all. There, stretches are cut down to windows that a hash finds in other doc
 
 from __future__ import annotations
 
+from array import array
 from collections.abc import Iterator
 
 import numpy as np
@@ -18,7 +19,7 @@ from pyspark.sql import functions as F
 
 from .induced import induced_order
 from .shared import materialize
-from .textcore import SpanHashes, slices
+from .textcore import SLICE_BYTES, SpanHashes, distinct, slices
 
 SPAN, WIDTH = 50, 25
 BLOCK_BYTES = 1 << 19
@@ -93,18 +94,28 @@ def _dealt(keys: np.ndarray, parts: int) -> tuple[np.ndarray, np.ndarray, np.nda
     return order, part[firsts], np.append(firsts, len(part))
 
 
+def _leads(content: np.ndarray, doc: np.ndarray) -> np.ndarray:
+    """For each stretch of a block, which of those that are equal speaks for them: the first of the smallest document's."""
+    order = np.lexsort((doc, content))
+    heads = np.append(True, np.diff(content[order]) != 0)[: len(order)]
+    lead = np.empty(len(order), np.int64)
+    lead[order] = order[heads][np.cumsum(heads) - 1]
+    return lead
+
+
 def _announce(parts: int):
-    """For each block and part of anchors: six bytes of each stretch's anchor and content hash, and its document."""
+    """For each block and part of anchors: six bytes of the anchor and the content hash of each different stretch, and its smallest document."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for block, ids, offsets, data in _opened(batch):
                 starts, ends, row, anchors, hashes = stretches(data, offsets)
                 content = hashes(starts, ends)
-                order, names, firsts = _dealt(anchors, parts)
+                leads = distinct(_leads(content, ids[row]))
+                order, names, firsts = _dealt(anchors[leads], parts)
                 out = []
                 for a, b in zip(firsts[:-1], firsts[1:], strict=True):
-                    own = order[a:b]
+                    own = leads[order[a:b]]
                     new = np.diff(row[own], prepend=-1) != 0  # rows ascend within a block
                     out.append((_six(anchors[own] // np.uint64(parts)), _six(content[own]), np.diff(ids[row[own][new]], prepend=0).tobytes(), (np.cumsum(new) - 1).astype(np.uint16).tobytes()))
                 columns = [pa.array([block] * len(out), pa.int64()), pa.array(names, pa.int64()), *[pa.array([x[k] for x in out], pa.binary()) for k in range(4)]]
@@ -127,11 +138,18 @@ def _fates(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             sizes.append(len(anchors[-1]))
     if not blocks:
         return
-    anchor, content, doc = np.concatenate(anchors), np.concatenate(contents), np.concatenate(docs)
-    part = np.repeat(np.array(parts), sizes)
-    del anchors, contents, docs
+    anchor = np.concatenate(anchors)  # one column after the other, so that few are held twice at a time
+    del anchors
+    content = np.concatenate(contents)
+    del contents
+    doc = np.concatenate(docs)
+    del docs
+    part = np.repeat(np.array(parts, np.int32), sizes)
     order = np.lexsort((doc, content, anchor, part))
-    anchor, content, doc, part = anchor[order], content[order], doc[order], part[order]
+    anchor = anchor[order]
+    content = content[order]
+    doc = doc[order]
+    part = part[order]
     other = np.concatenate(([True], (anchor[1:] != anchor[:-1]) | (part[1:] != part[:-1])))
     fresh = other.copy()
     fresh[1:] |= content[1:] != content[:-1]
@@ -158,20 +176,27 @@ def _spread(parts: int):
         for batch in batches:
             for k, (block, ids, offsets, data) in enumerate(_opened(batch)):
                 told = {x["part"]: x for x in batch["told"][k].as_py() or ()}
-                starts, ends, row, anchors, _ = stretches(data, offsets)
-                order, names, firsts = _dealt(anchors, parts)
+                starts, ends, row, anchors, hashes = stretches(data, offsets)
+                doc = ids[row]
+                lead = _leads(hashes(starts, ends), doc)
+                leads = distinct(lead)
+                order, names, firsts = _dealt(anchors[leads], parts)
+                covered, is_open = np.zeros((2, len(starts)), bool)
+                for name, a, b in zip(names.tolist(), firsts[:-1], firsts[1:], strict=True):
+                    for flags, x in ((covered, "covered"), (is_open, "open")):
+                        flags[leads[order[a:b]]] = np.unpackbits(np.frombuffer(told[name][x], np.uint8), count=b - a)
+                covered = covered[lead] | (doc > doc[lead])
+                is_open = np.flatnonzero(is_open[lead] & (doc == doc[lead]))
                 cover, rows = np.zeros(len(data) + 1, np.int64), []
+                np.add.at(cover, starts[covered], 1)
+                np.add.at(cover, ends[covered], -1)
+                order, names, firsts = _dealt(anchors[is_open], parts)
                 for name, a, b in zip(names.tolist(), firsts[:-1], firsts[1:], strict=True):
-                    covered, is_open = (np.unpackbits(np.frombuffer(told[name][x], np.uint8), count=b - a).astype(bool) for x in ("covered", "open"))
-                    own = order[a:b]
-                    np.add.at(cover, starts[own[covered]], 1)
-                    np.add.at(cover, ends[own[covered]], -1)
-                    own = own[is_open]
-                    if len(own):
-                        sizes = ends[own] - starts[own]
-                        at = np.arange(sizes.sum()) + np.repeat(starts[own] - (np.cumsum(sizes) - sizes), sizes)
-                        meta = np.stack([anchors[own].view(np.int64), ids[row[own]], starts[own], sizes])
-                        rows.append((block, name, press.compress(meta.tobytes() + data[at].tobytes()), len(own)))
+                    own = is_open[order[a:b]]
+                    sizes = ends[own] - starts[own]
+                    at = np.arange(sizes.sum()) + np.repeat(starts[own] - (np.cumsum(sizes) - sizes), sizes)
+                    meta = np.stack([doc[own], starts[own], sizes])
+                    rows.append((block, name, press.compress(meta.tobytes() + data[at].tobytes()), len(own)))
                 rows.append((block, None, press.compress(np.packbits(np.cumsum(cover[:-1]) > 0).tobytes()), 0))
                 yield pa.RecordBatch.from_arrays([pa.array([x[0] for x in rows], pa.int64()), pa.array([x[1] for x in rows], pa.int64()), pa.array([x[2] for x in rows], pa.binary()), pa.array([x[3] for x in rows], pa.int64())], ["block", "shard", "payload", "n"])
 
@@ -187,13 +212,13 @@ def _settle(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         for x in batch.to_pylist():
             raw = unpress.decompress(x["payload"])
-            metas.append(np.frombuffer(raw, np.int64, 4 * x["n"]).reshape(4, -1))
-            texts.append(np.frombuffer(raw, np.uint8, offset=32 * x["n"]))
+            metas.append(np.frombuffer(raw, np.int64, 3 * x["n"]).reshape(3, -1))
+            texts.append(np.frombuffer(raw, np.uint8, offset=24 * x["n"]))
             blocks.append(np.full(x["n"], x["block"]))
     if not blocks:
         return
-    (anchor, doc, start, size), data, block = np.concatenate(metas, axis=1), np.concatenate(texts), np.concatenate(blocks)
-    del metas, texts
+    (doc, start, size), data, block = np.concatenate(metas, axis=1), np.concatenate(texts), np.concatenate(blocks)
+    del metas, texts, blocks
     first = np.cumsum(size) - size
     found = covered_windows(data, first, size, doc)
     of = np.searchsorted(first, found, side="right") - 1
@@ -207,12 +232,13 @@ def _settle(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 def covered_windows(data: np.ndarray, first: np.ndarray, size: np.ndarray, doc: np.ndarray) -> np.ndarray:
     """Where windows start in data, which is strings of given firsts, sizes and documents, that a smaller document's string has too."""
     room = size - SPAN + 1
-    at = np.arange(room.sum()) + np.repeat(first - (np.cumsum(room) - room), room)
-    of = np.repeat(np.arange(len(first)), room)
-    shared = _in_several(SpanHashes(data, fold=False)(at, at + SPAN), doc[of])  # others occur in one document only
-    at, of = at[shared], of[shared]
-    if not len(at):
-        return at
+    shared = np.flatnonzero(_in_several(_window_keys(data, first, size), np.repeat(doc, room)))  # others occur in one document only
+    if not len(shared):
+        return shared
+    past = np.cumsum(room)
+    of = np.searchsorted(past, shared, side="right")
+    at = first[of] + shared - (past - room)[of]
+    del shared
     fresh = np.flatnonzero(np.concatenate(([True], (np.diff(at) != 1) | (np.diff(of) != 0))))
     last = np.append(fresh[1:], len(at)) - 1
     low, high, owner = at[fresh], at[last] + SPAN, doc[of[fresh]]
@@ -225,10 +251,8 @@ def covered_windows(data: np.ndarray, first: np.ndarray, size: np.ndarray, doc:
     begins = np.cumsum(sizes) - sizes
     winner = np.repeat(least, sizes)  # of the window at each byte of the different strings
     whole = np.frombuffer(b"".join(pieces), np.uint8)
-    room = sizes - SPAN + 1
-    at = np.arange(room.sum()) + np.repeat(begins - (np.cumsum(room) - room), room)
-    of = np.repeat(np.arange(len(pieces)), room)
-    mixed = _in_several(SpanHashes(whole, fold=False)(at, at + SPAN), of)
+    of = np.repeat(np.arange(len(pieces)), sizes - SPAN + 1)
+    mixed = _in_several(_window_keys(whole, begins, sizes), of)
     _settle_sorted(pieces, begins, np.flatnonzero(np.bincount(of[mixed], minlength=len(pieces))), winner)  # others share no window
     runs = high - low - SPAN + 1
     inner = np.arange(runs.sum()) - np.repeat(np.cumsum(runs) - runs, runs)
@@ -236,6 +260,18 @@ def covered_windows(data: np.ndarray, first: np.ndarray, size: np.ndarray, doc:
     return (np.repeat(low, runs) + inner)[lost]
 
 
+def _window_keys(data: np.ndarray, first: np.ndarray, size: np.ndarray) -> np.ndarray:
+    """A hash of each window of strings that follow on each other in data, SLICE_BYTES of them at a time."""
+    out, low, past = [np.zeros(0, np.uint64)], 0, first + size
+    while low < len(first):
+        high = max(low + 1, int(np.searchsorted(past, first[low] + SLICE_BYTES, side="right")))
+        room = size[low:high] - SPAN + 1
+        at = np.arange(room.sum()) + np.repeat(first[low:high] - first[low] - (np.cumsum(room) - room), room)
+        out.append(SpanHashes(data[first[low] : past[high - 1]], fold=False)(at, at + SPAN))
+        low = high
+    return np.concatenate(out)
+
+
 def _in_several(keys: np.ndarray, owners: np.ndarray) -> np.ndarray:
     """Whether each key has more than one owner."""
     if not len(keys):
@@ -260,7 +296,7 @@ def _settle_sorted(pieces: list[bytes], begins: np.ndarray, chosen: np.ndarray,
     home = np.full(len(text), -1)
     for a, n, k in zip(at, sizes, chosen, strict=True):
         home[a : a + n - SPAN + 1] = begins[k] + np.arange(n - SPAN + 1)
-    home = home.tolist()
+    home = array("q", home.tobytes())  # compact, and as quick to index as a list
     group: list[int] = []
     for place, common in induced_order(text, SPAN):
         if home[place] >= 0:

@@ -6,6 +6,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -13,9 +14,8 @@ from .lm_score import token_hashes
 from .shared import crc_mod, materialize
 from .textcore import mix, slices
 
-#: Trusted texts that the model learns from: of at most so many rows, those whose ids hash lowest, as long as their bytes add up
-#: to so many at most. This bounds the model that is broadcast: fewer grams than bytes, at 12 bytes for each of three orders.
-TRUSTED_ROWS, TRUSTED_BYTES = 20_000, 5_000_000
+#: Terms of the most frequent grams that are broadcast at most; all others are joined.
+HEAD_GRAMS = 500_000
 #: A fifth of trusted texts isn't learnt from: their perplexities give the bounds.
 FOLDS = 5
 #: Shares of a language's trusted texts that lie below the lower and below the upper bound.
@@ -68,9 +68,14 @@ def _discounted(counts: DataFrame) -> tuple[Column, Column, Column]:
     return own, F.sum(own), F.sum("n")
 
 
+def _log(x: Column) -> Column:
+    return F.log(F.greatest(x, F.lit(1e-300)))
+
+
 def kneser_ney(texts: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """The model of some texts as two tables: (order, a, b, c, p), the probability of c after a b, after b, or by itself, and
-    (order, a, b, weight), what a context leaves to the next lower order. Order 0 has the probability of a word not met.
+    """The model of some texts as two tables: (order, a, b, c, p, n, gain), the probability of c after a b, after b, or by itself, and
+    (order, a, b, weight, total), what a context leaves to the next lower order. Order 0 has the probability of a word not met.
+    n is a gram's count, total its context's; gain is the natural log of p over what backing off would give.
 
     Trigrams are counted; lower orders count the different words before a gram (or, after a start, the gram itself). Counts are
     sharded by their grams, and joined with their contexts and with the next lower order.
@@ -84,19 +89,25 @@ def kneser_ney(texts: DataFrame) -> tuple[DataFrame, DataFrame]:
     whole = one.agg(given.alias("given"), total.alias("total"), F.count(F.lit(1)).alias("kinds")).first()
     total, lost, kinds = whole["total"] or 1, 1.0 if whole["total"] is None else whole["given"] / whole["total"], whole["kinds"]
     unknown = lost / (kinds + 1)
-    p1 = one.select("c", ((F.col("n") - own) / total + unknown).alias("p"))
+    p1 = one.select("c", "n", ((F.col("n") - own) / total + unknown).alias("p"))
     own, given, total = _discounted(two)
     w2 = two.groupBy("b").agg((given / total).alias("weight"), total.alias("total"))
-    p2 = two.join(w2, "b").join(p1, "c").select("b", "c", ((F.col("n") - own) / F.col("total") + F.col("weight") * F.col("p")).alias("p"))
+    left = F.col("weight") * F.col("below")
+    mixed = (F.col("n") - own) / F.col("total") + left
+    gain = _log(mixed) - _log(F.col("weight")) - _log(F.col("below"))  # as terms are added, also where a weight is 0
+    p2 = two.join(w2, "b").join(p1.select("c", F.col("p").alias("below")), "c").select("b", "c", "n", mixed.alias("p"), gain.alias("gain"))
     p2 = materialize(p2)
     own, given, total = _discounted(three)
     w3 = three.groupBy("a", "b").agg((given / total).alias("weight"), total.alias("total"))
-    p3 = three.join(w3, ["a", "b"]).join(p2, ["b", "c"]).select("a", "b", "c", ((F.col("n") - own) / F.col("total") + F.col("weight") * F.col("p")).alias("p"))
+    mixed = (F.col("n") - own) / F.col("total") + left
+    gain = _log(mixed) - _log(F.col("weight")) - _log(F.col("below"))
+    p3 = three.join(w3, ["a", "b"]).join(p2.select("b", "c", F.col("p").alias("below")), ["b", "c"]).select("a", "b", "c", "n", mixed.alias("p"), gain.alias("gain"))
     none = F.lit(None).cast("long")
     spark = texts.sparkSession
-    p0 = spark.range(1).select(F.lit(0).alias("order"), none.alias("a"), none.alias("b"), none.alias("c"), F.lit(unknown).alias("p"))
-    p = p0.union(p1.select(F.lit(1), none, none, "c", "p")).union(p2.select(F.lit(2), none, "b", "c", "p")).union(p3.select(F.lit(3), "a", "b", "c", "p"))
-    weights = w2.select(F.lit(2).alias("order"), none.alias("a"), "b", "weight").union(w3.select(F.lit(3), "a", "b", "weight"))
+    p0 = spark.range(1).select(F.lit(0).alias("order"), none.alias("a"), none.alias("b"), none.alias("c"), F.lit(unknown).alias("p"), F.lit(0).cast("long").alias("n"), F.lit(0.0).alias("gain"))
+    p1 = p1.select(F.lit(1), none, none, "c", "p", "n", _log(F.col("p")) - _log(F.lit(unknown)))
+    p = p0.union(p1).union(p2.select(F.lit(2), none, "b", "c", "p", "n", "gain")).union(p3.select(F.lit(3), "a", "b", "c", "p", "n", "gain"))
+    weights = w2.select(F.lit(2).alias("order"), none.alias("a"), "b", "weight", "total").union(w3.select(F.lit(3), "a", "b", "weight", "total"))
     return p, weights
 
 
@@ -144,20 +155,106 @@ class Tables:
         return np.add.reduceat(out, firsts[:-1]) if len(firsts) > 1 else np.zeros(0), np.diff(firsts)
 
 
-def _sample(docs: DataFrame, trusted: DataFrame) -> DataFrame:
-    """Texts of TRUSTED_ROWS trusted rows at most, and of TRUSTED_BYTES together at most."""
-    chosen = trusted.where(crc_mod(F.col("doc_id"), FOLDS) != 0).orderBy(F.xxhash64("doc_id"), "doc_id").limit(TRUSTED_ROWS)
-    sized = docs.join(F.broadcast(chosen), "doc_id").groupBy("doc_id").agg(F.sum(F.coalesce(F.octet_length("text"), F.lit(0))).alias("bytes"), F.xxhash64("doc_id").alias("rank"))
-    rows = sized.orderBy("rank", "doc_id").toPandas()  # TRUSTED_ROWS rows at most
-    ids = rows["doc_id"][rows["bytes"].cumsum() <= TRUSTED_BYTES].tolist()
-    few = docs.sparkSession.createDataFrame([(i,) for i in ids], "doc_id long")
-    return docs.join(F.broadcast(few), "doc_id").select("text")
+def _keyed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        size = batch["size"].to_numpy()
+        keys = np.zeros(len(size), np.uint64)
+        for k in (1, 2, 3):
+            at = np.flatnonzero(size == k)
+            keys[at] = _key(*[batch[x].to_numpy(zero_copy_only=False)[at].view(np.uint64) for x in "xyz"[:k]])
+        yield pa.RecordBatch.from_arrays([pa.array(keys.view(np.int64)), batch["term"], batch["n"]], ["key", "term", "n"])
+
+
+def log_terms(p: DataFrame, weights: DataFrame) -> DataFrame:
+    """(key, term, n): a text's log-likelihood is the sum of the terms of all its words, pairs and triplets, the starts before it
+    among them, and for each token the log of a word not met.
+
+    Backing off multiplies the weights of contexts, so that a gram's term is the log of what it gains over backing off, and of
+    its own weight as a context; a gram that isn't in the model has none.
+    """
+    schema = "key long, term double, n long"
+    none = F.lit(0).cast("long")
+
+    def keyed(rows: DataFrame, order: int, size: int, term: Column, n: str) -> DataFrame:
+        own = ("c", "bc", "abc")[size - 1] if n == "n" else ("b", "ab")[size - 1]
+        columns = [*own, *[none] * (3 - size)]
+        return rows.where(F.col("order") == order).select(F.lit(size).alias("size"), *[(F.col(c) if isinstance(c, str) else c).alias(x) for c, x in zip(columns, "xyz", strict=True)], term.alias("term"), F.col(n).cast("long").alias("n"))
+
+    gain, weight = F.col("gain"), _log(F.col("weight"))
+    lower = keyed(p, 1, 1, gain, "n").union(keyed(p, 2, 2, gain, "n")).union(keyed(weights, 2, 1, weight, "total")).union(keyed(weights, 3, 2, weight, "total"))
+    lower = lower.mapInArrow(_keyed, schema).groupBy("key").agg(F.sum("term").alias("term"), F.sum("n").alias("n"))
+    return lower.union(keyed(p, 3, 3, gain, "n").mapInArrow(_keyed, schema))
+
+
+def _head(terms: DataFrame) -> tuple[tuple[np.ndarray, np.ndarray], int]:
+    """Keys and terms of the most frequent grams, HEAD_GRAMS at most, and the least count among them."""
+    steps = terms.groupBy(F.least("n", F.lit(100_000)).alias("n")).agg(F.count(F.lit(1)).alias("grams")).collect()  # 100,000 rows at most
+    held, least = 0, 1 << 62
+    for n, grams in sorted(((r["n"], r["grams"]) for r in steps), reverse=True):
+        held += grams
+        if held > HEAD_GRAMS:
+            break
+        least = n
+    head = terms.where(F.col("n") >= least).select("key", "term").toArrow()
+    keys = head["key"].to_numpy().view(np.uint64)
+    rank = np.argsort(keys)
+    return (keys[rank], head["term"].to_numpy()[rank]), least
+
+
+def _scorer(head, unknown: float):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        words, terms = head.value
+        task, nth = TaskContext.get().partitionId(), 0
+        for batch in batches:
+            for low, high, data, offsets in slices(batch["text"]):
+                a, b, c, firsts = _contexts(data, offsets)
+                n, sizes = high - low, np.diff(firsts)
+                start = np.full(n, START, np.uint64)
+                keys = np.concatenate((_key(c), _key(b, c), _key(a, b, c), _key(start), _key(start, start)))
+                row = np.concatenate((np.tile(np.repeat(np.arange(n), sizes), 3), np.tile(np.arange(n), 2)))
+                logs = sizes * unknown
+                if len(words):
+                    at = np.minimum(np.searchsorted(words, keys), len(words) - 1)
+                    here = words[at] == keys
+                    logs = logs + np.bincount(row[here], weights=terms[at[here]], minlength=n)
+                    keys, row = keys[~here], row[~here]
+                order = np.lexsort((keys, row))
+                keys, row = keys[order], row[order]
+                new = np.flatnonzero(np.concatenate(([True], (keys[1:] != keys[:-1]) | (row[1:] != row[:-1])))) if len(keys) else np.zeros(0, np.int64)
+                stops = pa.array(np.searchsorted(row[new], np.arange(n + 1)), pa.int32())
+                times = pa.array(np.diff(np.append(new, len(keys))), pa.int32())
+                columns = [
+                    pa.array((np.int64(task) << np.int64(33)) + nth + np.arange(n)), batch["doc_id"][low:high], batch["lang"][low:high], pa.array(sizes), pa.array(logs),
+                    pa.ListArray.from_arrays(stops, pa.array(keys[new].view(np.int64))), pa.ListArray.from_arrays(stops, times),
+                ]
+                nth += n
+                yield pa.RecordBatch.from_arrays(columns, ["row", "doc_id", "lang", "n_tokens", "logs", "rare", "times"])
+
+    return run
+
+
+def perplexities(docs: DataFrame, learn: DataFrame) -> DataFrame:
+    """doc_id, lang, n_tokens, perplexity of each row of docs under the model of all the texts of learn.
+
+    Terms of frequent grams are broadcast. A text's other grams, each once with its number, are joined with the terms of the rest.
+    """
+    p, weights = kneser_ney(learn)
+    unknown = p.where("order = 0").first()["p"]
+    terms = materialize(log_terms(p, weights))
+    head, least = _head(terms)
+    schema = "row long, doc_id long, lang string, n_tokens long, logs double, rare array<long>, times array<int>"
+    passed = materialize(docs.mapInArrow(_scorer(docs.sparkSession.sparkContext.broadcast(head), float(np.log(unknown))), schema))
+    rare = passed.select("row", F.explode(F.arrays_zip("rare", "times")).alias("x")).select("row", F.col("x.rare").alias("key"), F.col("x.times").alias("times"))
+    met = rare.join(terms.where(F.col("n") < least).select("key", "term"), "key").groupBy("row").agg(F.sum(F.col("times") * F.col("term")).alias("more"))
+    done = passed.drop("rare", "times").join(met, "row", "left")
+    logs = F.col("logs") + F.coalesce("more", F.lit(0.0))
+    return done.select("doc_id", "lang", "n_tokens", F.exp(F.least(-logs / F.col("n_tokens"), F.lit(700.0))).alias("perplexity"))
 
 
 def judge_quality(docs: DataFrame, labels: DataFrame, low: float = LOW, high: float = HIGH) -> DataFrame:
     """doc_id, lang, n_tokens, perplexity, low_bound, high_bound, keep for each row of docs.
 
-    The model learns from texts labelled of good quality (a bounded sample, see TRUSTED_ROWS); perplexity is that of each whole
+    The model learns from all texts labelled of good quality that aren't held out; perplexity is that of each whole
     text, its end included. A text is kept if its perplexity is between its language's bounds: the low and high quantiles of
     trusted texts that were not learnt from. Below lie texts that repeat themselves, above those of strange words. A language
     of fewer such texts than LEAST_TRUSTED has the bounds of all; without any, all is kept. A doc_id labelled more than once is trusted if all
@@ -165,18 +262,8 @@ def judge_quality(docs: DataFrame, labels: DataFrame, low: float = LOW, high: fl
     """
     docs = docs.select("doc_id", "lang", "text")
     trusted = labels.where("doc_id IS NOT NULL AND quality IS NOT NULL").groupBy("doc_id").agg(F.min("quality").alias("q")).where("q = 1").select("doc_id")
-    p, weights = kneser_ney(_sample(docs, trusted))
-    tables = docs.sparkSession.sparkContext.broadcast(Tables(p.toArrow(), weights.toArrow()))  # as bounded as the sample
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        model = tables.value
-        for batch in batches:
-            parts = [model.log_likelihood(data, offsets) for _, _, data, offsets in slices(batch["text"])]
-            if parts:
-                logs, n = (np.concatenate(x) for x in zip(*parts, strict=True))
-                yield pa.RecordBatch.from_arrays([batch["doc_id"], batch["lang"], pa.array(n), pa.array(np.exp(np.minimum(-logs / n, 700)))], ["doc_id", "lang", "n_tokens", "perplexity"])
-
-    scored = materialize(docs.mapInArrow(run, "doc_id long, lang string, n_tokens long, perplexity double"))
+    learn = docs.where(crc_mod(F.col("doc_id"), FOLDS) != 0).join(trusted, "doc_id", "left_semi").select("text")
+    scored = materialize(perplexities(docs, learn))
     held = scored.where(crc_mod(F.col("doc_id"), FOLDS) == 0).join(trusted, "doc_id", "left_semi")
     ends = F.percentile_approx("perplexity", [low, high], 10_000)
     by_lang = held.groupBy(F.coalesce("lang", F.lit("")).alias("of")).agg(F.when(F.count(F.lit(1)) >= LEAST_TRUSTED, ends).alias("own"))

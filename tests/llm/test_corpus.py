@@ -409,6 +409,22 @@ def test_quality_keeps_good_texts(spark):
     assert odd.where("keep").count() == len(ODD) and kneser_ney.judge_quality(texts(spark, ODD).limit(0), no_labels).count() == 0
 
 
+@pytest.mark.parametrize("head", [500_000, 20])
+def test_quality_learns_from_all_trusted_texts(spark, monkeypatch, head):
+    monkeypatch.setattr(kneser_ney, "HEAD_GRAMS", head)
+    rng = random.Random(3)
+    rows = [(k, " ".join(rng.choice("abcdefghij") for _ in range(rng.randrange(40)))) for k in range(60)] + [(k, f"long{k} " * 800_000) for k in (61, 62)]
+    docs, labels = texts(spark, rows), spark.createDataFrame([(k, 1, 0) for k, _ in rows], "doc_id long, quality int, toxic int")
+    got = {r.doc_id: (r.n_tokens, r.perplexity) for r in kneser_ney.judge_quality(docs, labels).collect()}
+    learn = [(t,) for k, t in rows if zlib.crc32(str(k).encode()) % 5]
+    assert 0 < sum(len(t) > 5_000_000 for (t,) in learn)
+    model = kneser_ney.Tables(*(x.toArrow() for x in kneser_ney.kneser_ney(spark.createDataFrame(learn, "text string"))))
+    logs, n = model.log_likelihood(*textcore.column_bytes(pa.array([t for _, t in rows])))
+    for (k, _), x, size in zip(rows, logs, n, strict=True):
+        assert got[k][0] == size and abs(math.log(got[k][1]) + x / size) < 1e-4
+    assert got[2][1] > 1
+
+
 # 9
 
 

@@ -170,16 +170,18 @@ def train(model: Model, texts: list[np.ndarray], lanes: int = 128) -> int:
         own = [texts[k] for k in order[at : at + lanes] if len(texts[k])]
         if not own:
             continue
-        size = max(len(x) for x in own)
-        ids, mask = np.full((size + 1, len(own)), start, np.int64), np.zeros((size, len(own)), bool)
-        for j, x in enumerate(own):
-            ids[1 : len(x) + 1, j] = x
-            mask[: len(x), j] = True
-        total += int(mask.sum())
-        h = np.zeros((len(own), WIDTH), np.float32)
-        for low in range(0, size, STEPS):
-            high = min(low + STEPS, size)
-            h = model.learn(ids[low:high], ids[low + 1 : high + 1], mask[low:high], h)
+        sizes = np.array([len(x) for x in own])
+        total += int(sizes.sum())
+        h, last = np.zeros((len(own), WIDTH), np.float32), np.full(len(own), start)
+        for low in range(0, int(sizes[0]), STEPS):
+            live, steps = int((sizes > low).sum()), min(STEPS, int(sizes[0]) - low)
+            ids, mask = np.full((steps + 1, live), start, np.int64), np.zeros((steps, live), bool)
+            ids[0] = last[:live]
+            for j in range(live):
+                part = own[j][low : low + steps]
+                ids[1 : len(part) + 1, j] = part
+                mask[: len(part), j] = True
+            h, last = model.learn(ids[:-1], ids[1:], mask, h[:live]), ids[-1]
     return total
 
 

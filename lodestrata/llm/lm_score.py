@@ -12,14 +12,14 @@ from pyspark.sql import functions as F
 
 from . import gru
 from .shared import crc_mod, materialize
-from .textcore import NOT_SPACE, mix, slices, span_hashes, token_bounds
+from .textcore import NOT_SPACE, slices, span_hashes, token_bounds
 
 FOLDS = 10
 #: Words with an output of their own in the network; words whose counts are broadcast. Both bound what tasks hold; the counts
 #: of all other words are joined in.
 NETWORK_WORDS, HEAD_WORDS = 2048, 200_000
-#: Tokens of a training text that one round learns from, at a place that hangs on the text and the round; rounds of averaging.
-SPAN, ROUNDS = 32, 2
+#: Rounds of averaging; each learns from every token of all training texts.
+ROUNDS = 2
 #: Replicas of the network that are averaged in one group.
 FAN = 32
 END = np.uint64(0x51ED270B8F1D6A35)
@@ -85,7 +85,7 @@ def _lexicon(counts: DataFrame) -> tuple[Lexicon, int]:
     return Lexicon(head["word"].to_numpy(np.int64).view(np.uint64), head["n"].to_numpy(np.int64), sums["total"], sums["kinds"])
 
 
-def _train_round(lexicon, weights, turn: int):
+def _train_round(lexicon, weights):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         known = lexicon.value
         model = known.model()
@@ -93,15 +93,12 @@ def _train_round(lexicon, weights, turn: int):
             model.unpack(weights.value)
         seen = 0
         for batch in batches:
-            spans = []
+            texts = []
             for _, _, data, offsets in slices(batch["text"]):
                 hashes, firsts = token_hashes(data, offsets)
-                ids, _ = known.look_up(hashes)
-                for a, b in zip(firsts[:-1], firsts[1:], strict=True):
-                    room = max(int(b - a) - SPAN, 0) + 1
-                    at = int(mix(hashes[a : a + 1] * np.uint64(2 * turn + 3) + np.uint64(b - a))[0] % np.uint64(room))
-                    spans.append(ids[a + at : min(a + at + SPAN, b)])
-            seen += gru.train(model, spans)
+                ids = known.look_up(hashes)[0].astype(np.int32)
+                texts.extend(ids[a:b] for a, b in zip(firsts[:-1], firsts[1:], strict=True))
+            seen += gru.train(model, texts)
         if seen:
             row = [pa.array([TaskContext.get().partitionId()], pa.int64()), pa.array([float(seen)]), pa.array([model.pack().tobytes()], pa.binary())]
             yield pa.RecordBatch.from_arrays(row, ["replica", "seen", "weights"])
@@ -117,12 +114,12 @@ def _average(table):
 
 
 def _trained(texts: DataFrame, lexicon) -> np.ndarray:
-    """Weights after ROUNDS rounds: in each, every partition learns from all its training texts on a replica of the last round's
+    """Weights after ROUNDS rounds: in each, every partition learns from every token of its training texts on a replica of the last round's
     mean, and the replicas are averaged, FAN at a time, until FAN at most reach the driver."""
     spark, weights = texts.sparkSession, None
     schema = "replica long, seen double, weights binary"
-    for turn in range(ROUNDS):
-        replicas = texts.mapInArrow(_train_round(lexicon, None if weights is None else spark.sparkContext.broadcast(weights), turn), schema)
+    for _ in range(ROUNDS):
+        replicas = texts.mapInArrow(_train_round(lexicon, None if weights is None else spark.sparkContext.broadcast(weights)), schema)
         n = texts.rdd.getNumPartitions()
         while n > FAN:
             replicas = replicas.groupBy(F.floor(F.col("replica") / FAN)).applyInArrow(_average, schema)

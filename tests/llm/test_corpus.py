@@ -343,6 +343,33 @@ def test_scores_and_counts(spark, monkeypatch, head):
     assert lm_score.score_texts(texts(spark, ODD).limit(0)).count() == 0
 
 
+def test_language_model_learns_from_every_token(spark):
+    rows = [("a b c " * 700,), ("d",), ("",), ("e f " * 50,)]
+    words = {w for (t,) in rows for w in t.split()}
+    hashes = np.unique(np.concatenate([lm_score.token_hashes(*textcore.column_bytes(pa.array([w])))[0] for w in words]))
+    lexicon = spark.sparkContext.broadcast(lm_score.Lexicon(hashes, np.ones(len(hashes), np.int64), len(hashes), len(hashes)))
+    learn = spark.createDataFrame(rows, "text string")
+    seen = learn.mapInArrow(lm_score._train_round(lexicon, None), "replica long, seen double, weights binary").agg(F.sum("seen")).first()[0]
+    assert seen == sum(len(t.split()) + 1 for (t,) in rows)
+
+
+def test_training_carries_states_through_texts_of_any_length():
+    rng = np.random.default_rng(1)
+    texts_ = [rng.integers(0, 5, n) for n in (100, 37, 16, 1, 0)]
+    make = lambda: gru.Model(np.array([0, 2]), np.array([5.0, 4, 3, 2, 1]), 3.0)
+    got, want = make(), make()
+    assert gru.train(got, texts_) == 154
+    size, own = 100, texts_[:4]
+    ids, mask = np.full((size + 1, 4), want.n + gru.SPARE, np.int64), np.zeros((size, 4), bool)
+    for j, x in enumerate(own):
+        ids[1 : len(x) + 1, j], mask[: len(x), j] = x, True
+    h = np.zeros((4, gru.WIDTH), np.float32)
+    for low in range(0, size, gru.STEPS):
+        high = min(low + gru.STEPS, size)
+        h = want.learn(ids[low:high], ids[low + 1 : high + 1], mask[low:high], h)
+    assert np.allclose(got.pack(), want.pack(), atol=1e-4)
+
+
 # 7
 
 

@@ -16,8 +16,9 @@ from .textcore import slices
 
 KINDS = ("email", "ip", "card", "phone", "secret")
 BASE_KINDS = KINDS[:4]
-#: Words of an entity at most; plain words between two that hold a digit or an at sign which still are looked at together.
-LONGEST, GAP = 4, 1
+#: Words of an entity at most, as many as the longest number in groups has; plain words between two with a trigger which still are
+#: looked at together.
+LONGEST, GAP = 6, 1
 FEATURES = 1 << 13
 
 _RUN = re.compile(r"[A-Za-z0-9._%+@-]+")
@@ -26,7 +27,8 @@ _IP = re.compile(r"(?<![0-9])[0-9]+(?:\.[0-9]+){3}")
 _CARD = re.compile(r"[0-9](?:[\x20-]?[0-9])+")
 _PHONE = re.compile(r"\+[0-9][\x20().0-9-]+[0-9]")
 _WORD = re.compile(r"\S+")
-_TRIGGER = re.compile(r"[0-9@]")
+#: What any entity holds: a digit, an at sign, what parts a key from its value, or how a key begins.
+_TRIGGER = re.compile(r"[0-9@=:]|AKIA|sk-|ghp_")
 _NOT_DIGIT = re.compile(r"[^0-9]")
 
 
@@ -83,6 +85,9 @@ def segment_features(text: str, words: list[tuple[int, int]], i: int, j: int) ->
     ]
     if "=" in s or ":" in s:
         found.append("key" + re.split("[=:]", s, maxsplit=1)[0].lower()[-10:])
+        found.append("known" + str(found[-1][3:] in ("password", "token", "secret", "api_key", "passwd", "pwd")))
+    if digits and not letters:
+        found.append("groups" + "-".join(str(len(x)) for x in re.findall("[0-9]+", s)))
     if 12 <= digits <= 19:
         found.append(f"luhn{luhn(_NOT_DIGIT.sub('', s))}")
     if s.count(".") == 3:
@@ -93,7 +98,7 @@ def segment_features(text: str, words: list[tuple[int, int]], i: int, j: int) ->
 def bar(s: str) -> np.ndarray:
     """0 for each kind that a stretch could be by what it holds at all, a very low score for the others."""
     digits = sum(c.isdigit() for c in s)
-    could = ("@" in s, s.count(".") >= 3 and digits >= 4, digits >= 12, digits >= 7, len(s) >= 10 and digits >= 2)
+    could = ("@" in s, s.count(".") >= 3 and digits >= 4, digits >= 12, digits >= 7, any(c.isalpha() for c in s))
     return np.where(could, 0.0, -1e6)
 
 
@@ -172,6 +177,7 @@ def _example(rng: random.Random) -> tuple[str, list[tuple[int, int, str]]]:
     d = lambda n: "".join(rng.choices("0123456789", k=n))
     h = lambda n: "".join(rng.choices("0123456789abcdef", k=n))
     word = lambda: "".join(rng.choices("abcdefghiklmnoprstu", k=rng.randint(2, 9)))
+    key = lambda: rng.choice(("password", "token", "secret", "api_key", "passwd", "pwd"))
 
     def card() -> str:
         base = rng.choice("3456") + d(rng.choice((13, 14, 14, 14)))
@@ -186,9 +192,9 @@ def _example(rng: random.Random) -> tuple[str, list[tuple[int, int, str]]]:
         "email": lambda: f"{word()}{rng.choice(('.', '_', ''))}{word()}{rng.choice(('', d(2)))}@{word()}{rng.choice(('', d(1)))}.{rng.choice(('com', 'org', 'example.com', 'de'))}",
         "ip": lambda: ".".join(str(rng.randint(0, 255)) for _ in range(4)),
         "card": card,
-        "phone": lambda: rng.choice((f"+1 ({d(3)}) {d(3)}-{d(4)}", f"+{d(2)} {d(3)} {d(3)} {d(4)}", f"({d(3)}) {d(3)}-{d(4)}", f"{d(3)}-{d(3)}-{d(4)}", f"{d(3)}.{d(3)}.{d(4)}")),
-        "secret": lambda: rng.choice((f"password={h(rng.randint(8, 24))}", f"AKIA{''.join(rng.choices('ABCDEFGHIJKLMNOPQRSTUVWXYZ0123456789', k=16))}", f"{rng.choice(('token', 'secret', 'api_key', 'passwd', 'pwd'))}={h(rng.randint(10, 40))}", f"sk-{h(32)}", f"ghp_{h(36)}")),
-        "": lambda: rng.choice((d(rng.randint(1, 8)), f"{d(1)}.{d(2)}", f"{d(1)}.{d(1)}", f"20{d(2)}-0{rng.randint(1, 9)}-1{d(1)}", f"{d(2)}:{d(2)}", f"v{d(1)}.{d(1)}.{d(1)}", f"{d(3)},{d(3)}", word() + d(2), f"{word()}={d(2)}", "@" + word(), f"{d(2)}%", f"${d(3)}", f"{h(6)}", d(13), decoy(), decoy())),
+        "phone": lambda: rng.choice((f"+1 ({d(3)}) {d(3)}-{d(4)}", f"+{d(2)} {d(3)} {d(3)} {d(4)}", f"({d(3)}) {d(3)}-{d(4)}", f"{d(3)}-{d(3)}-{d(4)}", f"{d(3)}.{d(3)}.{d(4)}", *[f"0{d(1)} {d(2)} {d(2)} {d(2)} {d(2)}"] * 5)),
+        "secret": lambda: rng.choice((f"password={h(rng.randint(8, 24))}", f"AKIA{''.join(rng.choices('ABCDEFGHIJKLMNOPQRSTUVWXYZ0123456789', k=16))}", f"{rng.choice(('token', 'secret', 'api_key', 'passwd', 'pwd'))}={h(rng.randint(10, 40))}", f"sk-{h(32)}", f"ghp_{h(36)}", *[f"{key()}={word()}{word()}", f"{key()}={word()}{word()}{word()}"] * 3, f"{key()}={word()}{d(1)}", f"AKIA{''.join(rng.choices('ABCDEFGHIJKLMNOPQRSTUVWXYZ', k=16))}")),
+        "": lambda: rng.choice((d(rng.randint(1, 8)), f"{d(1)}.{d(2)}", f"{d(1)}.{d(1)}", f"20{d(2)}-0{rng.randint(1, 9)}-1{d(1)}", f"{d(2)}:{d(2)}", f"v{d(1)}.{d(1)}.{d(1)}", f"{d(3)},{d(3)}", word() + d(2), f"{word()}={d(2)}", "@" + word(), f"{d(2)}%", f"${d(3)}", f"{h(6)}", d(13), decoy(), decoy(), f"{word()}={word()}", f"{word()}={word()}{word()}", f"{word()}:", f"{word()}:{word()}", word() + word())),
     }
     words, gold = [], []
     for _ in range(rng.randint(2, 5)):
@@ -203,7 +209,7 @@ def _example(rng: random.Random) -> tuple[str, list[tuple[int, int, str]]]:
     return " ".join(words), gold
 
 
-def train(examples: int = 500, epochs: int = 5, seed: int = 11) -> SemiMarkov:
+def train(examples: int = 700, epochs: int = 5, seed: int = 11) -> SemiMarkov:
     """A model fitted to made-up lines; it needs no texts, so it is the same for every corpus."""
     rng, model, made = random.Random(seed), SemiMarkov(), []
     for _ in range(examples):
@@ -218,8 +224,8 @@ def train(examples: int = 500, epochs: int = 5, seed: int = 11) -> SemiMarkov:
 
 
 def added_spans(text: str, base: list[tuple[int, str, int]], model: SemiMarkov) -> list[tuple[int, str, int]]:
-    """Entities of the best segmentations that don't overlap a base span. Only stretches with a digit or an at sign outside base
-    spans are segmented; words elsewhere can't be part of an entity, so they are outside in any best segmentation."""
+    """Entities of the best segmentations that don't overlap a base span. Only stretches with a trigger outside base spans
+    are segmented; words elsewhere can't be part of an entity, so they are outside in any best segmentation."""
     taken, at = [], 0
     for start, _, end in sorted(base):
         taken.append((start, end))
@@ -257,13 +263,11 @@ def _find(model):
         for batch in batches:
             found: list[list[dict]] = []
             texts = batch["text"]
-            for low, high, data, offsets in slices(texts):
-                signs = np.flatnonzero(((data >= 0x30) & (data <= 0x39)) | (data == 0x40))
-                some = np.diff(np.searchsorted(signs, offsets)) > 0
+            for low, high, _, _ in slices(texts):
                 for k in range(low, high):
                     spans = []
-                    if some[k - low]:
-                        text = texts[k].as_py()
+                    text = texts[k].as_py() or ""
+                    if _TRIGGER.search(text):
                         base = base_spans(text)
                         extra = added_spans(text, base, crf)
                         order = lambda x: (x[0], KINDS.index(x[1]), x[2])

@@ -8,31 +8,47 @@ from pyspark.sql import functions as F
 from .shared import materialize
 
 
-def _mark(docs: DataFrame, window: int) -> DataFrame:
-    """docs with lines and, where a later occurrence covers any, left: the places of those that stay."""
-    lines = F.split(F.coalesce("text", F.lit("")), "\n", -1)
-    base = docs.withColumns({"_text_key": F.xxhash64("text"), "_lines": lines})
-    last = F.size("_lines") - window
-    parts = lambda i, order: [F.get("_lines", i + k) for k in order]
+def _lines(text: Column) -> Column:
+    return F.split(F.coalesce(text, F.lit("")), "\n", -1)
+
+
+def _covers(docs: DataFrame, window: int) -> DataFrame:
+    """of_doc, of_key, starts: where later occurrences of repeated windows start, for each (doc_id, text) of docs that has any.
+
+    Only hashes and places are shuffled; lines are split where the texts are read."""
+    lines = F.when(F.col("text").isNull(), F.array().cast("array<string>")).otherwise(_lines(F.col("text")))
+    base = docs.select("doc_id", F.xxhash64("text").alias("text_key"), lines.alias("lines"))
+    last = F.size("lines") - window
+    parts = lambda i, order: [F.get("lines", i + k) for k in order]
     keys = F.transform(
         F.when(last >= 0, F.sequence(F.lit(0), last)).otherwise(F.array().cast("array<int>")),
         lambda i: F.struct(F.xxhash64(*parts(i, range(window))).alias("a"), F.xxhash64(F.lit(window), *parts(i, reversed(range(window)))).alias("b")),
     )
-    windows = base.select("doc_id", "_text_key", F.posexplode(keys).alias("line", "key")).select("doc_id", "_text_key", "line", "key.a", "key.b")
+    windows = base.select("doc_id", "text_key", F.posexplode(keys).alias("line", "key")).select("doc_id", "text_key", "line", "key.a", "key.b")
     place = F.struct("doc_id", "line")
     repeated = windows.groupBy("a", "b").agg(F.min(place).alias("first"), F.count(F.lit(1)).alias("times")).where("times > 1")
     repeated = materialize(repeated.select("a", "b", "first"))  # as a table, its hot keys can be split in the join below
     covers = windows.join(repeated, ["a", "b"]).where(place > F.col("first"))
-    covers = covers.groupBy("doc_id", "_text_key").agg(F.collect_set("line").alias("_starts"))
-    covers = covers.withColumnsRenamed({"doc_id": "_of_doc", "_text_key": "_of_key"})
-    joined = base.join(covers, F.col("doc_id").eqNullSafe(F.col("_of_doc")) & (F.col("_text_key") == F.col("_of_key")), "left")
-    covered = F.flatten(F.transform("_starts", lambda s: F.sequence(s, s + (window - 1))))
-    left = F.array_except(F.sequence(F.lit(0), F.size("_lines") - 1), covered)
-    return joined.withColumn("_left", left).drop("_of_doc", "_of_key", "_starts", "_text_key")
+    return covers.groupBy(F.col("doc_id").alias("of_doc"), F.col("text_key").alias("of_key")).agg(F.collect_set("line").alias("starts"))
 
 
-def _kept() -> Column:
-    return F.when(F.col("_left").isNull(), F.col("text")).otherwise(F.array_join(F.transform("_left", lambda i: F.get("_lines", i)), "\n"))
+def _cut(docs: DataFrame, window: int) -> DataFrame:
+    """row (doc_id, text and whatever else docs has, as a struct, so that no name can clash), n_lines, n_removed, kept.
+
+    Places are joined to the rows before lines are split again, so that texts move once and alone; the places are the side that is
+    looked up, so that no text is sorted."""
+    rows = docs.select(F.struct("*").alias("row"))
+    id_, text = F.col("row.doc_id"), F.col("row.text")
+    covers = _covers(docs.select("doc_id", "text"), window)
+    joined = rows.join(covers.hint("shuffle_hash"), id_.eqNullSafe(F.col("of_doc")) & (F.xxhash64(text) == F.col("of_key")), "left")
+    split = joined.select("row", "starts", F.when(F.col("starts").isNotNull(), _lines(text)).alias("lines"))
+    covered = F.flatten(F.transform("starts", lambda s: F.sequence(s, s + (window - 1))))
+    left = F.array_except(F.sequence(F.lit(0), F.size("lines") - 1), covered)
+    marked = split.select("row", "lines", F.when(F.col("starts").isNotNull(), left).alias("left"))
+    kept = F.when(F.col("left").isNull(), text).otherwise(F.array_join(F.transform("left", lambda i: F.get("lines", i)), "\n"))
+    n = F.when(text.isNull(), F.lit(0)).otherwise(F.length(text) - F.length(F.replace(text, F.lit("\n"), F.lit(""))) + 1)
+    gone = F.when(F.col("left").isNull(), F.lit(0)).otherwise(F.size("lines") - F.size("left"))
+    return marked.select("row", n.cast("long").alias("n_lines"), gone.cast("long").alias("n_removed"), kept.alias("kept"))
 
 
 def dedup_lines(docs: DataFrame, window: int = 3) -> DataFrame:
@@ -44,20 +60,23 @@ def dedup_lines(docs: DataFrame, window: int = 3) -> DataFrame:
 
     Returns doc_id, n_lines, n_removed (long), kept (the lines left, joined by newlines; null for a null text) for each row.
     A null text has no lines. A text of fewer lines than a window has none to lose. A null doc_id comes first. Rows of equal
-    doc_id and text are one place: they are treated alike. Other columns of docs are not looked at.
+    doc_id and text are one place: they are treated alike. A very long text is one row, split in one task; of it only hashes and
+    places are shuffled before its own row is. No rows give no rows. Other columns of docs are not looked at.
     """
-    marked = _mark(docs.select("doc_id", "text"), window)
-    n = F.when(F.col("text").isNull(), F.lit(0)).otherwise(F.size("_lines"))
-    gone = F.when(F.col("_left").isNull(), F.lit(0)).otherwise(F.size("_lines") - F.size("_left"))
-    return marked.select("doc_id", n.cast("long").alias("n_lines"), gone.cast("long").alias("n_removed"), _kept().alias("kept"))
+    return _cut(docs.select("doc_id", "text"), window).select("row.doc_id", "n_lines", "n_removed", "kept")
 
 
 def without_repeats(docs: DataFrame, window: int = 3) -> DataFrame:
-    """docs, all rows and columns, with text as dedup_lines leaves it and n_chars, if there is one, as long as that is."""
-    marked = _mark(docs, window).withColumn("text", _kept())
+    """docs, all rows and columns, with text as dedup_lines leaves it and n_chars, if there is one, as long as that is.
+
+    Nulls, short and long texts, ties and repeated rows are as dedup_lines has them: a null text stays null, with an n_chars of null.
+    Columns of docs may have any names; they are carried as they are. No rows give no rows.
+    """
+    cut = _cut(docs, window)
+    new = {"text": F.col("kept").cast(docs.schema["text"].dataType)}
     if "n_chars" in docs.columns:
-        marked = marked.withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType))
-    return marked.select(*docs.columns)
+        new["n_chars"] = F.length("kept").cast(docs.schema["n_chars"].dataType)
+    return cut.select(*[new.get(c, F.col("row").getField(c)).alias(c) for c in docs.columns])
 
 
 def digest(result: DataFrame) -> DataFrame:

@@ -97,46 +97,67 @@ def _blocks(benchmark: DataFrame, window: int, block_words: int) -> Iterator[Win
     yield WindowSet(items, window)
 
 
-def _marker(block, finish: Callable[[pa.RecordBatch, list[dict]], pa.RecordBatch] | None):
-    """A mapInArrow function: looks for the block's windows in the texts; then finishes, or hands its hits on to the next block."""
+def _looked_through(windows: WindowSet, texts: pa.Array) -> Iterator[dict]:
+    """For each text, in order: which words are hit, the names of items that hit them, and where its words start and end."""
+    for low, high, data, offsets in slices(texts):
+        starts, ends, firsts, cover, pairs = windows.scan(data, offsets)
+        items: dict[int, set[str]] = {}
+        for row, item in pairs:
+            items.setdefault(row, set()).add(windows.names[item])
+        for row in range(high - low):
+            a, b = firsts[row], firsts[row + 1]
+            yield {"cover": cover[a:b], "items": sorted(items.get(row, ())), "starts": starts[a:b] - offsets[row], "ends": ends[a:b] - offsets[row]}
+
+
+def _hits(block):
+    """A mapInArrow function: nth, cover, items of the rows that a block's windows hit."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        windows = block.value
         for batch in batches:
-            names = batch.schema.names
-            had = list(zip(batch["_cover"].to_pylist(), batch["_items"].to_pylist(), strict=True)) if "_cover" in names else None
-            found: list[dict] = []
-            for low, high, data, offsets in slices(batch["text"]):
-                starts, ends, firsts, cover, pairs = windows.scan(data, offsets)
-                items: dict[int, set[str]] = {}
-                for row, item in pairs:
-                    items.setdefault(row, set()).add(windows.names[item])
-                for row in range(high - low):
-                    a, b = firsts[row], firsts[row + 1]
-                    own, own_items = cover[a:b], items.get(row, set())
-                    if had:
-                        own = own | np.unpackbits(np.frombuffer(had[low + row][0], np.uint8), count=b - a).astype(bool)
-                        own_items = own_items | set(had[low + row][1])
-                    found.append({"cover": own, "items": sorted(own_items), "starts": starts[a:b] - offsets[row], "ends": ends[a:b] - offsets[row]})
-            if finish:
-                yield finish(batch, found)
-            else:
-                plain = batch.select([x for x in names if x not in ("_cover", "_items")])
-                extra = [pa.array([np.packbits(x["cover"]).tobytes() for x in found], pa.binary()), pa.array([x["items"] for x in found], pa.list_(pa.string()))]
-                yield pa.RecordBatch.from_arrays([*plain.columns, *extra], [*plain.schema.names, "_cover", "_items"])
+            found = list(_looked_through(block.value, batch["text"]))
+            hit = [k for k, x in enumerate(found) if x["items"]]
+            columns = [batch["nth"].take(pa.array(hit, pa.int64())), pa.array([np.packbits(found[k]["cover"]).tobytes() for k in hit], pa.binary()), pa.array([found[k]["items"] for k in hit], pa.list_(pa.string()))]
+            yield pa.RecordBatch.from_arrays(columns, ["nth", "cover", "items"])
+
+    return run
+
+
+def _finisher(block, finish: Callable[[pa.RecordBatch, list[dict]], pa.RecordBatch]):
+    """A mapInArrow function over row, told (what other blocks have found): looks for the block's windows in the texts, and finishes."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            found = list(_looked_through(block.value, batch["row"].field("text")))
+            for x, told in zip(found, batch["told"].to_pylist(), strict=True):
+                for more in told or ():
+                    x["cover"] = x["cover"] | np.unpackbits(np.frombuffer(more["cover"], np.uint8), count=len(x["cover"])).astype(bool)
+                    x["items"] = sorted({*x["items"], *more["items"]})
+            yield finish(pa.RecordBatch.from_struct_array(batch["row"]), found)
 
     return run
 
 
-def _scan(docs: DataFrame, benchmark: DataFrame, finish, schema: str, window: int, block_words: int) -> DataFrame:
-    carried = ", ".join(f"`{x.name}` {x.dataType.simpleString()}" for x in docs.schema) + ", _cover binary, _items array<string>"
-    held = None
+def _numbered(docs: DataFrame) -> DataFrame:
+    return materialize(docs.select(F.monotonically_increasing_id().alias("nth"), F.struct("*").alias("row")))
+
+
+def _scan(docs: DataFrame, benchmark: DataFrame, finish, schema, window: int, block_words: int) -> DataFrame:
+    """finish over the rows of docs. Of more than one block of windows, all but the last leave their hits in tables of (nth, cover, items), so
+    that the rows themselves are written once, with numbers, and read once a block."""
+    spark, rows, told, held = docs.sparkSession, None, None, None
     for block in _blocks(benchmark, window, block_words):
         if held is not None:
-            docs = materialize(docs.mapInArrow(_marker(held, None), carried))
+            rows = _numbered(docs) if rows is None else rows
+            found = materialize(rows.select("nth", "row.text").mapInArrow(_hits(held), "nth long, cover binary, items array<string>"))
+            told = found if told is None else told.union(found)
             held.unpersist()
-        held = docs.sparkSession.sparkContext.broadcast(block)
-    return docs.mapInArrow(_marker(held, finish), schema)
+        held = spark.sparkContext.broadcast(block)
+    none = F.lit(None).cast("array<struct<nth:long,cover:binary,items:array<string>>>")
+    if rows is None:
+        ready = docs.select(F.struct("*").alias("row"), none.alias("told"))
+    else:  # of each row no more entries than there are blocks
+        ready = rows.join(told.groupBy("nth").agg(F.collect_list(F.struct("nth", "cover", "items")).alias("told")), "nth", "left").select("row", "told")
+    return ready.mapInArrow(_finisher(held, finish), schema)
 
 
 def contaminated(n_hit: int, n_words: int) -> bool:
@@ -158,23 +179,30 @@ def find_contamination(docs: DataFrame, benchmark: DataFrame, window: int = WIND
     text is contaminated if a twentieth of its words are, and at least one. A null or empty text has no words and is clean. Items
     without words have no windows; a null item_id counts as an empty one, and items that share an id count once. Repeated rows
     are judged each by itself. Other columns are not looked at. The windows are broadcast in blocks of block_words words at most
-    (or one longer item); more blocks are scanned one after the other, each over a written table.
+    (or one longer item); with more blocks the texts are written once and read once for each. No rows give no rows.
     """
     return _scan(docs.select("doc_id", "text"), benchmark, _report, "doc_id long, n_words long, n_hit long, items array<string>, contaminated boolean", window, block_words)
 
 
 def drop_contaminated(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, block_words: int = BLOCK_WORDS) -> DataFrame:
-    """The rows of docs that are not contaminated, with all their columns."""
+    """The rows of docs that are not contaminated, with all their columns, whatever these are called.
+
+    Nulls, long texts, repeated rows and items are as find_contamination has them: a null or empty text is clean and stays. No rows give
+    no rows; without items all rows stay.
+    """
 
     def keep(batch: pa.RecordBatch, found: list[dict]) -> pa.RecordBatch:
         flags = [not contaminated(int(x["cover"].sum()), len(x["cover"])) for x in found]
-        return batch.select([x for x in batch.schema.names if x not in ("_cover", "_items")]).filter(pa.array(flags, pa.bool_()))
+        return batch.filter(pa.array(flags, pa.bool_()))
 
     return _scan(docs, benchmark, keep, docs.schema, window, block_words)
 
 
 def remove_spans(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, block_words: int = BLOCK_WORDS) -> DataFrame:
-    """All rows and columns of docs; from each text the stretches from a hit run's first to its last word are cut out."""
+    """All rows and columns of docs; from each text the stretches from a hit run's first to its last word are cut out.
+
+    Null and empty texts stay as they are, as does every text without hits; columns may have any names. No rows give no rows.
+    """
 
     def cut(batch: pa.RecordBatch, found: list[dict]) -> pa.RecordBatch:
         texts = batch["text"].to_pylist()
@@ -186,8 +214,8 @@ def remove_spans(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, bl
                     parts.append(raw[at : x["starts"][a]])
                     at = x["ends"][b - 1]
                 texts[k] = b"".join([*parts, raw[at:]]).decode()
-        names = [x for x in batch.schema.names if x not in ("_cover", "_items")]
-        return pa.RecordBatch.from_arrays([pa.array(texts, batch.schema.field("text").type) if x == "text" else batch[x] for x in names], names)
+        at = batch.schema.get_field_index("text")
+        return batch.set_column(at, batch.schema.field(at), pa.array(texts, batch.schema.field(at).type))
 
     return _scan(docs, benchmark, cut, docs.schema, window, block_words)
 

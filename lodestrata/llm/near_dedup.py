@@ -256,6 +256,8 @@ def near_duplicates(docs: DataFrame, words: int = 5, percent: int = 80) -> DataF
 def keep_one_each(docs: DataFrame, words: int = 5, percent: int = 80) -> DataFrame:
     """The rows of docs, with all columns, that near_duplicates keeps: of each component the one of the smallest doc_id.
 
+    Rows without words or without a doc_id are linked with nothing and stay; rows that share a doc_id stay or go together. Columns
+    may have any names: rows are carried as structs. No rows give no rows. docs is read several times, so let it be a table.
     Only rows whose ids share a slot of a bitmap with a dropped id are joined with the dropped ids; all others go straight on.
     """
     gone = materialize(near_duplicates(docs, words, percent).where("NOT kept").select(F.col("doc_id").alias("gone")).distinct())
@@ -263,16 +265,18 @@ def keep_one_each(docs: DataFrame, words: int = 5, percent: int = 80) -> DataFra
     slot = lambda c: F.pmod(F.xxhash64(c), F.lit(SLOTS)).cast("int")
     bits[gone.select(slot("gone").alias("slot")).distinct().toPandas()["slot"].to_numpy(dtype=np.int64)] = True  # SLOTS values at most
     shared = docs.sparkSession.sparkContext.broadcast(bits)
+    rows = docs.select(F.struct("*").alias("row"))
 
     def pick(near: bool):
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             for batch in batches:
-                hit = shared.value[batch["_slot"].to_numpy(zero_copy_only=False)]
-                yield batch.filter(pa.array(hit == near)).drop_columns(["_slot"])
+                hit = shared.value[batch["slot"].to_numpy(zero_copy_only=False)]
+                yield batch.filter(pa.array(hit == near)).select(["row"])
 
-        return docs.withColumn("_slot", slot("doc_id")).mapInArrow(run, docs.schema)
+        return rows.withColumn("slot", slot("row.doc_id")).mapInArrow(run, rows.schema)
 
-    return pick(False).union(pick(True).join(gone, F.col("doc_id") == F.col("gone"), "left_anti"))
+    kept = pick(False).union(pick(True).join(gone, F.col("row.doc_id") == F.col("gone"), "left_anti"))
+    return kept.select(*[F.col("row").getField(c).alias(c) for c in docs.columns])
 
 
 def digest(result: DataFrame) -> DataFrame:

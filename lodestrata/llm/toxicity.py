@@ -140,8 +140,15 @@ def score_toxicity(docs: DataFrame, labels: DataFrame, folds: int = 5, sample_ro
 
 
 def drop_toxic(docs: DataFrame, labels: DataFrame, folds: int = 5, sample_rows: int = SAMPLE_ROWS, threshold: float = 0.5) -> DataFrame:
-    """The rows of docs whose score is below the threshold, with all their columns."""
-    model = docs.sparkSession.sparkContext.broadcast(train(docs, labels, folds, sample_rows))
+    """The rows of docs whose score is below the threshold, with all their columns, whatever these are called.
+
+    A null or empty text has the score of the bias alone, and a null doc_id or a repeated row is like any other. A very long text is
+    scored by itself, in memory of its own length. No rows give no rows; without labels nothing is known, and all rows stay.
+    """
+    places, values, bias = train(docs, labels, folds, sample_rows)
+    if not len(places) and not bias:
+        return docs
+    model = docs.sparkSession.sparkContext.broadcast((places, values, bias))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         weights, bias = _dense(model)

@@ -5,10 +5,10 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.columns import clip, clipped, glob_regex, strip, text
+from ..functions.columns import clip, clipped, glob_regex, iso_utc, parse_iso, strip, text
 
 DEFAULT_HOURS, MAX_HOURS = 30, 72
-USER_CHARS, ASSISTANT_CHARS, FILES, DIGEST_COMMITS = 4000, 1600, 40, 20
+USER_CHARS, ASSISTANT_CHARS, FILES, DIGEST_COMMITS, HASH = 4000, 1600, 40, 20, 12
 #: Characters between commits and between the fields of a commit's header.
 RECORD, FIELD = "\u001e", "\u001f"
 
@@ -26,6 +26,14 @@ def window_start(as_of: Column, hours: Column) -> Column:
     return F.timestamp_seconds(F.unix_micros(as_of) / 1e6 - hours * 3600)
 
 
+def run_context(as_of: Column, last_run: Column, override: Column | None = None, default: int = DEFAULT_HOURS, most: int = MAX_HOURS) -> dict[str, Column]:
+    """since_utc and window_hours (of two decimals) of a run at as_of, given the ISO text of the last run; a null or malformed one, or one
+    without a zone, is no last run."""
+    known = F.when(last_run.rlike("(Z|[+-][0-9]{2}:?[0-9]{2})$"), parse_iso(last_run))
+    hours = window_hours((F.unix_micros(as_of) - F.unix_micros(known)) / 3.6e9, override, default, most)
+    return {"since_utc": iso_utc(window_start(as_of, hours)), "window_hours": F.bround(hours, 2)}
+
+
 def in_window(rows: DataFrame, since: str, column: str = "updated_at") -> DataFrame:
     """Rows later than since; both are ISO texts and are compared as such."""
     return rows.where(F.col(column) > since)
@@ -47,11 +55,11 @@ def exclude_repositories(paths: DataFrame, patterns: list[str], column: str = "p
     return paths
 
 
-def cut_turns(turns: DataFrame) -> DataFrame:
+def cut_turns(turns: DataFrame, user_chars: int = USER_CHARS, assistant_chars: int = ASSISTANT_CHARS) -> DataFrame:
     """session_id, turn_index, user_text, assistant_text cut to their lengths, and whether the latter was."""
     return turns.select(
-        "session_id", "turn_index", clip(F.col("user_text"), USER_CHARS).alias("user_text"), clip(F.col("assistant_text"), ASSISTANT_CHARS).alias("assistant_text"),
-        clipped(F.col("assistant_text"), ASSISTANT_CHARS).alias("assistant_truncated"),
+        "session_id", "turn_index", clip(F.col("user_text"), user_chars).alias("user_text"), clip(F.col("assistant_text"), assistant_chars).alias("assistant_text"),
+        clipped(F.col("assistant_text"), assistant_chars).alias("assistant_truncated"),
     )
 
 
@@ -74,6 +82,19 @@ def harvest_sessions(sessions: DataFrame, turns: DataFrame, since: str, excluded
     return joined.withColumns({c: F.coalesce(c, F.lit(0)) for c in ("n_turns", "n_truncated", "user_chars", "assistant_chars")})
 
 
+def newest_sessions(sessions: DataFrame) -> DataFrame:
+    """Sessions by falling time of their last change, equals by id."""
+    return sessions.orderBy(F.desc("updated_at"), "id")
+
+
+def with_turns(sessions: DataFrame, turns: DataFrame, skip_empty: bool = True) -> DataFrame:
+    """sessions with their cut turns as an array in order of turn_index; those without turns are left out, or have an empty one."""
+    cut = cut_turns(turns)
+    value = F.struct("turn_index", "user_text", "assistant_text", "assistant_truncated")
+    out = attach(sessions, cut, "turns", value)
+    return out.where(F.size("turns") > 0) if skip_empty else out
+
+
 def attach(sessions: DataFrame, rows: DataFrame, name: str, value: Column) -> DataFrame:
     """sessions with an array of rows' values in order, empty where there are none; rows are gathered before the join."""
     gathered = rows.groupBy("session_id").agg(F.array_sort(F.collect_list(value)).alias(name))
@@ -83,7 +104,7 @@ def attach(sessions: DataFrame, rows: DataFrame, name: str, value: Column) -> Da
 
 
 def parse_commits(records: DataFrame, column: str = "raw") -> DataFrame:
-    """repo, hash (12), author, email, date, subject, files (FILES at most) of texts of commits: RECORD before each, FIELD between
+    """repo, hash (whole), author, email, date, subject, files (FILES at most) of texts of commits: RECORD before each, FIELD between
     its five header fields, then a line for each file. Records with fewer fields are left out."""
     each = records.select("repo", F.explode(F.split(column, RECORD)).alias("record"))
     header = F.split(F.substring_index("record", "\n", 1), FIELD)
@@ -91,7 +112,7 @@ def parse_commits(records: DataFrame, column: str = "raw") -> DataFrame:
     files = F.filter(F.transform(F.split(body, "\n"), lambda f: F.trim(f)), lambda f: f != "")
     split = each.select("repo", header.alias("h"), files.alias("files")).where(F.size("h") >= 5)
     fields = [F.trim(F.col("h")[k]) for k in range(5)]
-    return split.select("repo", F.left(fields[0], F.lit(12)).alias("hash"), *[x.alias(n) for x, n in zip(fields[1:], ("author", "email", "date", "subject"), strict=True)], F.slice("files", 1, FILES).alias("files"))
+    return split.select("repo", fields[0].alias("hash"), *[x.alias(n) for x, n in zip(fields[1:], ("author", "email", "date", "subject"), strict=True)], F.slice("files", 1, FILES).alias("files"))
 
 
 def by_author(commits: DataFrame, patterns: list[str]) -> DataFrame:
@@ -100,9 +121,18 @@ def by_author(commits: DataFrame, patterns: list[str]) -> DataFrame:
     return commits.where(who.rlike("|".join(f"(?:{p})" for p in patterns))) if patterns else commits
 
 
+def authored(commits: DataFrame, patterns: list[str], since: str | None = None) -> DataFrame:
+    """by_author, and of these no merges (more than one of parents, where there is such a column) and none dated before since."""
+    found = by_author(commits, patterns)
+    found = found.where(F.coalesce(F.size("parents"), F.lit(0)) < 2) if "parents" in commits.columns else found
+    return found.where(parse_iso(F.col("date")) >= parse_iso(F.lit(since))) if since else found
+
+
 def distinct_commits(commits: DataFrame) -> DataFrame:
-    """Each repository's commits once, however many passes have found them; the row of the first text of date counts."""
-    return commits.groupBy("repo", "hash").agg(F.min("date").alias("date"), F.min_by("subject", F.struct("date", "subject")).alias("subject"))
+    """Each repository's commits once by their whole hash, however many passes have found them; the row of the first text of date counts,
+    and the hash is cut to HASH characters then."""
+    found = commits.groupBy("repo", "hash").agg(F.min("date").alias("date"), F.min_by("subject", F.struct("date", "subject")).alias("subject"))
+    return found.withColumn("hash", F.left("hash", F.lit(HASH)))
 
 
 def newest_commits(commits: DataFrame, n: int = DIGEST_COMMITS) -> DataFrame:

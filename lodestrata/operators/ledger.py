@@ -52,11 +52,26 @@ def promotions(items: DataFrame, hits: int = PROMOTE_HITS, days: int = PROMOTE_D
     return items.where((F.col("horizon") == "short") & F.col("status").isin("active", "applied") & (F.col("hit_count") >= hits) & (F.col("distinct_days") >= days))
 
 
+def promotions_by_hits(items: DataFrame, hits: int = PROMOTE_HITS, days: int = PROMOTE_DAYS) -> DataFrame:
+    """promotions by falling hits, equals by fingerprint."""
+    return promotions(items, hits, days).orderBy(F.desc("hit_count"), "fingerprint")
+
+
 def decays(items: DataFrame, as_of: Column, days: int = DECAY_DAYS) -> DataFrame:
     """Active short claims last seen earlier than so many days before as_of."""
     return items.where((F.col("horizon") == "short") & (F.col("status") == "active") & (F.col("last_seen") < as_of - F.make_dt_interval(days=F.lit(days))))
 
 
+def decays_by_age(items: DataFrame, as_of: Column, days: int = DECAY_DAYS) -> DataFrame:
+    """decays, the longest unseen first, equals by fingerprint."""
+    return decays(items, as_of, days).orderBy("last_seen", "fingerprint")
+
+
+def changes(upserted: DataFrame) -> DataFrame:
+    """inserted, updated: how many of an upsert's rows are new, and how many were there before, in one row."""
+    return upserted.agg(*[F.count_if(F.col("change") == x).alias(x) for x in ("inserted", "updated")])
+
+
 def stats(items: DataFrame, by: str) -> DataFrame:
     """Rows for each value; null is a value of its own, written 'null'."""
     return items.groupBy(F.coalesce(by, F.lit("null")).alias(by)).agg(F.count(F.lit(1)).alias("items"))

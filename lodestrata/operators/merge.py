@@ -8,6 +8,8 @@ from pyspark.sql import functions as F
 from ..functions.columns import ACTIVE_WORK, confidence_name, confidence_rank, fingerprint, strip, text
 
 FIELDS = ("claim", "domain", "horizon", "importance", "confidence", "target", "status", "source", "evidence", "notes")
+#: Those of them that can be long, and are only wanted of a group's base.
+_TEXTS = ("claim", "notes")
 #: Length of merged evidence; each text but the last takes two characters at least, so no more texts can be seen in it.
 EVIDENCE_CHARS = 400
 _EVIDENCE_TEXTS = EVIDENCE_CHARS // 2 + 1
@@ -36,10 +38,11 @@ def merge_claims(claims: DataFrame) -> DataFrame:
     horizon = F.coalesce(F.when(F.col("horizon") != "", F.col("horizon")), F.lit("drop"))
     source = F.when(F.col("source") != "", F.col("source"))
     votes = {x: F.max(horizon == x) for x in ("long", "short", "drop")}
+    small = [c for c in FIELDS if c not in _TEXTS]
     grouped = claims.groupBy("fingerprint").agg(
         F.count(F.lit(1)).alias("n_raw"),
         F.min("ord").alias("first_ord"),
-        F.max_by(F.struct(*FIELDS), rank).alias("base"),
+        F.max_by(F.struct("ord", *small), rank).alias("base"),
         F.max(F.coalesce("importance", F.lit(0))).alias("top"),
         F.min(confidence_rank(F.col("confidence"))).alias("least"),
         *[v.alias(f"has_{k}") for k, v in votes.items()],
@@ -54,11 +57,12 @@ def merge_claims(claims: DataFrame) -> DataFrame:
     merged = grouped.withColumn("found", found).withColumn("several", F.col("n_raw") > 1)
     least = F.when(mixed & F.col("has_drop") & (F.col("found") != "drop"), F.least("least", F.lit(2))).otherwise(F.col("least"))
     pick = lambda new, old: F.when(F.col("several"), new).otherwise(F.col(f"base.{old}")).alias(old)
-    joined = merged.join(_evidence(claims), "fingerprint", "left")
+    bases = claims.select(F.col("ord").alias("base_ord"), *_TEXTS)  # of the other claims' texts, none is shuffled with the groups
+    joined = merged.join(_evidence(claims), "fingerprint", "left").join(bases, F.col("base.ord") == F.col("base_ord"))
     return joined.select(
-        "fingerprint", F.col("base.claim").alias("claim"), F.col("base.domain").alias("domain"), pick(F.col("found"), "horizon"), pick(F.col("top"), "importance"),
+        "fingerprint", "claim", F.col("base.domain").alias("domain"), pick(F.col("found"), "horizon"), pick(F.col("top"), "importance"),
         pick(confidence_name(least), "confidence"), pick(F.when(F.col("found") == "short", ACTIVE_WORK).otherwise(F.col("base.target")), "target"), F.col("base.status").alias("status"),
-        pick(F.when(F.col("low_source") != F.col("high_source"), "mixed").otherwise(F.col("low_source")), "source"), pick(text(F.col("joined")), "evidence"), F.col("base.notes").alias("notes"),
+        pick(F.when(F.col("low_source") != F.col("high_source"), "mixed").otherwise(F.col("low_source")), "source"), pick(text(F.col("joined")), "evidence"), "notes",
         "n_raw", "first_ord", (mixed & F.col("has_other")).alias("unresolvable"),
     )
 

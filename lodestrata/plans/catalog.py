@@ -266,7 +266,7 @@ def parse_git_records(spark, d):
     header = F.concat_ws(harvest.FIELD, F.sha1(k), "source", F.concat("lang", F.lit("@x.org")), F.lit("2024-01-01T00:00:00+00:00"), F.concat(F.lit("doc "), k))
     whole = F.concat(F.lit(harvest.RECORD), F.when(F.col("doc_id") % 9 == 4, F.concat_ws(harvest.FIELD, F.sha1(k), "source")).otherwise(header), F.lit("\n\na-"), k, F.lit("\nb.py\n"))
     records = T.table(spark, d, "documents").select(F.concat(F.lit("repo"), (F.col("doc_id") % 5).cast("string")).alias("repo"), whole.alias("raw"))
-    return harvest.parse_commits(records).select("repo", "hash", "author", "email", "subject", F.array_join("files", ",").alias("files"))
+    return harvest.parse_commits(records).select("repo", F.left("hash", F.lit(12)).alias("hash"), "author", "email", "subject", F.array_join("files", ",").alias("files"))
 
 
 @query("SELECT doc_id, CASE WHEN doc_id % 3 = 0 THEN 'note ' || doc_id || chr(10) || '---notes---' || chr(10) || 'again' WHEN doc_id % 3 = 1 THEN 'all ' || doc_id ELSE '' END AS body FROM documents")
@@ -397,18 +397,21 @@ def journal_summary(spark, d):
     return health.journal_summary(_order(spark, d))
 
 
-@query("""
-WITH r AS (SELECT doc_id, text, regexp_replace(regexp_replace(regexp_replace(regexp_replace(regexp_replace(regexp_replace(trim(text), '[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\\.[A-Za-z0-9-]+)+', '[email]', 'g'),
- '(?i)(password|passwd|token|secret|api_key)=[^\\s]+', '\\1=[secret]', 'g'), 'AKIA[0-9A-Z]{16}', '[key]', 'g'), '\\+[0-9][ ().0-9-]{8,}[0-9]', '[phone]', 'g'), '\\b[0-9]{1,3}(\\.[0-9]{1,3}){3}\\b', '[ip]', 'g'), '\\b[0-9]{14,19}\\b', '[card]', 'g') AS claim FROM documents)
-SELECT doc_id, CASE WHEN len(claim) < 40 THEN 'drop' WHEN regexp_matches(text, '(?i)\\b(todo|wip|in progress|investigating)\\b') THEN 'short' WHEN regexp_matches(text, '(?i)\\b(always|never|convention|decided|must)\\b') THEN 'long'
- WHEN len(claim) >= 2000 THEN 'long' ELSE 'drop' END AS horizon, CASE WHEN len(claim) >= 4000 THEN 'high' WHEN len(claim) >= 400 THEN 'medium' ELSE 'low' END AS confidence FROM r""")
+_REDACTED = """regexp_replace(regexp_replace(regexp_replace(regexp_replace(regexp_replace(regexp_replace({0}, '[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\\.[A-Za-z0-9-]+)+', '[email]', 'g'),
+ '(?i)(password|passwd|token|secret|api_key)=[^\\s]+', '\\1=[secret]', 'g'), 'AKIA[0-9A-Z]{{16}}', '[key]', 'g'), '\\+[0-9][ ().0-9-]{{8,}}[0-9]', '[phone]', 'g'), '\\b[0-9]{{1,3}}(\\.[0-9]{{1,3}}){{3}}\\b', '[ip]', 'g'), '\\b[0-9]{{14,19}}\\b', '[card]', 'g')"""
+
+
+@query(f"""
+WITH r AS (SELECT doc_id, text, {_REDACTED.format("trim(coalesce(text, ''))")} AS claim FROM documents),
+h AS (SELECT doc_id, len(claim) AS n, CASE WHEN len(claim) < 40 OR regexp_matches(text, '{classify.DROP_RULE}') THEN 'drop' WHEN regexp_matches(text, '{classify.SHORT_RULE}') THEN 'short' WHEN regexp_matches(text, '{classify.LONG_RULE}') THEN 'long' END AS rule FROM r)
+SELECT doc_id, coalesce(rule, CASE WHEN n >= 2000 THEN 'long' ELSE 'drop' END) AS horizon, CASE WHEN n >= 4000 THEN 'high' WHEN n >= 400 THEN 'medium' ELSE 'low' END AS confidence,
+ least(10, trunc(1 + floor(log2(1 + n)) / 2 + CASE WHEN rule = 'long' THEN 2 ELSE 0 END))::INTEGER AS importance FROM h""")
 def classify_rules(spark, d):
     texts = T.table(spark, d, "documents").select(F.col("doc_id").alias("ord"), "text", F.col("source").alias("origin"))
-    return classify.classify_rules(texts).select(F.col("ord").alias("doc_id"), "horizon", "confidence")
+    return classify.classify_rules(texts).select(F.col("ord").alias("doc_id"), "horizon", "confidence", "importance")
 
 
-@query("""SELECT doc_id, regexp_replace(regexp_replace(regexp_replace(regexp_replace(regexp_replace(regexp_replace(text, '[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\\.[A-Za-z0-9-]+)+', '[email]', 'g'),
- '(?i)(password|passwd|token|secret|api_key)=[^\\s]+', '\\1=[secret]', 'g'), 'AKIA[0-9A-Z]{16}', '[key]', 'g'), '\\+[0-9][ ().0-9-]{8,}[0-9]', '[phone]', 'g'), '\\b[0-9]{1,3}(\\.[0-9]{1,3}){3}\\b', '[ip]', 'g'), '\\b[0-9]{14,19}\\b', '[card]', 'g') AS redacted FROM documents""")
+@query(f"SELECT doc_id, {_REDACTED.format('text')} AS redacted FROM documents")
 def redact_texts(spark, d):
     return T.table(spark, d, "documents").select("doc_id", C.redact(F.col("text")).alias("redacted"))
 

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import hashlib
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame
@@ -12,22 +13,24 @@ from ..operators.ledger import upsert
 from ..sources.store import VersionedTable
 
 
-def fold_batches(table: VersionedTable, now: Callable[[int], str]) -> Callable[[DataFrame, int], None]:
+def fold_batches(table: VersionedTable, now: Callable[[int], str], stream: str = "registry") -> Callable[[DataFrame, int], None]:
     """A foreachBatch function that folds each batch into the table.
 
-    A batch that is run again after a failure finds the table at a later version and changes nothing (the table must be written by this stream alone), so that hits count
-    once however often a batch is tried. now gives the run's ISO time for a batch number.
+    A version has the number of the stream's last batch with it, so that a batch that is run again after a failure changes nothing, and
+    hits count once however often it is tried. Whatever else writes the table, other streams too, does no harm, one writer at a time.
+    now gives the run's ISO time for a batch number; stream is a name without - and @ that stays the same as long as its checkpoint does.
     """
 
     def fold(batch: DataFrame, number: int) -> None:
-        if table.version() > number:
+        if table.batch(stream) >= number:
             return
         stamp = now(number)
-        table.write(upsert(table.read(), batch, F.lit(stamp), F.lit(stamp[:10])).drop("change"))
+        table.write(upsert(table.read(), batch, F.lit(stamp), F.lit(stamp[:10])).drop("change"), stream, number)
 
     return fold
 
 
 def run_registry(sightings: DataFrame, table: VersionedTable, checkpoint: str, now: Callable[[int], str]) -> StreamingQuery:
-    """Start the stream and fold all that is there now, then stop; the checkpoint remembers what has been folded."""
-    return sightings.writeStream.foreachBatch(fold_batches(table, now)).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+    """Start the stream and fold all that is there now, then stop; the checkpoint remembers what has been folded, and names the stream."""
+    stream = hashlib.sha1(checkpoint.rstrip("/").encode()).hexdigest()[:12]
+    return sightings.writeStream.foreachBatch(fold_batches(table, now, stream)).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()

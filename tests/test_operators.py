@@ -1,5 +1,6 @@
 """Rules and edges that the tables don't show."""
 
+import random
 import sqlite3
 
 import pytest
@@ -119,6 +120,20 @@ def test_shards_keep_threads_whole_and_balance(spark):
     assert sharding.assign_shards(groups.limit(0)).count() == 0
 
 
+@pytest.mark.parametrize("seed", range(6))
+def test_shards_are_those_of_dealing_one_by_one(spark, seed):
+    rng = random.Random(seed)
+    groups = [(f"t{k:03d}", rng.choice((0, 0, 1, 5, 5, 7, 40, rng.randint(0, 60)))) for k in range(rng.randint(1, 120))]
+    want, total = {}, sum(t for _, t in groups)
+    loads = [0] * max(1, min(5, -(-total // 30), len(groups)))
+    for name, tokens in sorted(groups, key=lambda g: (-g[1], g[0])):
+        want[name] = loads.index(min(loads))
+        loads[want[name]] += tokens
+    got = sharding.assign_shards(spark.createDataFrame(groups, "thread string, tokens long"), 30, 5)
+    assert {r.thread: r.shard_id for r in got.collect()} == want
+    assert sharding.assign_shards(spark.createDataFrame([], "thread string, tokens long")).count() == 0
+
+
 def test_inbox_is_a_shard_of_its_own_without_sessions(spark):
     empty = spark.createDataFrame([], "shard_id int, id string, repository string, branch string, est_tokens long")
     rows = sharding.manifest(empty, 2, "a note that is long").collect()
@@ -129,7 +144,9 @@ def test_commits_keep_their_own_files(spark):
     f, r = harvest.FIELD, harvest.RECORD
     raw = f"{r}{'a' * 40}{f}n{f}e{f}d{f}one\n\nx.py\ny.py\n{r}{'b' * 40}{f}n{f}e{f}d{f}two\n{r}bad{f}n"
     rows = harvest.parse_commits(spark.createDataFrame([("repo", raw)], "repo string, raw string")).collect()
-    assert [(x.hash, x.subject, x["files"]) for x in rows] == [("a" * 12, "one", ["x.py", "y.py"]), ("b" * 12, "two", [])]
+    assert [(x.hash, x.subject, x["files"]) for x in rows] == [("a" * 40, "one", ["x.py", "y.py"]), ("b" * 40, "two", [])]
+    alike = spark.createDataFrame([("repo", "c" * 12 + x, "d", "s") for x in ("1", "2", "2")], "repo string, hash string, date string, subject string")
+    assert [r.hash for r in harvest.distinct_commits(alike).collect()] == ["c" * 12] * 2
     assert harvest.by_author(spark.createDataFrame([("Ann", "a@x"), ("Bob", "b@x")], "author string, email string"), ["^Ann"]).count() == 1
 
 

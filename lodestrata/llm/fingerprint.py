@@ -21,22 +21,21 @@ _LEAST_LONG = -(1 << 63)
 
 
 def bucket_counts(data: np.ndarray, offsets: np.ndarray) -> np.ndarray:
-    """How many triplets of each row fall into each bucket; a row shorter than a window has none."""
+    """How many triplets of each row fall into each bucket: all that fit, also where less than a window is left; a row shorter than three
+    bytes has none."""
     n = len(offsets) - 1
-    room = np.maximum(np.diff(offsets) - (WINDOW - 1), 0)
-    if not room.sum():
-        return np.zeros((n, BUCKETS), np.int64)
-    at = np.arange(room.sum()) + np.repeat(offsets[:-1] - (np.cumsum(room) - room), room)
-    row = np.repeat(np.arange(n, dtype=np.int64) * BUCKETS, room)
-    wide = data.astype(np.uint32)
-    first = wide[at] * np.uint32(0x9E3779B1)
-    later = [None, *(wide[at + k] for k in range(1, WINDOW))]
     counts = np.zeros(n * BUCKETS, np.int64)
+    sizes = np.diff(offsets)
+    wide = data.astype(np.uint32)
+    first = wide * np.uint32(0x9E3779B1)
+    base = np.repeat(np.arange(n, dtype=np.int64) * BUCKETS, sizes)
+    left = np.repeat(offsets[1:], sizes) - np.arange(len(data))  # bytes from each one to its row's end
     for salt, (a, b) in enumerate(TRIPLETS, 1):
-        h = first + later[a] * np.uint32(0x85EBCA77) + later[b] * np.uint32(0xC2B2AE3D) + np.uint32(salt * 0x27D4EB2F & 0xFFFFFFFF)
+        at = np.flatnonzero(left > b)
+        h = first[at] + wide[at + a] * np.uint32(0x85EBCA77) + wide[at + b] * np.uint32(0xC2B2AE3D) + np.uint32(salt * 0x27D4EB2F & 0xFFFFFFFF)
         h ^= h >> np.uint32(15)
         h *= np.uint32(0x2C1B3C6D)
-        counts += np.bincount(row + (h >> np.uint32(24)), minlength=len(counts))
+        counts += np.bincount(base[at] + (h >> np.uint32(24)), minlength=len(counts))
     return counts.reshape(n, BUCKETS)
 
 
@@ -64,7 +63,9 @@ def likeness(a: np.ndarray, b: np.ndarray) -> np.ndarray:
 
 
 def fingerprint(docs: DataFrame) -> DataFrame:
-    """doc_id, fingerprint (hex) for each row; a null text counts as empty. No row needs another; equal texts have equal ones."""
+    """doc_id, fingerprint (hex) for each row; a null text counts as empty. No row needs another; equal texts have equal ones.
+
+    Repeated rows and null ids are rows like any other; a long text is looked at in time linear in its length; no rows give no rows."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -74,25 +75,39 @@ def fingerprint(docs: DataFrame) -> DataFrame:
     return docs.select("doc_id", "text").mapInArrow(run, "doc_id long, fingerprint string")
 
 
+def _places(*columns: np.ndarray) -> np.ndarray:
+    """One text for each row of long columns, so that texts are in the rows' order."""
+    wide = np.stack([(x.astype(np.int64).view(np.uint64) ^ np.uint64(1 << 63)).astype(">u8") for x in columns], axis=1)
+    return np.ascontiguousarray(wide).view(f"S{8 * len(columns)}")[:, 0]
+
+
 def _pack(firsts: np.ndarray):
-    """Rows with the range of keys they belong to. The first key of a range is also sent to the range before, the very first to
-    the last, so that every range sees what follows on its last row. Texts are compressed for the way."""
+    """Rows with the range of (key, tie) they belong to. What a range begins with is also sent to the range before, the very first to the last,
+    so that every range sees what follows on its last row. Equal rows of a batch are sent once, with their number (times; 0: only what
+    follows), and texts are compressed for the way."""
+    edges = _places(*firsts.T)
+    heads = {tuple(x): k for k, x in enumerate(firsts.tolist())}
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         import zstandard
 
         press = zstandard.ZstdCompressor(level=3)
         for batch in batches:
-            keys = batch["key"].to_numpy(zero_copy_only=False)
-            part = np.searchsorted(firsts, keys, side="right") - 1
-            lead = np.flatnonzero(firsts[part] == keys)
-            take = np.concatenate((np.arange(len(keys)), lead))
-            part = np.concatenate((part, (part[lead] - 1) % len(firsts))).astype(np.int32)
-            extra = np.arange(len(take)) >= len(keys)
-            packed = pa.array([press.compress((x or "").encode()) for x in batch["text"].to_pylist()], pa.binary())
+            key, tie = (batch[x].to_numpy(zero_copy_only=False) for x in ("key", "tie"))
+            part = np.maximum(np.searchsorted(edges, _places(key, tie), side="right") - 1, 0)
+            first: dict[tuple[int, bytes], int] = {}
+            packed, times = [], np.zeros(len(key), np.int64)
+            for k, (i, text) in enumerate(zip(key.tolist(), batch["text"].to_pylist(), strict=True)):
+                packed.append(press.compress((text or "").encode()))
+                times[first.setdefault((i, packed[k]), k)] += 1
+            own = np.flatnonzero(times)
+            lead = [(k, (heads[x] - 1) % len(heads)) for k, x in zip(own.tolist(), zip(key[own].tolist(), tie[own].tolist(), strict=True), strict=True) if x in heads]
+            take = np.concatenate((own, np.array([k for k, _ in lead], np.int64)))
+            part = np.concatenate((part[own], np.array([r for _, r in lead], np.int64))).astype(np.int32)
+            times = np.concatenate((times[own], np.zeros(len(lead), np.int64)))
             at = pa.array(take)
-            columns = [pa.array(part), pa.array(extra), batch["key"].take(at), batch["tie"].take(at), batch["doc_id"].take(at), packed.take(at)]
-            yield pa.RecordBatch.from_arrays(columns, ["part", "extra", "key", "tie", "doc_id", "packed"])
+            columns = [pa.array(part), pa.array(times), *[batch[x].take(at) for x in ("key", "tie", "doc_id")], pa.array(packed, pa.binary()).take(at)]
+            yield pa.RecordBatch.from_arrays(columns, ["part", "times", "key", "tie", "doc_id", "packed"])
 
     return run
 
@@ -101,33 +116,40 @@ def _digests(texts: list[str]) -> np.ndarray:
     return np.concatenate([digests(d, o) for _, _, d, o in slices(pa.array(texts, pa.string()), 1 << 18)])
 
 
-def _compare(rows: list[tuple], after: str) -> pa.RecordBatch:
-    """The results for rows (doc_id, text), which after follows on."""
-    texts = [x[1] for x in rows]
+def _compare(rows: list[list], after: str) -> pa.RecordBatch:
+    """The results for rows [doc_id, text, times], which after follows on. Of equal rows all but the last follow on each other."""
+    single = [x for i, t, n in rows for x in ([(i, t, n - 1)] if n > 1 else []) + [(i, t, 1)]]
+    texts = [x[1] for x in single]
     following = [*texts[1:], after]
     edited = [t[: len(t) - len(t) // 4] + f[: len(t) // 4] for t, f in zip(texts, following, strict=True)]
     own, new = _digests([*texts, after]), _digests(edited)
-    return pa.RecordBatch.from_arrays(
+    out = pa.RecordBatch.from_arrays(
         [
-            pa.array([x[0] for x in rows], pa.int64()), pa.array([len(t) for t in texts], pa.int64()), pa.array([hashlib.sha256(t.encode()).hexdigest() for t in edited]),
+            pa.array([x[0] for x in single], pa.int64()), pa.array([len(t) for t in texts], pa.int64()), pa.array([hashlib.sha256(t.encode()).hexdigest() for t in edited]),
             pa.array([x.tobytes().hex() for x in own[:-1]]), pa.array([x.tobytes().hex() for x in new]), pa.array(likeness(own[:-1], new)), pa.array(likeness(own[:-1], own[1:])),
         ],
         ["doc_id", "n_chars", "edited_sha256", "fingerprint", "edited_fingerprint", "near_edited", "near_next"],
     )
+    times = [x[2] for x in single]
+    return out if max(times) == 1 else out.take(pa.array(np.repeat(np.arange(len(times)), times)))
 
 
 def _study(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Over the rows of whole ranges, in order, what follows on each range after it."""
     import zstandard
 
     unpress = zstandard.ZstdDecompressor()
-    held: list[tuple] = []
-    part, size, closed = None, 0, True
+    held: list[list] = []
+    part, size, closed, was = None, 0, True, None
     for batch in batches:
-        for p, extra, doc_id, packed in zip(batch["part"].to_pylist(), batch["extra"].to_pylist(), batch["doc_id"].to_pylist(), batch["packed"].to_pylist(), strict=True):
-            if closed and p == part:  # another row of the key that follows on this range
+        for p, times, key, doc_id, packed in zip(*[batch[x].to_pylist() for x in ("part", "times", "key", "doc_id", "packed")], strict=True):
+            if closed and p == part:  # told before what follows on this range
+                continue
+            if times and held and was == (key, packed):
+                held[-1][2] += times
                 continue
-            text = unpress.decompress(packed).decode()
-            if extra:
+            text, was = unpress.decompress(packed).decode(), (key, packed)
+            if not times:
                 if held:
                     yield _compare(held, text)
                 part, held, size, closed = p, [], 0, True
@@ -136,7 +158,7 @@ def _study(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             if size > 1 << 20:
                 yield _compare(held, text)
                 held, size = [], 0
-            held.append((doc_id, text))
+            held.append([doc_id, text, times])
             part, size = p, size + len(text)
 
 
@@ -145,18 +167,21 @@ def compare_edits(docs: DataFrame, parts: int | None = None) -> DataFrame:
 
     Rows are ordered by doc_id (null first), those of equal ids by a hash of their texts. The edited text has its last quarter of
     code points, rounded down, replaced by as many (or all) of the next row's first ones; the last row's next is the first.
-    A null text counts as empty; a lone row follows on itself. Returns doc_id, n_chars (code points), edited_sha256,
-    fingerprint, edited_fingerprint, near_edited, near_next. Other columns are not looked at.
+    A null text counts as empty; a lone row follows on itself; no rows give no rows. Returns doc_id, n_chars (code points),
+    edited_sha256, fingerprint, edited_fingerprint, near_edited, near_next. Other columns are not looked at.
 
-    Ids alone are ordered first, into ranges; texts are then moved once, compressed, with each range's successor besides.
+    Places alone are ordered first, into ranges of like size, which may part the rows of one doc_id; texts are then moved once,
+    compressed, straight to their range's task, each range's successor besides. Equal rows move once for each batch that has them, so
+    that no row, however often repeated, makes a task large. A task holds some megabytes of texts at a time, or the longest one.
     """
     keyed = docs.select("doc_id", F.coalesce("doc_id", F.lit(_LEAST_LONG)).alias("key"), F.xxhash64("text").alias("tie"), "text")
     parts = parts or int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    ranges = keyed.select("key").repartitionByRange(parts, "key").groupBy(F.spark_partition_id().alias("p")).agg(F.min("key").alias("first"))
-    firsts = np.array(sorted(r["first"] for r in ranges.collect()), np.int64)  # one number for each range
+    place = ["key", "tie"]
+    ranges = keyed.select(*place).repartitionByRange(parts, *place).groupBy(F.spark_partition_id().alias("p")).agg(F.min(F.struct(*place)).alias("first"))
+    firsts = np.array(sorted(tuple(r["first"]) for r in ranges.collect()), np.int64).reshape(-1, 2)  # two numbers for each range
     if not len(firsts):
-        firsts = np.array([_LEAST_LONG])
-    packed = keyed.mapInArrow(_pack(firsts), "part int, extra boolean, key long, tie long, doc_id long, packed binary")
-    ordered = packed.repartition(parts, "part").sortWithinPartitions("part", "extra", "key", "tie").select("part", "extra", "doc_id", "packed")
+        firsts = np.array([[_LEAST_LONG] * 2], np.int64)
+    packed = keyed.mapInArrow(_pack(firsts), "part int, times long, key long, tie long, doc_id long, packed binary")
+    ordered = packed.repartitionById(len(firsts), "part").sortWithinPartitions("part", F.col("times") == 0, *place).select("part", "times", "key", "doc_id", "packed")
     schema = "doc_id long, n_chars long, edited_sha256 string, fingerprint string, edited_fingerprint string, near_edited double, near_next double"
     return ordered.mapInArrow(_study, schema)

@@ -20,8 +20,8 @@ HEAD_GRAMS = 500_000
 FOLDS = 5
 #: Shares of a language's trusted texts that lie below the lower and below the upper bound.
 LOW, HIGH = 0.002, 0.99
-#: Held-out trusted texts that a language must have for bounds of its own.
-LEAST_TRUSTED = 100
+#: Held-out trusted texts of a language at which its own quantiles weigh as much as those of all.
+HALFWAY = 100
 #: Rows of bounds that are broadcast at most.
 BROADCAST_LANGUAGES = 10_000
 START = 0x2545F4914F6CDD1D
@@ -256,9 +256,11 @@ def judge_quality(docs: DataFrame, labels: DataFrame, low: float = LOW, high: fl
 
     The model learns from all texts labelled of good quality that aren't held out; perplexity is that of each whole
     text, its end included. A text is kept if its perplexity is between its language's bounds: the low and high quantiles of
-    trusted texts that were not learnt from. Below lie texts that repeat themselves, above those of strange words. A language
-    of fewer such texts than LEAST_TRUSTED has the bounds of all; without any, all is kept. A doc_id labelled more than once is trusted if all
-    labels are good; null ids and labels count for nothing. A null text counts as empty, a null language is one of its own.
+    trusted texts that were not learnt from, drawn smoothly (as logs) towards those of all languages, the more so the fewer the
+    language has: with HALFWAY of them, by half. Below lie texts that repeat themselves, above those of strange words. A language
+    without such texts has the bounds of all; without any, all is kept. A doc_id labelled more than once is trusted if all
+    labels are good; null ids and labels count for nothing. A null text counts as empty, a null language is one of its own. Repeated
+    rows are judged alike, and learnt from each. A very long text is one row, whose grams are made slice by slice. No rows give no rows.
     """
     docs = docs.select("doc_id", "lang", "text")
     trusted = labels.where("doc_id IS NOT NULL AND quality IS NOT NULL").groupBy("doc_id").agg(F.min("quality").alias("q")).where("q = 1").select("doc_id")
@@ -266,13 +268,15 @@ def judge_quality(docs: DataFrame, labels: DataFrame, low: float = LOW, high: fl
     scored = materialize(perplexities(docs, learn))
     held = scored.where(crc_mod(F.col("doc_id"), FOLDS) == 0).join(trusted, "doc_id", "left_semi")
     ends = F.percentile_approx("perplexity", [low, high], 10_000)
-    by_lang = held.groupBy(F.coalesce("lang", F.lit("")).alias("of")).agg(F.when(F.count(F.lit(1)) >= LEAST_TRUSTED, ends).alias("own"))
+    by_lang = held.groupBy(F.coalesce("lang", F.lit("")).alias("of")).agg(ends.alias("own"), F.count(F.lit(1)).alias("held"))
     overall = held.agg(ends.alias("any"))
     bounds = scored.select(F.coalesce("lang", F.lit("")).alias("of")).distinct().join(by_lang, "of", "left").crossJoin(overall)  # one row for each language
     bounds = materialize(bounds)
     if bounds.count() <= BROADCAST_LANGUAGES:  # else a shuffle, whose hot languages adaptive joins split
         bounds = F.broadcast(bounds)
     judged = scored.join(bounds, F.coalesce("lang", F.lit("")) == F.col("of"))
-    low_bound, high_bound = (F.coalesce(F.col("own")[k], F.col("any")[k]) for k in (0, 1))
+    weight = F.coalesce(F.col("held"), F.lit(0)) / (F.coalesce(F.col("held"), F.lit(0)) + HALFWAY)
+    bound = lambda k: F.exp(weight * F.log(F.coalesce(F.col("own")[k], F.col("any")[k])) + (1 - weight) * F.log(F.col("any")[k]))
+    low_bound, high_bound = bound(0), bound(1)
     keep = F.coalesce(F.col("perplexity").between(low_bound, high_bound), F.lit(True))
     return judged.select("doc_id", "lang", "n_tokens", "perplexity", low_bound.alias("low_bound"), high_bound.alias("high_bound"), keep.alias("keep"))

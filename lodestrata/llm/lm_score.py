@@ -180,7 +180,9 @@ def score_texts(docs: DataFrame) -> DataFrame:
     (as are rows without a doc_id); counts and network learn from all others. base_score is the smoothed unigram model's, score the
     network's: P(class | what came before) P(word | class, what came before), where words beyond NETWORK_WORDS form one class and
     share it by their smoothed counts. A null or empty text is an end alone. Without training texts both models still give finite
-    scores. Repeated rows are scored alike and, unless held out, counted each. Other columns are not looked at.
+    scores. Repeated rows are scored alike and, unless held out, counted each. A very long text is scored window by window, in memory of
+    its own length. No rows give no rows. Other columns are not looked at. The network's weights hang on how the rows are parted,
+    as every partition trains a replica: the same rows in other files give other scores, within what another seed would.
 
     Counts of words beyond HEAD_WORDS are joined to the texts' rarer words by shuffles; each row's scores are then completed.
     """

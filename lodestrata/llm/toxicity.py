@@ -12,8 +12,8 @@ from pyspark.sql import functions as F
 from .shared import crc_mod
 from .textcore import ALNUM, SpanHashes, chain, distinct, mix, slices, token_bounds, window_rows
 
-#: Labelled texts that the model learns from, at most: those whose ids hash lowest.
-SAMPLE_ROWS = 12_000
+#: Labelled texts that the model learns from, and their bytes, at most: those whose ids hash lowest. What doesn't fit is passed over.
+SAMPLE_ROWS, SAMPLE_BYTES = 12_000, 1 << 26
 BITS = 20
 #: Positions of a gram's words: single words, pairs, pairs with one or two words between them.
 GRAMS = ((0,), (0, 1), (0, 2), (0, 3))
@@ -78,15 +78,28 @@ def _featurise(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([batch["doc_id"], batch["toxic"], pa.array(out, pa.binary())], ["doc_id", "toxic", "features"])
 
 
-def train(docs: DataFrame, labels: DataFrame, folds: int = 5, sample_rows: int = SAMPLE_ROWS, epochs: int = 4) -> tuple[np.ndarray, np.ndarray, float]:
-    """Weights (places, values, bias) learnt from at most sample_rows labelled rows that are not held out.
+def _sample(docs: DataFrame, labels: DataFrame, folds: int, rows: int, size: int) -> list[tuple[int, int]]:
+    """(doc_id, toxic) of the documents to learn from: `rows` of them at most, and `size` bytes, all rows of a doc_id together."""
+    known = labels.where(F.col("doc_id").isNotNull() & F.col("toxic").isNotNull() & (crc_mod(F.col("doc_id"), folds) != 0))
+    known = known.groupBy("doc_id").agg(F.max("toxic").cast("int").alias("toxic"))
+    known = known.orderBy(F.xxhash64("doc_id"), "doc_id").limit(rows)
+    found = docs.select("doc_id", F.octet_length(F.coalesce("text", F.lit(""))).alias("size")).join(F.broadcast(known), "doc_id")  # of `rows` rows at most
+    found = found.groupBy("doc_id").agg(F.max("toxic").alias("toxic"), F.count(F.lit(1)).alias("times"), F.sum("size").alias("size"))
+    out, n, held = [], 0, 0
+    for r in found.orderBy(F.xxhash64("doc_id"), "doc_id").collect():  # again `rows` rows at most
+        if n + r["times"] <= rows and held + r["size"] <= size:
+            out.append((r["doc_id"], r["toxic"]))
+            n, held = n + r["times"], held + r["size"]
+    return out
+
+
+def train(docs: DataFrame, labels: DataFrame, folds: int = 5, sample_rows: int = SAMPLE_ROWS, sample_bytes: int = SAMPLE_BYTES, epochs: int = 4) -> tuple[np.ndarray, np.ndarray, float]:
+    """Weights (places, values, bias) learnt from at most sample_rows labelled rows, of sample_bytes at most, that are not held out.
 
     The sample's features are made where the texts lie; one task learns from them in a fixed order, and only the weights that L1
     leaves come to the driver. A doc_id labelled more than once is toxic if any label says so; null ids and labels don't count.
     """
-    known = labels.where(F.col("doc_id").isNotNull() & F.col("toxic").isNotNull() & (crc_mod(F.col("doc_id"), folds) != 0))
-    known = known.groupBy("doc_id").agg(F.max("toxic").cast("int").alias("toxic"))
-    known = known.orderBy(F.xxhash64("doc_id"), "doc_id").limit(sample_rows)
+    known = docs.sparkSession.createDataFrame(_sample(docs, labels, folds, sample_rows, sample_bytes), "doc_id long, toxic int")
     sample = docs.select("doc_id", "text").join(F.broadcast(known), "doc_id").select("doc_id", "text", "toxic")  # of sample_rows rows at most
     made = sample.mapInArrow(_featurise, "doc_id long, toxic int, features binary")
 
@@ -122,13 +135,14 @@ def _dense(model) -> tuple[np.ndarray, float]:
     return weights, bias
 
 
-def score_toxicity(docs: DataFrame, labels: DataFrame, folds: int = 5, sample_rows: int = SAMPLE_ROWS) -> DataFrame:
+def score_toxicity(docs: DataFrame, labels: DataFrame, folds: int = 5, sample_rows: int = SAMPLE_ROWS, sample_bytes: int = SAMPLE_BYTES) -> DataFrame:
     """doc_id, held_out, score (0 to 1), predicted for each row of docs.
 
     Only texts are inputs of a score. A null or empty text has the score of the bias alone. A null doc_id counts as held out.
-    Without labels every score is 0.5. Repeated rows are scored alike; other columns are not looked at.
+    Without labels every score is 0.5. Repeated rows are scored alike; a very long text is scored by itself, in memory of its own length; no
+    rows give no rows. Other columns are not looked at. The model learns from at most sample_rows labelled rows of sample_bytes in all.
     """
-    model = docs.sparkSession.sparkContext.broadcast(train(docs, labels, folds, sample_rows))
+    model = docs.sparkSession.sparkContext.broadcast(train(docs, labels, folds, sample_rows, sample_bytes))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         weights, bias = _dense(model)
@@ -139,13 +153,13 @@ def score_toxicity(docs: DataFrame, labels: DataFrame, folds: int = 5, sample_ro
     return scored.select("doc_id", (crc_mod(F.col("doc_id"), folds) == 0).alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"))
 
 
-def drop_toxic(docs: DataFrame, labels: DataFrame, folds: int = 5, sample_rows: int = SAMPLE_ROWS, threshold: float = 0.5) -> DataFrame:
+def drop_toxic(docs: DataFrame, labels: DataFrame, folds: int = 5, sample_rows: int = SAMPLE_ROWS, threshold: float = 0.5, sample_bytes: int = SAMPLE_BYTES) -> DataFrame:
     """The rows of docs whose score is below the threshold, with all their columns, whatever these are called.
 
     A null or empty text has the score of the bias alone, and a null doc_id or a repeated row is like any other. A very long text is
     scored by itself, in memory of its own length. No rows give no rows; without labels nothing is known, and all rows stay.
     """
-    places, values, bias = train(docs, labels, folds, sample_rows)
+    places, values, bias = train(docs, labels, folds, sample_rows, sample_bytes)
     if not len(places) and not bias:
         return docs
     model = docs.sparkSession.sparkContext.broadcast((places, values, bias))

@@ -2,22 +2,48 @@
 
 Suffix tuples and common-prefix values travel through priority queues and stacks that keep a bounded part in memory and the rest on
 disk; what must be sorted first, the suffixes at left-most S positions, is named by an external merge sort and, where names
-repeat, sorted by the same procedure on the string of names.
+repeat, sorted by the same procedure on the string of names. The string, its types, names and runs are arrays in files that are
+mapped into memory, so that the system keeps as much of them there as it can; arrays in memory proper are CHUNK long at most.
+Files are temporary ones of the task alone: they are gone with it, and a task that is run again makes its own.
 """
 
 from __future__ import annotations
 
 import heapq
 import tempfile
-from array import array
 from bisect import bisect_right
 from collections import deque
 from collections.abc import Iterator
 
 import numpy as np
 
-#: Tuples that a queue, or a run being made, holds in memory.
-HELD = 100_000
+#: Tuples that a queue, or a run being made, holds in memory; items of an array that are looked at together.
+HELD, CHUNK = 100_000, 1 << 20
+
+
+class Growing:
+    """An array in a temporary file, to which parts are appended."""
+
+    def __init__(self, kind: type) -> None:
+        self.kind, self.n, self.file = np.dtype(kind), 0, tempfile.TemporaryFile()
+
+    def add(self, part: np.ndarray) -> None:
+        self.file.write(np.ascontiguousarray(part, self.kind))
+        self.n += len(part)
+
+    def mapped(self) -> np.ndarray:
+        self.file.flush()
+        return np.memmap(self.file, self.kind, "r+", shape=self.n) if self.n else np.zeros(0, self.kind)
+
+
+def on_disk(n: int, kind: type) -> np.ndarray:
+    """An array of zeros in a temporary file."""
+    return np.memmap(tempfile.TemporaryFile(), kind, "w+", shape=n) if n else np.zeros(0, kind)
+
+
+def chunks(n: int) -> Iterator[tuple[int, int]]:
+    for low in range(0, n, CHUNK):
+        yield low, min(low + CHUNK, n)
 
 
 class DiskQueue:
@@ -47,15 +73,18 @@ class DiskQueue:
             self._spill()
 
     def _spill(self) -> None:
+        """Write the longest lines' backs, in parts of a quarter of the bound, so that a part that comes back leaves room for others."""
         self.file = self.file or tempfile.TemporaryFile()
+        most = max(1, self.held // 4)
         for key in sorted(self.back, key=lambda k: -len(self.back[k])):
             line = self.back.pop(key)
-            self.filed.setdefault(key, deque()).append((self.file.seek(0, 2), len(line)))
-            self.file.write(np.array(line, np.int64).tobytes())
+            for k in range(0, len(line), most):
+                part = line[k : k + most]
+                self.filed.setdefault(key, deque()).append((self.file.seek(0, 2), len(part)))
+                self.file.write(np.array(part, np.int64).tobytes())
             self.n -= len(line)
             if 2 * self.n <= self.held:
                 break
-        self.held = max(self.held, 2 * self.n)  # what is in front lines can't go back
 
     def least(self) -> int | None:
         """The least key that has a tuple."""
@@ -138,14 +167,41 @@ class _Prefixes:
 def _types(text: np.ndarray) -> np.ndarray:
     """Whether each suffix is less than the one after it. The last character is the only least one."""
     n = len(text)
-    differs = np.flatnonzero(text[1:] != text[:-1])
-    up = np.zeros(n, bool)
-    up[-1] = True
-    following = np.searchsorted(differs, np.arange(n - 1))
-    up[:-1] = text[differs[following] + 1] > text[differs[following]]
+    up = on_disk(n, np.uint8)
+    up[n - 1], carried = 1, True
+    for low, high in reversed(list(chunks(n - 1))):
+        part = np.asarray(text[low : high + 1])
+        differs = np.flatnonzero(part[1:] != part[:-1])
+        rises = np.append(part[differs + 1] > part[differs], carried)
+        up[low:high] = rises[np.searchsorted(differs, np.arange(high - low))]
+        carried = bool(up[low])
     return up
 
 
+def _runs(text: np.ndarray, deep: int) -> np.ndarray:
+    """How often each position's character comes from there on without a break, deep at most."""
+    n = len(text)
+    out, carried = on_disk(n, np.int32), 0
+    for low, high in reversed(list(chunks(n))):
+        part = np.asarray(text[low : high + 1])
+        own = high - low
+        ends = np.append(np.flatnonzero(part[1:] != part[:-1]), own - 1)
+        last = ends[np.minimum(np.searchsorted(ends, np.arange(own)), len(ends) - 1)]
+        more = carried if high < n and part[own - 1] == part[own] else 0
+        out[low:high] = np.minimum(last - np.arange(own) + 1 + np.where(last == own - 1, more, 0), deep)
+        carried = int(out[low])
+    return out
+
+
+def _starts(up: np.ndarray) -> np.ndarray:
+    """The left-most S positions."""
+    out = Growing(np.int64)
+    for low, high in chunks(len(up) - 1):
+        part = np.asarray(up[low : high + 1])
+        out.add(np.flatnonzero((part[1:] == 1) & (part[:-1] == 0)) + low + 1)
+    return out.mapped()
+
+
 def _common(text: np.ndarray, a: np.ndarray, b: np.ndarray, deep: int) -> np.ndarray:
     """Length of the common prefix of each pair of suffixes, deep at most."""
     out, live = np.zeros(len(a), np.int64), np.arange(len(a))
@@ -161,23 +217,29 @@ def _common(text: np.ndarray, a: np.ndarray, b: np.ndarray, deep: int) -> np.nda
 
 def _sorted_starts(text: np.ndarray, up: np.ndarray, starts: np.ndarray, held: int) -> np.ndarray:
     """The left-most S positions in the order of their suffixes."""
-    marked = (text.astype(np.int64) * 2 + up).astype(">u8")
-    stops = np.append(starts[1:], len(text) - 1) + 1
-    chunks, own = [], []
-    for k, (a, b) in enumerate(zip(starts.tolist(), stops.tolist(), strict=True)):
-        own.append((marked[a:b].tobytes(), k))
-        if len(own) >= held:
-            chunks.append(_named_run(sorted(own)))
-            own = []
-    names, name, was = np.zeros(len(starts), np.int64), 0, None
-    for key, k in heapq.merge(sorted(own), *chunks):
+    parts, own, m = [], [], len(starts)
+    for low in range(0, m, held):
+        here = np.asarray(starts[low : low + held])
+        first, end = int(here[0]), int(starts[low + held]) + 1 if low + held < m else len(text)
+        marked = (np.asarray(text[first:end]).astype(np.int64) * 2 + up[first:end]).astype(">u8")  # from one of them to the next, both ends within
+        stops = np.append(here[1:], end - 1) + 1
+        if own:
+            parts.append(_named_run(sorted(own)))
+        own = [(marked[a - first : b - first].tobytes(), low + k) for k, (a, b) in enumerate(zip(here.tolist(), stops.tolist(), strict=True))]
+    names, name, was = on_disk(m + 1, np.int64), 0, None
+    for key, k in heapq.merge(sorted(own), *parts):
         if key != was:
             name, was = name + 1, key
         names[k] = name
-    if name == len(starts):
-        return starts[np.argsort(names)]
-    order = [k for k, _ in induced_order(np.append(names, 0), 1, held)][1:]
-    return starts[np.array(order, np.int64)]
+    out = on_disk(m, np.int64)
+    if name == m:
+        for low, high in chunks(m):
+            out[np.asarray(names[low:high]) - 1] = starts[low:high]
+        return out
+    for k, (i, _) in enumerate(induced_order(names, 1, held)):  # the zero at their end comes first
+        if k:
+            out[k - 1] = starts[i]
+    return out
 
 
 def _named_run(items: list[tuple[bytes, int]]) -> Iterator[tuple[bytes, int]]:
@@ -204,14 +266,12 @@ def induced_order(text: np.ndarray, deep: int, held: int = HELD) -> Iterator[tup
         yield from ((k, 0) for k in range(n))
         return
     up = _types(text)
-    starts = np.flatnonzero(up[1:] & ~up[:-1]) + 1
+    starts = _starts(up)
     seeds = _sorted_starts(text, up, starts, held) if len(starts) > 1 else starts
-    near = np.concatenate(([0], _common(text, seeds[:-1], seeds[1:], deep)))
-    ends = np.append(np.flatnonzero(text[1:] != text[:-1]), n - 1)
-    runs = np.minimum(ends[np.searchsorted(ends, np.arange(n))] - np.arange(n) + 1, deep)
-    same = array("i", runs.astype(np.int32).tobytes())
-    del runs
-    chars, is_up = array("q", text.astype(np.int64).tobytes()), up.tobytes()
+    near = on_disk(len(seeds), np.int64)
+    for low, high in chunks(len(seeds) - 1):
+        near[low + 1 : high + 1] = _common(text, np.asarray(seeds[low:high]), np.asarray(seeds[low + 1 : high + 1]), deep)
+    same, chars, is_up, seeds, near = (memoryview(x) for x in (_runs(text, deep), text, up, seeds, near))  # as quick to index as lists
 
     # Forwards: every L suffix is met through the suffix that follows it in the text.
     queue, seen, last = DiskQueue(2, held), _Prefixes(), {}

@@ -55,4 +55,4 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op2_near_dedup": near_dedup.ORACLE_SQL, "op4_line_dedup": line_dedup.ORACLE_SQL, "op5_decontamination": decontamination.ORACLE_SQL}
+    return {"op2_near_dedup": near_dedup.ORACLE_SQL, "op4_line_dedup": line_dedup.ORACLE_SQL, "op5_decontamination": decontamination.ORACLE_SQL, "op9_suffix_dedup": suffix_dedup.ORACLE_SQL}

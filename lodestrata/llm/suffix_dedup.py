@@ -8,7 +8,6 @@ and all. There, stretches are cut down to windows that a hash finds in other doc
 
 from __future__ import annotations
 
-from array import array
 from collections.abc import Iterator
 
 import numpy as np
@@ -17,12 +16,16 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .induced import induced_order
+from .induced import Growing, chunks, induced_order, on_disk
 from .shared import materialize
 from .textcore import SLICE_BYTES, SpanHashes, distinct, slices
 
 SPAN, WIDTH = 50, 25
 BLOCK_BYTES = 1 << 19
+#: Bytes of text that a shard is meant for: with more text there are more shards.
+SHARD_TEXT = 1 << 25
+#: Different windows whose owners are compared in memory at a time.
+HELD_KEYS = 1 << 20
 #: Stands for a null doc_id: it is after all others, and covers nothing.
 _LAST = (1 << 63) - 1
 
@@ -204,107 +207,196 @@ def _spread(parts: int):
 
 
 def _settle(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """For each block, where covered windows of its open stretches start."""
+    """For each block, where covered windows of its open stretches start. The shard goes to files as it comes."""
     import zstandard
 
     unpress = zstandard.ZstdDecompressor()
-    blocks, metas, texts = [], [], []
+    data, doc, start, size, block = Growing(np.uint8), *(Growing(np.int64) for _ in range(4))
     for batch in batches:
         for x in batch.to_pylist():
             raw = unpress.decompress(x["payload"])
-            metas.append(np.frombuffer(raw, np.int64, 3 * x["n"]).reshape(3, -1))
-            texts.append(np.frombuffer(raw, np.uint8, offset=24 * x["n"]))
-            blocks.append(np.full(x["n"], x["block"]))
-    if not blocks:
+            for to, part in zip((doc, start, size), np.frombuffer(raw, np.int64, 3 * x["n"]).reshape(3, -1), strict=True):
+                to.add(part)
+            data.add(np.frombuffer(raw, np.uint8, offset=24 * x["n"]))
+            block.add(np.full(x["n"], x["block"]))
+    if not block.n:
         return
-    (doc, start, size), data, block = np.concatenate(metas, axis=1), np.concatenate(texts), np.concatenate(blocks)
-    del metas, texts, blocks
-    first = np.cumsum(size) - size
-    found = covered_windows(data, first, size, doc)
-    of = np.searchsorted(first, found, side="right") - 1
-    place, home = found - first[of] + start[of], block[of]
-    order = np.argsort(home, kind="stable")
-    edges = np.flatnonzero(np.concatenate(([True], np.diff(home[order]) != 0))) if len(order) else np.zeros(0, np.int64)
-    out = [place[order[a:b]].tobytes() for a, b in zip(edges, np.append(edges[1:], len(order)), strict=True)]
-    yield pa.RecordBatch.from_arrays([pa.array(home[order[edges]], pa.int64()), pa.array(out, pa.binary())], ["block", "places"])
+    doc, start, size, block = doc.mapped(), start.mapped(), size.mapped(), block.mapped()
+    first = _before(size)
+    found = covered_windows(data.mapped(), first, size, doc)
+    for low, high in chunks(len(found)):
+        here = np.asarray(found[low:high])
+        of = np.searchsorted(first, here, side="right") - 1
+        place, home = here - first[of] + start[of], block[of]
+        order = np.argsort(home, kind="stable")
+        edges = np.flatnonzero(np.concatenate(([True], np.diff(home[order]) != 0)))
+        out = [place[order[a:b]].tobytes() for a, b in zip(edges, np.append(edges[1:], len(order)), strict=True)]
+        yield pa.RecordBatch.from_arrays([pa.array(np.asarray(home[order[edges]]), pa.int64()), pa.array(out, pa.binary())], ["block", "places"])
+
+
+def _before(sizes: np.ndarray) -> np.ndarray:
+    """The sum of the sizes before each one."""
+    out, total = on_disk(len(sizes), np.int64), 0
+    for low, high in chunks(len(sizes)):
+        past = np.cumsum(sizes[low:high]) + total
+        out[low:high] = past - sizes[low:high]
+        total = int(past[-1])
+    return out
 
 
 def covered_windows(data: np.ndarray, first: np.ndarray, size: np.ndarray, doc: np.ndarray) -> np.ndarray:
-    """Where windows start in data, which is strings of given firsts, sizes and documents, that a smaller document's string has too."""
+    """Where windows start in data, which is strings of given firsts, sizes and documents, that a smaller document's string has too.
+
+    Windows that a hash finds in one document only are passed over; what is left are runs of windows. Of equal runs one is looked at,
+    for the smallest of their documents; those that share windows with others have their suffixes sorted, and every window gets the
+    smallest document among its neighbours in that order with SPAN bytes in common."""
     room = size - SPAN + 1
-    shared = np.flatnonzero(_in_several(_window_keys(data, first, size), np.repeat(doc, room)))  # others occur in one document only
-    if not len(shared):
-        return shared
-    past = np.cumsum(room)
-    of = np.searchsorted(past, shared, side="right")
-    at = first[of] + shared - (past - room)[of]
-    del shared
-    fresh = np.flatnonzero(np.concatenate(([True], (np.diff(at) != 1) | (np.diff(of) != 0))))
-    last = np.append(fresh[1:], len(at)) - 1
-    low, high, owner = at[fresh], at[last] + SPAN, doc[of[fresh]]
-    raw, texts = data.tobytes(), {}
-    kind = np.array([texts.setdefault(raw[a:b], len(texts)) for a, b in zip(low.tolist(), high.tolist(), strict=True)])
-    least = np.full(len(texts), _LAST)
-    np.minimum.at(least, kind, owner)
-    pieces = list(texts)
-    sizes = np.array([len(x) for x in pieces])
-    begins = np.cumsum(sizes) - sizes
-    winner = np.repeat(least, sizes)  # of the window at each byte of the different strings
-    whole = np.frombuffer(b"".join(pieces), np.uint8)
-    of = np.repeat(np.arange(len(pieces)), sizes - SPAN + 1)
-    mixed = _in_several(_window_keys(whole, begins, sizes), of)
-    _settle_sorted(pieces, begins, np.flatnonzero(np.bincount(of[mixed], minlength=len(pieces))), winner)  # others share no window
-    runs = high - low - SPAN + 1
-    inner = np.arange(runs.sum()) - np.repeat(np.cumsum(runs) - runs, runs)
-    lost = winner[np.repeat(begins[kind], runs) + inner] < np.repeat(owner, runs)
-    return (np.repeat(low, runs) + inner)[lost]
+    several = _in_several(_window_keys(data, first, size), _before(room), doc)
+    low, length, owner = _shared_runs(several, _before(room), first, doc)
+    kind, heads = _kinds(data, low, length)
+    least = on_disk(len(heads), np.int64)
+    least[:] = _LAST
+    for a, b in chunks(len(low)):
+        np.minimum.at(least, kind[a:b], owner[a:b])
+    base = _before(length[heads] - SPAN + 1)  # of each different run, its first window among all of theirs
+    winner = on_disk(int(base[-1] + length[heads[-1]] - SPAN + 1) if len(heads) else 0, np.int64)
+    for k, (a, n) in enumerate(zip(base.tolist(), (length[heads] - SPAN + 1).tolist(), strict=True)):
+        winner[a : a + n] = least[k]
+    mixed = _in_several(_window_keys(data, low[heads], length[heads]), base, np.arange(len(heads)))
+    chosen = np.flatnonzero(np.add.reduceat(mixed, base)) if len(heads) else heads  # others share no window
+    _settle_sorted(data, low[heads], length[heads], base, chosen, winner)
+    out, runs = Growing(np.int64), length - SPAN + 1
+    at = 0
+    while at < len(low):
+        end = max(at + 1, int(np.searchsorted(np.cumsum(runs[at : at + BLOCK_BYTES]), BLOCK_BYTES)) + at)
+        own = np.asarray(runs[at:end])
+        inner = np.arange(own.sum()) - np.repeat(np.cumsum(own) - own, own)
+        lost = winner[np.repeat(base[kind[at:end]], own) + inner] < np.repeat(owner[at:end], own)
+        out.add((np.repeat(low[at:end], own) + inner)[lost])
+        at = end
+    return out.mapped()
 
 
 def _window_keys(data: np.ndarray, first: np.ndarray, size: np.ndarray) -> np.ndarray:
-    """A hash of each window of strings that follow on each other in data, SLICE_BYTES of them at a time."""
-    out, low, past = [np.zeros(0, np.uint64)], 0, first + size
+    """A hash of each window of strings in data, string by string, about SLICE_BYTES of them at a time."""
+    out, low = Growing(np.uint64), 0
     while low < len(first):
-        high = max(low + 1, int(np.searchsorted(past, first[low] + SLICE_BYTES, side="right")))
-        room = size[low:high] - SPAN + 1
-        at = np.arange(room.sum()) + np.repeat(first[low:high] - first[low] - (np.cumsum(room) - room), room)
-        out.append(SpanHashes(data[first[low] : past[high - 1]], fold=False)(at, at + SPAN))
+        high = max(low + 1, int(np.searchsorted(np.cumsum(size[low : low + SLICE_BYTES]), SLICE_BYTES)) + low)
+        own = np.asarray(size[low:high])
+        begins, room = np.cumsum(own) - own, own - SPAN + 1
+        text = data[np.arange(own.sum()) + np.repeat(first[low:high] - begins, own)]
+        at = np.arange(room.sum()) + np.repeat(begins - (np.cumsum(room) - room), room)
+        out.add(SpanHashes(text, fold=False)(at, at + SPAN))
         low = high
-    return np.concatenate(out)
-
-
-def _in_several(keys: np.ndarray, owners: np.ndarray) -> np.ndarray:
-    """Whether each key has more than one owner."""
-    if not len(keys):
-        return np.zeros(0, bool)
-    order = np.argsort(keys, kind="stable")
-    keys, owners = keys[order], owners[order]
-    heads = np.flatnonzero(np.concatenate(([True], keys[1:] != keys[:-1])))
-    several = np.minimum.reduceat(owners, heads) != np.maximum.reduceat(owners, heads)
-    out = np.zeros(len(keys), bool)
-    out[order] = np.repeat(several, np.diff(np.append(heads, len(keys))))
+    return out.mapped()
+
+
+def _in_several(keys: np.ndarray, base: np.ndarray, owners: np.ndarray) -> np.ndarray:
+    """Whether each key has more than one owner; string k has the keys from base[k] on. Keys are compared some HELD_KEYS different ones at a
+    time, by ranges of their values, and each chunk's are summed up before they are put together."""
+    out = on_disk(len(keys), bool)
+    passes = len(keys) // HELD_KEYS + 1
+    for k in range(passes):
+        low, high = np.uint64((k << 64) // passes), np.uint64(((k + 1 << 64) - 1) // passes)
+        seen = [np.zeros(0, np.uint64), np.zeros(0, np.int64), np.zeros(0, np.int64)]
+        mine = lambda part: np.flatnonzero((part >= low) & (part <= high))  # noqa: B023, E731
+        for a, b in chunks(len(keys)):
+            part = np.asarray(keys[a:b])
+            at = mine(part)
+            own = owners[np.searchsorted(base, at + a, side="right") - 1]
+            seen = _extremes(np.concatenate((seen[0], part[at])), np.concatenate((seen[1], own)), np.concatenate((seen[2], own)))
+        more = seen[0][seen[1] != seen[2]]
+        for a, b in chunks(len(keys)) if len(more) else ():
+            part = np.asarray(keys[a:b])
+            at = mine(part)
+            out[a + at] = more[np.minimum(np.searchsorted(more, part[at]), len(more) - 1)] == part[at]
     return out
 
 
-def _settle_sorted(pieces: list[bytes], begins: np.ndarray, chosen: np.ndarray, winner: np.ndarray) -> None:
+def _extremes(keys: np.ndarray, least: np.ndarray, most: np.ndarray) -> list[np.ndarray]:
+    """The different keys in order, each with the least of its least and the most of its most."""
+    order = np.argsort(keys, kind="stable")
+    keys = keys[order]
+    heads = np.flatnonzero(np.append(True, keys[1:] != keys[:-1])[: len(keys)])
+    return [keys[heads], np.minimum.reduceat(least[order], heads), np.maximum.reduceat(most[order], heads)] if len(keys) else [keys, least, most]
+
+
+def _shared_runs(several: np.ndarray, base: np.ndarray, first: np.ndarray, doc: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """First byte, length and document of each maximal run of windows that are in several documents; a run ends with its string, and may be
+    parted where a chunk ends."""
+    low, length, owner = Growing(np.int64), Growing(np.int64), Growing(np.int64)
+    for a, b in chunks(len(several)):
+        at = np.flatnonzero(several[a:b]) + a
+        if not len(at):
+            continue
+        of = np.searchsorted(base, at, side="right") - 1
+        place = first[of] + at - base[of]
+        fresh = np.flatnonzero(np.concatenate(([True], (np.diff(at) != 1) | (np.diff(of) != 0))))
+        last = np.append(fresh[1:], len(at)) - 1
+        low.add(place[fresh])
+        length.add(place[last] + SPAN - place[fresh])
+        owner.add(doc[of[fresh]])
+    return low.mapped(), length.mapped(), owner.mapped()
+
+
+def _kinds(data: np.ndarray, low: np.ndarray, length: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """For each run the number of its text, and for each different text its first run: found by hash and length, compared byte by byte."""
+    keys = Growing(np.uint64)
+    spans = lambda a, b: np.arange(length[a:b].sum()) + np.repeat(low[a:b] - (np.cumsum(length[a:b]) - length[a:b]), length[a:b])
+    pieces, at = [], 0
+    while at < len(low):
+        end = max(at + 1, int(np.searchsorted(np.cumsum(length[at : at + SLICE_BYTES]), SLICE_BYTES)) + at)
+        pieces.append((at, end))
+        stops = np.cumsum(length[at:end])
+        keys.add(SpanHashes(data[spans(at, end)], fold=False)(stops - length[at:end], stops))
+        at = end
+    keys = keys.mapped()
+    order = np.lexsort((np.arange(len(low)), length, keys))  # eight bytes for each run, which is of SPAN bytes at least
+    fresh = np.append(True, (np.diff(keys[order]) != 0) | (np.diff(length[order]) != 0))[: len(order)]
+    kind, heads = on_disk(len(low), np.int64), order[fresh]
+    kind[order] = np.cumsum(fresh) - 1
+    apart = []
+    for a, b in pieces:
+        other = low[heads[kind[a:b]]]
+        own = np.asarray(length[a:b])
+        there = np.arange(own.sum()) + np.repeat(other - (np.cumsum(own) - own), own)
+        unlike = data[spans(a, b)] != data[there]
+        if unlike.any():
+            apart += (a + np.flatnonzero(np.logical_or.reduceat(unlike, np.cumsum(own) - own))).tolist()
+    kind[apart] = len(heads) + np.arange(len(apart))
+    return kind, np.concatenate((heads, np.array(apart, np.int64))).astype(np.int64)
+
+
+def _settle_sorted(data: np.ndarray, low: np.ndarray, length: np.ndarray, base: np.ndarray, chosen: np.ndarray, winner: np.ndarray) -> None:
     """Lower winner to the least over all equal windows of the chosen strings: neighbours in suffix order with SPAN bytes in common."""
     if len(chosen) < 2:
         return
-    own = [np.frombuffer(pieces[k], np.uint8) for k in chosen]
-    text = np.concatenate([np.concatenate((x.astype(np.int32) + 2, [1])) for x in own] + [np.zeros(1, np.int32)])
-    sizes = np.array([len(x) for x in own])
-    at = np.cumsum(sizes + 1) - (sizes + 1)
-    home = np.full(len(text), -1)
-    for a, n, k in zip(at, sizes, chosen, strict=True):
-        home[a : a + n - SPAN + 1] = begins[k] + np.arange(n - SPAN + 1)
-    home = array("q", home.tobytes())  # compact, and as quick to index as a list
-    group: list[int] = []
-    for place, common in induced_order(text, SPAN):
-        if home[place] >= 0:
-            group.append(home[place])
+    text, home = Growing(np.int32), Growing(np.int64)
+    for k in chosen.tolist():
+        a, n = int(low[k]), int(length[k])
+        text.add(np.append(data[a : a + n].astype(np.int32) + 2, 1))
+        home.add(np.concatenate((base[k] + np.arange(n - SPAN + 1), np.full(SPAN, -1))))
+    text.add(np.zeros(1))
+    home.add(np.full(1, -1))
+    home, group, least = memoryview(home.mapped()), Growing(np.int64), _LAST
+    ends = memoryview(winner)
+    held: list[int] = []
+    for place, common in induced_order(text.mapped(), SPAN):
+        if (k := home[place]) >= 0:
+            held.append(k)
+            least = min(least, ends[k])
+            if len(held) >= HELD_KEYS:
+                group.add(np.array(held))
+                held = []
         if common < SPAN:
-            if len(group) > 1:
-                winner[group] = winner[group].min()
-            group = []
+            if group.n:
+                for a, b in chunks(group.n):
+                    winner[group.mapped()[a:b]] = least
+                group = Growing(np.int64)
+            if held:
+                for k in held:
+                    ends[k] = least
+            held, least = [], _LAST
 
 
 def _finish(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -338,21 +430,38 @@ def remove_repeats(docs: DataFrame, parts: int | None = None) -> DataFrame:
 
     Strings are judged on the input and never cross rows. Cutting may split a character, hence kept is binary. A null text counts as
     empty. A null doc_id is after all others, and rows without one cover nothing. Rows that share a doc_id don't cover each other.
-    A text shorter than SPAN bytes stays. Other columns of docs are not looked at.
+    A text shorter than SPAN bytes stays. A very long text is one block, held by one task at a time. No rows give no rows. Other columns of
+    docs are not looked at. parts is the number of shards; by default it grows with the text, and a shard's arrays are in files.
 
     That two stretches, or windows of one shard, are alike is told by 96 and more bits of hashes where no text is compared.
     """
-    parts = parts or int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     blocks = materialize(docs.select("doc_id", "text").mapInArrow(_pack, "block long, ids array<long>, offsets array<long>, packed binary"))
+    if not parts:
+        volume = blocks.agg(F.sum(F.element_at("offsets", -1))).first()[0] or 0
+        parts = max(int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")), -(-volume // SHARD_TEXT))
     told = blocks.mapInArrow(_announce(parts), "block long, part long, anchors binary, contents binary, ids binary, of binary")
-    fates = told.repartition(parts, "part").mapInArrow(_fates, "block long, part long, covered binary, open binary")
+    fates = told.repartitionById(parts, F.col("part").cast("int")).mapInArrow(_fates, "block long, part long, covered binary, open binary")
     by_block = fates.groupBy("block").agg(F.collect_list(F.struct("part", "covered", "open")).alias("told"))  # a row for each part at most
     spread = materialize(blocks.join(by_block, "block", "left").mapInArrow(_spread(parts), "block long, shard long, payload binary, n long"))
-    settled = spread.where("shard IS NOT NULL").repartition(parts, "shard").mapInArrow(_settle, "block long, places binary")
-    places = settled.groupBy("block").agg(F.collect_list("places").alias("places"))  # again a row for each part at most
+    settled = spread.where("shard IS NOT NULL").repartitionById(parts, F.col("shard").cast("int")).mapInArrow(_settle, "block long, places binary")
+    places = settled.groupBy("block").agg(F.collect_list("places").alias("places"))  # again a few rows for each part
     cover = spread.where("shard IS NULL").select("block", F.col("payload").alias("cover"))
     return blocks.join(cover, "block", "left").join(places, "block", "left").mapInArrow(_finish, "doc_id long, n_bytes long, n_removed long, n_spans long, kept binary")
 
 
 def digest(result: DataFrame) -> DataFrame:
     return result.select("doc_id", "n_bytes", "n_removed", "n_spans", F.sha2("kept", 256).alias("kept_sha256"))
+
+
+ORACLE_SQL = """
+WITH d AS (SELECT doc_id, hex(encode(coalesce(text, ''))) AS h FROM documents),
+p AS (SELECT doc_id, n, c, substr(h, 1000 * c + 1, 1098) AS g FROM (SELECT doc_id, h, strlen(h) // 2 AS n, unnest(range(0, (strlen(h) // 2 + 499) // 500)) AS c FROM d)),
+w AS (SELECT doc_id, 500 * c + j AS i, substr(g, 2 * j + 1, 2) AS x, CASE WHEN 500 * c + j + 50 <= n THEN substr(g, 2 * j + 1, 100) END AS k FROM (SELECT *, unnest(range(0, least(500, n - 500 * c))) AS j FROM p)),
+r AS (SELECT k, min(doc_id) AS least FROM w WHERE k IS NOT NULL GROUP BY k HAVING min(doc_id) <> max(doc_id)),
+m AS (SELECT w.doc_id, w.i, w.x, CASE WHEN r.least < w.doc_id THEN 1 ELSE 0 END AS hit FROM w LEFT JOIN r ON w.k = r.k),
+c AS (SELECT doc_id, i, x, max(hit) OVER (PARTITION BY doc_id ORDER BY i ROWS BETWEEN 49 PRECEDING AND CURRENT ROW) AS gone FROM m),
+e AS (SELECT *, lag(gone, 1, 0) OVER (PARTITION BY doc_id ORDER BY i) AS was FROM c),
+s AS (SELECT doc_id, sum(gone) AS n_removed, count(*) FILTER (gone = 1 AND was = 0) AS n_spans, string_agg(x, '' ORDER BY i) FILTER (gone = 0) AS kept FROM e GROUP BY doc_id)
+SELECT d.doc_id, (strlen(d.h) // 2)::BIGINT AS n_bytes, coalesce(s.n_removed, 0)::BIGINT AS n_removed, coalesce(s.n_spans, 0)::BIGINT AS n_spans, sha256(unhex(coalesce(s.kept, ''))) AS kept_sha256
+FROM d LEFT JOIN s ON d.doc_id = s.doc_id
+"""

@@ -33,7 +33,7 @@ def rows_of(df, *columns):
     return sorted((tuple(r) for r in df.select(*columns).collect()), key=lambda r: tuple(map(str, r)))
 
 
-@pytest.mark.parametrize("name", ["op2_near_dedup", "op4_line_dedup", "op5_decontamination"])
+@pytest.mark.parametrize("name", ["op2_near_dedup", "op4_line_dedup", "op5_decontamination", "op9_suffix_dedup"])
 def test_sql(spark, name):
     con = duckdb.connect()
     for t in ("documents", "benchmark", "labels"):
@@ -244,13 +244,47 @@ def test_fingerprints_and_edits(spark):
     assert alone == {i: r.fingerprint for i, r in got.items()}
 
 
-def test_fingerprint_counts_are_those_of_single_texts():
-    column = pa.array(["abcdefgh" * 9, "", "abcd", "hello world, hello"])
-    data, offsets = textcore.column_bytes(column)
-    whole = fingerprint.bucket_counts(data, offsets)
-    for k in range(4):
-        own = data[offsets[k] : offsets[k + 1]]
-        assert (whole[k] == fingerprint.bucket_counts(own, np.array([0, len(own)]))[0]).all() and whole[k].sum() == 6 * max(len(own) - 4, 0)
+def plain_digest(t):
+    raw, counts = t.encode(), [0] * 256
+    for i in range(len(raw)):
+        for salt, (a, b) in enumerate(fingerprint.TRIPLETS, 1):
+            if i + b < len(raw):
+                h = (raw[i] * 0x9E3779B1 + raw[i + a] * 0x85EBCA77 + raw[i + b] * 0xC2B2AE3D + salt * 0x27D4EB2F) % 2**32
+                counts[((h ^ h >> 15) * 0x2C1B3C6D % 2**32) >> 24] += 1
+    q1, q2, q3 = (sorted(counts)[k * 64 - 1] for k in (1, 2, 3))
+    ratio = lambda q: round(255 * q / max(q3, 1))
+    codes = [(n > q1) + (n > q2) + (n > q3) for n in counts]
+    packed = [sum(codes[4 * k + j] << 2 * j for j in range(4)) for k in range(64)]
+    return bytes([min(round(math.log1p(len(raw)) * 8), 255), ratio(q1), ratio(q2), *packed]), codes
+
+
+def plain_likeness(x, y):
+    (a, p), (b, q) = x, y
+    body = sum(abs(i - j) + 3 * (abs(i - j) == 3) for i, j in zip(p, q, strict=True))
+    head = sum(min(max(abs(i - j) - 1, 0) * w, 75) for i, j, w in zip(a[:3], b[:3], (0.5, 0.25, 0.25), strict=True))
+    return 1 - min(body + head, 300) / 300
+
+
+def test_fingerprints_and_likeness_are_those_of_plain_loops(spark):
+    rng = random.Random(5)
+    base = "".join(rng.choices("abcdefg hij", k=900))
+    rows = [(k, t) for k, t in enumerate([base, base[:700] + "zz" + base[700:], "abc", "xyz", "abcd", "", "é" * 60, "".join(rng.choices("qrstuvw ", k=3000)), base])]
+    got = {r.doc_id: r for r in fingerprint.compare_edits(texts(spark, rows), 3).collect()}
+    for k, t in rows:
+        following = rows[(k + 1) % len(rows)][1]
+        edited = t[: len(t) - len(t) // 4] + following[: len(t) // 4]
+        own, new, after = plain_digest(t), plain_digest(edited), plain_digest(following)
+        assert got[k].fingerprint == own[0].hex() and got[k].edited_fingerprint == new[0].hex()
+        assert abs(got[k].near_edited - plain_likeness(own, new)) < 1e-9 and abs(got[k].near_next - plain_likeness(own, after)) < 1e-9
+    assert got[2].fingerprint != got[3].fingerprint and got[2].near_next < 1 and got[0].near_next > 0.7
+
+
+def test_fingerprints_of_hot_ids_and_equal_rows(spark):
+    rows = [(None, f"text {k % 5} of no document") for k in range(60)] + [(7, "the same text")] * 40 + [(k, f"another text {k}") for k in range(10, 20)]
+    got = fingerprint.compare_edits(texts(spark, rows).repartition(3), 6).collect()
+    assert len(got) == len(rows)
+    same = [r.near_next for r in got if r.doc_id == 7]
+    assert sorted(same)[1:] == [1.0] * 39 and sum(r.near_next == 1.0 for r in got if r.doc_id is None) == 55
 
 
 def test_fingerprint_edges(spark):
@@ -391,6 +425,31 @@ def test_scores_and_counts(spark, monkeypatch, head):
     assert lm_score.score_texts(texts(spark, ODD).limit(0)).count() == 0
 
 
+def test_scores_are_those_of_a_plain_loop_over_whole_texts():
+    rng = np.random.default_rng(2)
+    model = gru.Model(gru.make_classes(np.arange(30.0, 0, -1)), np.arange(30.0, 0, -1), 9.0)
+    gru.train(model, [rng.integers(0, 32, 40) for _ in range(20)])
+    model.ready()
+    p, sigmoid = {k: v.astype(float) for k, v in model.p.items()}, lambda x: 1 / (1 + np.exp(-x))
+    texts_ = [rng.integers(0, 32, n) for n in (200, 65, 64, 1)]
+    for t, got in zip(texts_, gru.score(model, texts_), strict=True):
+        h, before, total, w = np.zeros(gru.WIDTH), model.n + gru.SPARE, 0.0, gru.WIDTH
+        for word in t:
+            a, u = p["words"][before] @ p["inward"] + p["gates"], h @ p["onward"]
+            z, r = sigmoid(a[:w] + u[:w]), sigmoid(a[w : 2 * w] + u[w : 2 * w])
+            new = np.tanh(a[2 * w :] + r * u[2 * w :])
+            h = z * h + (1 - z) * new
+            e = np.exp(h @ p["classes"] + p["class_bias"])
+            c = int(model.class_of[word])
+            total += math.log(e[c] / e.sum())
+            if word < model.n:
+                low, high = model.firsts[c], model.stops[c]
+                e = np.exp(p["members"][low:high] @ h + p["member_bias"][low:high])
+                total += math.log(e[word - low] / e.sum())
+            before = word
+        assert abs(total - got) < 1e-3 * max(1, abs(total))
+
+
 def test_language_model_learns_from_every_token(spark):
     rows = [("a b c " * 700,), ("d",), ("",), ("e f " * 50,)]
     words = {w for (t,) in rows for w in t.split()}
@@ -513,6 +572,16 @@ def test_quality_keeps_good_texts(spark):
     assert odd.where("keep").count() == len(ODD) and kneser_ney.judge_quality(texts(spark, ODD).limit(0), no_labels).count() == 0
 
 
+def test_every_language_has_bounds_of_its_own(spark):
+    rng = random.Random(7)
+    rows = [(k, "a", " ".join(rng.choices("one two three four".split(), k=30))) for k in range(400)] + [(1000 + k, "b", " ".join(rng.choices("un deux".split(), k=6))) for k in range(30)] + [(2000, "c", "x y z")]
+    docs = spark.createDataFrame(rows, "doc_id long, lang string, text string")
+    labels = spark.createDataFrame([(i, 1, 0) for i, _, _ in rows if i < 2000], "doc_id long, quality int, toxic int")
+    bounds = {(r.lang, r.low_bound, r.high_bound) for r in kneser_ney.judge_quality(docs, labels).collect()}
+    own = {x[0]: x[1:] for x in bounds}
+    assert len(bounds) == 3 and own["a"][0] > own["c"][0] and own["a"][1] < own["c"][1]
+
+
 @pytest.mark.parametrize("head", [500_000, 20])
 def test_quality_learns_from_all_trusted_texts(spark, monkeypatch, head):
     monkeypatch.setattr(kneser_ney, "HEAD_GRAMS", head)
@@ -532,8 +601,9 @@ def test_quality_learns_from_all_trusted_texts(spark, monkeypatch, head):
 # 9
 
 
-@pytest.mark.parametrize("held", [4, 100_000])
-def test_suffix_order_and_prefixes(held):
+@pytest.mark.parametrize("held, chunk", [(4, 7), (4, 1 << 20), (100_000, 5), (100_000, 1 << 20)])
+def test_suffix_order_and_prefixes(monkeypatch, held, chunk):
+    monkeypatch.setattr(induced, "CHUNK", chunk)
     rng = random.Random(9)
     for turn in range(400):
         s = [rng.randint(1, rng.choice((2, 3, 6))) for _ in range(rng.randint(1, 50))] * rng.choice((1, 1, 3))
@@ -563,6 +633,26 @@ def brute_removed(rows):
     return sorted(out, key=str)
 
 
+@pytest.mark.parametrize("chunk, keys, slice_bytes", [(1 << 20, 1 << 20, 1 << 18), (40, 60, 100)])
+def test_covered_windows_are_those_of_brute_force(monkeypatch, chunk, keys, slice_bytes):
+    monkeypatch.setattr(induced, "CHUNK", chunk)
+    monkeypatch.setattr(suffix_dedup, "HELD_KEYS", keys)
+    monkeypatch.setattr(suffix_dedup, "SLICE_BYTES", slice_bytes)
+    rng = random.Random(1)
+    base = ["".join(rng.choices("abcd", k=400)) for _ in range(3)]
+    for turn in range(12):
+        own = [(rng.randint(0, 5), (rng.choice(base)[(a := rng.randint(0, 300)) : a + rng.randint(50, 100)] + "x" * rng.choice((0, 0, 60))).encode()) for _ in range(25)]
+        size, doc = np.array([len(x) for _, x in own]), np.array([i for i, _ in own])
+        first = np.cumsum(size) - size
+        got = suffix_dedup.covered_windows(np.frombuffer(b"".join(x for _, x in own), np.uint8), first, size, doc)
+        least = {}
+        for i, x in own:
+            for k in range(len(x) - 49):
+                least[x[k : k + 50]] = min(least.get(x[k : k + 50], 9), i)
+        want = [a + k for a, (i, x) in zip(first.tolist(), own, strict=True) for k in range(len(x) - 49) if least[x[k : k + 50]] < i]
+        assert sorted(got.tolist()) == want
+
+
 def test_repeated_strings(spark):
     rng = random.Random(2)
     words = ["alpha", "béta", "gamma", "the", "of", "xx", "delta epsilon"]
@@ -592,6 +682,44 @@ def test_toxicity_on_held_out_rows(spark):
     assert kept.columns == docs.columns and kept.count() == got.where("predicted = 0").count()
 
 
+def test_toxicity_is_that_of_a_plain_loop(spark):
+    rng = random.Random(12)
+    bad, good = ["vile", "nasty", "hateful"], ["kind", "gentle", "useful"]
+    rows = [(k, " ".join(rng.choices("some plain words of every text".split() + (bad if k % 3 == 0 else good) * 2, k=rng.randint(3, 30)))) for k in range(90)] + [(100, None), (101, "")]
+    labels = spark.createDataFrame([(k, 1, int(k % 3 == 0)) for k in range(90)], "doc_id long, quality int, toxic int")
+
+    def plain_features(t):
+        words = re.findall(r"[0-9a-z]+", (t or "").lower())
+        found = {(gram, tuple(words[i + k] for k in gram)) for gram in toxicity.GRAMS for i in range(len(words) - gram[-1])}
+        return found | {("stem", w[:n]) for w in words for n in toxicity.STEMS if len(w) > n}
+
+    z, n, made = Counter(), Counter(), {i: plain_features(t) for i, t in rows}
+    alpha, beta, l1, l2 = 1.0, 1.0, 6.0, 1.0
+    weight = lambda f: 0.0 if abs(z[f]) <= l1 else -(z[f] - math.copysign(l1, z[f])) / ((beta + math.sqrt(n[f])) / alpha + l2)
+    learn = [i for i in range(90) if zlib.crc32(str(i).encode()) % 5]
+    for epoch in range(4):
+        key = lambda i: int(textcore.mix(textcore.mix(np.array([i], np.uint64)) + np.uint64(epoch))[0])  # noqa: B023, E731
+        for i in sorted(learn, key=key):
+            w = {f: weight(f) for f in [*made[i], "bias"]}
+            g = 1 / (1 + math.exp(-sum(w.values()))) - (i % 3 == 0)
+            for f, x in w.items():
+                z[f] += g - (math.sqrt(n[f] + g * g) - math.sqrt(n[f])) / alpha * x
+                n[f] += g * g
+    got = {r.doc_id: r.score for r in toxicity.score_toxicity(texts(spark, rows), labels).collect()}
+    for i, _ in rows:
+        assert abs(got[i] - 1 / (1 + math.exp(-sum(weight(f) for f in [*made[i], "bias"])))) < 1e-4
+    assert got[0] > 0.5 > got[1]
+
+
+def test_toxicity_sample_is_bounded(spark):
+    rows = [(k, "word " * (k % 7 + 1)) for k in range(40)] + [(1, "x" * 5000)] + [(2, "copy")] * 500
+    labels = spark.createDataFrame([(k, 1, k % 2) for k in range(40)], "doc_id long, quality int, toxic int")
+    every = dict(toxicity._sample(texts(spark, rows), labels, 5, 1000, 1 << 20))
+    assert set(every) == {k for k in range(40) if zlib.crc32(str(k).encode()) % 5} and every[2] == 0
+    some = toxicity._sample(texts(spark, rows), labels, 5, 100, 300)
+    assert 5 < len(some) and {1, 2}.isdisjoint(dict(some)) and sum(len(t) for i, t in rows if i in dict(some)) <= 300
+
+
 def test_toxicity_edges(spark):
     none = spark.createDataFrame([], "doc_id long, quality int, toxic int")
     rows = toxicity.score_toxicity(texts(spark, ODD), none).collect()

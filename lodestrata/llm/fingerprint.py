@@ -77,8 +77,10 @@ def fingerprint(docs: DataFrame) -> DataFrame:
 
 def _places(*columns: np.ndarray) -> np.ndarray:
     """One text for each row of long columns, so that texts are in the rows' order."""
-    wide = np.stack([(x.astype(np.int64).view(np.uint64) ^ np.uint64(1 << 63)).astype(">u8") for x in columns], axis=1)
-    return np.ascontiguousarray(wide).view(f"S{8 * len(columns)}")[:, 0]
+    wide = np.empty((len(columns[0]), len(columns)), ">u8")
+    for k, x in enumerate(columns):
+        wide[:, k] = x.astype(np.int64).view(np.uint64) ^ np.uint64(1 << 63)
+    return wide.view(f"S{8 * len(columns)}")[:, 0]
 
 
 def _pack(firsts: np.ndarray):

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .shared import materialize
+from .shared import Scratch, materialize
 
 
 def connected_components(edges: DataFrame) -> DataFrame:
@@ -17,26 +17,29 @@ def connected_components(edges: DataFrame) -> DataFrame:
 
     A node with very many neighbours is one group of a partial minimum, and a hot join key, which adaptive joins split. Edges get
     fewer each round, as those within a contracted node vanish and equal ones become one. Each round is written to the shared
-    folder, so that lineage stays short and lost executors cost no earlier rounds. Loops and repeated edges do no harm; edges with a
+    folder, so that lineage stays short and lost executors cost no earlier rounds; at the end they are deleted. Loops and repeated edges do no harm; edges with a
     null end are left out; no edges give no rows.
     """
-    left = materialize(_tidy(edges.select("a", "b")))
+    scratch = Scratch(edges.sparkSession)
+    left = scratch.table(_tidy(edges.select("a", "b")))
     rounds: list[DataFrame] = []
     while not rounds or not left.isEmpty():
         rank = lambda c, nth=len(rounds): F.xxhash64(c, F.lit(nth))
         both = left.union(left.select("b", "a"))
         nearest = both.groupBy(F.col("a").alias("id")).agg(F.min_by("b", rank("b")).alias("near"))
-        nearest = materialize(nearest.select("id", F.when(rank("near") < rank("id"), F.col("near")).otherwise(F.col("id")).alias("parent")))
+        nearest = scratch.table(nearest.select("id", F.when(rank("near") < rank("id"), F.col("near")).otherwise(F.col("id")).alias("parent")))
         above = nearest.select(F.col("id").alias("parent"), F.col("parent").alias("root"))
-        rounds.append(materialize(nearest.join(above, "parent").select("id", F.col("root").alias("parent"))))
+        rounds.append(scratch.table(nearest.join(above, "parent").select("id", F.col("root").alias("parent"))))
         one, other = rounds[-1].select(F.col("id").alias("a"), F.col("parent").alias("x")), rounds[-1].select(F.col("id").alias("b"), F.col("parent").alias("y"))
-        left = materialize(_tidy(left.join(one, "a").join(other, "b").select(F.col("x").alias("a"), F.col("y").alias("b"))))
+        left = scratch.table(_tidy(left.join(one, "a").join(other, "b").select(F.col("x").alias("a"), F.col("y").alias("b"))))
     found = rounds[-1].select("id", F.col("parent").alias("top"))
     for mapping in reversed(rounds[:-1]):
         later = found.select(F.col("id").alias("parent"), "top")
-        found = materialize(mapping.join(later, "parent", "left").select("id", F.coalesce("top", "parent").alias("top")))
+        found = scratch.table(mapping.join(later, "parent", "left").select("id", F.coalesce("top", "parent").alias("top")))
     least = found.groupBy("top").agg(F.min("id").alias("component"))
-    return materialize(found.join(least, "top").select("id", "component"))
+    out = materialize(found.join(least, "top").select("id", "component"))
+    scratch.clear()
+    return out
 
 
 def _tidy(edges: DataFrame) -> DataFrame:

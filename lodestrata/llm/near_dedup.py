@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .components import connected_components
-from .shared import materialize
+from .shared import Scratch, materialize
 from .textcore import NOT_SPACE, distinct, mix, rolling, slices, span_hashes, token_bounds
 
 REGISTERS, ROWS = 504, 7
@@ -188,18 +188,18 @@ def _confirm(words: int, percent: int):
     return run
 
 
-def _texts(docs: DataFrame, ids: DataFrame) -> DataFrame:
+def _texts(docs: DataFrame, ids: DataFrame, scratch: Scratch) -> DataFrame:
     """id, packed: compressed texts of those ids, and of a few more rows whose ids share their slots of a bitmap."""
     slot = lambda c: F.pmod(F.xxhash64(c), F.lit(SLOTS)).cast("int")
     bits = np.zeros(SLOTS, bool)
     bits[ids.select(slot("id").alias("slot")).distinct().toPandas()["slot"].to_numpy(dtype=np.int64)] = True  # SLOTS values at most
     wanted = docs.sparkSession.sparkContext.broadcast(bits)
-    return materialize(docs.select("doc_id", "text", slot("doc_id").alias("slot")).mapInArrow(_packed(wanted), "id long, packed binary"))
+    return scratch.table(docs.select("doc_id", "text", slot("doc_id").alias("slot")).mapInArrow(_packed(wanted), "id long, packed binary"))
 
 
-def _links(pairs: DataFrame, docs: DataFrame, words: int, percent: int) -> DataFrame:
+def _links(pairs: DataFrame, docs: DataFrame, words: int, percent: int, scratch: Scratch) -> DataFrame:
     """Those of pairs (a, b) whose whole sets are as similar as asked. Texts move compressed, and only those of ids in pairs."""
-    texts = _texts(docs, pairs.select(F.col("a").alias("id")).union(pairs.select("b")).distinct())
+    texts = _texts(docs, pairs.select(F.col("a").alias("id")).union(pairs.select("b")).distinct(), scratch)
     one, other = texts.withColumnsRenamed({"id": "a", "packed": "packed_a"}), texts.withColumnsRenamed({"id": "b", "packed": "packed_b"})
     return pairs.join(other, "b").join(one, "a").select("a", "b", "packed_a", "packed_b").mapInArrow(_confirm(words, percent), "a long, b long").distinct()
 
@@ -219,35 +219,39 @@ def near_duplicates(docs: DataFrame, words: int = 5, percent: int = 80) -> DataF
     enough by MARGIN deviations on whole sets. At the threshold, a link shares no band with chance
     (1 - 0.8**ROWS)**(REGISTERS / ROWS), some 4e-8.
     """
-    docs = docs.select("doc_id", "text")
+    docs, scratch = docs.select("doc_id", "text"), Scratch(docs.sparkSession)
     made = materialize(docs.mapInArrow(_sketches(words), "doc_id long, n_shingles long, set_key binary, sketch binary"))
     full = made.where("n_shingles > 0 AND doc_id IS NOT NULL")
-    classes = materialize(full.groupBy("set_key").agg(F.min("doc_id").alias("id"), F.count(F.lit(1)).alias("n_class")))
+    classes = scratch.table(full.groupBy("set_key").agg(F.min("doc_id").alias("id"), F.count(F.lit(1)).alias("n_class")))
     chosen = classes.select("set_key", F.col("id").alias("doc_id"))
-    nodes = materialize(full.join(chosen, ["set_key", "doc_id"]).dropDuplicates(["set_key"]).select(F.col("doc_id").alias("id"), F.col("n_shingles").alias("n"), "sketch"))
+    nodes = scratch.table(full.join(chosen, ["set_key", "doc_id"]).dropDuplicates(["set_key"]).select(F.col("doc_id").alias("id"), F.col("n_shingles").alias("n"), "sketch"))
     bands = nodes.select("id", "sketch").mapInArrow(_bands, "id long, band long")
-    hubs = materialize(bands.groupBy("band").agg(F.min("id").alias("a"), F.count(F.lit(1)).alias("times")).where("times > 1").select("band", "a"))
-    tied = materialize(bands.join(hubs, "band").where("a <> id").select("a", F.col("id").alias("b")).distinct())
-    first = materialize(_links(tied, docs, words, percent))
+    hubs = scratch.table(bands.groupBy("band").agg(F.min("id").alias("a"), F.count(F.lit(1)).alias("times")).where("times > 1").select("band", "a"))
+    tied = scratch.table(bands.join(hubs, "band").where("a <> id").select("a", F.col("id").alias("b")).distinct())
+    first = scratch.table(_links(tied, docs, words, percent, scratch))
     groups, labels = connected_components(tied), connected_components(first)
+    scratch.paths += [groups.written_to, labels.written_to]
     sides = groups.withColumnRenamed("component", "grp").join(labels.withColumnRenamed("component", "label"), "id", "left")
-    sides = materialize(sides.withColumn("label", F.coalesce("label", "id")))
+    sides = scratch.table(sides.withColumn("label", F.coalesce("label", "id")))
     parts = sides.groupBy("grp", "label").agg(F.count(F.lit(1)).alias("size"))
     open_groups = parts.groupBy("grp").agg(F.sum("size").alias("total"), F.max(F.struct("size", "label")).alias("most"), F.count(F.lit(1)).alias("parts")).where("parts > 1")
     counts = open_groups.select(
         "grp", F.col("most.label").alias("main"), F.ceil((F.col("total") - F.col("most.size")) / ASKING).cast("int").alias("askers"), F.ceil(F.col("total") / ASKED).cast("int").alias("others")
     )
-    ready = materialize(sides.join(counts, "grp"))
-    ready = materialize(ready.join(nodes, "id").join(_texts(docs, ready.select("id")), "id"))
+    ready = scratch.table(sides.join(counts, "grp"))
+    ready = scratch.table(ready.join(nodes, "id").join(_texts(docs, ready.select("id"), scratch), "id"))
     spot = lambda n: F.pmod(F.xxhash64("id", F.lit(7)), F.col(n)).cast("int")
     every = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
     asking = ready.where("label <> main").select("grp", spot("askers").alias("x"), every("others").alias("y"), F.lit(True).alias("asks"), "id", "label", "n", "sketch", "packed")
     asked = ready.select("grp", every("askers").alias("x"), spot("others").alias("y"), F.lit(False).alias("asks"), "id", "label", "n", "sketch", "packed")
     second = asking.union(asked).groupBy("grp", "x", "y").applyInArrow(_compare(words, percent), "a long, b long")
     final = connected_components(first.union(second))
+    scratch.paths += [final.written_to]
     named = classes.join(final, "id", "left").select("set_key", "n_class", F.coalesce("component", "id").alias("component"))
+    named = materialize(named)
+    scratch.clear()
     ids = made.select("doc_id", "n_shingles", F.when((F.col("n_shingles") > 0) & F.col("doc_id").isNotNull(), F.col("set_key")).alias("set_key"))
-    rows = ids.join(materialize(named), "set_key", "left")
+    rows = ids.join(named, "set_key", "left")
     component = F.coalesce("component", "doc_id")
     kept = F.coalesce(component == F.col("doc_id"), F.lit(True))
     return rows.select("doc_id", "n_shingles", component.alias("component_id"), kept.alias("kept"), F.coalesce("n_class", F.lit(1)).alias("n_class"))

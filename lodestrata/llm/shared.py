@@ -30,7 +30,27 @@ def materialize(df: DataFrame) -> DataFrame:
     """Write df as a table in the shared folder and read it back: lineage is cut, and a lost executor costs no rework."""
     path = f"{shared_dir(df.sparkSession)}/table-{uuid.uuid4().hex}"
     df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    out = df.sparkSession.read.schema(df.schema).parquet(path)
+    out.written_to = path
+    return out
+
+
+class Scratch:
+    """Tables that only later tables are made from, deleted when these are there."""
+
+    def __init__(self, spark: SparkSession) -> None:
+        self.spark, self.paths = spark, []
+
+    def table(self, df: DataFrame) -> DataFrame:
+        out = materialize(df)
+        self.paths += [out.written_to]
+        return out
+
+    def clear(self) -> None:
+        for path in self.paths:
+            place = self.spark._jvm.org.apache.hadoop.fs.Path(path)
+            place.getFileSystem(self.spark._jsc.hadoopConfiguration()).delete(place, True)
+        self.paths = []
 
 
 def crc_mod(doc_id: Column, n: int) -> Column:

@@ -2,6 +2,7 @@
 
 import hashlib
 import math
+import os
 import random
 import re
 import zlib
@@ -221,10 +222,13 @@ def test_components_of_a_chain_take_few_rounds(spark, monkeypatch):
     from lodestrata.llm import components
 
     written = []
-    monkeypatch.setattr(components, "materialize", lambda df: written.append(1) or shared.materialize(df))
+    monkeypatch.setattr(components.Scratch, "table", lambda self, df, old=shared.Scratch.table: written.append(1) or old(self, df))
     n = 10_000
     got = connected_components(spark.range(n - 1).select(F.col("id").alias("a"), (F.col("id") + 1).alias("b")))
     assert got.count() == n and got.where("component <> 0").isEmpty() and len(written) <= 4 * 20
+    there = len(os.listdir(shared.shared_dir(spark)))
+    connected_components(spark.range(50).select(F.col("id").alias("a"), (F.col("id") + 1).alias("b")))
+    assert len(os.listdir(shared.shared_dir(spark))) == there + 1  # the result alone
 
 
 # 3
@@ -279,6 +283,26 @@ def test_fingerprints_and_likeness_are_those_of_plain_loops(spark):
     assert got[2].fingerprint != got[3].fingerprint and got[2].near_next < 1 and got[0].near_next > 0.7
 
 
+def test_places_are_in_order_and_ranges_alike():
+    rng = np.random.default_rng(3)
+    key, tie = rng.integers(-400, 400, 2000), rng.integers(-(1 << 63), 1 << 63, 2000)
+    order = sorted(range(2000), key=lambda k: (key[k], tie[k]))
+    assert np.argsort(fingerprint._places(key, tie), kind="stable").tolist() == order
+    firsts = np.stack([key[order[::100]], tie[order[::100]]], axis=1)
+    batch = pa.RecordBatch.from_arrays([pa.array(key), pa.array(tie), pa.array(key), pa.array([str(k) for k in range(2000)])], ["key", "tie", "doc_id", "text"])
+    out = next(fingerprint._pack(firsts)(iter([batch])))
+    own = np.array(out["part"])[np.array(out["times"]) > 0]
+    assert np.bincount(own).tolist() == [100] * 20 and (np.array(out["times"]) == 0).sum() == 20
+
+
+def test_every_document_is_followed_by_the_next(spark):
+    rng = random.Random(6)
+    rows = [(k * 7 - 900, "".join(rng.choices("abc ", k=rng.randint(0, 60)))) for k in range(300)]
+    got = {r.doc_id: r.edited_sha256 for r in fingerprint.compare_edits(texts(spark, rng.sample(rows, 300)).repartition(5), 9).collect()}
+    for (i, t), (_, following) in zip(rows, [*rows[1:], rows[0]], strict=True):
+        assert got[i] == hashlib.sha256((t[: len(t) - len(t) // 4] + following[: len(t) // 4]).encode()).hexdigest()
+
+
 def test_fingerprints_of_hot_ids_and_equal_rows(spark):
     rows = [(None, f"text {k % 5} of no document") for k in range(60)] + [(7, "the same text")] * 40 + [(k, f"another text {k}") for k in range(10, 20)]
     got = fingerprint.compare_edits(texts(spark, rows).repartition(3), 6).collect()

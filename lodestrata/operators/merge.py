@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.columns import ACTIVE_WORK, confidence_name, confidence_rank, fingerprint, strip, text
+from .written import written
 
 FIELDS = ("claim", "domain", "horizon", "importance", "confidence", "target", "status", "source", "evidence", "notes")
 #: Those of them that can be long, and are only wanted of a group's base.
@@ -39,6 +40,8 @@ def merge_claims(claims: DataFrame) -> DataFrame:
     source = F.when(F.col("source") != "", F.col("source"))
     votes = {x: F.max(horizon == x) for x in ("long", "short", "drop")}
     small = [c for c in FIELDS if c not in _TEXTS]
+    bases = claims.select(F.col("ord").alias("base_ord"), *_TEXTS)  # of the other claims' texts, none is shuffled with the groups
+    claims = written(claims.select("ord", "fingerprint", *small))  # fingerprints are dear, and both groups and evidence want them
     grouped = claims.groupBy("fingerprint").agg(
         F.count(F.lit(1)).alias("n_raw"),
         F.min("ord").alias("first_ord"),
@@ -57,7 +60,6 @@ def merge_claims(claims: DataFrame) -> DataFrame:
     merged = grouped.withColumn("found", found).withColumn("several", F.col("n_raw") > 1)
     least = F.when(mixed & F.col("has_drop") & (F.col("found") != "drop"), F.least("least", F.lit(2))).otherwise(F.col("least"))
     pick = lambda new, old: F.when(F.col("several"), new).otherwise(F.col(f"base.{old}")).alias(old)
-    bases = claims.select(F.col("ord").alias("base_ord"), *_TEXTS)  # of the other claims' texts, none is shuffled with the groups
     joined = merged.join(_evidence(claims), "fingerprint", "left").join(bases, F.col("base.ord") == F.col("base_ord"))
     return joined.select(
         "fingerprint", "claim", F.col("base.domain").alias("domain"), pick(F.col("found"), "horizon"), pick(F.col("top"), "importance"),

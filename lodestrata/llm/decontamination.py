@@ -83,14 +83,20 @@ class WindowSet:
         return good
 
 
+def _normalised(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        words = [" ".join(w.decode() for w in folded_words(np.frombuffer((t or "").encode(), np.uint8), ALNUM)) for t in batch["text"].to_pylist()]
+        yield pa.RecordBatch.from_arrays([batch["name"], pa.array(words, pa.string())], ["name", "words"])
+
+
 def _blocks(benchmark: DataFrame, window: int, block_words: int) -> Iterator[WindowSet]:
-    """The benchmark's items in blocks of bounded size, one at a time on the driver."""
+    """The benchmark's items, normalised where they lie, in blocks of bounded size, one at a time on the driver."""
     items, n = [], 0
-    for name, text in benchmark.select(F.coalesce(F.col("item_id").cast("string"), F.lit("")), F.coalesce("text", F.lit(""))).toLocalIterator():
-        words = folded_words(np.frombuffer(text.encode(), np.uint8), ALNUM)
-        if words:
-            items.append((name, words))
-            n += len(words)
+    named = benchmark.select(F.coalesce(F.col("item_id").cast("string"), F.lit("")).alias("name"), "text").mapInArrow(_normalised, "name string, words string")
+    for name, text in named.where("words <> ''").toLocalIterator():
+        words = text.encode().split(b" ")
+        items.append((name, words))
+        n += len(words)
         if n >= block_words:
             yield WindowSet(items, window)
             items, n = [], 0

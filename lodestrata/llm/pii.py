@@ -248,7 +248,7 @@ def _example(rng: random.Random) -> tuple[str, list[tuple[int, int, str]]]:
 
 
 @lru_cache
-def train(examples: int = 1200, epochs: int = 5, seed: int = 11) -> SemiMarkov:
+def train(examples: int = 800, epochs: int = 3, seed: int = 11) -> SemiMarkov:
     """A model fitted to made-up lines; it needs no texts, so it is the same for every corpus, and made once in a process."""
     rng, model, made = random.Random(seed), SemiMarkov(), []
     for _ in range(examples):

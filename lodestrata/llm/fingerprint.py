@@ -23,19 +23,21 @@ _LEAST_LONG = -(1 << 63)
 def bucket_counts(data: np.ndarray, offsets: np.ndarray) -> np.ndarray:
     """How many triplets of each row fall into each bucket: all that fit, also where less than a window is left; a row shorter than three
     bytes has none."""
-    n = len(offsets) - 1
+    n, size = len(offsets) - 1, len(data)
     counts = np.zeros(n * BUCKETS, np.int64)
-    sizes = np.diff(offsets)
     wide = data.astype(np.uint32)
-    first = wide * np.uint32(0x9E3779B1)
-    base = np.repeat(np.arange(n, dtype=np.int64) * BUCKETS, sizes)
-    left = np.repeat(offsets[1:], sizes) - np.arange(len(data))  # bytes from each one to its row's end
+    one, two, three = (wide * np.uint32(x) for x in (0x9E3779B1, 0x85EBCA77, 0xC2B2AE3D))
+    row = np.repeat(np.arange(n, dtype=np.int32 if n * BUCKETS < 1 << 31 else np.int64) * BUCKETS, np.diff(offsets))
     for salt, (a, b) in enumerate(TRIPLETS, 1):
-        at = np.flatnonzero(left > b)
-        h = first[at] + wide[at + a] * np.uint32(0x85EBCA77) + wide[at + b] * np.uint32(0xC2B2AE3D) + np.uint32(salt * 0x27D4EB2F & 0xFFFFFFFF)
+        if size <= b:
+            continue
+        h = one[: size - b] + two[a : size - b + a]
+        h += three[b:]
+        h += np.uint32(salt * 0x27D4EB2F & 0xFFFFFFFF)
         h ^= h >> np.uint32(15)
         h *= np.uint32(0x2C1B3C6D)
-        counts += np.bincount(base[at] + (h >> np.uint32(24)), minlength=len(counts))
+        within = row[: size - b] == row[b:]  # not across a row's end
+        counts += np.bincount((row[: size - b] + (h >> np.uint32(24)))[within], minlength=len(counts))
     return counts.reshape(n, BUCKETS)
 
 

@@ -30,7 +30,11 @@ def fold_batches(table: VersionedTable, now: Callable[[int], str], stream: str =
     return fold
 
 
+def stream_name(checkpoint: str) -> str:
+    """The name under which a checkpoint's batches are known."""
+    return hashlib.sha1(checkpoint.rstrip("/").encode()).hexdigest()[:12]
+
+
 def run_registry(sightings: DataFrame, table: VersionedTable, checkpoint: str, now: Callable[[int], str]) -> StreamingQuery:
     """Start the stream and fold all that is there now, then stop; the checkpoint remembers what has been folded, and names the stream."""
-    stream = hashlib.sha1(checkpoint.rstrip("/").encode()).hexdigest()[:12]
-    return sightings.writeStream.foreachBatch(fold_batches(table, now, stream)).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+    return sightings.writeStream.foreachBatch(fold_batches(table, now, stream_name(checkpoint))).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()

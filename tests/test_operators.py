@@ -203,7 +203,7 @@ def test_sqlite_source_is_read_only(spark, tmp_path):
 
 
 def test_config_and_watermark(tmp_path):
-    (tmp_path / "c.json").write_text('﻿{"max_hours": 48, "authors": ["a"], "other": 1}', encoding="utf-8")
+    (tmp_path / "c.json").write_text('﻿{"max_hours": 48, "authors": ["a"], "note": 1}', encoding="utf-8")
     config = cfg.load_config(str(tmp_path / "c.json"))
     assert (config.max_hours, config.authors, config.decay_days) == (48, ("a",), 14)
     assert cfg.read_watermark(str(tmp_path / "none.json")) == {}
@@ -231,8 +231,11 @@ def test_stream_folds_each_batch_once(spark, tmp_path):
         claims(spark, {}, {"fingerprint": "g"}).write.mode("append").parquet(source)
         stream = spark.readStream.schema(CLAIM).parquet(source)
         registry.run_registry(stream, table, str(tmp_path / "cp"), now).awaitTermination()
-    registry.fold_batches(table, now)(claims(spark, {}), 0)
-    assert {(r.fingerprint, r.hit_count, r.distinct_days) for r in table.read().collect()} == {("f", 2, 2), ("g", 2, 2)}
+    counts = lambda: {(r.fingerprint, r.hit_count, r.distinct_days) for r in table.read().collect()}
+    registry.fold_batches(table, now, registry.stream_name(str(tmp_path / "cp")))(claims(spark, {}), 0)  # tried again: nothing new
+    assert counts() == {("f", 2, 2), ("g", 2, 2)}
+    registry.fold_batches(table, now, "another")(claims(spark, {}), 0)  # another stream's first batch is not taken for it
+    assert counts() == {("f", 3, 3), ("g", 2, 2)}
 
 
 def test_success_and_watermark(spark):

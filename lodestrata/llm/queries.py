@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import bpe, decontamination, fingerprint, kneser_ney, line_dedup, lm_score, near_dedup, pii, suffix_dedup, toxicity
+from . import bpe, decontamination, fingerprint, kneser_ney, line_dedup, lm_score, near_dedup, pii, ranked_search, suffix_dedup, toxicity, warc, whitening
 from .shared import table
 
 
@@ -50,9 +50,27 @@ def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity.score_toxicity(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
+def op11_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return whitening.whiten(table(spark, sf_dir, "embeddings"))
+
+
+def op12_ranked_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ranked_search.search(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
+def op13_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return warc.archive_and_read(table(spark, sf_dir, "pages"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_pii, op2_near_dedup, op3_fingerprint, op4_line_dedup, op5_decontamination, op6_lm_score, op7_bpe, op8_quality, op9_suffix_dedup, op10_toxicity)}
+    every = (
+        op1_pii, op2_near_dedup, op3_fingerprint, op4_line_dedup, op5_decontamination, op6_lm_score, op7_bpe, op8_quality, op9_suffix_dedup, op10_toxicity, op11_whitening, op12_ranked_search, op13_warc,
+    )
+    return {f.__name__: f for f in every}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op2_near_dedup": near_dedup.ORACLE_SQL, "op4_line_dedup": line_dedup.ORACLE_SQL, "op5_decontamination": decontamination.ORACLE_SQL, "op9_suffix_dedup": suffix_dedup.ORACLE_SQL}
+    return {
+        "op2_near_dedup": near_dedup.ORACLE_SQL, "op4_line_dedup": line_dedup.ORACLE_SQL, "op5_decontamination": decontamination.ORACLE_SQL, "op9_suffix_dedup": suffix_dedup.ORACLE_SQL,
+        "op12_ranked_search": ranked_search.ORACLE_SQL, "op13_warc": warc.ORACLE_SQL,
+    }

@@ -26,10 +26,11 @@ def shared_dir(spark: SparkSession) -> str:
     return named
 
 
-def materialize(df: DataFrame) -> DataFrame:
-    """Write df as a table in the shared folder and read it back: lineage is cut, and a lost executor costs no rework."""
+def materialize(df: DataFrame, by: str | None = None) -> DataFrame:
+    """Write df as a table in the shared folder, in parts by the values of a column if asked for, and read it back: lineage is cut, and a
+    lost executor costs no rework."""
     path = f"{shared_dir(df.sparkSession)}/table-{uuid.uuid4().hex}"
-    df.write.parquet(path)
+    df.write.parquet(path, partitionBy=by)
     out = df.sparkSession.read.schema(df.schema).parquet(path)
     out.written_to = path
     return out
@@ -41,8 +42,8 @@ class Scratch:
     def __init__(self, spark: SparkSession) -> None:
         self.spark, self.paths = spark, []
 
-    def table(self, df: DataFrame) -> DataFrame:
-        out = materialize(df)
+    def table(self, df: DataFrame, by: str | None = None) -> DataFrame:
+        out = materialize(df, by)
         self.paths += [out.written_to]
         return out
 

@@ -22,6 +22,8 @@ from .shared import Scratch, materialize, shared_dir
 FILE_BYTES, BLOCK_LINES, BLOCKS = 256_000_000, 1000, 100_000
 #: Bytes between records that are read over rather than asked for apart, and bytes that are read at once if records are smaller.
 GAP, SPAN = 64_000, 8_000_000
+#: Bytes of a file that one task reads.
+STRETCH = 32_000_000
 URL_KEY = 512
 DATE = "1970-01-01T00:00:00Z"
 PROFILE = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
@@ -72,20 +74,26 @@ def find(requests: DataFrame, folder: str) -> DataFrame:
     spark = requests.sparkSession
     entries = directory(spark, folder).orderBy("first", "part", "offset").select("first", "file", "offset", "length").collect()  # BLOCKS and a block a partition at most
     shared = spark.sparkContext.broadcast([tuple(e) for e in entries])
-    wanted = requests.select("prefix").distinct().repartitionByRange("prefix").sortWithinPartitions("prefix")
+    wanted = requests.select("prefix").distinct().repartitionByRange(_tasks(spark), "prefix").sortWithinPartitions("prefix")
     return wanted.mapInArrow(lambda batches: _look_up(batches, folder, shared.value), "file string, offset long, length long")
 
 
 def read_records(places: DataFrame, folder: str) -> DataFrame:
     """page_id, payload_bytes, payload_digest, record_type, refers_to of the records at places (file, offset, length).
 
-    Places are sorted into ranges of files, and neighbours are read at once. A response's payload must have the digest and length that its record names, else this
+    Stretches of files go to tasks, and neighbours in them are read at once. A response's payload must have the digest and length that its record names, else this
     raises. Of a revisit, both are what the record says of the payload that it stands for.
     """
-    ordered = places.repartitionByRange("file", "offset").sortWithinPartitions("file", "offset")
+    stretch = F.floor(F.col("offset") / STRETCH)
+    ordered = places.repartition(_tasks(places.sparkSession), "file", stretch).sortWithinPartitions("file", "offset")
     return ordered.mapInArrow(lambda batches: _read(batches, folder), RECORDS)
 
 
+def _tasks(spark: SparkSession) -> int:
+    """As many as the session's shuffles have; not fewer because rows are small, for each is a read of its own."""
+    return int(spark.conf.get("spark.sql.shuffle.partitions"))
+
+
 def archive_and_read(pages: DataFrame, folder: str | None = None, key: str = "page_id", url: str = "url", html: str = "html", least: int = 0) -> DataFrame:
     """Write pages into a new folder (in the shared one by default), then look up every page in the index and read its record; revisits
     take length and digest from the response that they refer to, nulls if it isn't there. Repeated rows are records of their own. Without pages nothing is read."""

@@ -6,20 +6,28 @@ import re
 import tempfile
 import uuid
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 
 
-def written(df: DataFrame) -> DataFrame:
-    """df, written to the folder that spark.checkpoint.dir or the context names, and read back: it is computed once, and neither by each
-    reader nor again after a lost executor. Without such a folder a single process (tests) takes a temporary one; a cluster computes df
-    where it is read."""
-    spark = df.sparkSession
+def shared_folder(spark: SparkSession) -> str:
+    """The folder that driver and executors share, as spark.checkpoint.dir or the context names it. Where neither does, a temporary one will do if they
+    are one process (tests); on a cluster that is an error, as nobody else could read it."""
     folder = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if not folder:
         if not re.match(r"local($|\[)", spark.sparkContext.master):
-            return df
+            raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
         folder = tempfile.mkdtemp(prefix="lodestrata-")
         spark.sparkContext.setCheckpointDir(folder)
-    path = f"{folder}/table-{uuid.uuid4().hex}"
+    return folder
+
+
+def new_folder(spark: SparkSession, kind: str) -> str:
+    """A path in the shared folder that nothing else has."""
+    return f"{shared_folder(spark)}/{kind}-{uuid.uuid4().hex}"
+
+
+def written(df: DataFrame) -> DataFrame:
+    """df, written to the shared folder and read back: it is computed once, and neither by each reader nor again after a lost executor."""
+    path = new_folder(df.sparkSession, "table")
     df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)

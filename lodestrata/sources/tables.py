@@ -15,6 +15,16 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def stream(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    """A table as a stream of its files, be it one file or a folder of them."""
+    schema = table(spark, sf_dir, name).schema
+    place = spark._jvm.org.apache.hadoop.fs.Path(f"{sf_dir}/{name}.parquet")
+    files = spark.readStream.schema(schema)
+    if place.getFileSystem(spark._jsc.hadoopConfiguration()).getFileStatus(place).isDirectory():
+        return files.parquet(f"{sf_dir}/{name}.parquet")
+    return files.option("pathGlobFilter", f"{name}.parquet").parquet(sf_dir)
+
+
 def claims(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A claim for each document; labels and the id decide on its horizon, confidence and target."""
     docs, labels = table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels")
@@ -38,8 +48,9 @@ def rejected(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "documents").where("doc_id % 11 = 0").select(fingerprint(F.col("text")).alias("fingerprint")).distinct()
 
 
-def sightings(spark: SparkSession, sf_dir: str) -> DataFrame:
-    events = table(spark, sf_dir, "events")
+def sightings(spark: SparkSession, sf_dir: str, events: DataFrame | None = None) -> DataFrame:
+    """A sighting for each event, of the table or of those given."""
+    events = table(spark, sf_dir, "events") if events is None else events
     k = F.floor(F.get_json_object("props", "$.k").cast("int") / 10)
     key = F.concat_ws("/", F.col("user_id").cast("string"), "event_type", k.cast("string"))
     return events.select(key.alias("key"), "ts", F.col("event_id").alias("ord"), "user_id", "value")

@@ -4,7 +4,9 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from ..operators.written import new_folder
+from ..operators import ledger
+from ..operators.written import new_folder, written
+from ..sources import store
 from ..sources import tables as T
 from ..sources.tables import with_sql
 from ..streaming import keyed
@@ -19,3 +21,19 @@ def stream_registry(spark, d):
     keyed.append_changes(keyed.registry_changes(seen), f"{place}/changes", f"{place}/checkpoint").awaitTermination()
     state = keyed.registry_state(spark.read.schema(keyed.CHANGE).parquet(f"{place}/changes"))
     return state.select(F.col("fingerprint").alias("key"), "hit_count", "distinct_days", F.col("first_seen").cast("timestamp_ntz"), F.col("last_seen").cast("timestamp_ntz"), "decayed")
+
+
+@query(with_sql("sightings", """, h AS (SELECT key, CASE WHEN ts < TIMESTAMP '2024-01-20' THEN 0 WHEN ts < TIMESTAMP '2024-01-20 01:00:00' THEN 1 ELSE 2 END AS part, count(*) AS hits, max(ts)::VARCHAR AS last FROM sightings WHERE ts < TIMESTAMP '2024-01-22' GROUP BY 1, 2)
+SELECT key AS fingerprint, sum(hits)::BIGINT AS hit_count, count(*) AS distinct_days, max_by(last, part) AS claim, CASE max(part) WHEN 0 THEN '2024-01-19' WHEN 1 THEN '2024-01-20' ELSE '2024-01-21' END AS last_day FROM h GROUP BY 1""").replace("\n, h AS", ", h AS"))
+def registry_in_buckets(spark, d):
+    """The registry over three runs, of which the second is an hour and touches few buckets; each run's sightings of a claim count as one day."""
+    seen, none = T.sightings(spark, d), F.lit(None).cast("string")
+    table = store.items_table(spark, new_folder(spark, "registry"))
+    borders = ["2024-01-01", "2024-01-20", "2024-01-20 01:00:00", "2024-01-22"]
+    for first, last, day in zip(borders, borders[1:], ("2024-01-19", "2024-01-20", "2024-01-21"), strict=False):
+        run = seen.where((F.col("ts") >= F.lit(first).cast("timestamp_ntz")) & (F.col("ts") < F.lit(last).cast("timestamp_ntz")))
+        extra = {c: none for c in (*ledger.ATTRIBUTES, "status") if c not in ("claim", "importance")}
+        batch = run.select(F.col("key").alias("fingerprint"), F.col("ts").cast("string").alias("claim"), F.lit(1).alias("importance"), F.struct("ts", "ord").alias("ord")).withColumns(extra)
+        batch = written(batch)
+        table.update(batch, lambda prior, batch=batch, day=day: ledger.upsert(prior, batch, F.lit(f"{day}T04:15:00Z"), F.lit(day)).drop("change"))
+    return table.read().select("fingerprint", "hit_count", "distinct_days", "claim", "last_day")

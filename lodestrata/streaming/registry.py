@@ -10,10 +10,10 @@ from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
 from ..operators.ledger import upsert
-from ..sources.store import VersionedTable
+from ..sources.store import BucketedTable
 
 
-def fold_batches(table: VersionedTable, now: Callable[[int], str], stream: str = "registry") -> Callable[[DataFrame, int], None]:
+def fold_batches(table: BucketedTable, now: Callable[[int], str], stream: str = "registry") -> Callable[[DataFrame, int], None]:
     """A foreachBatch function that folds each batch into the table.
 
     A version has the number of the stream's last batch with it, so that a batch that is run again after a failure changes nothing, and
@@ -25,7 +25,11 @@ def fold_batches(table: VersionedTable, now: Callable[[int], str], stream: str =
         if table.batch(stream) >= number:
             return
         stamp = now(number)
-        table.write(upsert(table.read(), batch, F.lit(stamp), F.lit(stamp[:10])).drop("change"), stream, number)
+        batch.persist()  # read for its buckets, and then folded
+        try:
+            table.update(batch, lambda prior: upsert(prior, batch, F.lit(stamp), F.lit(stamp[:10])).drop("change"), stream, number)
+        finally:
+            batch.unpersist()
 
     return fold
 
@@ -35,6 +39,6 @@ def stream_name(checkpoint: str) -> str:
     return hashlib.sha1(checkpoint.rstrip("/").encode()).hexdigest()[:12]
 
 
-def run_registry(sightings: DataFrame, table: VersionedTable, checkpoint: str, now: Callable[[int], str]) -> StreamingQuery:
+def run_registry(sightings: DataFrame, table: BucketedTable, checkpoint: str, now: Callable[[int], str]) -> StreamingQuery:
     """Start the stream and fold all that is there now, then stop; the checkpoint remembers what has been folded, and names the stream."""
     return sightings.writeStream.foreachBatch(fold_batches(table, now, stream_name(checkpoint))).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()

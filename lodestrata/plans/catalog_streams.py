@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from ..operators import ledger
+from ..operators import latest, ledger
 from ..operators.written import new_folder, written
 from ..sources import store
 from ..sources import tables as T
@@ -37,3 +37,20 @@ def registry_in_buckets(spark, d):
         batch = written(batch)
         table.update(batch, lambda prior, batch=batch, day=day: ledger.upsert(prior, batch, F.lit(f"{day}T04:15:00Z"), F.lit(day)).drop("change"))
     return table.read().select("fingerprint", "hit_count", "distinct_days", "claim", "last_day")
+
+
+@query("""WITH e AS (SELECT user_id % 200 || '/' || event_type AS id, strftime(ts, '%Y-%m-%dT%H:%M:%SZ') AS updated_at, event_id, ts + CASE WHEN event_id % 10 = 3 THEN INTERVAL 40 MINUTE ELSE INTERVAL 0 MINUTE END AS there FROM events)
+SELECT id, max(updated_at) AS updated_at, max_by(event_id, updated_at || lpad(event_id::VARCHAR, 20, '0')) AS event_id FROM e WHERE there <= TIMESTAMP '2024-01-25' GROUP BY id""")
+def late_readings(spark, d):
+    """Sessions, each event a change of one, read by three runs. One in ten is written 40 minutes after the time that it bears; a run reads an hour of
+    the run before again, and what it reads replaces older readings."""
+    events = T.table(spark, d, "events").withColumn("there", F.col("ts") + F.when(F.col("event_id") % 10 == 3, F.make_dt_interval(mins=F.lit(40))).otherwise(F.make_dt_interval()))
+    iso = F.date_format("ts", "yyyy-MM-dd'T'HH:mm:ss'Z'")
+    rows = events.select(F.concat_ws("/", (F.col("user_id") % 200).cast("string"), "event_type").alias("id"), iso.alias("updated_at"), "event_id", "ts", "there")
+    table = store.BucketedTable(spark, new_folder(spark, "readings"), "id string, updated_at string, event_id long", "id")
+    runs = ["2023-12-31", "2024-01-10 06:00:00", "2024-01-17 18:30:00", "2024-01-25"]
+    time = lambda t: F.lit(t).cast("timestamp_ntz")
+    for before, now in zip(runs, runs[1:], strict=False):
+        read = rows.where((F.col("ts") > time(before) - F.make_dt_interval(hours=F.lit(1))) & (F.col("there") <= time(now)))
+        table.update(read, lambda prior, read=read: latest.replace_older(prior, read, "id", ["updated_at", "event_id"]))
+    return table.read()

@@ -4,9 +4,9 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from ..operators import latest, ledger
+from ..operators import latest, ledger, sharding
 from ..operators.written import new_folder, written
-from ..sources import store
+from ..sources import sinks, store
 from ..sources import tables as T
 from ..sources.tables import with_sql
 from ..streaming import keyed
@@ -54,3 +54,21 @@ def late_readings(spark, d):
         read = rows.where((F.col("ts") > time(before) - F.make_dt_interval(hours=F.lit(1))) & (F.col("there") <= time(now)))
         table.update(read, lambda prior, read=read: latest.replace_older(prior, read, "id", ["updated_at", "event_id"]))
     return table.read()
+
+
+@query("SELECT event_id, row_number() OVER (PARTITION BY CASE WHEN user_id % 3 = 0 THEN 0 ELSE user_id % 500 END ORDER BY event_type || lpad(event_id::VARCHAR, 12, '0')) AS nth FROM events")
+def numbered_in_ranges(spark, d):
+    """Places among events of one size, a third of which have the same."""
+    name = F.concat("event_type", F.lpad(F.col("event_id").cast("string"), 12, "0"))
+    rows = T.table(spark, d, "events").select("event_id", F.when(F.col("user_id") % 3 == 0, 0).otherwise(F.col("user_id") % 500).cast("long").alias("tokens"), name.alias("thread"))
+    return sharding.number_in_ranges(rows, "tokens", "thread").select("event_id", "nth")
+
+
+@query("""WITH n AS (SELECT DISTINCT left(lower(text), 1 + item_id % 5) AS repository FROM benchmark),
+r AS (SELECT repository, url AS path, least(length(html), 20000)::BIGINT AS chars, row_number() OVER (PARTITION BY repository ORDER BY url) AS nth FROM n JOIN pages ON contains(url, repository))
+SELECT repository, path, chars FROM r WHERE nth <= 12""")
+def guides_by_containment(spark, d):
+    """Beginnings of the benchmark's items, of one to five characters, as repositories, and the first pages whose url has them in it."""
+    names = T.table(spark, d, "benchmark").select(F.expr("left(lower(text), cast(1 + item_id % 5 AS int))").alias("repository"))
+    found = sinks.repository_context(T.table(spark, d, "pages").select(F.col("url").alias("path"), F.col("html").alias("text")), names)
+    return found.select("repository", "path", F.length("text").cast("long").alias("chars"))

@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from ..functions import columns as C
 from ..operators import classify, harvest, health, ledger, merge, replay, routing, sharding
+from ..operators.written import written
 from ..sources import tables as T
 from ..sources.tables import SKILLS, sql_fingerprint, with_sql
 
@@ -344,7 +345,7 @@ def _replay_sql(select: str) -> str:
 
 
 def _replay(spark, d):
-    order = _order(spark, d).select("fingerprint", "bucket", "skill")
+    order = written(_order(spark, d).select("fingerprint", "bucket", "skill"))
     return order, order.where(F.substring("fingerprint", 16, 1).isin("a", "3")).select("fingerprint").distinct()
 
 

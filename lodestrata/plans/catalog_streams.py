@@ -1,10 +1,12 @@
-"""Queries of the catalog that run as streams, or on tables that are kept from one run to the next; each with the SQL that must give the same rows."""
+"""Queries of the catalog that run as streams, on tables that are kept from one run to the next, or on models and runs made of the tables; each with the SQL that must give the same rows."""
 
 from __future__ import annotations
 
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
-from ..operators import latest, ledger, sharding
+from ..functions.columns import iso_utc
+from ..operators import harvest, health, latest, learned, ledger, routing, sharding
 from ..operators.written import new_folder, written
 from ..sources import sinks, store
 from ..sources import tables as T
@@ -72,3 +74,69 @@ def guides_by_containment(spark, d):
     names = T.table(spark, d, "benchmark").select(F.expr("left(lower(text), cast(1 + item_id % 5 AS int))").alias("repository"))
     found = sinks.repository_context(T.table(spark, d, "pages").select(F.col("url").alias("path"), F.col("html").alias("text")), names)
     return found.select("repository", "path", F.length("text").cast("long").alias("chars"))
+
+
+_HELD = "left(md5(doc_id::VARCHAR), 1) IN ('0', '1', '2')"
+_WORDS = "unnest(regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[0-9a-z\\x{80}-\\x{10FFFF}]+'))"
+
+
+@query(f"""WITH t AS (SELECT doc_id, quality, {_WORDS} AS word FROM documents JOIN labels USING (doc_id) WHERE NOT {_HELD}),
+n AS (SELECT count(*) FILTER (quality = 1) AS one, count(*) FILTER (quality = 0) AS none FROM documents JOIN labels USING (doc_id) WHERE NOT {_HELD}),
+c AS (SELECT word, count(*) FILTER (quality = 1) AS one, count(*) FILTER (quality = 0) AS none FROM t GROUP BY 1), s AS (SELECT sum(one) AS one, sum(none) AS none, count(*) AS words FROM c),
+w AS (SELECT word, ln((c.one + 1) / (s.one + s.words)) - ln((c.none + 1) / (s.none + s.words)) AS weight FROM c, s),
+h AS (SELECT doc_id, text FROM documents JOIN labels USING (doc_id) WHERE {_HELD}), b AS (SELECT doc_id, word, count(*) AS times FROM (SELECT doc_id, {_WORDS} AS word FROM h) GROUP BY 1, 2),
+x AS (SELECT doc_id, sum(times * weight) AS sum FROM b JOIN w USING (word) GROUP BY 1), r AS (SELECT doc_id, ln(n.one / n.none) + coalesce(sum, 0) AS score FROM h LEFT JOIN x USING (doc_id), n)
+SELECT doc_id, round(score, 3) AS score, score >= 0 AS good FROM r""")
+def learned_quality(spark, d):
+    """Labelled documents that weren't learnt from, by the odds that words of the others give them."""
+    rows = T.table(spark, d, "documents").join(T.table(spark, d, "labels").select("doc_id", F.col("quality").alias("label")), "doc_id")
+    held = F.left(F.md5(F.col("doc_id").cast("string")), F.lit(1)).isin("0", "1", "2")
+    found = learned.score(rows.where(held), learned.train(rows.where(~held)), "doc_id")
+    return found.select("doc_id", F.round("score", 3).alias("score"), (F.col("score") >= 0).alias("good"))
+
+
+@query("""SELECT event_id, (props::JSON ->> '$.k')::BIGINT AS k, (props::JSON ->> '$.k')::BIGINT >= 50 AS high, event_type AS first_tag, CASE WHEN user_id % 3 = 0 THEN value ELSE NULL END AS inner_value, CASE WHEN user_id % 2 = 0 THEN 'number' ELSE 'text' END AS kind FROM events""")
+def variant_props(spark, d):
+    """Nested values of columns that aren't known beforehand, taken out with their types; one is a number in some rows and a text in others."""
+    events = T.table(spark, d, "events")
+    inner = F.when(F.col("user_id") % 3 == 0, F.format_string('{"value": %s}', F.col("value").cast("string"))).otherwise("null")
+    mixed = F.when(F.col("user_id") % 2 == 0, F.col("user_id").cast("string")).otherwise(F.concat(F.lit('"u'), F.col("user_id").cast("string"), F.lit('"')))
+    row = F.parse_json(F.concat(F.lit('{"props": '), "props", F.lit(', "tags": ["'), "event_type", F.lit('", "x"], "inner": '), inner, F.lit(', "mixed": '), mixed, F.lit("}"))).alias("row")
+    k = F.try_variant_get("row", "$.props.k", "bigint")
+    kind = F.when(F.schema_of_variant(F.variant_get("row", "$.mixed", "variant")) == "STRING", "text").otherwise("number")
+    return events.select("event_id", row).select("event_id", k.alias("k"), (k >= 50).alias("high"), F.variant_get("row", "$.tags[0]", "string").alias("first_tag"), F.try_variant_get("row", "$.inner.value", "double").alias("inner_value"), kind.alias("kind"))
+
+
+@query("""WITH e AS (SELECT event_id, date_trunc('minute', ts) AS t, lag(date_trunc('minute', ts)) OVER (PARTITION BY user_id ORDER BY ts, event_id) AS last, CASE WHEN event_id % 4 = 0 THEN event_id % 90 END AS override FROM events),
+h AS (SELECT event_id, t, CASE WHEN coalesce(override, 0) <> 0 THEN least(override, 72)::DOUBLE WHEN last IS NULL THEN 30.0::DOUBLE ELSE greatest(30.0::DOUBLE, least((epoch_us(t) - epoch_us(last)) / 3600000000.0::DOUBLE + 1, 72.0::DOUBLE)) END AS h FROM e)
+SELECT event_id, h AS hours, round(h, 2) AS window_hours FROM h""")
+def windows_of_runs(spark, d):
+    """Each event as a run of its user, at its minute: how far back it looks, given the run before and what one in four overrides."""
+    minute = F.date_trunc("minute", F.col("ts").cast("timestamp"))
+    runs = T.table(spark, d, "events").select("event_id", "user_id", "ts", minute.alias("as_of"), F.when(F.col("event_id") % 4 == 0, F.col("event_id") % 90).cast("double").alias("override"))
+    before = F.lag("as_of").over(Window.partitionBy("user_id").orderBy("ts", "event_id"))
+    runs = runs.withColumn("last_run", iso_utc(before))
+    about = harvest.run_context(F.col("as_of"), F.col("last_run"), F.col("override"))
+    elapsed = (F.unix_micros("as_of") - F.unix_micros(F.to_timestamp("last_run"))) / 3.6e9
+    return runs.select("event_id", harvest.window_hours(elapsed, F.col("override")).alias("hours"), about["window_hours"].alias("window_hours"))
+
+
+@query("""WITH r AS (SELECT user_id, ts::DATE AS day, bool_or(CASE WHEN event_type = 'view' THEN true WHEN event_type = 'error' THEN NULL ELSE false END) AS journal, bool_or(CASE WHEN value >= 20 THEN true ELSE false END) AS marker,
+ CASE WHEN user_id % 7 = 0 THEN true WHEN user_id % 7 < 5 THEN false END AS replay, CASE WHEN user_id % 5 = 0 THEN true WHEN user_id % 5 < 4 THEN false END AS propose FROM events GROUP BY 1, 2)
+SELECT user_id, day::VARCHAR AS day, coalesce(journal AND marker, false) AS success, coalesce(journal AND marker, false) AND NOT coalesce(replay, false) AND NOT coalesce(propose, false) AS advances FROM r""")
+def run_outcomes(spark, d):
+    """A user's day as a run: what its events say of journal and marker, whether it was one, and whether it moved the watermark."""
+    kind, user = F.col("event_type"), F.col("user_id")
+    runs = T.table(spark, d, "events").groupBy("user_id", F.to_date("ts").cast("string").alias("day")).agg(
+        F.bool_or(F.when(kind == "view", True).when(kind == "error", None).otherwise(False)).alias("journal"), F.bool_or(F.when(F.col("value") >= 20, True).otherwise(False)).alias("marker"))
+    some = lambda n: F.when(user % n == 0, True).when(user % n < n - 2 + (n == 5), False)
+    success = health.succeeded(F.col("journal"), F.col("marker"))
+    return runs.select("user_id", "day", success.alias("success"), health.advances_watermark(success, some(7), some(5)).alias("advances"))
+
+
+@query(with_sql("claims", """SELECT ord AS doc_id, CASE target WHEN 'skill-a' THEN 'x/a.md' WHEN 'skill-b' THEN 'x/b.md' WHEN 'dream-active-work' THEN 'short.md' END AS path FROM claims"""))
+def claims_with_paths(spark, d):
+    """Where each claim goes: the path of its target, none where it has no place yet."""
+    places = routing.target_paths(spark, {"skill-a": "x/a.md", "skill-b": "x/b.md"}, "short.md", "index.md")
+    claims = T.claims(spark, d)
+    return claims.join(F.broadcast(places), claims.target == places.name, "left").select(F.col("ord").alias("doc_id"), "path")  # a row for each skill

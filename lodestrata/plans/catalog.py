@@ -317,7 +317,7 @@ SELECT lpad((shard_id + 1)::VARCHAR, 2, '0') AS shard_id, 'sessions' AS kind, co
  array_to_string(list_sort(list(left(id::VARCHAR, 8))), ',') AS session_ids, array_to_string(list_sort(list_distinct(list(coalesce(branch, repository)))), ',') AS branches FROM f GROUP BY f.shard_id
 UNION ALL SELECT lpad((count(DISTINCT shard_id) + 1)::VARCHAR, 2, '0'), 'git', 0, 7, 0, '', '' FROM f""").replace("\n, f AS", ", f AS"))
 def shard_manifest(spark, d):
-    found = sharding.manifest(_sharded(spark, d).withColumn("id", F.col("id").cast("string")), 7, " two notes ")
+    found = sharding.manifest(_sharded(spark, d).withColumn("id", F.col("id").cast("string")), 7, " two notes ", listed=True)
     return found.withColumns({c: F.col(c).cast("long") for c in ("n_sessions", "n_commits", "est_tokens")})
 
 
@@ -429,4 +429,4 @@ def fingerprint_collisions(spark, d):
     return T.table(spark, d, "benchmark").groupBy(fp.alias("fingerprint")).agg(F.count(F.lit(1)).alias("claims"), F.count_if(F.length(F.trim("text")) > 0).alias("texts"))
 
 
-from . import catalog_runs, catalog_streams  # noqa: E402, F401  their queries are put in with these
+from . import catalog_files, catalog_runs, catalog_streams  # noqa: E402, F401  their queries are put in with these

@@ -21,6 +21,8 @@ BASE_KINDS = KINDS[:4]
 #: looked at together, half of them belonging to either.
 LONGEST, GAP = 6, 4
 FEATURES = 1 << 13
+#: Words that are scored at once.
+BLOCK = 512
 #: Words, or ends of words, of streets' names.
 _STREET = re.compile(r"(?i)(\b(street|st|avenue|ave|road|rd|lane|drive|rue|boulevard|calle|avenida|plaza)|(straße|weg|platz|allee))\b")
 #: Names whose values are secrets.
@@ -118,8 +120,10 @@ class SemiMarkov:
         self.w = np.zeros((len(KINDS), FEATURES))
         self.t = np.zeros((len(KINDS) + 1, len(KINDS) + 1))
 
-    def segments(self, text: str, words: list[tuple[int, int]]) -> dict[tuple[int, int], tuple[list[int], np.ndarray]]:
-        return {(i, j): (segment_features(text, words, i, j), bar(text[words[i][0] : words[j - 1][1]])) for i in range(len(words)) for j in range(i + 1, min(i + LONGEST, len(words)) + 1)}
+    def segments(self, text: str, words: list[tuple[int, int]], low: int = 0, high: int | None = None) -> dict[tuple[int, int], tuple[list[int], np.ndarray]]:
+        """Features of every stretch that begins at the words from low to before high, all by default."""
+        high = len(words) if high is None else high
+        return {(i, j): (segment_features(text, words, i, j), bar(text[words[i][0] : words[j - 1][1]])) for i in range(low, high) for j in range(i + 1, min(i + LONGEST, len(words)) + 1)}
 
     def _scores(self, segments: dict[tuple[int, int], tuple[list[int], np.ndarray]]) -> dict[tuple[int, int], np.ndarray]:
         return {k: self.w[:, f].sum(axis=1) + low for k, (f, low) in segments.items()}
@@ -132,28 +136,32 @@ class SemiMarkov:
             out[i, j - i - 1] = found
         return out
 
-    def best(self, text: str, words: list[tuple[int, int]]) -> list[tuple[int, int, str]]:
-        """(first word, end word, kind) of the best segmentation's entities, boundaries and kinds chosen together."""
-        n = len(words)
-        lattice = self._lattice(self._scores(self.segments(text, words)), n)
-        value = np.full((n + 1, len(KINDS) + 1), -np.inf)
-        value[0, 0] = 0.0
-        into, was = np.empty((n, len(KINDS) + 1)), np.empty((n, len(KINDS) + 1), np.int64)
-        first = np.zeros((n + 1, len(KINDS) + 1), np.int64)
-        for j in range(n + 1):
-            if j:
-                starts = np.arange(max(0, j - LONGEST), j)
-                totals = into[starts, 1:] + lattice[starts, j - starts - 1]
+    def best(self, text: str, words: np.ndarray | list[tuple[int, int]], block: int = BLOCK) -> list[tuple[int, int, str]]:
+        """(first word, end word, kind) of the best segmentation's entities, boundaries and kinds chosen together. Features and scores are made for a block of words at
+        a time; of each word before, nothing is held but where the best ways to it came from, two bytes a label."""
+        n, k = len(words), len(KINDS) + 1
+        size, was = np.zeros((n + 1, k), np.int8), np.zeros((n, k), np.int8)
+        lattice, into = np.full((LONGEST + block, LONGEST, k - 1), -np.inf), np.full((LONGEST + block, k), -np.inf)  # of a block and the LONGEST words before
+        value = np.full(k, -np.inf)
+        value[0] = 0.0
+        for low in range(0, n, block):
+            high, first = min(low + block, n), max(low - 1, 0)
+            near = [(int(a), int(b)) for a, b in words[first : high + LONGEST]]
+            fresh = self._lattice(self._scores(self.segments(text, near, low - first, high - first)), high - first)[low - first :]
+            lattice[:LONGEST], into[:LONGEST] = lattice[block:], into[block:]
+            lattice[LONGEST : LONGEST + high - low] = fresh
+            for j in range(low, high):
+                steps = value[:, None] + self.t
+                was[j], into[LONGEST + j - low] = steps.argmax(axis=0), steps.max(axis=0)
+                starts = np.arange(max(0, j + 1 - LONGEST), j + 1)
+                here = starts - low + LONGEST
+                totals = into[here, 1:] + lattice[here, j - starts]
                 pick = totals.argmax(axis=0)
-                value[j, 0], first[j, 0] = into[j - 1, 0], j - 1
-                value[j, 1:], first[j, 1:] = totals[pick, np.arange(len(KINDS))], starts[pick]
-            if j < n:
-                steps = value[j][:, None] + self.t
-                was[j] = steps.argmax(axis=0)
-                into[j] = steps.max(axis=0)
-        j, y, out = n, int(value[n].argmax()), []
+                value = np.append(into[LONGEST + j - low, 0], totals[pick, np.arange(k - 1)])
+                size[j + 1, 0], size[j + 1, 1:] = 1, j + 1 - starts[pick]
+        j, y, out = n, int(value.argmax()), []
         while j:
-            i = int(first[j, y])
+            i = j - int(size[j, y])
             if y:
                 out.append((i, j, KINDS[y - 1]))
             j, y = i, int(was[i, y])
@@ -265,30 +273,23 @@ def train(examples: int = 800, epochs: int = 3, seed: int = 11) -> SemiMarkov:
 def added_spans(text: str, base: list[tuple[int, str, int]], model: SemiMarkov) -> list[tuple[int, str, int]]:
     """Entities of the best segmentations that don't overlap a base span. Only stretches with a trigger outside base spans
     are segmented; words elsewhere can't be part of an entity, so they are outside in any best segmentation."""
-    taken, at = [], 0
-    for start, _, end in sorted(base):
-        taken.append((start, end))
-    lone = []
-    for m in _TRIGGER.finditer(text):
-        while at < len(taken) and taken[at][1] <= m.start():
-            at += 1
-        if not any(a <= m.start() < b for a, b in taken[at : at + 3]):
-            lone.append(m.start())
-    if not lone:
+    taken = [(start, end) for start, _, end in sorted(base)]
+    triggers = np.fromiter((m.start() for m in _TRIGGER.finditer(text)), np.int64)
+    lone = np.fromiter(_outside(triggers, taken), np.int64)
+    if not len(lone):
         return []
-    words = [m.span() for m in _WORD.finditer(text)]
-    ends = np.array([b for _, b in words])
-    hot = np.zeros(len(words), bool)
-    hot[np.searchsorted(ends, [m.start() for m in _TRIGGER.finditer(text)], side="right")] = True
-    asked = set(np.searchsorted(ends, lone, side="right").tolist())
+    words = np.fromiter((x for m in _WORD.finditer(text) for x in m.span()), np.int64).reshape(-1, 2)
+    hot, asked = np.zeros(len(words), bool), np.zeros(len(words), bool)
+    hot[np.searchsorted(words[:, 1], triggers, side="right")] = True
+    asked[np.searchsorted(words[:, 1], lone, side="right")] = True
     out, places = [], np.flatnonzero(hot)
     for group in np.split(places, np.flatnonzero(np.diff(places) > GAP + 1) + 1):
-        if asked.isdisjoint(group.tolist()):
+        if not asked[group].any():
             continue
         low, high = max(int(group[0]) - GAP // 2, 0), min(int(group[-1]) + 1 + GAP // 2, len(words))
         own = words[low:high]
         for i, j, kind in model.best(text, own):
-            a, b = own[i][0], own[j - 1][1]
+            a, b = int(own[i][0]), int(own[j - 1][1])
             while b > a and text[b - 1] in ".,;:!?":
                 b -= 1
             if b > a and _TRIGGER.search(text, a, b) and not any(x < b and a < y for x, y in taken):
@@ -296,6 +297,16 @@ def added_spans(text: str, base: list[tuple[int, str, int]], model: SemiMarkov)
     return out
 
 
+def _outside(triggers: np.ndarray, taken: list[tuple[int, int]]) -> Iterator[int]:
+    """Those of sorted places that are in no base span."""
+    at = 0
+    for place in triggers:
+        while at < len(taken) and taken[at][1] <= place:
+            at += 1
+        if not any(a <= place < b for a, b in taken[at : at + 3]):
+            yield place
+
+
 def _find(model):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         crf = model.value
@@ -323,7 +334,8 @@ def find_pii(docs: DataFrame) -> DataFrame:
 
     Base spans are what the fixed patterns match; the random field adds others, such as secrets and numbers written in other
     ways, where they don't overlap base ones: besides secrets, accounts, national ids and addresses. No rows give no rows. A null or empty text has no spans. Repeated rows and a null doc_id are rows like any
-    other; other columns are not looked at. No row needs another, and a long text is scanned in time linear in its length.
+    other; other columns are not looked at. No row needs another, and a long text is scanned in time linear in its length, however many numbers it
+    has, with some thirty bytes a word besides the text and its spans.
     """
     model = docs.sparkSession.sparkContext.broadcast(train())
     return docs.select("doc_id", "text").mapInArrow(_find(model), "doc_id long, spans array<struct<kind:string,start:long,end:long,base:boolean>>")

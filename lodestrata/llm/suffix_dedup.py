@@ -8,7 +8,7 @@ and all. There, stretches are cut down to windows that a hash finds in other doc
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -292,27 +292,48 @@ def _window_keys(data: np.ndarray, first: np.ndarray, size: np.ndarray) -> np.nd
 
 
 def _in_several(keys: np.ndarray, base: np.ndarray, owners: np.ndarray) -> np.ndarray:
-    """Whether each key has more than one owner; string k has the keys from base[k] on. Keys are compared some HELD_KEYS different ones at a
-    time, by ranges of their values, and each chunk's are summed up before they are put together."""
+    """Whether each key has more than one owner; string k has the keys from base[k] on. Keys are dealt out once, by ranges of their values with some
+    HELD_KEYS each, and each range is then read by itself, a chunk at a time, whose different keys are summed up before they are put together."""
     out = on_disk(len(keys), bool)
     passes = len(keys) // HELD_KEYS + 1
+    parts = _by_range(keys, passes)
     for k in range(passes):
-        low, high = np.uint64((k << 64) // passes), np.uint64(((k + 1 << 64) - 1) // passes)
         seen = [np.zeros(0, np.uint64), np.zeros(0, np.int64), np.zeros(0, np.int64)]
-        mine = lambda part: np.flatnonzero((part >= low) & (part <= high))  # noqa: B023, E731
-        for a, b in chunks(len(keys)):
-            part = np.asarray(keys[a:b])
-            at = mine(part)
-            own = owners[np.searchsorted(base, at + a, side="right") - 1]
-            seen = _extremes(np.concatenate((seen[0], part[at])), np.concatenate((seen[1], own)), np.concatenate((seen[2], own)))
+        for part, at in parts(k):
+            own = owners[np.searchsorted(base, at, side="right") - 1]
+            seen = _extremes(np.concatenate((seen[0], part)), np.concatenate((seen[1], own)), np.concatenate((seen[2], own)))
         more = seen[0][seen[1] != seen[2]]
-        for a, b in chunks(len(keys)) if len(more) else ():
-            part = np.asarray(keys[a:b])
-            at = mine(part)
-            out[a + at] = more[np.minimum(np.searchsorted(more, part[at]), len(more) - 1)] == part[at]
+        for part, at in parts(k) if len(more) else ():
+            out[at] = more[np.minimum(np.searchsorted(more, part), len(more) - 1)] == part
     return out
 
 
+def _by_range(keys: np.ndarray, passes: int) -> Callable[[int], Iterator[tuple[np.ndarray, np.ndarray]]]:
+    """Gives, for one of so many ranges of values, the keys in it and their places, about a chunk at a time."""
+    if passes == 1:
+        return lambda _: ((np.asarray(keys[a:b]), np.arange(a, b)) for a, b in chunks(len(keys)))
+    dealt, places, borders = Growing(np.uint64), Growing(np.int64), []
+    for a, b in chunks(len(keys)):
+        part = np.asarray(keys[a:b])
+        which = ((part >> np.uint64(32)) * np.uint64(passes)) >> np.uint64(32)
+        order = np.argsort(which, kind="stable")
+        dealt.add(part[order])
+        places.add(order + a)
+        borders.append(a + np.searchsorted(which[order], np.arange(passes + 1, dtype=np.uint64)))
+    dealt, places = dealt.mapped(), places.mapped()
+
+    def read(k: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+        held, size = [], 0
+        for border in borders:
+            held.append(slice(int(border[k]), int(border[k + 1])))
+            size += held[-1].stop - held[-1].start
+            if size >= HELD_KEYS or border is borders[-1]:
+                yield np.concatenate([dealt[x] for x in held]), np.concatenate([places[x] for x in held])
+                held, size = [], 0
+
+    return read
+
+
 def _extremes(keys: np.ndarray, least: np.ndarray, most: np.ndarray) -> list[np.ndarray]:
     """The different keys in order, each with the least of its least and the most of its most."""
     order = np.argsort(keys, kind="stable")

@@ -181,3 +181,38 @@ def test_records_are_checked(spark, tmp_path):
     assert len(warc.surt("http://a.example/" + "é" * 900)) <= 512 and warc.surt("http://10.0.0.1/") == "10.0.0.1)/"
     keys = [warc.capture_key("http://a.example/", p) for p in (-5, 3, 20, None)]
     assert keys == sorted(keys)
+
+
+def test_pii_holds_a_block_of_words(monkeypatch):
+    import random
+    import tracemalloc
+
+    from lodestrata.llm import pii
+
+    rng, model = random.Random(5), pii.train(200, 1)
+    for _ in range(20):
+        text = " ".join(pii._example(rng)[0] for _ in range(6))
+        words = [m.span() for m in pii._WORD.finditer(text)]
+        want = model.best(text, words, block=10_000)
+        assert all(model.best(text, words, block=n) == want for n in (pii.LONGEST, 7, 16))
+    text = " ".join(str(rng.randrange(1000, 10_000)) for _ in range(3000))
+    tracemalloc.start()
+    pii.added_spans(text, pii.base_spans(text), model)
+    assert tracemalloc.get_traced_memory()[1] < 8_000_000
+    tracemalloc.stop()
+
+
+def test_keys_of_several_owners_whatever_is_held(monkeypatch):
+    from lodestrata.llm import suffix_dedup
+
+    rng = np.random.default_rng(0)
+    keys = rng.integers(0, 2**63, 5000, dtype=np.uint64) * np.uint64(2)
+    keys[2000:3000], keys[3000:4000] = keys[:1000], keys[0]
+    base = np.append(0, np.sort(rng.choice(np.arange(1, 5000), 200, replace=False)))
+    owners = rng.integers(0, 30, 201)
+    own, found = owners[np.searchsorted(base, np.arange(5000), side="right") - 1], {}
+    for k, o in zip(keys.tolist(), own.tolist(), strict=True):
+        found.setdefault(k, set()).add(o)
+    for held in (1 << 20, 900, 40):
+        monkeypatch.setattr(suffix_dedup, "HELD_KEYS", held)
+        assert (np.asarray(suffix_dedup._in_several(keys, base, owners)) == [len(found[k]) > 1 for k in keys.tolist()]).all()

@@ -19,8 +19,13 @@ REGISTERS, ROWS = 504, 7
 BASE, RATE, LIMIT = 1.02, 20.0, 1400
 #: Standard deviations that a sketch's estimate may fall short of the threshold before whole sets are no longer compared.
 MARGIN = 5.0
-#: Sketches of unresolved texts, and of others, that one comparison task holds.
+#: Unresolved texts, and others, that one comparison task holds, and bytes of sketches and compressed texts of either.
 ASKING, ASKED = 512, 1024
+ASKING_BYTES, ASKED_BYTES = 8 << 20, 16 << 20
+#: Bytes of shingle sets that a comparison keeps for later pairs.
+HELD_BYTES = 64 << 20
+#: Pairs whose comparison costs as much as moving a text into a block.
+MOVING = 64
 #: Slots of the bitmap of ids whose texts are fetched; beyond that many ids, more texts than needed are moved.
 SLOTS = 1 << 22
 
@@ -100,13 +105,15 @@ def _sketches(words: int):
 
 
 def _bands(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """For each band of a row's sketch its key, beside the row's other columns (longs)."""
     for batch in batches:
         registers = np.frombuffer(b"".join(batch["sketch"].to_pylist()), np.uint16).reshape(len(batch), -1, ROWS).astype(np.uint64)
         key = np.broadcast_to(np.arange(1, REGISTERS // ROWS + 1, dtype=np.uint64), registers.shape[:2])
         for k in range(ROWS):
             key = mix(key * np.uint64(0xD6E8FEB86659FD93) + registers[:, :, k])
-        ids = np.repeat(batch["id"].to_numpy(zero_copy_only=False), REGISTERS // ROWS)
-        yield pa.RecordBatch.from_arrays([pa.array(ids), pa.array(key.reshape(-1).view(np.int64))], ["id", "band"])
+        names = [x for x in batch.schema.names if x != "sketch"]
+        others = [pa.array(np.repeat(batch[x].to_numpy(zero_copy_only=False), REGISTERS // ROWS)) for x in names]
+        yield pa.RecordBatch.from_arrays([*others, pa.array(key.reshape(-1).view(np.int64))], [*names, "band"])
 
 
 def _similar(x: np.ndarray, y: np.ndarray, percent: int) -> bool:
@@ -115,20 +122,22 @@ def _similar(x: np.ndarray, y: np.ndarray, percent: int) -> bool:
 
 
 class _Sets:
-    """Shingle sets of compressed texts; a bounded number is held."""
+    """Shingle sets of compressed texts; of those made before, HELD_BYTES at most are held."""
 
     def __init__(self, words: int) -> None:
         import zstandard
 
-        self.unpress, self.words, self.held = zstandard.ZstdDecompressor(), words, {}
+        self.unpress, self.words, self.held, self.size = zstandard.ZstdDecompressor(), words, {}, 0
 
     def of(self, packed: bytes) -> np.ndarray:
-        if packed not in self.held:
-            if len(self.held) >= 2 * ASKED:
-                self.held.clear()
-            data = np.frombuffer(self.unpress.decompress(packed), np.uint8)
-            self.held[packed] = shingle_sets(data, np.array([0, len(data)]), self.words)[0]
-        return self.held[packed]
+        if packed in self.held:
+            return self.held[packed]
+        data = np.frombuffer(self.unpress.decompress(packed), np.uint8)
+        made = shingle_sets(data, np.array([0, len(data)]), self.words)[0]
+        if self.size + made.nbytes + len(packed) > HELD_BYTES:
+            self.held, self.size = {}, 0
+        self.held[packed], self.size = made, self.size + made.nbytes + len(packed)
+        return made
 
 
 def _compare(words: int, percent: int):
@@ -204,6 +213,49 @@ def _links(pairs: DataFrame, docs: DataFrame, words: int, percent: int, scratch:
     return pairs.join(other, "b").join(one, "a").select("a", "b", "packed_a", "packed_b").mapInArrow(_confirm(words, percent), "a long, b long").distinct()
 
 
+def _units(rows: DataFrame, *by: str) -> DataFrame:
+    """Of each group of rows that is in more than one component: its largest component, into how many blocks the texts outside it, and
+    all, are parted, what comparing the ones with the others costs, and its rows' number and hashes, which tell equal groups."""
+    hashes = [F.bit_xor(F.xxhash64("id", F.lit(k))).alias(f"h{k}") for k in (1, 2)]
+    parts = rows.groupBy(*by, "label").agg(F.count(F.lit(1)).alias("size"), F.sum("bytes").alias("bytes"), *hashes)
+    whole = parts.groupBy(*by).agg(
+        F.sum("size").alias("total"), F.sum("bytes").alias("bytes"), F.max(F.struct("size", "label", "bytes")).alias("most"), F.count(F.lit(1)).alias("parts"), *[F.bit_xor(h).alias(h) for h in ("h1", "h2")]
+    ).where("parts > 1")
+    outside, outside_bytes = F.col("total") - F.col("most.size"), F.col("bytes") - F.col("most.bytes")
+    blocks = lambda n, most, size, most_bytes: F.greatest(F.ceil(n / most), F.ceil(size / most_bytes)).cast("int")
+    return whole.select(
+        *by, F.col("most.label").alias("main"), blocks(outside, ASKING, outside_bytes, ASKING_BYTES).alias("askers"), blocks(F.col("total"), ASKED, F.col("bytes"), ASKED_BYTES).alias("others"),
+        ((outside + F.lit(float(MOVING))) * F.col("total")).alias("cost"), "total", "h1", "h2",
+    )
+
+
+def _blocks(ready: DataFrame, scratch: Scratch) -> DataFrame:
+    """Blocks (grp, band, x, y) of texts that ask and texts that are asked, of all components but the asking one's.
+
+    A group tied by bands that is one block is compared as it is. In a larger one every link still to be found shares a band, so texts are
+    compared within the bands' buckets, equal buckets once; or all at once, where that costs less as most texts share most of
+    their bands. The buckets of texts tied through others only are small, however large the group.
+    """
+    groups = scratch.table(_units(ready, "grp"))
+    large = groups.where("CAST(askers AS long) * others > 1")
+    several = ready.join(large.select("grp"), "grp", "left_semi").select("grp", "id", "label", "bytes", "sketch")
+    members = scratch.table(several.mapInArrow(_bands, "grp long, id long, label long, bytes long, band long"))
+    buckets = scratch.table(_units(members, "grp", "band").dropDuplicates(["grp", "total", "h1", "h2"]))
+    summed = buckets.groupBy("grp").agg(F.sum("cost").alias("apart"))
+    parted = scratch.table(large.join(summed, "grp", "left").where("coalesce(apart, 0) < cost").select("grp"))
+    plan = ["main", "askers", "others"]
+    whole = ready.join(groups.select("grp", *plan).join(parted, "grp", "left_anti"), "grp").withColumn("band", F.lit(0).cast("long"))
+    inside = members.join(buckets.join(parted, "grp", "left_semi").select("grp", "band", *plan), ["grp", "band"]).select("grp", "band", "id", *plan)
+    columns = ["grp", "band", "id", "label", "n", "sketch", "packed", *plan]
+    rows = whole.select(*columns).union(inside.join(ready.drop("grp"), "id").select(*columns))
+    spot = lambda n: F.pmod(F.xxhash64("id", F.lit(7)), F.col(n)).cast("int")
+    every = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
+    carried = ["id", "label", "n", "sketch", "packed"]
+    asking = rows.where("label <> main").select("grp", "band", spot("askers").alias("x"), every("others").alias("y"), F.lit(True).alias("asks"), *carried)
+    asked = rows.select("grp", "band", every("askers").alias("x"), spot("others").alias("y"), F.lit(False).alias("asks"), *carried)
+    return asking.union(asked)
+
+
 def near_duplicates(docs: DataFrame, words: int = 5, percent: int = 80) -> DataFrame:
     """doc_id, n_shingles, component_id, kept, n_class for each row of docs.
 
@@ -214,10 +266,10 @@ def near_duplicates(docs: DataFrame, words: int = 5, percent: int = 80) -> DataF
     component and is kept. Rows that share a doc_id are one document, linked by whatever text of theirs is near.
 
     Texts with a band of registers in common are compared with the band's first; links among these make a first round of
-    components. Where one group of texts tied by bands falls into more than one component, every text outside its largest
-    component is compared with all texts of the group in other components, block by block: by sketch, and what may be near
-    enough by MARGIN deviations on whole sets. At the threshold, a link shares no band with chance
-    (1 - 0.8**ROWS)**(REGISTERS / ROWS), some 4e-8.
+    components. Where texts tied by bands fall into more than one component, every text outside the largest one is compared with
+    texts in other components, in blocks bounded by rows and bytes: with all of a small group, and within the bands' buckets of a large one
+    (see _blocks); by sketch, and what may be near enough by MARGIN deviations on whole sets. At the threshold, a link shares no
+    band with chance (1 - 0.8**ROWS)**(REGISTERS / ROWS), some 4e-8. Very long texts are blocks of few rows.
     """
     docs, scratch = docs.select("doc_id", "text"), Scratch(docs.sparkSession)
     made = materialize(docs.mapInArrow(_sketches(words), "doc_id long, n_shingles long, set_key binary, sketch binary"))
@@ -233,18 +285,11 @@ def near_duplicates(docs: DataFrame, words: int = 5, percent: int = 80) -> DataF
     scratch.paths += [groups.written_to, labels.written_to]
     sides = groups.withColumnRenamed("component", "grp").join(labels.withColumnRenamed("component", "label"), "id", "left")
     sides = scratch.table(sides.withColumn("label", F.coalesce("label", "id")))
-    parts = sides.groupBy("grp", "label").agg(F.count(F.lit(1)).alias("size"))
-    open_groups = parts.groupBy("grp").agg(F.sum("size").alias("total"), F.max(F.struct("size", "label")).alias("most"), F.count(F.lit(1)).alias("parts")).where("parts > 1")
-    counts = open_groups.select(
-        "grp", F.col("most.label").alias("main"), F.ceil((F.col("total") - F.col("most.size")) / ASKING).cast("int").alias("askers"), F.ceil(F.col("total") / ASKED).cast("int").alias("others")
-    )
-    ready = scratch.table(sides.join(counts, "grp"))
-    ready = scratch.table(ready.join(nodes, "id").join(_texts(docs, ready.select("id"), scratch), "id"))
-    spot = lambda n: F.pmod(F.xxhash64("id", F.lit(7)), F.col(n)).cast("int")
-    every = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
-    asking = ready.where("label <> main").select("grp", spot("askers").alias("x"), every("others").alias("y"), F.lit(True).alias("asks"), "id", "label", "n", "sketch", "packed")
-    asked = ready.select("grp", every("askers").alias("x"), spot("others").alias("y"), F.lit(False).alias("asks"), "id", "label", "n", "sketch", "packed")
-    second = asking.union(asked).groupBy("grp", "x", "y").applyInArrow(_compare(words, percent), "a long, b long")
+    unlike = sides.groupBy("grp").agg(F.min("label").alias("low"), F.max("label").alias("high")).where("low < high").select("grp")
+    ready = scratch.table(sides.join(unlike, "grp"))
+    ready = ready.join(nodes, "id").join(_texts(docs, ready.select("id"), scratch), "id")
+    ready = scratch.table(ready.withColumn("bytes", (F.length("sketch") + F.length("packed")).cast("long")))
+    second = _blocks(ready, scratch).groupBy("grp", "band", "x", "y").applyInArrow(_compare(words, percent), "a long, b long")
     final = connected_components(first.union(second))
     scratch.paths += [final.written_to]
     named = classes.join(final, "id", "left").select("set_key", "n_class", F.coalesce("component", "id").alias("component"))

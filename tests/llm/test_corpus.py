@@ -183,6 +183,61 @@ def test_near_duplicates_are_those_of_all_pairs(spark):
     assert sorted(map(tuple, got.collect())) == brute_components(rows, 4, 80)
 
 
+def test_near_duplicates_of_texts_with_common_passages(spark, monkeypatch):
+    """A group tied by boilerplate, several blocks large, in which texts near each other are found by their bands' buckets."""
+    monkeypatch.setattr(near_dedup, "ASKING", 16)
+    monkeypatch.setattr(near_dedup, "ASKED", 32)
+    rng = random.Random(8)
+    words = [f"w{k}" for k in range(2000)]
+    common, rows = rng.choices(words, k=90), []
+    for k in range(150):
+        own = common + rng.choices(words, k=80)
+        rows.append((2 * k, " ".join(own)))
+        if k % 3 == 0:
+            for _ in range(rng.choice((1, 2, 3))):
+                own[rng.randrange(len(own))] = rng.choice(words)
+            rows.append((2 * k + 1, " ".join(own)))
+    rng.shuffle(rows)
+    got = near_dedup.digest(near_dedup.near_duplicates(texts(spark, rows)))
+    assert sorted(map(tuple, got.collect())) == brute_components(rows, 5, 80)
+
+
+def test_blocks_grow_with_buckets_not_with_the_group(spark, monkeypatch):
+    """Texts each of which shares one band with the next are one group, whose comparisons grow with its length."""
+    rng = np.random.default_rng(4)
+    registers = rng.integers(0, 1400, (300, near_dedup.REGISTERS)).astype(np.uint16)
+    for k in range(299):
+        band = slice(7 * (k % 72), 7 * (k % 72) + 7)
+        registers[k + 1, band] = registers[k, band]
+    schema = "id long, grp long, label long, n long, sketch binary, packed binary, bytes long"
+    ready = spark.createDataFrame([(k, 0, k, 100, registers[k].tobytes(), b"", 1008) for k in range(300)], schema)
+    ready = shared.materialize(ready)
+
+    def pairs():
+        rows = near_dedup._blocks(ready, shared.Scratch(spark)).groupBy("grp", "band", "x", "y").agg(F.count_if("asks").alias("a"), F.count_if(~F.col("asks")).alias("b")).collect()
+        return sum(r.a * r.b for r in rows), max(r.b for r in rows)
+
+    assert pairs() == (299 * 300, 300)  # one block
+    monkeypatch.setattr(near_dedup, "ASKED", 64)
+    assert pairs() == (299 * 2, 2)
+    monkeypatch.setattr(near_dedup, "ASKED", 1024)
+    monkeypatch.setattr(near_dedup, "ASKED_BYTES", 64 * 1008)
+    assert pairs() == (299 * 2, 2)
+
+
+def test_sets_of_long_texts_are_held_in_bounded_memory(monkeypatch):
+    import zstandard
+
+    monkeypatch.setattr(near_dedup, "HELD_BYTES", 100_000)
+    packed = [zstandard.ZstdCompressor().compress(" ".join(f"{t}x{k}" for k in range(3000)).encode()) for t in range(12)]
+    sets = near_dedup._Sets(5)
+    sizes = []
+    for x in [*packed, *packed]:
+        assert len(sets.of(x)) == 2996
+        sizes.append(sum(len(k) + v.nbytes for k, v in sets.held.items()))
+    assert max(sizes) <= 100_000
+
+
 def test_near_duplicates_edges(spark):
     got = near_dedup.near_duplicates(texts(spark, ODD)).collect()
     assert len(got) == len(ODD)

@@ -88,6 +88,33 @@ def test_pii_field_finds_secrets_without_digits_and_numbers_in_five_groups(spark
     assert got == {k: [(kind, 11, 11 + len(x))] for k, (x, kind) in enumerate(there)} | {100 + k: [] for k in range(len(clean))}
 
 
+def test_pii_field_finds_whole_accounts_and_keys_of_other_names(spark):
+    """Lines written by hand: published examples of account numbers, in groups and without, and keys as tools write them."""
+    there = ["DE89 3704 0044 0532 0130 00", "FR14 2004 1010 0505 0001 3M02 606", "GB29 NWBK 6016 1331 9268 19", "NL91 ABNA 0417 1643 00", "ES91 2100 0418 4502 0005 1332", "CH93 0076 2011 6238 5295 7"]
+    there += [x.replace(" ", "") for x in there]
+    rows = [(x, "account") for x in there]
+    rows += [(x, "secret") for x in ("aws_secret_access_key = wJalrXUtnFEMI/K7MDENG/bPxRfiCYEXAMPLEKEY", "Bearer eyJhbGciOiJIUzI1NiJ9.eyJzdWIiOiIxMjM0In0.dozjgNryP4J3jVmNHl0w", "client_secret: 9f8e7d6c5b4a39281706")]
+    clean = ["a bearer of 20 good news", "chapter 3: The end of 1984 and 2001", "1 2 3 4 5 6 7 8 9 10", "the token economy: 3 ways", "results: 12 34 56 of 78"]
+    lines = [(k, f"please use {x} now") for k, (x, _) in enumerate(rows)] + [(100 + k, f"Send it to {x} before 12 May 2021, please.") for k, (x, _) in enumerate(rows)]
+    got = {r.doc_id: [(x["kind"], x["start"], x["end"]) for x in r.spans] for r in pii.find_pii(texts(spark, lines + [(200 + k, t) for k, t in enumerate(clean)])).collect()}
+    own = lambda k, at: [(rows[k][1], at, at + len(rows[k][0]))]
+    assert got == {k: own(k, 11) for k in range(len(rows))} | {100 + k: own(k, 11) for k in range(len(rows))} | {200 + k: [] for k in range(len(clean))}
+    assert pii.checked("DE89370400440532013000") and not pii.checked("DE88370400440532013000")
+
+
+def test_pii_of_a_text_of_numbers_alone_in_bounded_memory():
+    import tracemalloc
+
+    model, rng, grown = pii.train(60, 1), random.Random(5), []
+    for n in (2000, 6000):
+        text = " ".join(str(rng.randint(0, 999)) for _ in range(n))
+        tracemalloc.start()
+        pii.added_spans(text, pii.base_spans(text), model)
+        grown.append(tracemalloc.get_traced_memory()[1])
+        tracemalloc.stop()
+    assert grown[1] - grown[0] < 4000 * 300  # bytes a word
+
+
 def test_pii_slopes_are_those_of_the_likelihood():
     rng, model = random.Random(3), pii.SemiMarkov()
     noise = np.random.default_rng(3)

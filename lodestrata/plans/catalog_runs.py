@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from ..functions import columns as C
 from ..operators import classify, harvest, health, ledger, merge, routing
+from ..operators.written import written
 from ..sources import files, sinks
 from ..sources import tables as T
 from ..sources.tables import sql_fingerprint, with_sql
@@ -119,7 +120,7 @@ def _done_sql(select: str) -> str:
 UNION ALL SELECT fingerprint, 'applied', 1 FROM wo WHERE bucket = 'active_add' AND EXISTS (SELECT 1 FROM done WHERE of = 'active-work') UNION ALL SELECT fingerprint, 'proposed', 2 FROM wo WHERE bucket = 'review_queue' AND EXISTS (SELECT 1 FROM done WHERE of = 'review-queue')
 UNION ALL SELECT fingerprint, 'archived', 3 FROM wo WHERE bucket = 'active_remove' AND EXISTS (SELECT 1 FROM done WHERE of = 'active-work')"""))
 def status_changes(spark, d):
-    order = _order(spark, d).select("fingerprint", "bucket", "skill")
+    order = written(_order(spark, d).select("fingerprint", "bucket", "skill"))  # which nine branches read
     return sinks.status_changes(order, T.receipts(order))
 
 

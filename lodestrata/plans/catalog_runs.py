@@ -133,8 +133,8 @@ def receipts_written(spark, d):
 @query(with_sql("plan", """SELECT '2024-02-01-' || left(regexp_replace(regexp_replace(lower(claim), '[^a-z0-9]+', '-', 'g'), '^-|-$', '', 'g'), 40) || '-' || left(fingerprint, 6) || '.md' AS name, fingerprint, CASE WHEN new_skill THEN 'new-skill:' || target ELSE target END AS target
 FROM routed WHERE bucket = 'review_queue' AND substr(fingerprint, 16, 1) NOT IN ('a', '3')"""))
 def proposals_made(spark, d):
-    routed = _routed(spark, d)
-    there = T.claims(spark, d).where(F.substring("fingerprint", 16, 1).isin("a", "3")).select("fingerprint", F.lit("2024-02-01").alias("date")).distinct()
+    routed = written(_routed(spark, d).where("bucket = 'review_queue'"))  # each claim's fingerprint is in it, and made once
+    there = routed.where(F.substring("fingerprint", 16, 1).isin("a", "3")).select("fingerprint", F.lit("2024-02-01").alias("date")).distinct()
     made = sinks.proposals_of(routed, there, "2024-02-01")
     return made.select("name", "fingerprint", F.regexp_extract("text", r"(?m)^target: (.*)$", 1).alias("target"))
 

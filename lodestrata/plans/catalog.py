@@ -390,7 +390,7 @@ def frontmatter_parse(spark, d):
 
     k = F.col("doc_id").cast("string")
     raw = F.concat(F.lit("---\nfingerprint: "), C.fingerprint(F.col("text")), F.lit("\nslug:  "), F.concat_ws("-", "lang", k), F.lit(" \ntarget: x\nslug: later\n---\n# Title "), k, F.lit("\nbody\n"))
-    docs = T.table(spark, d, "documents").select("doc_id", F.concat(F.lit("2024-01-01-"), k, F.lit(".md")).alias("name"), raw.alias("text"))
+    docs = written(T.table(spark, d, "documents").select("doc_id", F.concat(F.lit("2024-01-01-"), k, F.lit(".md")).alias("name"), raw.alias("text")))  # else made anew for the filter and each field
     return select_proposals(parse_proposals(docs), slug="N-1").select("doc_id", "fingerprint", "slug", "title")
 
 

@@ -193,7 +193,7 @@ def ledger_dump(spark, d):
 
 @query(with_sql("plan", """SELECT fingerprint, CASE WHEN bucket IN ('by_skill', 'active_add') THEN 'applied' WHEN bucket = 'review_queue' THEN 'proposed' WHEN rejected_denied THEN 'rejected' ELSE 'active' END AS status FROM routed"""))
 def set_status(spark, d):
-    routed = _routed(spark, d)
+    routed = written(_routed(spark, d).select("fingerprint", "bucket", "rejected_denied"))  # both the items and their updates
     items = routed.select("fingerprint", F.lit("active").alias("status"))
     bucket = F.col("bucket")
     new = F.when(bucket.isin("by_skill", "active_add"), "applied").when(bucket == "review_queue", "proposed").when(F.col("rejected_denied"), "rejected")

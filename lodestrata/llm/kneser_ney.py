@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Iterator
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
@@ -11,10 +12,10 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .lm_score import token_hashes
-from .shared import crc_mod, materialize
+from .shared import Scratch, crc_mod, materialize, shuffles_cleared
 from .textcore import mix, slices
 
-#: Terms of the most frequent grams that are broadcast at most; all others are joined.
+#: Terms of a part's most frequent grams that are broadcast at most; all others are looked up in shards.
 HEAD_GRAMS = 500_000
 #: A fifth of trusted texts isn't learnt from: their perplexities give the bounds.
 FOLDS = 5
@@ -25,13 +26,25 @@ HALFWAY = 100
 #: Rows of bounds that are broadcast at most.
 BROADCAST_LANGUAGES = 10_000
 START = 0x2545F4914F6CDD1D
+#: Parts that grams are dealt to at most, and tokens of all texts for each; tokens of all texts for each shard of a part.
+PARTS, PART_TOKENS, SHARD_TOKENS = 8, 1 << 21, 1 << 24
+#: Sorted hashes pack well as places in a dictionary.
+PACKED = {"compression": "zstd", "parquet.dictionary.page.size": 1 << 24}
 
 
-def _grams(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
-        for _, _, data, offsets in slices(batch["text"]):
-            a, b, c, _ = _contexts(data, offsets)
-            yield pa.RecordBatch.from_arrays([pa.array(x.view(np.int64)) for x in (a, b, c)], ["a", "b", "c"])
+def _part(words: np.ndarray, parts: int) -> np.ndarray:
+    return ((words >> np.uint64(40)) % np.uint64(parts)).astype(np.int64)
+
+
+def _grams(part: int, parts: int):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for _, _, data, offsets in slices(batch["text"]):
+                a, b, c, _ = _contexts(data, offsets)
+                mine = _part(b, parts) == part
+                yield pa.RecordBatch.from_arrays([pa.array(x[mine].view(np.int64)) for x in (a, b, c)], ["a", "b", "c"])
+
+    return run
 
 
 def _contexts(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
@@ -72,36 +85,52 @@ def _log(x: Column) -> Column:
     return F.log(F.greatest(x, F.lit(1e-300)))
 
 
+class Counts:
+    """Counts of some texts' grams: trigrams, and for lower orders the different words before a gram (or, after a start, the gram itself).
+
+    Trigrams go by their middle word into parts, which are counted one after the other, so that only one part's shuffles are on disk at
+    a time; a part has all trigrams of its pairs, and all pairs of their first words. Tables are sorted, as that packs best."""
+
+    def __init__(self, texts: DataFrame, parts: int, scratch: Scratch) -> None:
+        start = np.uint64(START).astype(np.int64).item()
+        self.three, self.two = [], []
+        for k in range(parts):
+            grams = texts.select("text").mapInArrow(_grams(k, parts), "a long, b long, c long")
+            three = grams.groupBy("a", "b", "c").agg(F.count(F.lit(1)).alias("n"))
+            self.three.append(scratch.table(three.sortWithinPartitions("b", "a", "c"), **PACKED))
+            two = self.three[k].groupBy("b", "c").agg(F.when(F.col("b") == start, F.sum("n")).otherwise(F.count(F.lit(1))).alias("n"))
+            self.two.append(scratch.table(two.sortWithinPartitions("b", "c"), **PACKED))
+        one = scratch.table(reduce(DataFrame.union, [x.groupBy("c").agg(F.count(F.lit(1)).alias("n")) for x in self.two]).groupBy("c").agg(F.sum("n").alias("n")))
+        own, given, total = _discounted(one)
+        whole = one.agg(given.alias("given"), total.alias("total"), F.count(F.lit(1)).alias("kinds")).first()
+        total, lost, kinds = whole["total"] or 1, 1.0 if whole["total"] is None else whole["given"] / whole["total"], whole["kinds"]
+        self.unknown = lost / (kinds + 1)
+        self.one = scratch.table(one.select("c", "n", ((F.col("n") - own) / total + self.unknown).alias("p")))
+        self.off = [_discounted(reduce(DataFrame.union, x)) for x in (self.two, self.three)]
+
+    def part(self, k: int) -> tuple[DataFrame, DataFrame, DataFrame, DataFrame]:
+        """Of one part (b, c, n, p, gain), (b, weight, total), (a, b, c, n, p, gain), (a, b, weight, total): counts joined with their
+        contexts and with the next lower order. The rows of one context are dealt once for its sum and for its grams."""
+        two, three = self.two[k].repartition("b"), self.three[k].repartition("a", "b")
+        left = F.col("weight") * F.col("below")
+        gain = lambda mixed: _log(mixed) - _log(F.col("weight")) - _log(F.col("below"))  # noqa: E731  as terms are added, also where a weight is 0
+        own, given, total = self.off[0]
+        w2 = two.groupBy("b").agg((given / total).alias("weight"), total.alias("total"))
+        mixed = (F.col("n") - own) / F.col("total") + left
+        p2 = self.two[k].join(w2, "b").join(self.one.select("c", F.col("p").alias("below")), "c").select("b", "c", "n", mixed.alias("p"), gain(mixed).alias("gain"))
+        own, given, total = self.off[1]
+        w3 = three.groupBy("a", "b").agg((given / total).alias("weight"), total.alias("total"))
+        mixed = (F.col("n") - own) / F.col("total") + left
+        p3 = three.join(w3, ["a", "b"]).join(p2.select("b", "c", F.col("p").alias("below")), ["b", "c"]).select("a", "b", "c", "n", mixed.alias("p"), gain(mixed).alias("gain"))
+        return p2, w2, p3, w3
+
+
 def kneser_ney(texts: DataFrame) -> tuple[DataFrame, DataFrame]:
     """The model of some texts as two tables: (order, a, b, c, p, n, gain), the probability of c after a b, after b, or by itself, and
     (order, a, b, weight, total), what a context leaves to the next lower order. Order 0 has the probability of a word not met.
-    n is a gram's count, total its context's; gain is the natural log of p over what backing off would give.
-
-    Trigrams are counted; lower orders count the different words before a gram (or, after a start, the gram itself). Counts are
-    sharded by their grams, and joined with their contexts and with the next lower order.
-    """
-    start = np.uint64(START).astype(np.int64).item()
-    grams = texts.select("text").mapInArrow(_grams, "a long, b long, c long")
-    three = materialize(grams.groupBy("a", "b", "c").agg(F.count(F.lit(1)).alias("n")))
-    two = materialize(three.groupBy("b", "c").agg(F.when(F.col("b") == start, F.sum("n")).otherwise(F.count(F.lit(1))).alias("n")))
-    one = materialize(two.groupBy("c").agg(F.count(F.lit(1)).alias("n")))
-    own, given, total = _discounted(one)
-    whole = one.agg(given.alias("given"), total.alias("total"), F.count(F.lit(1)).alias("kinds")).first()
-    total, lost, kinds = whole["total"] or 1, 1.0 if whole["total"] is None else whole["given"] / whole["total"], whole["kinds"]
-    unknown = lost / (kinds + 1)
-    p1 = one.select("c", "n", ((F.col("n") - own) / total + unknown).alias("p"))
-    own, given, total = _discounted(two)
-    w2 = two.groupBy("b").agg((given / total).alias("weight"), total.alias("total"))
-    left = F.col("weight") * F.col("below")
-    mixed = (F.col("n") - own) / F.col("total") + left
-    gain = _log(mixed) - _log(F.col("weight")) - _log(F.col("below"))  # as terms are added, also where a weight is 0
-    p2 = two.join(w2, "b").join(p1.select("c", F.col("p").alias("below")), "c").select("b", "c", "n", mixed.alias("p"), gain.alias("gain"))
-    p2 = materialize(p2)
-    own, given, total = _discounted(three)
-    w3 = three.groupBy("a", "b").agg((given / total).alias("weight"), total.alias("total"))
-    mixed = (F.col("n") - own) / F.col("total") + left
-    gain = _log(mixed) - _log(F.col("weight")) - _log(F.col("below"))
-    p3 = three.join(w3, ["a", "b"]).join(p2.select("b", "c", F.col("p").alias("below")), ["b", "c"]).select("a", "b", "c", "n", mixed.alias("p"), gain.alias("gain"))
+    n is a gram's count, total its context's; gain is the natural log of p over what backing off would give."""
+    counts = Counts(texts, 1, Scratch(texts.sparkSession))
+    p1, unknown, (p2, w2, p3, w3) = counts.one, counts.unknown, counts.part(0)
     none = F.lit(None).cast("long")
     spark = texts.sparkSession
     p0 = spark.range(1).select(F.lit(0).alias("order"), none.alias("a"), none.alias("b"), none.alias("c"), F.lit(unknown).alias("p"), F.lit(0).cast("long").alias("n"), F.lit(0.0).alias("gain"))
@@ -155,35 +184,36 @@ class Tables:
         return np.add.reduceat(out, firsts[:-1]) if len(firsts) > 1 else np.zeros(0), np.diff(firsts)
 
 
+def _context(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """The key of a pair as a context, which is another than its key as a gram."""
+    return mix(_key(a, b) + np.uint64(4))
+
+
 def _keyed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         size = batch["size"].to_numpy()
         keys = np.zeros(len(size), np.uint64)
-        for k in (1, 2, 3):
+        for k, key, names in ((1, _key, "x"), (2, _key, "xy"), (3, _key, "xyz"), (4, _context, "xy")):
             at = np.flatnonzero(size == k)
-            keys[at] = _key(*[batch[x].to_numpy(zero_copy_only=False)[at].view(np.uint64) for x in "xyz"[:k]])
+            keys[at] = key(*[batch[x].to_numpy(zero_copy_only=False)[at].view(np.uint64) for x in names])
         yield pa.RecordBatch.from_arrays([pa.array(keys.view(np.int64)), batch["term"], batch["n"]], ["key", "term", "n"])
 
 
-def log_terms(p: DataFrame, weights: DataFrame) -> DataFrame:
-    """(key, term, n): a text's log-likelihood is the sum of the terms of all its words, pairs and triplets, the starts before it
-    among them, and for each token the log of a word not met.
+def log_terms(counts: Counts, k: int, parts: int) -> DataFrame:
+    """(key, term, n) of one part: a text's log-likelihood is the sum, over all parts, of the terms of its words, pairs, triplets and
+    contexts, the starts before it among them, and for each token the log of a word not met.
 
-    Backing off multiplies the weights of contexts, so that a gram's term is the log of what it gains over backing off, and of
-    its own weight as a context; a gram that isn't in the model has none.
+    Backing off multiplies the weights of contexts, so that a gram's term is the log of what it gains over backing off, and a
+    context's that of its weight; a gram that isn't in the model has none.
     """
-    schema = "key long, term double, n long"
-    none = F.lit(0).cast("long")
-
-    def keyed(rows: DataFrame, order: int, size: int, term: Column, n: str) -> DataFrame:
-        own = ("c", "bc", "abc")[size - 1] if n == "n" else ("b", "ab")[size - 1]
-        columns = [*own, *[none] * (3 - size)]
-        return rows.where(F.col("order") == order).select(F.lit(size).alias("size"), *[(F.col(c) if isinstance(c, str) else c).alias(x) for c, x in zip(columns, "xyz", strict=True)], term.alias("term"), F.col(n).cast("long").alias("n"))
-
-    gain, weight = F.col("gain"), _log(F.col("weight"))
-    lower = keyed(p, 1, 1, gain, "n").union(keyed(p, 2, 2, gain, "n")).union(keyed(weights, 2, 1, weight, "total")).union(keyed(weights, 3, 2, weight, "total"))
-    lower = lower.mapInArrow(_keyed, schema).groupBy("key").agg(F.sum("term").alias("term"), F.sum("n").alias("n"))
-    return lower.union(keyed(p, 3, 3, gain, "n").mapInArrow(_keyed, schema))
+    none, gain, weight = F.lit(0).cast("long"), F.col("gain"), _log(F.col("weight"))
+    p2, w2, p3, w3 = counts.part(k)
+    mine = F.pmod(F.shiftrightunsigned("c", 40), F.lit(parts)) == k
+    words = counts.one.where(mine).select("c", (_log(F.col("p")) - _log(F.lit(counts.unknown))).alias("term"), "n").union(w2.select("b", weight, "total"))
+    words = words.groupBy("c").agg(F.sum("term").alias("term"), F.sum("n").alias("n"))
+    rows = words.select(F.lit(1).alias("size"), F.col("c").alias("x"), none.alias("y"), none.alias("z"), "term", "n")
+    rows = rows.union(p2.select(F.lit(2), "b", "c", none, gain, "n")).union(p3.select(F.lit(3), "a", "b", "c", gain, "n")).union(w3.select(F.lit(4), "a", "b", none, weight, "total"))
+    return rows.mapInArrow(_keyed, "key long, term double, n long")
 
 
 def _head(terms: DataFrame) -> tuple[tuple[np.ndarray, np.ndarray], int]:
@@ -201,54 +231,156 @@ def _head(terms: DataFrame) -> tuple[tuple[np.ndarray, np.ndarray], int]:
     return (keys[rank], head["term"].to_numpy()[rank]), least
 
 
-def _scorer(head, unknown: float):
+def _names(ids: pa.Array, c: np.ndarray, firsts: np.ndarray) -> np.ndarray:
+    """A hash of each row's doc_id and tokens: rows that share one are judged alike."""
+    if not len(ids):
+        return np.zeros(0, np.int64)
+    place = np.arange(len(c)) - np.repeat(firsts[:-1], np.diff(firsts))
+    text = np.add.reduceat(mix(c + place.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15)), firsts[:-1])
+    own = mix(ids.fill_null(0).to_numpy(zero_copy_only=False).view(np.uint64) + ids.is_null().to_numpy(zero_copy_only=False).astype(np.uint64) * np.uint64(START))
+    return mix(text ^ own).view(np.int64)
+
+
+def _rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        for low, high, data, offsets in slices(batch["text"]):
+            c, firsts = token_hashes(data, offsets)
+            own = batch.slice(low, high - low)
+            yield pa.RecordBatch.from_arrays([pa.array(_names(own["doc_id"], c, firsts)), own["doc_id"], own["lang"], pa.array(np.diff(firsts))], ["row", "doc_id", "lang", "n_tokens"])
+
+
+_LOW = np.uint64((1 << 48) - 1)
+
+
+def _packed(keys: np.ndarray, texts: np.ndarray) -> bytes:
+    """Steps between sorted keys of six bytes, and each one's text, byte by byte of like worth."""
+    steps = np.diff(keys, prepend=np.uint64(0)).view(np.uint8).reshape(-1, 8)[:, :6]
+    return steps.T.tobytes() + texts.astype(np.uint32).view(np.uint8).reshape(-1, 4).T.tobytes()
+
+
+def _unpacked(raw: bytes) -> tuple[np.ndarray, np.ndarray]:
+    planes = np.frombuffer(raw, np.uint8).reshape(10, -1)
+    steps, texts = np.zeros((planes.shape[1], 8), np.uint8), np.ascontiguousarray(planes[6:].T)
+    steps[:, :6] = planes[:6].T
+    return np.cumsum(steps.reshape(-1).view(np.uint64)), texts.reshape(-1).view(np.uint32)
+
+
+def _asks(head, part: int, parts: int, shards: int):
+    """For each batch its rows' names and sums over the head's terms (name not null), and for each shard the other keys that the batch asks for."""
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        import zstandard
+
         words, terms = head.value
-        task, nth = TaskContext.get().partitionId(), 0
-        for batch in batches:
+        press, task = zstandard.ZstdCompressor(level=1), TaskContext.get().partitionId()
+        for nth, batch in enumerate(batches):
+            names, logs, asked, of, block = [], [], [], [], (task << 24) + nth
             for low, high, data, offsets in slices(batch["text"]):
                 a, b, c, firsts = _contexts(data, offsets)
-                n, sizes = high - low, np.diff(firsts)
-                start = np.full(n, START, np.uint64)
-                keys = np.concatenate((_key(c), _key(b, c), _key(a, b, c), _key(start), _key(start, start)))
-                row = np.concatenate((np.tile(np.repeat(np.arange(n), sizes), 3), np.tile(np.arange(n), 2)))
-                logs = sizes * unknown
+                n = high - low
+                names.append(_names(batch["doc_id"].slice(low, n), c, firsts))
+                row = np.repeat(np.arange(n), np.diff(firsts))
+                mine, word = np.flatnonzero(_part(b, parts) == part), np.flatnonzero(_part(c, parts) == part)
+                a, b, c, row, after, word = a[mine], b[mine], c[mine], row[mine], c[word], row[word]
+                start = np.full(n if _part(np.array([START], np.uint64), parts)[0] == part else 0, START, np.uint64)
+                keys = np.concatenate((_key(after), _key(b, c), _key(a, b, c), _context(a, b), _key(start)))
+                row = np.concatenate((word, row, row, row, np.arange(len(start))))
                 if len(words):
                     at = np.minimum(np.searchsorted(words, keys), len(words) - 1)
                     here = words[at] == keys
-                    logs = logs + np.bincount(row[here], weights=terms[at[here]], minlength=n)
+                    logs.append(np.bincount(row[here], weights=terms[at[here]], minlength=n))
                     keys, row = keys[~here], row[~here]
-                order = np.lexsort((keys, row))
-                keys, row = keys[order], row[order]
-                new = np.flatnonzero(np.concatenate(([True], (keys[1:] != keys[:-1]) | (row[1:] != row[:-1])))) if len(keys) else np.zeros(0, np.int64)
-                stops = pa.array(np.searchsorted(row[new], np.arange(n + 1)), pa.int32())
-                times = pa.array(np.diff(np.append(new, len(keys))), pa.int32())
-                columns = [
-                    pa.array((np.int64(task) << np.int64(33)) + nth + np.arange(n)), batch["doc_id"][low:high], batch["lang"][low:high], pa.array(sizes), pa.array(logs),
-                    pa.ListArray.from_arrays(stops, pa.array(keys[new].view(np.int64))), pa.ListArray.from_arrays(stops, times),
-                ]
-                nth += n
-                yield pa.RecordBatch.from_arrays(columns, ["row", "doc_id", "lang", "n_tokens", "logs", "rare", "times"])
+                else:
+                    logs.append(np.zeros(n))
+                asked.append(keys)
+                of.append(row + low)
+            if not names:
+                continue
+            keys, of, names, logs = (np.concatenate(x) for x in (asked, of, names, logs))
+            shard = ((keys >> np.uint64(48)) % np.uint64(shards)).astype(np.int32)
+            keys &= _LOW
+            order = np.lexsort((keys, shard))
+            keys, of, shard = keys[order], of[order], shard[order]
+            edges = np.searchsorted(shard, np.arange(shards + 1))
+            full = np.flatnonzero(np.diff(edges))
+            packs = [press.compress(_packed(keys[edges[k] : edges[k + 1]], of[edges[k] : edges[k + 1]])) for k in full]
+            n = len(full)
+            yield pa.RecordBatch.from_arrays(
+                [pa.array(np.append(full, block % shards).astype(np.int32)), pa.array([block] * (n + 1), pa.int64()), pa.array([*packs, logs.tobytes()], pa.binary()), pa.array([None] * n + [names.tobytes()], pa.binary())],
+                ["shard", "block", "payload", "names"],
+            )
 
     return run
 
 
+def _answers(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Of a shard's terms and what is asked of it: for each text of a block what its keys there sum up to; and the rows' names and sums as they came."""
+    import zstandard
+
+    unpress, keys, terms, asked = zstandard.ZstdDecompressor(), [np.zeros(0, np.uint64)], [np.zeros(0)], []
+
+    def out(block: int, place: np.ndarray, names: np.ndarray | None, logs: np.ndarray) -> pa.RecordBatch:
+        row = pa.nulls(len(place), pa.int64()) if names is None else pa.array(names)
+        return pa.RecordBatch.from_arrays([pa.array(np.full(len(place), block)), pa.array(place), row, pa.array(logs)], ["block", "place", "row", "logs"])
+
+    for batch in batches:
+        own = batch.filter(batch["key"].is_valid())
+        keys.append(own["key"].to_numpy().view(np.uint64) & _LOW)
+        terms.append(own["term"].to_numpy())
+        for x in batch.filter(batch["block"].is_valid()).select(["block", "payload", "names"]).to_pylist():
+            if x["names"] is None:
+                asked.append((x["block"], x["payload"]))
+            else:
+                names = np.frombuffer(x["names"], np.int64)
+                yield out(x["block"], np.arange(len(names)), names, np.frombuffer(x["payload"]))
+    keys, terms = np.concatenate(keys), np.concatenate(terms)
+    order = np.argsort(keys)
+    keys, terms = keys[order], terms[order]
+    for block, payload in asked if len(keys) else ():
+        mine, texts = _unpacked(unpress.decompress(payload))
+        at = np.minimum(np.searchsorted(keys, mine), len(keys) - 1)
+        here = keys[at] == mine
+        sums = np.bincount(texts[here], weights=terms[at[here]])
+        met = np.flatnonzero(sums)
+        yield out(block, met, None, sums[met])
+
+
 def perplexities(docs: DataFrame, learn: DataFrame) -> DataFrame:
     """doc_id, lang, n_tokens, perplexity of each row of docs under the model of all the texts of learn.
 
-    Terms of frequent grams are broadcast. A text's other grams, each once with its number, are joined with the terms of the rest.
+    Grams are looked up part by part, so that only one part's terms and shuffles are on disk at a time, and each part reads all texts.
+    A part's most frequent grams are broadcast. The others that a batch of texts has go, packed, to the shards of the part's terms, which send back
+    sums for each text. Within a part and a shard keys are told apart by 48 bits. docs is read several times, in any order.
     """
-    p, weights = kneser_ney(learn)
-    unknown = p.where("order = 0").first()["p"]
-    terms = materialize(log_terms(p, weights))
-    head, least = _head(terms)
-    schema = "row long, doc_id long, lang string, n_tokens long, logs double, rare array<long>, times array<int>"
-    passed = materialize(docs.mapInArrow(_scorer(docs.sparkSession.sparkContext.broadcast(head), float(np.log(unknown))), schema))
-    rare = passed.select("row", F.explode(F.arrays_zip("rare", "times")).alias("x")).select("row", F.col("x.rare").alias("key"), F.col("x.times").alias("times"))
-    met = rare.join(terms.where(F.col("n") < least).select("key", "term"), "key").groupBy("row").agg(F.sum(F.col("times") * F.col("term")).alias("more"))
-    done = passed.drop("rare", "times").join(met, "row", "left")
-    logs = F.col("logs") + F.coalesce("more", F.lit(0.0))
-    return done.select("doc_id", "lang", "n_tokens", F.exp(F.least(-logs / F.col("n_tokens"), F.lit(700.0))).alias("perplexity"))
+    spark, scratch = docs.sparkSession, Scratch(docs.sparkSession)
+    with shuffles_cleared(spark):
+        rows = materialize(docs.select("doc_id", "lang", "text").mapInArrow(_rows, "row long, doc_id long, lang string, n_tokens long"))
+        tokens = rows.agg(F.sum("n_tokens")).first()[0] or 0
+        parts = min(PARTS, -(-tokens // PART_TOKENS)) or 1
+        shards = max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-tokens // SHARD_TOKENS))
+        learnt = Scratch(spark)
+        counts = Counts(learnt.table(learn.select("text"), compression="zstd"), parts, scratch)
+        learnt.clear()
+        sums = []
+        for k in range(parts):
+            own = Scratch(spark)
+            terms = own.table(log_terms(counts, k, parts), compression="zstd")
+            found, least = _head(terms)
+            head = spark.sparkContext.broadcast(found)
+            asked = docs.select("doc_id", "text").mapInArrow(_asks(head, k, parts, shards), "shard int, block long, payload binary, names binary")
+            none = F.lit(None)
+            rest = terms.where(F.col("n") < least).select(F.pmod(F.shiftrightunsigned("key", 48), F.lit(shards)).cast("int"), none, none, none, "key", "term")
+            met = asked.select("*", none.cast("long").alias("key"), none.cast("double").alias("term")).union(rest).repartitionById(shards, F.col("shard"))
+            met = met.mapInArrow(_answers, "block long, place long, row long, logs double").groupBy("block", "place").agg(F.max("row").alias("row"), F.sum("logs").alias("logs"))
+            sums.append(scratch.table(met.select("row", "logs")))
+            head.destroy()
+            own.clear()
+        logs = reduce(DataFrame.union, sums).groupBy("row").agg((F.sum("logs") * parts / F.count(F.lit(1))).alias("logs"))  # rows that share a name come several times
+        total = F.col("logs") + F.col("n_tokens") * F.lit(float(np.log(counts.unknown)))
+        done = rows.join(logs, "row").select("doc_id", "lang", "n_tokens", F.exp(F.least(-total / F.col("n_tokens"), F.lit(700.0))).alias("perplexity"))
+        done = materialize(done)
+        scratch.clear()
+    return done
 
 
 def judge_quality(docs: DataFrame, labels: DataFrame, low: float = LOW, high: float = HIGH) -> DataFrame:
@@ -265,7 +397,7 @@ def judge_quality(docs: DataFrame, labels: DataFrame, low: float = LOW, high: fl
     docs = docs.select("doc_id", "lang", "text")
     trusted = labels.where("doc_id IS NOT NULL AND quality IS NOT NULL").groupBy("doc_id").agg(F.min("quality").alias("q")).where("q = 1").select("doc_id")
     learn = docs.where(crc_mod(F.col("doc_id"), FOLDS) != 0).join(trusted, "doc_id", "left_semi").select("text")
-    scored = materialize(perplexities(docs, learn))
+    scored = perplexities(docs, learn)
     held = scored.where(crc_mod(F.col("doc_id"), FOLDS) == 0).join(trusted, "doc_id", "left_semi")
     ends = F.percentile_approx("perplexity", [low, high], 10_000)
     by_lang = held.groupBy(F.coalesce("lang", F.lit("")).alias("of")).agg(ends.alias("own"), F.count(F.lit(1)).alias("held"))

@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
+import contextlib
 import re
 import tempfile
 import uuid
+from collections.abc import Iterator
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -26,24 +28,36 @@ def shared_dir(spark: SparkSession) -> str:
     return named
 
 
-def materialize(df: DataFrame, by: str | None = None) -> DataFrame:
+def materialize(df: DataFrame, by: str | None = None, **options) -> DataFrame:
     """Write df as a table in the shared folder, in parts by the values of a column if asked for, and read it back: lineage is cut, and a
-    lost executor costs no rework."""
+    lost executor costs no rework. Options are the Parquet writer's."""
     path = f"{shared_dir(df.sparkSession)}/table-{uuid.uuid4().hex}"
-    df.write.parquet(path, partitionBy=by)
+    df.write.options(**options).parquet(path, partitionBy=by)
     out = df.sparkSession.read.schema(df.schema).parquet(path)
     out.written_to = path
     return out
 
 
+@contextlib.contextmanager
+def shuffles_cleared(spark: SparkSession) -> Iterator[None]:
+    """Within it each query's shuffle files are deleted when it has ended, not when the driver happens to collect its garbage."""
+    name = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+    before = spark.conf.get(name, None)
+    spark.conf.set(name, "true")
+    try:
+        yield
+    finally:
+        spark.conf.unset(name) if before is None else spark.conf.set(name, before)
+
+
 class Scratch:
     """Tables that only later tables are made from, deleted when these are there."""
 
     def __init__(self, spark: SparkSession) -> None:
         self.spark, self.paths = spark, []
 
-    def table(self, df: DataFrame, by: str | None = None) -> DataFrame:
-        out = materialize(df, by)
+    def table(self, df: DataFrame, by: str | None = None, **options) -> DataFrame:
+        out = materialize(df, by, **options)
         self.paths += [out.written_to]
         return out
 

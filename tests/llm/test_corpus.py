@@ -3,6 +3,7 @@
 import hashlib
 import math
 import os
+import pathlib
 import random
 import re
 import zlib
@@ -704,6 +705,25 @@ def test_quality_learns_from_all_trusted_texts(spark, monkeypatch, head):
     assert got[2][1] > 1
 
 
+def test_quality_by_parts(spark, monkeypatch):
+    """Each part's shuffles and tables are gone when the next is counted; repeated rows, rows without an id or a text, and any order of rows."""
+    monkeypatch.setattr(kneser_ney, "PART_TOKENS", 300)
+    monkeypatch.setattr(kneser_ney, "HEAD_GRAMS", 5)
+    rng = random.Random(5)
+    rows = [(k, " ".join(rng.choice("abcdefghij") for _ in range(rng.randrange(40)))) for k in range(200)]
+    odd = [*rows, rows[3], rows[3], (3, "a b"), (None, "a b c"), (None, "a b c"), (7, None), (8, "")]
+    learn = spark.createDataFrame([(t,) for _, t in rows], "text string")
+    model = kneser_ney.Tables(*(x.toArrow() for x in kneser_ney.kneser_ney(learn)))
+    held = {x.name for x in pathlib.Path(shared.shared_dir(spark).removeprefix("file:")).iterdir()}
+    got = kneser_ney.perplexities(texts(spark, odd).repartition(3), learn).collect()
+    left = {x.name for x in pathlib.Path(shared.shared_dir(spark).removeprefix("file:")).iterdir()} - held
+    assert len(left) == 2 and len(got) == len(odd)  # the result and its rows
+    logs, n = model.log_likelihood(*textcore.column_bytes(pa.array([t for _, t in odd])))
+    want = sorted((k is None, k or 0, int(size), x / size) for (k, _), x, size in zip(odd, logs, n, strict=True))
+    for (none, k, size, x), r in zip(want, sorted(got, key=lambda r: (r.doc_id is None, r.doc_id or 0, r.n_tokens, -r.perplexity)), strict=True):
+        assert (none, k, size) == (r.doc_id is None, r.doc_id or 0, r.n_tokens) and abs(math.log(r.perplexity) + x) < 1e-4
+
+
 # 9
 
 

@@ -5,6 +5,7 @@ import os
 import time
 
 import pytest
+from pyspark.sql import functions as F
 
 from lodestrata.operators.ledger import fold_history
 from lodestrata.streaming import keyed
@@ -80,6 +81,22 @@ def test_what_decays_comes_back_and_what_is_forgotten_begins_anew(spark, log):
     assert log.rows().where("fingerprint = 'b'").orderBy("at_ms", "hit_count").select("change").toPandas()["change"].tolist() == ["seen", "decayed", "forgotten", "seen"]
 
 
+@pytest.mark.parametrize("buckets", [1, 3])
+def test_fingerprints_that_share_a_state_have_their_own_times(spark, log, monkeypatch, buckets):
+    monkeypatch.setattr(keyed, "BUCKETS", buckets)
+    names = [f"k{n}" for n in range(12)]
+    log.add(*[(x, at(n)) for n, x in enumerate(names)])
+    log.run(keep_days=30)
+    assert log.state() == {x: (1, 1, False) for x in names}
+    log.add((names[0], at(20)), ("new", at(20)))
+    log.run(keep_days=30)
+    assert log.state() == {x: (1 + (n == 0), 1 + (n == 0), 0 < n < 6) for n, x in enumerate(names)} | {"new": (1, 1, False)}
+    log.add(("new", at(36)))
+    log.run(keep_days=30)
+    assert log.state() == {x: (1, 1, True) for n, x in enumerate(names) if n > 5} | {names[0]: (2, 2, True), "new": (2, 2, False)}
+    assert all(r.n == 1 for r in log.rows().where("change <> 'seen'").groupBy("fingerprint", "change", "last_seen").agg(F.count("*").alias("n")).collect())
+
+
 def test_state_has_a_time_to_live_by_the_clock(spark, log):
     log.add(("a", at(0)))
     stream = spark.readStream.schema(SIGHTING + ", n int").option("maxFilesPerTrigger", 1).parquet(log.folder)

@@ -26,6 +26,8 @@ BLOCK_BYTES = 1 << 19
 SHARD_TEXT = 1 << 25
 #: Different windows whose owners are compared in memory at a time.
 HELD_KEYS = 1 << 20
+#: Runs are cut down again while a round takes one in so many windows away, or more.
+SHRINKS = 8
 #: Stands for a null doc_id: it is after all others, and covers nothing.
 _LAST = (1 << 63) - 1
 
@@ -248,33 +250,61 @@ def covered_windows(data: np.ndarray, first: np.ndarray, size: np.ndarray, doc:
     """Where windows start in data, which is strings of given firsts, sizes and documents, that a smaller document's string has too.
 
     Windows that a hash finds in one document only are passed over; what is left are runs of windows. Of equal runs one is looked at,
-    for the smallest of their documents; those that share windows with others have their suffixes sorted, and every window gets the
-    smallest document among its neighbours in that order with SPAN bytes in common."""
+    for the smallest of their documents; what these share with others is cut out and looked at likewise, and what then still differs has
+    its suffixes sorted: every window gets the smallest document among its neighbours in that order with SPAN bytes in common."""
     room = size - SPAN + 1
     several = _in_several(_window_keys(data, first, size), _before(room), doc)
     low, length, owner = _shared_runs(several, _before(room), first, doc)
+    kind, base, winner = _winners(data, low, length, owner)
+    out = Growing(np.int64)
+    for which, values in _laid_out(kind, base, winner, length):
+        own = np.asarray(length[which]) - SPAN + 1
+        inner = np.arange(own.sum()) - np.repeat(np.cumsum(own) - own, own)
+        out.add((np.repeat(low[which], own) + inner)[values < np.repeat(owner[which], own)])
+    return out.mapped()
+
+
+def _winners(data: np.ndarray, low: np.ndarray, length: np.ndarray, owner: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """For each run the number of its text, for each different text its first window, and for each window of these the smallest owner of
+    a run that has an equal one.
+
+    Windows that no other text has are settled with their text. What is left of the texts are shorter runs, of which more are equal: they
+    are settled the same way, until few windows fall away, and the suffixes of what is left then are sorted."""
     kind, heads = _kinds(data, low, length)
     least = on_disk(len(heads), np.int64)
     least[:] = _LAST
     for a, b in chunks(len(low)):
         np.minimum.at(least, kind[a:b], owner[a:b])
-    base = _before(length[heads] - SPAN + 1)  # of each different run, its first window among all of theirs
-    winner = on_disk(int(base[-1] + length[heads[-1]] - SPAN + 1) if len(heads) else 0, np.int64)
-    for k, (a, n) in enumerate(zip(base.tolist(), (length[heads] - SPAN + 1).tolist(), strict=True)):
+    room = length[heads] - SPAN + 1
+    base = _before(room)  # of each different run, its first window among all of theirs
+    winner = on_disk(int(base[-1] + room[-1]) if len(heads) else 0, np.int64)
+    for k, (a, n) in enumerate(zip(base.tolist(), room.tolist(), strict=True)):
         winner[a : a + n] = least[k]
     mixed = _in_several(_window_keys(data, low[heads], length[heads]), base, np.arange(len(heads)))
-    chosen = np.flatnonzero(np.add.reduceat(mixed, base)) if len(heads) else heads  # others share no window
-    _settle_sorted(data, low[heads], length[heads], base, chosen, winner)
-    out, runs = Growing(np.int64), length - SPAN + 1
-    at = 0
-    while at < len(low):
+    part, size, of = _shared_runs(mixed, base, low[heads], np.arange(len(heads)))
+    left = int((size - SPAN + 1).sum())
+    if left and SHRINKS * left <= (SHRINKS - 1) * int((length - SPAN + 1).sum()):
+        inner = (values for _, values in _laid_out(*_winners(data, part, size, least[of]), size))
+        held = np.zeros(0, np.int64)
+        for a, b in chunks(len(mixed)):
+            at = np.flatnonzero(mixed[a:b]) + a
+            while len(held) < len(at):
+                held = np.concatenate((held, next(inner)))
+            winner[at], held = held[: len(at)], held[len(at) :]
+    elif left:
+        _settle_sorted(data, low[heads], length[heads], base, np.flatnonzero(np.add.reduceat(mixed, base)), winner)  # others share no window
+    return kind, base, winner
+
+
+def _laid_out(kind: np.ndarray, base: np.ndarray, winner: np.ndarray, length: np.ndarray) -> Iterator[tuple[slice, np.ndarray]]:
+    """Some runs at a time, and what their texts' windows have, window by window."""
+    at, runs = 0, length - SPAN + 1
+    while at < len(runs):
         end = max(at + 1, int(np.searchsorted(np.cumsum(runs[at : at + BLOCK_BYTES]), BLOCK_BYTES)) + at)
         own = np.asarray(runs[at:end])
         inner = np.arange(own.sum()) - np.repeat(np.cumsum(own) - own, own)
-        lost = winner[np.repeat(base[kind[at:end]], own) + inner] < np.repeat(owner[at:end], own)
-        out.add((np.repeat(low[at:end], own) + inner)[lost])
+        yield slice(at, end), winner[np.repeat(base[kind[at:end]], own) + inner]
         at = end
-    return out.mapped()
 
 
 def _window_keys(data: np.ndarray, first: np.ndarray, size: np.ndarray) -> np.ndarray:

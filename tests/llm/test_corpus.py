@@ -727,6 +727,30 @@ def test_quality_by_parts(spark, monkeypatch):
 # 9
 
 
+def test_windows_of_one_text_are_settled_without_sorting(monkeypatch):
+    rng = np.random.default_rng(4)
+    shared_, own = rng.integers(97, 123, (4, 300), dtype=np.uint8), rng.integers(97, 123, (6, 2000), dtype=np.uint8)
+    strings = [(5, [own[0], shared_[0], own[1]]), (3, [own[0], shared_[0]]), (9, [shared_[0], own[1]]), (2, [own[2], shared_[1]]), (7, [own[2], shared_[1]]), (8, [shared_[1], own[3]]), (1, [shared_[2][:120], own[4]]), (4, [own[4], shared_[2]])]
+    data, size = np.concatenate([y for _, x in strings for y in x]), np.array([sum(map(len, x)) for _, x in strings])
+    doc, first, sorted_ = np.array([k for k, _ in strings]), np.cumsum(size) - size, [0]
+    settle = suffix_dedup._settle_sorted
+
+    def counted(data, low, length, base, chosen, winner):
+        sorted_[0] += int(length[chosen].sum())
+        settle(data, low, length, base, chosen, winner)
+
+    monkeypatch.setattr(suffix_dedup, "_settle_sorted", counted)
+    least, windows = {}, [(int(a) + k, int(d)) for a, n, d in zip(first, size, doc, strict=True) for k in range(n - 49)]
+    for at, d in windows:
+        key = data[at : at + 50].tobytes()
+        least[key] = min(d, least.get(key, d))
+    want = [at for at, d in windows if least[data[at : at + 50].tobytes()] < d]
+    assert sorted(suffix_dedup.covered_windows(data, first, size, doc).tolist()) == want
+    parts = sorted_[0]
+    monkeypatch.setattr(suffix_dedup, "SHRINKS", 1)  # rounds end only if nothing is left, so that all runs that share anything are sorted
+    assert sorted(suffix_dedup.covered_windows(data, first, size, doc).tolist()) == want and 0 < parts < sorted_[0] - parts
+
+
 @pytest.mark.parametrize("held, chunk", [(4, 7), (4, 1 << 20), (100_000, 5), (100_000, 1 << 20)])
 def test_suffix_order_and_prefixes(monkeypatch, held, chunk):
     monkeypatch.setattr(induced, "CHUNK", chunk)

@@ -11,7 +11,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .textcore import FOLD, SpanHashes, distinct, slices, token_bounds
+from .textcore import FOLD, SpanHashes, distinct, released, slices, token_bounds
 
 VOCABULARY = "word_bpe_49k.json"
 #: Bytes that the rolling hash sees, and its leading bits that are zero at a cut: chunks of some 512 bytes.
@@ -311,7 +311,7 @@ def encode(docs: DataFrame, path: str | None = None) -> DataFrame:
                 decoded = pc.binary_join(pa.ListArray.from_arrays(stops, names.take(flat)), " ")
                 yield pa.RecordBatch.from_arrays([batch["doc_id"].slice(low, high - low), pa.ListArray.from_arrays(stops, flat), decoded], ["doc_id", "ids", "decoded"])
 
-    return docs.select("doc_id", "text").mapInArrow(run, "doc_id long, ids array<int>, decoded string")
+    return docs.select("doc_id", "text").mapInArrow(released(run), "doc_id long, ids array<int>, decoded string")
 
 
 def decode(encoded: DataFrame, path: str | None = None) -> DataFrame:
@@ -328,7 +328,7 @@ def decode(encoded: DataFrame, path: str | None = None) -> DataFrame:
             ids = [[i for i in row or () if i is not None and 0 <= i < len(known)] for row in batch["ids"].to_pylist()]
             yield pa.RecordBatch.from_arrays([batch["doc_id"], pa.array([" ".join([names[i] for i in row]) for row in ids], pa.string())], ["doc_id", "text"])
 
-    return encoded.select("doc_id", "ids").mapInArrow(run, "doc_id long, text string")
+    return encoded.select("doc_id", "ids").mapInArrow(released(run), "doc_id long, text string")
 
 
 def digest(result: DataFrame) -> DataFrame:

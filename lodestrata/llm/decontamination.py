@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .shared import materialize
-from .textcore import ALNUM, folded_words, rolling, slices, span_hashes, token_bounds, window_rows
+from .textcore import ALNUM, folded_words, released, rolling, slices, span_hashes, token_bounds, window_rows
 
 #: Words of a window; shorter items are one window of their own length.
 WINDOW = 13
@@ -92,7 +92,7 @@ def _normalised(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 def _blocks(benchmark: DataFrame, window: int, block_words: int) -> Iterator[WindowSet]:
     """The benchmark's items, normalised where they lie, in blocks of bounded size, one at a time on the driver."""
     items, n = [], 0
-    named = benchmark.select(F.coalesce(F.col("item_id").cast("string"), F.lit("")).alias("name"), "text").mapInArrow(_normalised, "name string, words string")
+    named = benchmark.select(F.coalesce(F.col("item_id").cast("string"), F.lit("")).alias("name"), "text").mapInArrow(released(_normalised), "name string, words string")
     for name, text in named.where("words <> ''").toLocalIterator():
         words = text.encode().split(b" ")
         items.append((name, words))
@@ -154,7 +154,7 @@ def _scan(docs: DataFrame, benchmark: DataFrame, finish, schema, window: int, bl
     for block in _blocks(benchmark, window, block_words):
         if held is not None:
             rows = _numbered(docs) if rows is None else rows
-            found = materialize(rows.select("nth", "row.text").mapInArrow(_hits(held), "nth long, cover binary, items array<string>"))
+            found = materialize(rows.select("nth", "row.text").mapInArrow(released(_hits(held)), "nth long, cover binary, items array<string>"))
             told = found if told is None else told.union(found)
             held.unpersist()
         held = spark.sparkContext.broadcast(block)
@@ -163,7 +163,7 @@ def _scan(docs: DataFrame, benchmark: DataFrame, finish, schema, window: int, bl
         ready = docs.select(F.struct("*").alias("row"), none.alias("told"))
     else:  # of each row no more entries than there are blocks
         ready = rows.join(told.groupBy("nth").agg(F.collect_list(F.struct("nth", "cover", "items")).alias("told")), "nth", "left").select("row", "told")
-    return ready.mapInArrow(_finisher(held, finish), schema)
+    return ready.mapInArrow(released(_finisher(held, finish)), schema)
 
 
 def contaminated(n_hit: int, n_words: int) -> bool:

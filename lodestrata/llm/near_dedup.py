@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 
 from .components import connected_components
 from .shared import Scratch, materialize
-from .textcore import NOT_SPACE, distinct, mix, rolling, slices, span_hashes, token_bounds
+from .textcore import NOT_SPACE, distinct, mix, released, rolling, slices, span_hashes, token_bounds
 
 REGISTERS, ROWS = 504, 7
 #: Base of the register values and their rate: values are 1 - log_base(minimum), between 0 and LIMIT + 1.
@@ -203,14 +203,14 @@ def _texts(docs: DataFrame, ids: DataFrame, scratch: Scratch) -> DataFrame:
     bits = np.zeros(SLOTS, bool)
     bits[ids.select(slot("id").alias("slot")).distinct().toPandas()["slot"].to_numpy(dtype=np.int64)] = True  # SLOTS values at most
     wanted = docs.sparkSession.sparkContext.broadcast(bits)
-    return scratch.table(docs.select("doc_id", "text", slot("doc_id").alias("slot")).mapInArrow(_packed(wanted), "id long, packed binary"))
+    return scratch.table(docs.select("doc_id", "text", slot("doc_id").alias("slot")).mapInArrow(released(_packed(wanted)), "id long, packed binary"))
 
 
 def _links(pairs: DataFrame, docs: DataFrame, words: int, percent: int, scratch: Scratch) -> DataFrame:
     """Those of pairs (a, b) whose whole sets are as similar as asked. Texts move compressed, and only those of ids in pairs."""
     texts = _texts(docs, pairs.select(F.col("a").alias("id")).union(pairs.select("b")).distinct(), scratch)
     one, other = texts.withColumnsRenamed({"id": "a", "packed": "packed_a"}), texts.withColumnsRenamed({"id": "b", "packed": "packed_b"})
-    return pairs.join(other, "b").join(one, "a").select("a", "b", "packed_a", "packed_b").mapInArrow(_confirm(words, percent), "a long, b long").distinct()
+    return pairs.join(other, "b").join(one, "a").select("a", "b", "packed_a", "packed_b").mapInArrow(released(_confirm(words, percent)), "a long, b long").distinct()
 
 
 def _units(rows: DataFrame, *by: str) -> DataFrame:
@@ -239,7 +239,7 @@ def _blocks(ready: DataFrame, scratch: Scratch) -> DataFrame:
     groups = scratch.table(_units(ready, "grp"))
     large = groups.where("CAST(askers AS long) * others > 1")
     several = ready.join(large.select("grp"), "grp", "left_semi").select("grp", "id", "label", "bytes", "sketch")
-    members = scratch.table(several.mapInArrow(_bands, "grp long, id long, label long, bytes long, band long"))
+    members = scratch.table(several.mapInArrow(released(_bands), "grp long, id long, label long, bytes long, band long"))
     buckets = scratch.table(_units(members, "grp", "band").dropDuplicates(["grp", "total", "h1", "h2"]))
     summed = buckets.groupBy("grp").agg(F.sum("cost").alias("apart"))
     parted = scratch.table(large.join(summed, "grp", "left").where("coalesce(apart, 0) < cost").select("grp"))
@@ -272,12 +272,12 @@ def near_duplicates(docs: DataFrame, words: int = 5, percent: int = 80) -> DataF
     band with chance (1 - 0.8**ROWS)**(REGISTERS / ROWS), some 4e-8. Very long texts are blocks of few rows.
     """
     docs, scratch = docs.select("doc_id", "text"), Scratch(docs.sparkSession)
-    made = materialize(docs.mapInArrow(_sketches(words), "doc_id long, n_shingles long, set_key binary, sketch binary"))
+    made = materialize(docs.mapInArrow(released(_sketches(words)), "doc_id long, n_shingles long, set_key binary, sketch binary"))
     full = made.where("n_shingles > 0 AND doc_id IS NOT NULL")
     classes = scratch.table(full.groupBy("set_key").agg(F.min("doc_id").alias("id"), F.count(F.lit(1)).alias("n_class")))
     chosen = classes.select("set_key", F.col("id").alias("doc_id"))
     nodes = scratch.table(full.join(chosen, ["set_key", "doc_id"]).dropDuplicates(["set_key"]).select(F.col("doc_id").alias("id"), F.col("n_shingles").alias("n"), "sketch"))
-    bands = nodes.select("id", "sketch").mapInArrow(_bands, "id long, band long")
+    bands = nodes.select("id", "sketch").mapInArrow(released(_bands), "id long, band long")
     hubs = scratch.table(bands.groupBy("band").agg(F.min("id").alias("a"), F.count(F.lit(1)).alias("times")).where("times > 1").select("band", "a"))
     tied = scratch.table(bands.join(hubs, "band").where("a <> id").select("a", F.col("id").alias("b")).distinct())
     first = scratch.table(_links(tied, docs, words, percent, scratch))
@@ -322,7 +322,7 @@ def keep_one_each(docs: DataFrame, words: int = 5, percent: int = 80) -> DataFra
                 hit = shared.value[batch["slot"].to_numpy(zero_copy_only=False)]
                 yield batch.filter(pa.array(hit == near)).select(["row"])
 
-        return rows.withColumn("slot", slot("row.doc_id")).mapInArrow(run, rows.schema)
+        return rows.withColumn("slot", slot("row.doc_id")).mapInArrow(released(run), rows.schema)
 
     kept = pick(False).union(pick(True).join(gone, F.col("row.doc_id") == F.col("gone"), "left_anti"))
     return kept.select(*[F.col("row").getField(c).alias(c) for c in docs.columns])

@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .shared import crc_mod
-from .textcore import ALNUM, SpanHashes, chain, distinct, mix, slices, token_bounds, window_rows
+from .textcore import ALNUM, SpanHashes, chain, column_bytes, distinct, mix, release, released, slices, token_bounds, window_rows
 
 #: Labelled texts that the model learns from, and their bytes, at most: those whose ids hash lowest. What doesn't fit is passed over.
 SAMPLE_ROWS, SAMPLE_BYTES = 12_000, 1 << 26
@@ -43,6 +43,17 @@ def features(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndar
     return (keys & np.uint64((1 << BITS) - 1)).astype(np.int32), firsts
 
 
+def packed(at: np.ndarray) -> bytes:
+    """Sorted places below 2 ** BITS: how many there are for each leading value, and the last 16 bits of each."""
+    return np.bincount(at >> 16, minlength=1 << (BITS - 16)).astype(np.uint32).tobytes() + at.astype(np.uint16).tobytes()
+
+
+def unpacked(raw: np.ndarray) -> np.ndarray:
+    head = 4 << (BITS - 16)
+    counts = raw[:head].view(np.uint32)
+    return np.repeat(np.arange(len(counts), dtype=np.int32) << 16, counts) + raw[head:].view(np.uint16)
+
+
 class FTRL:
     """Per-coordinate learning rates; a coordinate stays zero until its gradients outweigh the L1 term."""
 
@@ -74,7 +85,7 @@ def _featurise(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         out = []
         for low, high, data, offsets in slices(batch["text"]):
             at, firsts = features(data, offsets)
-            out += [at[firsts[k] : firsts[k + 1]].tobytes() for k in range(high - low)]
+            out += [packed(at[firsts[k] : firsts[k + 1]]) for k in range(high - low)]
         yield pa.RecordBatch.from_arrays([batch["doc_id"], batch["toxic"], pa.array(out, pa.binary())], ["doc_id", "toxic", "features"])
 
 
@@ -101,16 +112,21 @@ def train(docs: DataFrame, labels: DataFrame, folds: int = 5, sample_rows: int =
     """
     known = docs.sparkSession.createDataFrame(_sample(docs, labels, folds, sample_rows, sample_bytes), "doc_id long, toxic int")
     sample = docs.select("doc_id", "text").join(F.broadcast(known), "doc_id").select("doc_id", "text", "toxic")  # of sample_rows rows at most
-    made = sample.mapInArrow(_featurise, "doc_id long, toxic int, features binary")
+    made = sample.mapInArrow(released(_featurise), "doc_id long, toxic int, features binary")
 
     def learn(key, table):
-        ids, y, x = table["doc_id"].to_numpy(), table["toxic"].to_numpy(), table["features"].to_pylist()
+        ids, y, x = table["doc_id"].to_numpy(), table["toxic"].to_numpy(), []
+        for column in table["features"].chunks:  # looked at where they lie; not copied into objects, whose memory a worker would keep
+            data, offsets = column_bytes(column)
+            x += [data[a:b] for a, b in zip(offsets[:-1], offsets[1:], strict=True)]
         mixed = mix(ids.astype(np.uint64))
         model = FTRL()
         for epoch in range(epochs):
             for k in np.lexsort((np.array([len(v) for v in x]), mix(mixed + np.uint64(epoch)))):
-                model.learn(np.frombuffer(x[k], np.int32), int(y[k]))
+                model.learn(unpacked(x[k]), int(y[k]))
         at, w, bias = model.sparse()
+        del model, x
+        release()
         return pa.table({"places": pa.array([at.tobytes()], pa.binary()), "values": pa.array([w.tobytes()], pa.binary()), "bias": pa.array([bias])})
 
     rows = made.groupBy(F.lit(0).alias("all")).applyInArrow(learn, "places binary, values binary, bias double").collect()
@@ -149,7 +165,7 @@ def score_toxicity(docs: DataFrame, labels: DataFrame, folds: int = 5, sample_ro
         for batch in batches:
             yield pa.RecordBatch.from_arrays([batch["doc_id"], pa.array(_scores(batch["text"], weights, bias))], ["doc_id", "score"])
 
-    scored = docs.select("doc_id", "text").mapInArrow(run, "doc_id long, score double")
+    scored = docs.select("doc_id", "text").mapInArrow(released(run), "doc_id long, score double")
     return scored.select("doc_id", (crc_mod(F.col("doc_id"), folds) == 0).alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"))
 
 
@@ -169,4 +185,4 @@ def drop_toxic(docs: DataFrame, labels: DataFrame, folds: int = 5, sample_rows:
         for batch in batches:
             yield batch.filter(pa.array(_scores(batch["text"], weights, bias) < threshold))
 
-    return docs.mapInArrow(run, docs.schema)
+    return docs.mapInArrow(released(run), docs.schema)

@@ -631,6 +631,29 @@ def test_chunks_that_texts_share_are_encoded_once():
     assert n > 15 and len(encoder.chunks.keys) <= n + 3
 
 
+def test_workers_give_back_what_they_have_freed():
+    size = lambda: sum(int(x.split()[1]) for x in open("/proc/self/smaps_rollup") if x.startswith(("Pss_Anon:", "Pss_Shmem:"))) >> 10  # noqa: E731, SIM115
+
+    def run(batches):
+        for batch in batches:
+            held = [(pa.array(range(4096)), np.ones(4096)) for _ in range(3000)]  # 96 MB each
+            kept.append(held[-1])
+            del held
+            yield batch
+
+    kept, before = [], size()
+    assert len(list(textcore.released(run)(iter([pa.RecordBatch.from_pydict({"x": [1]})])))) == 1
+    assert size() - before < 60
+
+
+def test_packed_features():
+    rng = np.random.default_rng(6)
+    for n in (0, 1, 2000):
+        at = np.unique(rng.integers(0, 1 << toxicity.BITS, n)).astype(np.int32)
+        raw = b"x" + toxicity.packed(at)  # at an odd place, as in a column
+        assert np.array_equal(toxicity.unpacked(np.frombuffer(raw, np.uint8)[1:]), at) and len(raw) <= 2 * len(at) + 65
+
+
 # 8
 
 

@@ -2,11 +2,15 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 import numpy as np
 
 #: Width of words and of the state; input rows for words outside the vocabulary; steps of one truncated window.
 WIDTH, SPARE, STEPS = 24, 64, 16
 LARGEST_CLASS, CLASSES = 128, 48
+#: States whose classes are scored at once.
+BLOCK = 4096
 
 
 def make_classes(counts: np.ndarray) -> np.ndarray:
@@ -28,7 +32,7 @@ class Model:
     def __init__(self, firsts: np.ndarray, counts: np.ndarray, rest: float, seed: int = 7) -> None:
         self.n, self.firsts = len(counts), firsts
         self.stops = np.append(firsts[1:], self.n)
-        self.class_of = np.append(np.repeat(np.arange(len(firsts)), self.stops - firsts), np.full(SPARE + 1, len(firsts)))
+        self.class_of = np.append(np.repeat(np.arange(len(firsts)), self.stops - firsts), np.full(SPARE + 1, len(firsts))).astype(np.int16)  # as these sort by radix
         rng = np.random.default_rng(seed)
         shapes = {"words": (self.n + SPARE + 1, WIDTH), "inward": (WIDTH, 3 * WIDTH), "onward": (WIDTH, 3 * WIDTH), "gates": (3 * WIDTH,), "classes": (WIDTH, len(firsts) + 1), "members": (self.n, WIDTH)}
         self.p = {k: (rng.standard_normal(s) * (0.3 if k in ("words", "inward", "onward") else 0.0)).astype(np.float32) for k, s in shapes.items()}
@@ -60,149 +64,194 @@ class Model:
 
     def log_likelihood(self, states: np.ndarray, targets: np.ndarray) -> np.ndarray:
         """Natural log of each target's probability after its state; for a target without output, of the last class."""
-        logits = states @ self.p["classes"] + self.p["class_bias"]
+        order, own, edges = self._by_class(targets)
+        states, targets, out = states[order], targets[order], np.empty(len(order))
+        for low in range(0, len(order), BLOCK):
+            rows, at = states[low : low + BLOCK], own[low : low + BLOCK]
+            logits = self.p["classes"].T @ rows.T
+            logits += self.p["class_bias"][:, None]
+            out[low : low + BLOCK] = logits[at, np.arange(len(at))] - _log_sum(logits)
+        for c, a, b in self._inner(edges):
+            low, high = self.firsts[c], self.stops[c]
+            logits = self.p["members"][low:high] @ states[a:b].T
+            logits += self.p["member_bias"][low:high, None]
+            out[a:b] += logits[targets[a:b] - low, np.arange(b - a)] - _log_sum(logits)
+        back = np.empty_like(out)
+        back[order] = out
+        return back
+
+    def _by_class(self, targets: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """The targets' places in order of their classes, these classes, and the edges between those with members."""
         own = self.class_of[targets]
-        out = (logits[np.arange(len(own)), own] - _log_sum(logits)).astype(np.float64)
         order = np.argsort(own, kind="stable")
-        edges = np.searchsorted(own[order], np.arange(len(self.firsts) + 1))
-        for c in np.flatnonzero(np.diff(edges)):
-            low, high = self.firsts[c], self.stops[c]
-            if high - low > 1:
-                at = order[edges[c] : edges[c + 1]]
-                inner = states[at] @ self.p["members"][low:high].T + self.p["member_bias"][low:high]
-                out[at] += inner[np.arange(len(at)), targets[at] - low] - _log_sum(inner)
+        own = own[order]
+        return order, own, np.searchsorted(own, np.arange(len(self.firsts) + 1))
+
+    def _inner(self, edges: np.ndarray) -> list[tuple[int, int, int]]:
+        """Classes of several words that some targets have, and where these targets begin and end."""
+        return [(c, a, b) for c, a, b in zip(range(len(self.firsts)), edges[:-1].tolist(), edges[1:].tolist(), strict=True) if b > a and self.stops[c] - self.firsts[c] > 1]
+
+    def onward(self) -> np.ndarray:
+        """What a state adds to the gates, transposed; of the first two gates half, as their tanh wants it."""
+        out = self.p["onward"].T.copy()
+        out[: 2 * WIDTH] *= 0.5
         return out
 
     def learn(self, inputs: np.ndarray, targets: np.ndarray, mask: np.ndarray, h: np.ndarray, rate: float = 0.1) -> np.ndarray:
-        """One Adagrad step on a window of (steps, texts); returns the state after it, through which no gradient flows back."""
-        p, t, b = self.p, *inputs.shape
-        x = p["words"][inputs]
-        a = (x.reshape(-1, WIDTH) @ p["inward"] + p["gates"]).reshape(t, b, -1)
-        hs, us, zs, rs, ns = [h], [], [], [], []
+        """One Adagrad step on a window of (steps, texts); returns the state after it, through which no gradient flows back.
+
+        Within a window all arrays are (steps, units, texts), so that each step's work is on whole rows."""
+        p, t, b, w = self.p, *inputs.shape, WIDTH
+        onward, kind = self.onward(), p["onward"].dtype
+        x = p["words"][inputs].transpose(0, 2, 1)
+        a = p["inward"].T @ x
+        a += p["gates"][:, None]
+        a[:, : 2 * w] *= 0.5
+        hs, us, zr, ns = (np.empty((t + k, n * w, b), kind) for k, n in ((1, 1), (0, 3), (0, 2), (0, 1)))
+        hs[0] = h.T
         for k in range(t):
-            u = hs[-1] @ p["onward"]
-            zr = _sigmoid(a[k, :, : 2 * WIDTH] + u[:, : 2 * WIDTH])
-            z, r = zr[:, :WIDTH], zr[:, WIDTH:]
-            new = np.tanh(a[k, :, 2 * WIDTH :] + r * u[:, 2 * WIDTH :])
-            hs.append(new + z * (hs[-1] - new))
-            us.append(u), zs.append(z), rs.append(r), ns.append(new)
-        g, d_states = self._output_gradients(np.concatenate(hs[1:]), targets.ravel(), mask.ravel())
-        d_states = d_states.reshape(t, b, WIDTH)
-        d_a, d_u, dh = np.empty_like(a), np.empty_like(a), np.zeros_like(h)
+            _step(a[k], onward, hs[k], us[k], zr[k], ns[k], hs[k + 1])
+        at = np.flatnonzero(mask)
+        order, own, edges = self._by_class(targets.ravel()[at])
+        at = at[order]
+        g, back = self._output_gradients(hs[1:].transpose(0, 2, 1).reshape(-1, w)[at], targets.ravel()[at], own, edges)
+        d_states = np.zeros((t * b, w), kind)
+        d_states[at] = back
+        d_states = np.ascontiguousarray(d_states.reshape(t, b, w).transpose(0, 2, 1))
+        z, r = zr[:, :w], zr[:, w:]
+        to_new, to_z, to_r = (1 - z) * (1 - ns * ns), (hs[:-1] - ns) * (z * (1 - z)), us[:, 2 * w :] * (r * (1 - r))
+        d, d_new, dh = np.empty((t, 3 * w, b), kind), np.empty((t, w, b), kind), np.zeros((w, b), kind)
         for k in reversed(range(t)):
-            dh = dh + d_states[k]
-            d_new = dh * (1 - zs[k]) * (1 - ns[k] ** 2)
-            d_z = dh * (hs[k] - ns[k]) * zs[k] * (1 - zs[k])
-            d_r = d_new * us[k][:, 2 * WIDTH :] * rs[k] * (1 - rs[k])
-            d_a[k] = np.concatenate((d_z, d_r, d_new), axis=1)
-            d_u[k] = np.concatenate((d_z, d_r, d_new * rs[k]), axis=1)
-            dh = dh * zs[k] + d_u[k] @ p["onward"].T
-        flat = d_a.reshape(-1, 3 * WIDTH)
-        g["onward"] = np.concatenate(hs[:-1]).T @ d_u.reshape(-1, 3 * WIDTH)
-        g["inward"] = x.reshape(-1, WIDTH).T @ flat
-        g["gates"] = flat.sum(axis=0)
-        g["words"] = _sum_rows(inputs.ravel(), flat @ p["inward"].T, len(p["words"]))
+            dh += d_states[k]
+            new = np.multiply(dh, to_new[k], out=d_new[k])
+            np.multiply(dh, to_z[k], out=d[k, :w])
+            np.multiply(new, to_r[k], out=d[k, w : 2 * w])
+            np.multiply(new, r[k], out=d[k, 2 * w :])
+            dh *= z[k]
+            dh += p["onward"] @ d[k]
+        g["onward"] = (hs[:-1] @ d.transpose(0, 2, 1)).sum(axis=0)
+        d[:, 2 * w :] = d_new
+        g["inward"] = (x @ d.transpose(0, 2, 1)).sum(axis=0)
+        g["gates"] = d.sum(axis=(0, 2))
+        rows, sums = _sum_rows(inputs.ravel(), (d.transpose(0, 2, 1) @ p["inward"].T).reshape(-1, w))
+        seen = self.seen["words"][rows] + sums * sums
+        self.seen["words"][rows] = seen
+        p["words"][rows] -= rate * sums / np.sqrt(seen)
         for k, v in g.items():
             self.seen[k] += v * v
-            p[k] -= rate * v / np.sqrt(self.seen[k])
-        return hs[-1]
-
-    def _output_gradients(self, states: np.ndarray, targets: np.ndarray, mask: np.ndarray) -> tuple[dict[str, np.ndarray], np.ndarray]:
-        p, own = self.p, self.class_of[targets]
-        weight = (mask / max(mask.sum(), 1)).astype(np.float32)
-        d = _softmax(states @ p["classes"] + p["class_bias"])
-        d[np.arange(len(own)), own] -= 1
-        d *= weight[:, None]
-        g = {"classes": states.T @ d, "class_bias": d.sum(axis=0), "members": np.zeros_like(p["members"]), "member_bias": np.zeros_like(p["member_bias"])}
-        back = d @ p["classes"].T
-        order = np.argsort(own, kind="stable")
-        edges = np.searchsorted(own[order], np.arange(len(self.firsts) + 1))
-        for c in np.flatnonzero(np.diff(edges)):
+            v *= rate
+            v /= np.sqrt(self.seen[k])
+            p[k] -= v
+        return hs[-1].T
+
+    def _output_gradients(self, states: np.ndarray, targets: np.ndarray, own: np.ndarray, edges: np.ndarray) -> tuple[dict[str, np.ndarray], np.ndarray]:
+        """Of the mean loss, for states in order of their targets' classes."""
+        p, share = self.p, 1 / max(len(targets), 1)
+        d = p["classes"].T @ states.T
+        d += p["class_bias"][:, None]
+        _softmax(d, share)
+        d[own, np.arange(len(own))] -= share
+        g = {"classes": (d @ states).T, "class_bias": d.sum(axis=1), "members": np.zeros_like(p["members"]), "member_bias": np.zeros_like(p["member_bias"])}
+        back = d.T @ p["classes"].T
+        for c, a, b in self._inner(edges):
             low, high = self.firsts[c], self.stops[c]
-            if high - low > 1:
-                at = order[edges[c] : edges[c + 1]]
-                e = _softmax(states[at] @ p["members"][low:high].T + p["member_bias"][low:high])
-                e[np.arange(len(at)), targets[at] - low] -= 1
-                e *= weight[at, None]
-                g["members"][low:high] = e.T @ states[at]
-                g["member_bias"][low:high] = e.sum(axis=0)
-                back[at] += e @ p["members"][low:high]
+            members, rows = p["members"][low:high], states[a:b]
+            e = members @ rows.T
+            e += p["member_bias"][low:high, None]
+            _softmax(e, share)
+            e[targets[a:b] - low, np.arange(b - a)] -= share
+            g["members"][low:high] = e @ rows
+            g["member_bias"][low:high] = e.sum(axis=1)
+            back[a:b] += e.T @ members
         return g, back
 
 
+def _step(a: np.ndarray, onward: np.ndarray, h: np.ndarray, u: np.ndarray, zr: np.ndarray, new: np.ndarray, out: np.ndarray) -> None:
+    """One step of the states h (units, texts) to out; a is what the inputs add to the gates, of the first two half."""
+    np.matmul(onward, h, out=u)
+    np.add(a[: 2 * WIDTH], u[: 2 * WIDTH], out=zr)
+    np.tanh(zr, out=zr)
+    zr *= 0.5
+    zr += 0.5
+    np.multiply(zr[WIDTH:], u[2 * WIDTH :], out=new)
+    new += a[2 * WIDTH :]
+    np.tanh(new, out=new)
+    np.subtract(h, new, out=out)
+    out *= zr[:WIDTH]
+    out += new
+
+
 def score(model: Model, texts: list[np.ndarray], lanes: int = 256, window: int = 64) -> np.ndarray:
     """The natural log-likelihood of each whole text (ids; an empty one has 0): texts of like length run side by side, and each
     one's state is carried on from window to window."""
     out = np.zeros(len(texts))
-    order = np.argsort([-len(x) for x in texts], kind="stable")
-    start = model.n + SPARE
-    for at in range(0, len(order), lanes):
-        own = order[at : at + lanes]
-        sizes = np.array([len(texts[k]) for k in own])
-        h = np.zeros((len(own), WIDTH), np.float32)
-        last = np.full(len(own), start)
-        for low in range(0, int(sizes[0]) if len(sizes) else 0, window):
-            live = int((sizes > low).sum())
-            steps = min(window, int(sizes[0]) - low)
-            block = np.zeros((live, steps), np.int64)
-            for j in range(live):
-                part = texts[own[j]][low : low + steps]
-                block[j, : len(part)] = part
-            left = sizes[:live] - low
-            h, last, states, rows, targets = h[:live], last[:live], [], [], []
-            for k in range(steps):
-                n = int((left > k).sum())
-                h = model.step(last[:n], h[:n])
-                last = block[:n, k]
-                states.append(h)
-                rows.append(np.arange(n))
-                targets.append(last)
-            found = model.log_likelihood(np.concatenate(states), np.concatenate(targets))
-            out[own[:live]] += np.bincount(np.concatenate(rows), weights=found, minlength=live)
+    onward, halves = model.onward(), model.table.copy()
+    halves[:, : 2 * WIDTH] *= 0.5
+    for own, sizes, low, ids, mask in _windows(model, texts, lanes, window):
+        live, steps = len(sizes), len(mask)
+        h = np.zeros((WIDTH, live), halves.dtype) if low == 0 else h[:, :live]
+        a = np.ascontiguousarray(halves[ids[:-1]].transpose(0, 2, 1))
+        hs, (u, zr, new) = np.empty((steps, WIDTH, live), halves.dtype), (np.empty((n * WIDTH, live), halves.dtype) for n in (3, 2, 1))
+        for k in range(steps):
+            _step(a[k], onward, h, u, zr, new, hs[k])
+            h = hs[k]
+        at = np.flatnonzero(mask)
+        found = model.log_likelihood(hs.transpose(0, 2, 1).reshape(-1, WIDTH)[at], ids[1:].ravel()[at])
+        out[own[:live]] += np.bincount(at % live, weights=found, minlength=live)
     return out
 
 
 def train(model: Model, texts: list[np.ndarray], lanes: int = 128) -> int:
     """Learn from each text's ids, window by window with the state carried on; returns how many tokens were seen."""
-    start, total = model.n + SPARE, 0
-    order = sorted(range(len(texts)), key=lambda k: -len(texts[k]))
-    for at in range(0, len(order), lanes):
-        own = [texts[k] for k in order[at : at + lanes] if len(texts[k])]
-        if not own:
-            continue
-        sizes = np.array([len(x) for x in own])
-        total += int(sizes.sum())
-        h, last = np.zeros((len(own), WIDTH), np.float32), np.full(len(own), start)
-        for low in range(0, int(sizes[0]), STEPS):
-            live, steps = int((sizes > low).sum()), min(STEPS, int(sizes[0]) - low)
-            ids, mask = np.full((steps + 1, live), start, np.int64), np.zeros((steps, live), bool)
+    for _, sizes, low, ids, mask in _windows(model, texts, lanes, STEPS):
+        h = np.zeros((len(sizes), WIDTH), np.float32) if low == 0 else h[: len(sizes)]
+        h = model.learn(ids[:-1], ids[1:], mask, h)
+    return sum(len(x) for x in texts)
+
+
+def _windows(model: Model, texts: list[np.ndarray], lanes: int, window: int) -> Iterator[tuple[np.ndarray, np.ndarray, int, np.ndarray, np.ndarray]]:
+    """Texts that aren't empty, longest first, side by side and window after window: places of the lanes' texts, sizes of those that reach
+    into the window, its first token, the ids of these from the one before it on (steps + 1, texts), and which of the others are tokens."""
+    start = model.n + SPARE
+    order = np.argsort([-len(x) for x in texts], kind="stable")
+    order = order[: sum(len(x) > 0 for x in texts)]
+    for first in range(0, len(order), lanes):
+        own = order[first : first + lanes]
+        sizes = np.array([len(texts[k]) for k in own])
+        flat = np.concatenate([texts[k] for k in own])
+        begins, last = np.cumsum(sizes) - sizes, np.full(len(own), start)
+        for low in range(0, int(sizes[0]), window):
+            live = int((sizes > low).sum())
+            step = np.arange(low, min(low + window, int(sizes[0])))[:, None]
+            mask = step < sizes[:live]
+            ids = np.empty((len(step) + 1, live), np.int64)
             ids[0] = last[:live]
-            for j in range(live):
-                part = own[j][low : low + steps]
-                ids[1 : len(part) + 1, j] = part
-                mask[: len(part), j] = True
-            h, last = model.learn(ids[:-1], ids[1:], mask, h[:live]), ids[-1]
-    return total
+            ids[1:] = np.where(mask, flat[np.minimum(begins[:live] + step, len(flat) - 1)], start)
+            last = ids[-1]
+            yield own, sizes[:live], low, ids, mask
 
 
 def _sigmoid(x: np.ndarray) -> np.ndarray:
     return 0.5 + 0.5 * np.tanh(0.5 * x)
 
 
-def _softmax(x: np.ndarray) -> np.ndarray:
-    e = np.exp(x - x.max(axis=1, keepdims=True))
-    return e / e.sum(axis=1, keepdims=True)
+def _softmax(x: np.ndarray, share: float) -> None:
+    """Of each column, in place, times share."""
+    x -= x.max(axis=0)
+    np.exp(x, out=x)
+    x *= share / x.sum(axis=0)
 
 
 def _log_sum(x: np.ndarray) -> np.ndarray:
-    top = x.max(axis=1)
-    return top + np.log(np.exp(x - top[:, None]).sum(axis=1))
+    """Log of each column's sum of exponentials; x is used up."""
+    top = x.max(axis=0)
+    x -= top
+    return top + np.log(np.exp(x, out=x).sum(axis=0))
 
 
-def _sum_rows(keys: np.ndarray, rows: np.ndarray, n: int) -> np.ndarray:
-    out = np.zeros((n, rows.shape[1]), rows.dtype)
+def _sum_rows(keys: np.ndarray, rows: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The different keys, and the sum of each one's rows."""
     order = np.argsort(keys, kind="stable")
     keys = keys[order]
     firsts = np.flatnonzero(np.concatenate(([True], keys[1:] != keys[:-1])))
-    out[keys[firsts]] = np.add.reduceat(rows[order], firsts, axis=0)
-    return out
+    return keys[firsts], np.add.reduceat(rows[order], firsts, axis=0)

@@ -567,6 +567,17 @@ def test_language_model_learns_from_every_token(spark):
     assert seen == sum(len(t.split()) + 1 for (t,) in rows)
 
 
+def test_windows_hold_every_token_once():
+    model = gru.Model(np.array([0, 2]), np.array([5.0, 4, 3, 2, 1]), 3.0)
+    texts_ = [np.arange(n) % 5 for n in (0, 9, 1, 23, 16, 0)]
+    found = {k: [] for k in range(6)}
+    for own, sizes, low, ids, mask in gru._windows(model, texts_, 2, 8):
+        for j, k in enumerate(own[: len(sizes)]):
+            assert ids[0, j] == (texts_[k][low - 1] if low else model.n + gru.SPARE)
+            found[int(k)] += ids[1:, j][mask[:, j]].tolist()
+    assert all(found[k] == x.tolist() for k, x in enumerate(texts_))
+
+
 def test_training_carries_states_through_texts_of_any_length():
     rng = np.random.default_rng(1)
     texts_ = [rng.integers(0, 5, n) for n in (100, 37, 16, 1, 0)]

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 from functools import reduce
+from typing import NamedTuple
 
 import numpy as np
 import pyarrow as pa
@@ -11,11 +12,11 @@ from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .lm_score import token_hashes
+from .lm_score import END, token_hashes
 from .shared import Scratch, crc_mod, materialize, shuffles_cleared
 from .textcore import mix, slices
 
-#: Terms of a part's most frequent grams that are broadcast at most; all others are looked up in shards.
+#: Nothing is broadcast any more; kept for callers that set it.
 HEAD_GRAMS = 500_000
 #: A fifth of trusted texts isn't learnt from: their perplexities give the bounds.
 FOLDS = 5
@@ -26,8 +27,12 @@ HALFWAY = 100
 #: Rows of bounds that are broadcast at most.
 BROADCAST_LANGUAGES = 10_000
 START = 0x2545F4914F6CDD1D
-#: Parts that grams are dealt to at most, and tokens of all texts for each; tokens of all texts for each shard of a part.
-PARTS, PART_TOKENS, SHARD_TOKENS = 8, 1 << 21, 1 << 24
+#: Parts that words are dealt to at most, and tokens of all texts for each; tokens of all texts for each shard of a part.
+PARTS, PART_TOKENS, SHARD_TOKENS = 6, 1 << 21, 1 << 20
+#: Triplets of a batch that are held before they are packed.
+HELD_TOKENS = 1 << 21
+#: Tasks at most in which words' counts are summed.
+PLACES = 256
 #: Sorted hashes pack well as places in a dictionary.
 PACKED = {"compression": "zstd", "parquet.dictionary.page.size": 1 << 24}
 
@@ -189,48 +194,6 @@ def _context(a: np.ndarray, b: np.ndarray) -> np.ndarray:
     return mix(_key(a, b) + np.uint64(4))
 
 
-def _keyed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
-        size = batch["size"].to_numpy()
-        keys = np.zeros(len(size), np.uint64)
-        for k, key, names in ((1, _key, "x"), (2, _key, "xy"), (3, _key, "xyz"), (4, _context, "xy")):
-            at = np.flatnonzero(size == k)
-            keys[at] = key(*[batch[x].to_numpy(zero_copy_only=False)[at].view(np.uint64) for x in names])
-        yield pa.RecordBatch.from_arrays([pa.array(keys.view(np.int64)), batch["term"], batch["n"]], ["key", "term", "n"])
-
-
-def log_terms(counts: Counts, k: int, parts: int) -> DataFrame:
-    """(key, term, n) of one part: a text's log-likelihood is the sum, over all parts, of the terms of its words, pairs, triplets and
-    contexts, the starts before it among them, and for each token the log of a word not met.
-
-    Backing off multiplies the weights of contexts, so that a gram's term is the log of what it gains over backing off, and a
-    context's that of its weight; a gram that isn't in the model has none.
-    """
-    none, gain, weight = F.lit(0).cast("long"), F.col("gain"), _log(F.col("weight"))
-    p2, w2, p3, w3 = counts.part(k)
-    mine = F.pmod(F.shiftrightunsigned("c", 40), F.lit(parts)) == k
-    words = counts.one.where(mine).select("c", (_log(F.col("p")) - _log(F.lit(counts.unknown))).alias("term"), "n").union(w2.select("b", weight, "total"))
-    words = words.groupBy("c").agg(F.sum("term").alias("term"), F.sum("n").alias("n"))
-    rows = words.select(F.lit(1).alias("size"), F.col("c").alias("x"), none.alias("y"), none.alias("z"), "term", "n")
-    rows = rows.union(p2.select(F.lit(2), "b", "c", none, gain, "n")).union(p3.select(F.lit(3), "a", "b", "c", gain, "n")).union(w3.select(F.lit(4), "a", "b", none, weight, "total"))
-    return rows.mapInArrow(_keyed, "key long, term double, n long")
-
-
-def _head(terms: DataFrame) -> tuple[tuple[np.ndarray, np.ndarray], int]:
-    """Keys and terms of the most frequent grams, HEAD_GRAMS at most, and the least count among them."""
-    steps = terms.groupBy(F.least("n", F.lit(100_000)).alias("n")).agg(F.count(F.lit(1)).alias("grams")).collect()  # 100,000 rows at most
-    held, least = 0, 1 << 62
-    for n, grams in sorted(((r["n"], r["grams"]) for r in steps), reverse=True):
-        held += grams
-        if held > HEAD_GRAMS:
-            break
-        least = n
-    head = terms.where(F.col("n") >= least).select("key", "term").toArrow()
-    keys = head["key"].to_numpy().view(np.uint64)
-    rank = np.argsort(keys)
-    return (keys[rank], head["term"].to_numpy()[rank]), least
-
-
 def _names(ids: pa.Array, c: np.ndarray, firsts: np.ndarray) -> np.ndarray:
     """A hash of each row's doc_id and tokens: rows that share one are judged alike."""
     if not len(ids):
@@ -249,134 +212,340 @@ def _rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             yield pa.RecordBatch.from_arrays([pa.array(_names(own["doc_id"], c, firsts)), own["doc_id"], own["lang"], pa.array(np.diff(firsts))], ["row", "doc_id", "lang", "n_tokens"])
 
 
-_LOW = np.uint64((1 << 48) - 1)
+def _homes(words: np.ndarray, homes: int) -> np.ndarray:
+    return ((words >> np.uint64(24)) % np.uint64(homes)).astype(np.int32)
+
+
+def _planes(x: np.ndarray) -> bytes:
+    """Numbers byte by byte of like worth, which packs best."""
+    return x.view(np.uint8).reshape(-1, x.itemsize).T.tobytes()
 
 
-def _packed(keys: np.ndarray, texts: np.ndarray) -> bytes:
-    """Steps between sorted keys of six bytes, and each one's text, byte by byte of like worth."""
-    steps = np.diff(keys, prepend=np.uint64(0)).view(np.uint8).reshape(-1, 8)[:, :6]
-    return steps.T.tobytes() + texts.astype(np.uint32).view(np.uint8).reshape(-1, 4).T.tobytes()
+def _numbers(raw: memoryview, kind: type) -> np.ndarray:
+    planes = np.frombuffer(raw, np.uint8).reshape(np.dtype(kind).itemsize, -1)
+    return np.ascontiguousarray(planes.T).reshape(-1).view(kind)
 
 
-def _unpacked(raw: bytes) -> tuple[np.ndarray, np.ndarray]:
-    planes = np.frombuffer(raw, np.uint8).reshape(10, -1)
-    steps, texts = np.zeros((planes.shape[1], 8), np.uint8), np.ascontiguousarray(planes[6:].T)
-    steps[:, :6] = planes[:6].T
-    return np.cumsum(steps.reshape(-1).view(np.uint64)), texts.reshape(-1).view(np.uint32)
+def _steps(keys: np.ndarray) -> bytes:
+    return _planes(np.diff(keys, prepend=np.zeros(1, keys.dtype)))
 
 
-def _asks(head, part: int, parts: int, shards: int):
-    """For each batch its rows' names and sums over the head's terms (name not null), and for each shard the other keys that the batch asks for."""
+def _packed(a: np.ndarray, b: np.ndarray, c: np.ndarray, rows: np.ndarray | None = None) -> bytes:
+    """Triplets, and the text that each one is of, in order of middle words: different words once, then places among them."""
+    words, at = np.unique(np.concatenate((b, a, c)), return_inverse=True)
+    b, a, c = at.astype(np.uint32).reshape(3, -1)
+    order = np.argsort(b, kind="stable")
+    columns = [np.diff(b[order], prepend=np.uint32(0)), a[order], c[order]] + ([] if rows is None else [rows[order].astype(np.uint32)])
+    return np.array([len(words), len(b)], np.int64).tobytes() + _steps(words) + b"".join(map(_planes, columns))
+
+
+def _unpacked(raw: bytes) -> list[np.ndarray]:
+    """Words a, b and c of triplets, and their texts if they were packed."""
+    n_words, n = np.frombuffer(raw[:16], np.int64).tolist()
+    raw = memoryview(raw)[16:]
+    words = np.cumsum(_numbers(raw[: 8 * n_words], np.uint64))
+    b, a, c, *rows = (_numbers(raw[k : k + 4 * n], np.uint32) for k in range(8 * n_words, len(raw), 4 * n)) if n else [np.zeros(0, np.uint32)] * 3
+    return [words[a], words[np.cumsum(b)], words[c], *rows]
+
+
+def _sent(first: int, last: int, homes: int, shards: int, asks: bool):
+    """For each batch of texts the triplets of each home from first to before last, which is that of the middle word; with asks, their texts too, and
+    the texts' names."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         import zstandard
 
-        words, terms = head.value
         press, task = zstandard.ZstdCompressor(level=1), TaskContext.get().partitionId()
+
+        def packed(parts: list[tuple[np.ndarray, ...]]) -> tuple[list[bytes], list[int]]:
+            home, *columns = (np.concatenate(x) for x in zip(*parts, strict=True))
+            order = np.argsort(home.astype(np.int16) if homes < 1 << 15 else home, kind="stable")
+            edges = np.searchsorted(home[order], np.arange(first, last + 1))
+            full = np.flatnonzero(np.diff(edges))
+            a, b, c, row = (x[order] for x in columns)
+            edges = zip(edges[full].tolist(), edges[full + 1].tolist(), strict=True)
+            return [press.compress(_packed(a[i:j], b[i:j], c[i:j], row[i:j] if asks else None)) for i, j in edges], (full + first).tolist()
+
+        def out(block: int, packs: list[bytes], own: list[int], kind: int) -> pa.RecordBatch:
+            home, n = np.array(own, np.int32), len(own)
+            columns = [pa.array(home % shards), pa.array(home), pa.array([kind] * n, pa.int32()), pa.array([block] * n, pa.int64()), pa.array(packs, pa.binary()), pa.nulls(n, pa.binary())]
+            return pa.RecordBatch.from_arrays(columns, SENT_NAMES)
+
         for nth, batch in enumerate(batches):
-            names, logs, asked, of, block = [], [], [], [], (task << 24) + nth
+            parts, names, held, block = [], [], 0, (task << 24) + nth
             for low, high, data, offsets in slices(batch["text"]):
                 a, b, c, firsts = _contexts(data, offsets)
-                n = high - low
-                names.append(_names(batch["doc_id"].slice(low, n), c, firsts))
-                row = np.repeat(np.arange(n), np.diff(firsts))
-                mine, word = np.flatnonzero(_part(b, parts) == part), np.flatnonzero(_part(c, parts) == part)
-                a, b, c, row, after, word = a[mine], b[mine], c[mine], row[mine], c[word], row[word]
-                start = np.full(n if _part(np.array([START], np.uint64), parts)[0] == part else 0, START, np.uint64)
-                keys = np.concatenate((_key(after), _key(b, c), _key(a, b, c), _context(a, b), _key(start)))
-                row = np.concatenate((word, row, row, row, np.arange(len(start))))
-                if len(words):
-                    at = np.minimum(np.searchsorted(words, keys), len(words) - 1)
-                    here = words[at] == keys
-                    logs.append(np.bincount(row[here], weights=terms[at[here]], minlength=n))
-                    keys, row = keys[~here], row[~here]
-                else:
-                    logs.append(np.zeros(n))
-                asked.append(keys)
-                of.append(row + low)
-            if not names:
-                continue
-            keys, of, names, logs = (np.concatenate(x) for x in (asked, of, names, logs))
-            shard = ((keys >> np.uint64(48)) % np.uint64(shards)).astype(np.int32)
-            keys &= _LOW
-            order = np.lexsort((keys, shard))
-            keys, of, shard = keys[order], of[order], shard[order]
-            edges = np.searchsorted(shard, np.arange(shards + 1))
-            full = np.flatnonzero(np.diff(edges))
-            packs = [press.compress(_packed(keys[edges[k] : edges[k + 1]], of[edges[k] : edges[k + 1]])) for k in full]
-            n = len(full)
-            yield pa.RecordBatch.from_arrays(
-                [pa.array(np.append(full, block % shards).astype(np.int32)), pa.array([block] * (n + 1), pa.int64()), pa.array([*packs, logs.tobytes()], pa.binary()), pa.array([None] * n + [names.tobytes()], pa.binary())],
-                ["shard", "block", "payload", "names"],
-            )
+                home = _homes(b, homes)
+                mine = np.flatnonzero((home >= first) & (home < last))
+                row = np.repeat(np.arange(low, high, dtype=np.uint32), np.diff(firsts))[mine]
+                parts.append((home[mine], a[mine], b[mine], c[mine], row))
+                held += len(mine)
+                if asks:
+                    names.append(_names(batch["doc_id"].slice(low, high - low), c, firsts))
+                if held > HELD_TOKENS:
+                    yield out(block, *packed(parts), ASKS if asks else LEARNT)
+                    parts, held = [], 0
+            if held:
+                yield out(block, *packed(parts), ASKS if asks else LEARNT)
+            if names:
+                yield out(block, [np.concatenate(names).tobytes()], [first + block % (last - first)], NAMES)
 
     return run
 
 
-def _answers(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Of a shard's terms and what is asked of it: for each text of a block what its keys there sum up to; and the rows' names and sums as they came."""
+#: What is sent to a shard: texts' names, what texts ask for, triplets to learn from, and counts of words.
+NAMES, ASKS, LEARNT, WORDS = range(4)
+SENT = "shard int, home int, kind int, block long, payload binary, n binary"
+SENT_NAMES = [x.split()[0] for x in SENT.split(", ")]
+
+
+class Home:
+    """Counts of the triplets of some middle words: all grams of these words, and all contexts that end in one."""
+
+    def __init__(self, a: np.ndarray, b: np.ndarray, c: np.ndarray) -> None:
+        self.three, at, self.n3 = np.unique(_key(a, b, c), return_index=True, return_counts=True)
+        a, b, c = a[at], b[at], c[at]
+        self.contexts, self.context_of = np.unique(_context(a, b), return_inverse=True)
+        self.two, at, self.pair_of = np.unique(_key(b, c), return_index=True, return_inverse=True)
+        self.b, self.c = b[at], c[at]
+        sums = np.bincount(self.pair_of, weights=self.n3, minlength=len(at)).astype(np.int64)
+        self.n2 = np.where(self.b == np.uint64(START), sums, np.bincount(self.pair_of, minlength=len(at)))
+        self.words, self.word_of = np.unique(self.b, return_inverse=True)
+
+    def asked(self) -> tuple[np.ndarray, np.ndarray]:
+        """The words whose counts this home needs, an end among them, and how many different words here stand before each."""
+        words, at = np.unique(np.concatenate((self.c, self.words, [END])), return_inverse=True)
+        return words, np.bincount(at[: len(self.c)], minlength=len(words))
+
+    def terms(self, words: np.ndarray, n: np.ndarray, off: Discounts) -> tuple[np.ndarray, np.ndarray]:
+        """Keys and terms of all grams and contexts: a text's log-likelihood is the sum of the terms of its triplets, pairs, contexts and middle
+        words, and for each token the log of a word not met.
+
+        Backing off multiplies the weights of contexts, so that a gram's term is the log of what it gains over backing off, and a context's that
+        of its weight; a gram that isn't in the model has none. A word's term is its gain as a word and its weight as a context; the
+        start has its weight, and the gain of the end that closes the text."""
+        p1 = off.word(n)
+        own = off.own(1, self.n2)
+        total = np.bincount(self.word_of, weights=self.n2, minlength=len(self.words))
+        w2 = np.bincount(self.word_of, weights=own, minlength=len(self.words)) / np.maximum(total, 1)
+        below = p1[np.searchsorted(words, self.c)]
+        left = w2[self.word_of]
+        p2 = (self.n2 - own) / total[self.word_of] + left * below
+        g2 = _logs(p2) - _logs(left) - _logs(below)
+        own = off.own(2, self.n3)
+        total = np.bincount(self.context_of, weights=self.n3, minlength=len(self.contexts))
+        w3 = np.bincount(self.context_of, weights=own, minlength=len(self.contexts)) / np.maximum(total, 1)
+        below, left = p2[self.pair_of], w3[self.context_of]
+        g3 = _logs((self.n3 - own) / total[self.context_of] + left * below) - _logs(left) - _logs(below)
+        as_word = np.where(self.words == np.uint64(START), END, self.words)
+        g1 = _logs(p1[np.searchsorted(words, as_word)]) - np.log(off.unknown)
+        keys = np.concatenate((_key(self.words), self.two, self.contexts, self.three))
+        order = np.argsort(keys)
+        return keys[order], np.concatenate((g1 + _logs(w2), g2, _logs(w3), g3))[order]
+
+
+def _logs(x: np.ndarray) -> np.ndarray:
+    return np.log(np.maximum(x, 1e-300))
+
+
+class Discounts(NamedTuple):
+    """Of each order, from words on; the sum of words' counts, and the probability of a word not met."""
+
+    orders: list[tuple[float, float, float]]
+    total: float
+    unknown: float
+
+    def own(self, k: int, n: np.ndarray) -> np.ndarray:
+        return np.array([0.0, *self.orders[k]])[np.minimum(n, 3)]
+
+    def word(self, n: np.ndarray) -> np.ndarray:
+        return (n - self.own(0, n)) / self.total + self.unknown
+
+
+#: What is found of an order's counts: how many are one, two, three and four, how many there are, and their sum.
+FOUND = 6
+
+
+def _found(n: np.ndarray) -> list[int]:
+    few = np.bincount(np.minimum(n, 5), minlength=6)
+    return [*few[1:5].tolist(), int((n > 0).sum()), int(n.sum())]
+
+
+def _settled(found: list[int]) -> Discounts:
+    orders = [discounts(*found[k : k + 4]) for k in range(0, 3 * FOUND, FOUND)]
+    n1, n2, _, _, kinds, total = found[:FOUND]
+    d1, d2, d3 = orders[0]
+    lost = (n1 * d1 + n2 * d2 + (kinds - n1 - n2) * d3) / total if total else 1.0
+    return Discounts(orders, float(total or 1), lost / (kinds + 1))
+
+
+def _homes_of(packs: list[bytes]) -> Home:
     import zstandard
 
-    unpress, keys, terms, asked = zstandard.ZstdDecompressor(), [np.zeros(0, np.uint64)], [np.zeros(0)], []
+    unpress = zstandard.ZstdDecompressor()
+    parts = [_unpacked(unpress.decompress(x)) for x in packs]
+    return Home(*(np.concatenate(x) for x in zip(*parts, strict=True))) if parts else Home(*[np.zeros(0, np.uint64)] * 3)
+
 
-    def out(block: int, place: np.ndarray, names: np.ndarray | None, logs: np.ndarray) -> pa.RecordBatch:
-        row = pa.nulls(len(place), pa.int64()) if names is None else pa.array(names)
-        return pa.RecordBatch.from_arrays([pa.array(np.full(len(place), block)), pa.array(place), row, pa.array(logs)], ["block", "place", "row", "logs"])
+def _counted(places: int):
+    """Each home's words that it needs counts of, in parts by the word, and what is found of its pairs' and triplets' counts."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        import zstandard
+
+        packs, press = {}, zstandard.ZstdCompressor(level=1)
+        for batch in batches:
+            for home, x in zip(batch["home"].to_pylist(), batch["payload"].to_pylist(), strict=True):
+                packs.setdefault(home, []).append(x)
+        for home in sorted(packs):
+            model = _homes_of(packs.pop(home))
+            words, n = model.asked()
+            place = _homes(mix(words), places)
+            order = np.argsort(place, kind="stable")
+            edges = np.searchsorted(place[order], np.arange(places + 1)).tolist()
+            words, n = words[order], n[order]
+            found = [[0] * FOUND + _found(model.n2) + _found(model.n3)] + [[0] * 3 * FOUND] * (places - 1)
+            packed = [[press.compress(f(x[i:j])) for i, j in zip(edges[:-1], edges[1:], strict=True)] for f, x in ((_steps, words), (_planes, n))]
+            yield pa.RecordBatch.from_arrays([pa.array(np.arange(places, dtype=np.int32)), pa.array([home] * places, pa.int32()), *(pa.array(x, pa.binary()) for x in packed), pa.array(found, pa.list_(pa.int64()))], ["place", "home", "payload", "n", "found"])
+
+    return run
+
+
+def _summed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The words that homes asked for, now with counts over all homes, and what is found of these."""
+    import zstandard
+
+    rows = [x for batch in batches for x in batch.to_pylist()]
+    press, unpress = zstandard.ZstdCompressor(level=1), zstandard.ZstdDecompressor()
+    keys = [np.cumsum(_numbers(memoryview(unpress.decompress(x["payload"])), np.uint64)) for x in rows]
+    if not rows:
+        return
+    words, at = np.unique(np.concatenate(keys), return_inverse=True)
+    n = np.bincount(at, weights=np.concatenate([_numbers(memoryview(unpress.decompress(x["n"])), np.int64) for x in rows]), minlength=len(words)).astype(np.int64)
+    found, begin = _found(n), 0
+    for x, own in zip(rows, keys, strict=True):
+        sums = n[at[begin : begin + len(own)]]
+        begin += len(own)
+        whole = [a + b for a, b in zip(x["found"], found + [0] * 2 * FOUND, strict=True)]
+        found = [0] * FOUND
+        yield pa.RecordBatch.from_arrays([pa.array([x["home"]], pa.int32()), pa.array([x["payload"]], pa.binary()), pa.array([press.compress(_planes(sums))], pa.binary()), pa.array([whole], pa.list_(pa.int64()))], ["home", "payload", "n", "found"])
+
+
+def _answers(off: Discounts, blocks: int):
+    """Of a home's words and triplets, and what is asked of it: for each text of a block what its grams there sum up to; and names as they came."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        import zstandard
+
+        press, unpress, held = zstandard.ZstdCompressor(level=1), zstandard.ZstdDecompressor(), {k: [] for k in (NAMES, ASKS, LEARNT, WORDS)}
+        out = lambda block, names, logs: pa.RecordBatch.from_arrays([pa.array([block % blocks], pa.int32()), pa.array([block], pa.int64()), pa.array([names], pa.binary()), pa.array([logs], pa.binary())], ["to", "block", "names", "logs"])
+        for batch in batches:
+            for x in batch.select(["kind", "block", "payload", "n"]).to_pylist():
+                if x["kind"] == NAMES:
+                    yield out(x["block"], x["payload"], None)
+                else:
+                    held[x["kind"]].append(x)
+        if not held[LEARNT]:
+            return
+        model = _homes_of([x["payload"] for x in held.pop(LEARNT)])
+        words = np.concatenate([np.cumsum(_numbers(memoryview(unpress.decompress(x["payload"])), np.uint64)) for x in held[WORDS]])
+        n = np.concatenate([_numbers(memoryview(unpress.decompress(x["n"])), np.int64) for x in held.pop(WORDS)])
+        order = np.argsort(words)
+        term = _LookUp(*model.terms(words[order], n[order], off))
+        del model
+        for x in held[ASKS]:
+            a, b, c, row = _unpacked(unpress.decompress(x["payload"]))
+            firsts = np.flatnonzero(np.concatenate(([True], b[1:] != b[:-1])))  # triplets are in order of middle words
+            times = np.diff(np.append(firsts, len(b)))
+            here, found = term(_key(b[firsts]))
+            known = np.flatnonzero(np.repeat(here, times))  # a word that the model hasn't got is in none of its grams
+            sums = np.repeat(found, times)[known]
+            a, b, c, row = a[known], b[known], c[known], row[known]
+            sums += term(_key(b, c))[1]
+            here, found = term(_context(a, b))
+            sums += found
+            both = np.flatnonzero(here)
+            sums[both] += term(_key(a[both], b[both], c[both]))[1]
+            logs = np.bincount(row, weights=sums)
+            met = np.flatnonzero(logs)
+            yield out(x["block"], None, press.compress(np.array([len(met)]).tobytes() + _planes(np.diff(met, prepend=0).astype(np.uint32)) + logs[met].tobytes()))
+
+    return run
+
+
+class _LookUp:
+    """Terms by sorted keys, which are even over their range: leading bits say where a key would be, a few steps at most before it is there."""
+
+    def __init__(self, keys: np.ndarray, terms: np.ndarray) -> None:
+        bits = max(len(keys).bit_length(), 1) + 1
+        self.shift = np.uint64(64 - bits)
+        self.begins = np.searchsorted(keys, np.arange(1 << bits, dtype=np.uint64) << self.shift).astype(np.int32)
+        self.keys, self.terms = np.append(keys, np.uint64(0xFFFFFFFFFFFFFFFF)), np.append(terms, 0.0)
+
+    def __call__(self, asked: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        at = self.begins[asked >> self.shift]
+        behind = np.flatnonzero(self.keys[at] < asked)
+        while len(behind):
+            at[behind] += 1
+            behind = behind[self.keys[at[behind]] < asked[behind]]
+        here = (self.keys[at] == asked) & (at < len(self.keys) - 1)
+        return here, np.where(here, self.terms[at], 0.0)
+
+
+def _sums(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Names of each block's texts and the sums of what homes have answered."""
+    import zstandard
 
+    unpress, names, answers = zstandard.ZstdDecompressor(), {}, {}
     for batch in batches:
-        own = batch.filter(batch["key"].is_valid())
-        keys.append(own["key"].to_numpy().view(np.uint64) & _LOW)
-        terms.append(own["term"].to_numpy())
-        for x in batch.filter(batch["block"].is_valid()).select(["block", "payload", "names"]).to_pylist():
+        for x in batch.to_pylist():
             if x["names"] is None:
-                asked.append((x["block"], x["payload"]))
+                answers.setdefault(x["block"], []).append(x["logs"])
             else:
-                names = np.frombuffer(x["names"], np.int64)
-                yield out(x["block"], np.arange(len(names)), names, np.frombuffer(x["payload"]))
-    keys, terms = np.concatenate(keys), np.concatenate(terms)
-    order = np.argsort(keys)
-    keys, terms = keys[order], terms[order]
-    for block, payload in asked if len(keys) else ():
-        mine, texts = _unpacked(unpress.decompress(payload))
-        at = np.minimum(np.searchsorted(keys, mine), len(keys) - 1)
-        here = keys[at] == mine
-        sums = np.bincount(texts[here], weights=terms[at[here]])
-        met = np.flatnonzero(sums)
-        yield out(block, met, None, sums[met])
+                names[x["block"]] = x["names"]
+    for block, x in names.items():
+        row = np.frombuffer(x, np.int64)
+        logs = np.zeros(len(row))
+        for raw in answers.pop(block, []):
+            raw = memoryview(unpress.decompress(raw))
+            n = int(np.frombuffer(raw[:8], np.int64)[0])
+            logs[np.cumsum(_numbers(raw[8 : 8 + 4 * n], np.uint32))] += np.frombuffer(raw[8 + 4 * n :])
+        yield pa.RecordBatch.from_arrays([pa.array(row), pa.array(logs)], ["row", "logs"])
 
 
 def perplexities(docs: DataFrame, learn: DataFrame) -> DataFrame:
     """doc_id, lang, n_tokens, perplexity of each row of docs under the model of all the texts of learn.
 
-    Grams are looked up part by part, so that only one part's terms and shuffles are on disk at a time, and each part reads all texts.
-    A part's most frequent grams are broadcast. The others that a batch of texts has go, packed, to the shards of the part's terms, which send back
-    sums for each text. Within a part and a shard keys are told apart by 48 bits. docs is read several times, in any order.
+    Each word has a home, to which all triplets go that it is the middle of, of texts to learn from and of texts to score: there are all pairs that
+    begin with it and all contexts that end in it, so that only words' own counts are summed across homes. Homes are first counted for these
+    and for discounts; then, part by part, they are counted anew and send back sums for each text of a batch. So only one part's
+    shuffles are on disk at a time, and no gram is written; each part reads all texts. Within a home grams are told apart by 64 bits.
+    A home is one task, which holds its different grams, and what is asked of it packed. docs is read several times, in any order.
     """
     spark, scratch = docs.sparkSession, Scratch(docs.sparkSession)
     with shuffles_cleared(spark):
         rows = materialize(docs.select("doc_id", "lang", "text").mapInArrow(_rows, "row long, doc_id long, lang string, n_tokens long"))
         tokens = rows.agg(F.sum("n_tokens")).first()[0] or 0
         parts = min(PARTS, -(-tokens // PART_TOKENS)) or 1
-        shards = max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-tokens // SHARD_TOKENS))
-        learnt = Scratch(spark)
-        counts = Counts(learnt.table(learn.select("text"), compression="zstd"), parts, scratch)
-        learnt.clear()
+        shards = max(2 * spark.sparkContext.defaultParallelism, -(-tokens // (parts * SHARD_TOKENS)))
+        homes, places = parts * shards, min(shards, PLACES)
+        learnt = scratch.table(learn.select("text"), compression="zstd")
+        sent = learnt.mapInArrow(_sent(0, homes, homes, shards, False), SENT).repartitionById(shards, F.col("shard"))
+        asked = sent.mapInArrow(_counted(places), "place int, home int, payload binary, n binary, found array<long>").repartitionById(places, F.col("place"))
+        words = scratch.table(asked.mapInArrow(_summed, "home int, payload binary, n binary, found array<long>"))
+        found = words.agg(*[F.coalesce(F.sum(F.col("found")[k]), F.lit(0)) for k in range(3 * FOUND)]).first()
+        off = _settled(list(found))
         sums = []
         for k in range(parts):
-            own = Scratch(spark)
-            terms = own.table(log_terms(counts, k, parts), compression="zstd")
-            found, least = _head(terms)
-            head = spark.sparkContext.broadcast(found)
-            asked = docs.select("doc_id", "text").mapInArrow(_asks(head, k, parts, shards), "shard int, block long, payload binary, names binary")
+            first, last = k * shards, (k + 1) * shards
             none = F.lit(None)
-            rest = terms.where(F.col("n") < least).select(F.pmod(F.shiftrightunsigned("key", 48), F.lit(shards)).cast("int"), none, none, none, "key", "term")
-            met = asked.select("*", none.cast("long").alias("key"), none.cast("double").alias("term")).union(rest).repartitionById(shards, F.col("shard"))
-            met = met.mapInArrow(_answers, "block long, place long, row long, logs double").groupBy("block", "place").agg(F.max("row").alias("row"), F.sum("logs").alias("logs"))
-            sums.append(scratch.table(met.select("row", "logs")))
-            head.destroy()
-            own.clear()
+            to_learn = learnt.mapInArrow(_sent(first, last, homes, shards, False), SENT)
+            counts = words.where(F.col("home").between(first, last - 1)).select(F.col("home") - first, "home", F.lit(WORDS), none.cast("long"), "payload", "n")
+            met = docs.select("doc_id", "text").mapInArrow(_sent(first, last, homes, shards, True), SENT).union(to_learn).union(counts)
+            met = met.repartitionById(shards, F.col("shard")).mapInArrow(_answers(off, shards), "to int, block long, names binary, logs binary")
+            sums.append(scratch.table(met.repartitionById(shards, F.col("to")).mapInArrow(_sums, "row long, logs double")))
         logs = reduce(DataFrame.union, sums).groupBy("row").agg((F.sum("logs") * parts / F.count(F.lit(1))).alias("logs"))  # rows that share a name come several times
-        total = F.col("logs") + F.col("n_tokens") * F.lit(float(np.log(counts.unknown)))
+        total = F.col("logs") + F.col("n_tokens") * F.lit(float(np.log(off.unknown)))
         done = rows.join(logs, "row").select("doc_id", "lang", "n_tokens", F.exp(F.least(-total / F.col("n_tokens"), F.lit(700.0))).alias("perplexity"))
         done = materialize(done)
         scratch.clear()

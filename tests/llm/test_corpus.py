@@ -758,6 +758,32 @@ def test_quality_by_parts(spark, monkeypatch):
         assert (none, k, size) == (r.doc_id is None, r.doc_id or 0, r.n_tokens) and abs(math.log(r.perplexity) + x) < 1e-4
 
 
+def test_no_grams_are_written(spark, monkeypatch):
+    """Tables of grams would need more disk than the texts; only words' counts and sums for texts are written."""
+    monkeypatch.setattr(kneser_ney, "PART_TOKENS", 300)
+    written, table = [], shared.Scratch.table
+    monkeypatch.setattr(shared.Scratch, "table", lambda self, df, *a, **b: written.append(df.columns) or table(self, df, *a, **b))
+    rng = random.Random(6)
+    docs = texts(spark, [(k, " ".join(rng.choice("abcdefghij") for _ in range(rng.randrange(40)))) for k in range(100)])
+    assert kneser_ney.perplexities(docs, docs.select("text")).count() == 100
+    assert len(written) > 3 and not [x for x in written if {"a", "b", "c"} & set(x) or "key" in x]
+
+
+@pytest.mark.parametrize("n", [0, 1, 3000])
+def test_triplets_are_packed_and_terms_looked_up(n):
+    rng = np.random.default_rng(n)
+    words = rng.integers(0, 1 << 64, 50, np.uint64, endpoint=False)
+    a, b, c = words[rng.integers(0, 50, (3, n))]
+    row = rng.integers(0, 9000, n)
+    got = kneser_ney._unpacked(kneser_ney._packed(a, b, c, row)) if n else []
+    assert sorted(zip(*(x.tolist() for x in got), strict=True)) == sorted(zip(a.tolist(), b.tolist(), c.tolist(), row.tolist(), strict=True))
+    keys = np.unique(np.append(rng.integers(0, 1 << 64, n, np.uint64, endpoint=False), np.uint64((1 << 64) - 1)))
+    here, found = kneser_ney._LookUp(keys, np.arange(len(keys)) + 1.0)(np.concatenate((keys, keys - np.uint64(1), words)))
+    at = {k: i + 1.0 for i, k in enumerate(keys.tolist())}
+    asked = np.concatenate((keys, keys - np.uint64(1), words)).tolist()
+    assert here.tolist() == [k in at for k in asked] and found.tolist() == [at.get(k, 0.0) for k in asked]
+
+
 # 9
 
 

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Iterator
+from typing import NamedTuple
 
 import numpy as np
 
@@ -11,6 +12,8 @@ WIDTH, SPARE, STEPS = 24, 64, 16
 LARGEST_CLASS, CLASSES = 128, 48
 #: States whose classes are scored at once.
 BLOCK = 4096
+#: Logits between whose negative and itself exponentials and their sums are safe without being drawn to the largest.
+SAFE = 60.0
 
 
 def make_classes(counts: np.ndarray) -> np.ndarray:
@@ -65,21 +68,38 @@ class Model:
     def log_likelihood(self, states: np.ndarray, targets: np.ndarray) -> np.ndarray:
         """Natural log of each target's probability after its state; for a target without output, of the last class."""
         order, own, edges = self._by_class(targets)
-        states, targets, out = states[order], targets[order], np.empty(len(order))
+        rows, targets, out = _with_ones(states[order]), targets[order], np.empty(len(order))
+        tops = np.vstack((self.p["classes"], self.p["class_bias"]))
         for low in range(0, len(order), BLOCK):
-            rows, at = states[low : low + BLOCK], own[low : low + BLOCK]
-            logits = self.p["classes"].T @ rows.T
-            logits += self.p["class_bias"][:, None]
-            out[low : low + BLOCK] = logits[at, np.arange(len(at))] - _log_sum(logits)
-        for c, a, b in self._inner(edges):
-            low, high = self.firsts[c], self.stops[c]
-            logits = self.p["members"][low:high] @ states[a:b].T
-            logits += self.p["member_bias"][low:high, None]
-            out[a:b] += logits[targets[a:b] - low, np.arange(b - a)] - _log_sum(logits)
+            at = own[low : low + BLOCK]
+            logits = rows[low : low + BLOCK] @ tops
+            found = logits[np.arange(len(at)), at]
+            top = _exponentials(logits.reshape(-1), np.full(len(at), logits.shape[1]))
+            out[low : low + BLOCK] = found - (top + np.log(logits.sum(axis=1)))
+        within = self._within(rows, own, edges)
+        if len(within.at):
+            found = within.flat[within.places(targets)]
+            top = _exponentials(within.flat, within.sizes)
+            out[within.at] += found - (top + np.log(np.add.reduceat(within.flat, within.firsts)))
         back = np.empty_like(out)
         back[order] = out
         return back
 
+    def _within(self, rows: np.ndarray, own: np.ndarray, edges: np.ndarray) -> _Within:
+        """Logits of all members of each row's class, for rows in order of their classes."""
+        sizes = np.append(self.stops - self.firsts, 0)[own]
+        sizes[sizes == 1] = 0
+        at = np.flatnonzero(sizes)
+        ends = np.cumsum(sizes)
+        members = np.column_stack((self.p["members"], self.p["member_bias"]))
+        flat, blocks = np.empty(int(ends[-1]) if len(ends) else 0, np.result_type(rows, members)), []
+        for c, a, b in self._inner(edges):
+            low, high = int(self.firsts[c]), int(self.stops[c])
+            block = flat[ends[b - 1] - (b - a) * (high - low) : ends[b - 1]].reshape(b - a, high - low)
+            np.matmul(rows[a:b], members[low:high].T, out=block)
+            blocks.append((a, b, low, high, block))
+        return _Within(flat, blocks, at, sizes[at], (ends - sizes)[at], self.firsts[own[at]])
+
     def _by_class(self, targets: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """The targets' places in order of their classes, these classes, and the edges between those with members."""
         own = self.class_of[targets]
@@ -138,32 +158,68 @@ class Model:
         self.seen["words"][rows] = seen
         p["words"][rows] -= rate * sums / np.sqrt(seen)
         for k, v in g.items():
-            self.seen[k] += v * v
+            room = v * v
+            self.seen[k] += room
+            np.sqrt(self.seen[k], out=room)
             v *= rate
-            v /= np.sqrt(self.seen[k])
+            v /= room
             p[k] -= v
         return hs[-1].T
 
     def _output_gradients(self, states: np.ndarray, targets: np.ndarray, own: np.ndarray, edges: np.ndarray) -> tuple[dict[str, np.ndarray], np.ndarray]:
-        """Of the mean loss, for states in order of their targets' classes."""
-        p, share = self.p, 1 / max(len(targets), 1)
-        d = p["classes"].T @ states.T
-        d += p["class_bias"][:, None]
-        _softmax(d, share)
-        d[own, np.arange(len(own))] -= share
-        g = {"classes": (d @ states).T, "class_bias": d.sum(axis=1), "members": np.zeros_like(p["members"]), "member_bias": np.zeros_like(p["member_bias"])}
-        back = d.T @ p["classes"].T
-        for c, a, b in self._inner(edges):
-            low, high = self.firsts[c], self.stops[c]
-            members, rows = p["members"][low:high], states[a:b]
-            e = members @ rows.T
-            e += p["member_bias"][low:high, None]
-            _softmax(e, share)
-            e[targets[a:b] - low, np.arange(b - a)] -= share
-            g["members"][low:high] = e @ rows
-            g["member_bias"][low:high] = e.sum(axis=1)
-            back[a:b] += e.T @ members
-        return g, back
+        """Of the mean loss, for states in order of their targets' classes. Logits of all classes' members lie one after the other, row by
+        row, so that all but the products is done once for all classes."""
+        p, share, w = self.p, 1 / max(len(targets), 1), WIDTH
+        rows = _with_ones(states)
+        d = rows @ np.vstack((p["classes"], p["class_bias"]))
+        _exponentials(d.reshape(-1), np.full(len(d), d.shape[1]))
+        d *= (share / d.sum(axis=1))[:, None]
+        d[np.arange(len(own)), own] -= share
+        tops, members, back, inner = rows.T @ d, np.zeros((self.n, w + 1), d.dtype), d @ p["classes"].T, np.zeros_like(states)
+        within = self._within(rows, own, edges)
+        if len(within.at):
+            e = within.flat
+            _exponentials(e, within.sizes)
+            e *= np.repeat(share / np.add.reduceat(e, within.firsts), within.sizes)
+            e[within.places(targets)] -= share
+            for a, b, low, high, block in within.blocks:
+                np.matmul(block.T, rows[a:b], out=members[low:high])
+                np.matmul(block, p["members"][low:high], out=inner[a:b])
+            back += inner
+        return {"classes": tops[:w], "class_bias": tops[w], "members": members[:, :w].copy(), "member_bias": members[:, w].copy()}, back
+
+
+class _Within(NamedTuple):
+    """Logits within classes, row after row, and by class (first and end row, first and end member, these logits); rows that have some, how
+    many, where these begin, and the first member of each one's class."""
+
+    flat: np.ndarray
+    blocks: list[tuple[int, int, int, int, np.ndarray]]
+    at: np.ndarray
+    sizes: np.ndarray
+    firsts: np.ndarray
+    lows: np.ndarray
+
+    def places(self, targets: np.ndarray) -> np.ndarray:
+        return self.firsts + targets[self.at] - self.lows
+
+
+def _with_ones(states: np.ndarray) -> np.ndarray:
+    """With a column of ones, for the biases."""
+    out = np.ones((len(states), WIDTH + 1), states.dtype)
+    out[:, :WIDTH] = states
+    return out
+
+
+def _exponentials(x: np.ndarray, sizes: np.ndarray) -> np.ndarray | float:
+    """In place, of runs of such sizes; each run less its largest, which is returned, where values could be too large or small for that."""
+    if not len(x) or (x.max() < SAFE and x.min() > -SAFE):
+        np.exp(x, out=x)
+        return 0.0
+    top = np.maximum.reduceat(x, np.cumsum(sizes) - sizes)
+    x -= np.repeat(top, sizes)
+    np.exp(x, out=x)
+    return top
 
 
 def _step(a: np.ndarray, onward: np.ndarray, h: np.ndarray, u: np.ndarray, zr: np.ndarray, new: np.ndarray, out: np.ndarray) -> None:
@@ -235,23 +291,9 @@ def _sigmoid(x: np.ndarray) -> np.ndarray:
     return 0.5 + 0.5 * np.tanh(0.5 * x)
 
 
-def _softmax(x: np.ndarray, share: float) -> None:
-    """Of each column, in place, times share."""
-    x -= x.max(axis=0)
-    np.exp(x, out=x)
-    x *= share / x.sum(axis=0)
-
-
-def _log_sum(x: np.ndarray) -> np.ndarray:
-    """Log of each column's sum of exponentials; x is used up."""
-    top = x.max(axis=0)
-    x -= top
-    return top + np.log(np.exp(x, out=x).sum(axis=0))
-
-
 def _sum_rows(keys: np.ndarray, rows: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """The different keys, and the sum of each one's rows."""
-    order = np.argsort(keys, kind="stable")
+    order = np.argsort(keys.astype(np.int16) if len(keys) and keys.max() < 1 << 15 else keys, kind="stable")  # short ones sort by radix
     keys = keys[order]
     firsts = np.flatnonzero(np.concatenate(([True], keys[1:] != keys[:-1])))
     return keys[firsts], np.add.reduceat(rows[order], firsts, axis=0)

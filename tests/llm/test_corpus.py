@@ -557,6 +557,19 @@ def test_scores_are_those_of_a_plain_loop_over_whole_texts():
         assert abs(total - got) < 1e-3 * max(1, abs(total))
 
 
+@pytest.mark.parametrize("scale", [1.0, 200.0])
+def test_exponentials_of_all_classes_at_once(scale):
+    """Runs of any size side by side are as each by itself, also where values are too large to be used as they are."""
+    rng = np.random.default_rng(4)
+    sizes = rng.integers(1, 30, 50)
+    x = rng.standard_normal(sizes.sum()) * scale
+    got = x.copy()
+    top = np.broadcast_to(gru._exponentials(got, sizes), 50)
+    for k, run in enumerate(np.split(np.arange(len(x)), np.cumsum(sizes)[:-1])):
+        want = np.exp(x[run] - x[run].max())
+        assert np.allclose(got[run] / got[run].sum(), want / want.sum()) and np.isclose(top[k] + np.log(got[run].sum()), x[run].max() + np.log(want.sum()))
+
+
 def test_language_model_learns_from_every_token(spark):
     rows = [("a b c " * 700,), ("d",), ("",), ("e f " * 50,)]
     words = {w for (t,) in rows for w in t.split()}
